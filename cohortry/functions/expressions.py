@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the alert text of a scored record.
@@ -70,25 +70,22 @@ def adjusted_kurtosis(n: Column, g2: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
-def k_squared(n: Column, g1: Column, g2: Column) -> Column:
-    """D'Agostino-Pearson K2 from the population skewness and excess kurtosis."""
-    n = n.cast("double")
-    y = g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = F.sqrt(2 * (beta - 1)) - 1
-    ratio = y / F.sqrt(2 / (w2 - 1))
-    z_skew = F.log(ratio + F.sqrt(ratio * ratio + 1)) / F.sqrt(0.5 * F.log(w2))
-    mean = 3 * (n - 1) / (n + 1)
-    variance = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (g2 + 3 - mean) / F.sqrt(variance)
-    root = (6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9))
-            * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))))
-    a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))
-    spread = 1 + x * F.sqrt(2 / (a - 4))
-    cube = F.signum(spread) * F.pow((1 - 2 / a) / F.abs(spread), F.lit(1 / 3))
-    z_kurt = (1 - 2 / (9 * a) - cube) / F.sqrt(2 / (9 * a))
-    return z_skew * z_skew + z_kurt * z_kurt
-
-
-def round_to(digits: int, *columns: str) -> dict[str, Column]:
-    return {c: F.round(F.col(c), digits) for c in columns}
+def with_k_squared(df: DataFrame, name: str = "statistic") -> DataFrame:
+    """D'Agostino-Pearson K2 from columns ``n``, ``g1``, ``g2`` (population skewness, excess kurtosis)."""
+    n, g1, g2 = F.col("_n"), F.col("g1"), F.col("g2")
+    df = df.withColumn("_n", F.col("n").cast("double"))
+    df = df.withColumns({
+        "_b": 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)),
+        "_x": (g2 + 3 - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))),
+        "_s": (6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))))})
+    df = df.withColumns({"_w": F.sqrt(2 * (F.col("_b") - 1)) - 1,
+                         "_a": 6 + 8 / F.col("_s") * (2 / F.col("_s") + F.sqrt(1 + 4 / (F.col("_s") * F.col("_s"))))})
+    w, a, x = F.col("_w"), F.col("_a"), F.col("_x")
+    df = df.withColumns({"_y": g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / F.sqrt(2 / (w - 1)),
+                         "_d": 1 + x * F.sqrt(2 / (a - 4))})
+    y, d = F.col("_y"), F.col("_d")
+    cube = F.signum(d) * F.pow((1 - 2 / a) / F.abs(d), F.lit(1 / 3))
+    df = df.withColumns({"_zs": F.log(y + F.sqrt(y * y + 1)) / F.sqrt(0.5 * F.log(w)),
+                         "_zk": (1 - 2 / (9 * a) - cube) / F.sqrt(2 / (9 * a))})
+    return (df.withColumn(name, F.col("_zs") * F.col("_zs") + F.col("_zk") * F.col("_zk"))
+            .drop("_n", "_b", "_x", "_s", "_w", "_a", "_y", "_d", "_zs", "_zk"))

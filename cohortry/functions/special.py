@@ -1,6 +1,6 @@
 """Tail probabilities and the normal quantile.
 
-``normal_quantile`` is a Column expression. The tail probabilities are Arrow functions meant for result
+The normal quantile is a chain of Column expressions. The tail probabilities are Arrow functions meant for result
 tables of a few rows.
 """
 
@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -36,14 +36,16 @@ def polynomial(x: Column, coefficients: list[float]) -> Column:
     return out
 
 
-def normal_quantile(p: Column) -> Column:
-    q = p - 0.5
-    near = F.lit(0.180625) - q * q
-    r = F.sqrt(-F.log(F.least(p, 1 - p)))
-    tail = F.when(r <= 5, polynomial(r - 1.6, MIDDLE_NUM) / polynomial(r - 1.6, MIDDLE_DEN)).otherwise(
-        polynomial(r - 5, TAIL_NUM) / polynomial(r - 5, TAIL_DEN))
-    return F.when(F.abs(q) <= 0.425, q * polynomial(near, CENTRE_NUM) / polynomial(near, CENTRE_DEN)).otherwise(
-        F.when(q < 0, -tail).otherwise(tail))
+def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
+    """Add the normal quantile of ``p``; shared parts are columns of their own, which keeps the generated code small."""
+    df = df.withColumn("_p", p).withColumns({"_q": F.col("_p") - 0.5, "_r": F.sqrt(-F.log(F.least("_p", 1 - F.col("_p"))))})
+    df = df.withColumns({"_near": F.lit(0.180625) - F.col("_q") * F.col("_q"), "_mid": F.col("_r") - 1.6, "_far": F.col("_r") - 5})
+    q, near, mid, far = (F.col(c) for c in ("_q", "_near", "_mid", "_far"))
+    centre = q * polynomial(near, CENTRE_NUM) / polynomial(near, CENTRE_DEN)
+    middle = polynomial(mid, MIDDLE_NUM) / polynomial(mid, MIDDLE_DEN)
+    tail = polynomial(far, TAIL_NUM) / polynomial(far, TAIL_DEN)
+    size = F.when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * F.when(F.col("_r") <= 5, middle).otherwise(tail))
+    return df.withColumn(name, size).drop("_p", "_q", "_r", "_near", "_mid", "_far")
 
 
 def chi_square_tail(x: float, dof: int) -> float:

@@ -67,20 +67,19 @@ def chi_square(cells: DataFrame, alpha: float = 0.05) -> DataFrame:
     Works on the non-empty cells only: an empty cell adds its expected count, and in a two by two table every
     cell has the same distance from its expected count.
     """
-    m = with_margins(cells)
     gap = F.abs(F.col("n") - F.col("expected"))
-    sums = m.groupBy("variable").agg(
+    t = with_margins(cells).groupBy("variable").agg(
         F.first("total").alias("n"), F.first("n_rows").alias("n_rows"), F.first("n_cols").alias("n_cols"),
         F.count("*").alias("filled"), F.sum("expected").alias("covered"),
         F.sum(gap * gap / F.col("expected")).alias("plain"), F.max(gap).alias("gap"),
-        F.sum(1 / F.col("expected")).alias("inverse"), F.min("expected").alias("smallest_expected"))
-    sides = [m.select("variable", f"{s}_level", f"{s}_total").distinct().groupBy("variable")
-             .agg(F.sum(1 / F.col(f"{s}_total")).alias(f"{s}_inverse"), F.min(f"{s}_total").alias(f"{s}_min"))
-             for s in ("row", "col")]
-    t = sums.join(sides[0], "variable").join(sides[1], "variable")
+        F.min("row_total").alias("row_min"), F.min("col_total").alias("col_min"))
+
+    def inverse(smaller):
+        return 1 / F.col(smaller) + 1 / (F.col("n") - F.col(smaller))
+
     empty = F.when(F.col("filled") < F.col("n_rows") * F.col("n_cols"), F.col("n") - F.col("covered")).otherwise(0.0)
     shrunk = F.greatest(F.col("gap") - 0.5, F.lit(0.0))
-    corrected = shrunk * shrunk * F.col("n") * F.col("row_inverse") * F.col("col_inverse")
+    corrected = shrunk * shrunk * F.col("n") * inverse("row_min") * inverse("col_min")
     two_by_two = (F.col("n_rows") == 2) & (F.col("n_cols") == 2)
     dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
     stat = F.when(dof == 0, 0.0).when(two_by_two, corrected).otherwise(F.col("plain") + empty)

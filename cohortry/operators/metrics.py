@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.expressions import predicted_class
 from cohortry.operators.ordering import running
 from cohortry.operators.profile import unfold
+from cohortry.session import stage
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -75,27 +76,25 @@ def threshold_table(df: DataFrame, label: str, score: str, thresholds: Sequence[
     return unfold(df.agg(*aggs), rows)
 
 
-def cumulative_counts(df: DataFrame, label: str, score: str, **options) -> DataFrame:
-    """One row per distinct score, from high to low: ``score, pos, neg, tp, fp, next_pos, next_neg``.
-
-    Equal scores are counted before anything is ordered, and the totals run over ranges of scores.
-    """
+def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Positives and negatives per distinct score: equal scores are counted before anything is ordered."""
     known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    grouped = known.groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    return running(grouped, ["score"], {"tp": "pos", "fp": "neg"}, descending=True,
-                   following={"next_pos": "pos", "next_neg": "neg"}, **options)
+    return stage(known.groupBy(F.col(score).cast("double").alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")), "scores")
 
 
-def _with_totals(steps: DataFrame, df: DataFrame, label: str, score: str) -> DataFrame:
-    known = df.filter(F.col(score).isNotNull()).agg(F.count_if(F.col(label) == 1).alias("p"),
-                                                    F.count_if(F.col(label) == 0).alias("n")).first()
-    return steps.withColumns({"all_pos": F.lit(known["p"]).cast("long"), "all_neg": F.lit(known["n"]).cast("long")})
+def cumulative_counts(df: DataFrame, label: str, score: str, **options) -> DataFrame:
+    """One row per distinct score, high to low: ``score, pos, neg, tp, fp, next_pos, next_neg, all_pos, all_neg``."""
+    grouped = score_counts(df, label, score)
+    steps = running(grouped, ["score"], {"tp": "pos", "fp": "neg"}, descending=True, staged=True,
+                    following={"next_pos": "pos", "next_neg": "neg"}, **options)
+    totals = grouped.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    return steps.withColumns({"all_pos": F.lit(totals["p"]).cast("long"), "all_neg": F.lit(totals["n"]).cast("long")})
 
 
 def roc_curve(df: DataFrame, label: str, score: str, **options) -> DataFrame:
     """``(threshold, fpr, tpr)``; inner points on a straight line are dropped, (0, 0) is added."""
-    steps = _with_totals(cumulative_counts(df, label, score, **options), df, label, score)
+    steps = cumulative_counts(df, label, score, **options)
     first = F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg")
     last = F.col("next_pos").isNull()
     straight = (F.col("pos") == F.col("next_pos")) & (F.col("neg") == F.col("next_neg"))
@@ -119,7 +118,7 @@ def ranking_quality(df: DataFrame, label: str, score: str, **options) -> DataFra
 
 def precision_recall(df: DataFrame, label: str, score: str, **options) -> DataFrame:
     """``(threshold, precision, recall)`` and the end point (1, 0) without a threshold."""
-    steps = _with_totals(cumulative_counts(df, label, score, **options), df, label, score)
+    steps = cumulative_counts(df, label, score, **options)
     curve = steps.select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                          F.try_divide("tp", "all_pos").alias("recall"))
     end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions import expressions as X
-from cohortry.functions.special import normal_quantile, normal_upper_p, polynomial, student_p
+from cohortry.functions.special import normal_upper_p, polynomial, student_p, with_normal_quantile
 from cohortry.operators.ordering import ranked
 from cohortry.operators.profile import correlations, moments, unfold
 from cohortry.operators.quantiles import quantile_rows, tall, value_counts
@@ -32,10 +32,10 @@ def k_squared_test(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     aggs = []
     for i, c in enumerate(columns):
         aggs += [F.count(c).alias(f"n{i}"), F.skewness(c).alias(f"g{i}"), F.kurtosis(c).alias(f"k{i}")]
-    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"),
-                     X.k_squared(F.col(f"n{i}"), F.col(f"g{i}"), F.col(f"k{i}")).alias("statistic"))
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"g{i}").alias("g1"), F.col(f"k{i}").alias("g2"))
             for i, c in enumerate(columns)]
-    return unfold(df.agg(*aggs), rows).withColumn("p_value", F.exp(-F.col("statistic") / 2))
+    tested = X.with_k_squared(unfold(df.agg(*aggs), rows))
+    return tested.select("feature", "n", "statistic", F.exp(-F.col("statistic") / 2).alias("p_value"))
 
 
 def w_test(df: DataFrame, columns: Sequence[str], limit: int = SHAPIRO_LIMIT) -> DataFrame:
@@ -52,8 +52,8 @@ def w_test(df: DataFrame, columns: Sequence[str], limit: int = SHAPIRO_LIMIT) ->
     # equal values may take their ranks in any order, so copies only need distinct numbers
     copies = values.select("feature", "value", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     n = F.col("n").cast("double")
-    scores = (ranked(copies, ["value", "copy"], by=["feature"]).withColumn("n", F.element_at(size_of, F.col("feature")))
-              .withColumn("m", normal_quantile((F.col("rank") - 0.375) / (n + 0.25))))
+    places = ranked(copies, ["value", "copy"], by=["feature"]).withColumn("n", F.element_at(size_of, F.col("feature")))
+    scores = with_normal_quantile(places, (F.col("rank") - 0.375) / (n + 0.25), "m")
     ends = scores.groupBy("feature").agg(
         F.sum(F.col("m") * F.col("m")).alias("mm"), F.max("m").alias("m1"), F.avg("value").alias("mean"),
         F.max(F.when(F.col("rank") == F.col("n") - 1, F.col("m"))).alias("m2"))
@@ -87,15 +87,14 @@ def distribution_table(df: DataFrame, columns: Sequence[str], alpha: float = 0.0
     """Moments, the test that suits the size, verdict and scaler advice."""
     shape = moments(df, columns)
     small = w_test(df, columns, limit).select("feature", F.col("p_value").alias("w_p"))
-    g1, g2 = F.col("g1"), F.col("g2")
-    table = shape.join(small, "feature", "left")
+    table = X.with_k_squared(shape.join(small, "feature", "left"), "k2")
     big = F.col("n") >= limit
     normal = F.col("p_value") > alpha
     advice = (F.when(normal, "StandardScaler (data is normally distributed)")
               .when(F.abs("skewness") > 1, "RobustScaler or Log Transform (highly skewed)")
               .otherwise("RobustScaler (not normal, use median/IQR)"))
     return (table.withColumn("normality_test", F.when(big, "D'Agostino").otherwise("Shapiro-Wilk"))
-            .withColumn("p_value", F.when(big, F.exp(-X.k_squared(F.col("n"), g1, g2) / 2)).otherwise(F.col("w_p")))
+            .withColumn("p_value", F.when(big, F.exp(-F.col("k2") / 2)).otherwise(F.col("w_p")))
             .withColumn("is_normal", normal).withColumn("recommendation", advice)
             .select("feature", "n", "mean", "median", "std", "skewness", "kurtosis", "normality_test", "p_value",
                     "is_normal", "recommendation"))
@@ -151,7 +150,7 @@ def normal_scores(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     n, i = _lookup(sizes), F.col("rank")
     edge = F.pow(F.lit(0.5), 1 / n)
     median = F.when(i == n, edge).when(i == 1, 1 - edge).otherwise((i - 0.3175) / (n + 0.365))
-    return places.withColumn("theoretical", normal_quantile(median)).select("feature", key, "rank", "value", "theoretical")
+    return with_normal_quantile(places, median, "theoretical").select("feature", key, "rank", "value", "theoretical")
 
 
 def normal_fit(scores: DataFrame) -> DataFrame:

@@ -66,17 +66,18 @@ def running(
     following: dict[str, str] | None = None,
     sample_rows: int = SAMPLE_ROWS,
     rows_per_range: int = ROWS_PER_RANGE,
+    staged: bool = False,
 ) -> DataFrame:
     """Add inclusive running totals ``sums`` (new name -> numeric column) along ``order`` within ``by``.
 
     ``following`` (new name -> column) adds the value of the next row in the order. ``order`` within ``by``
-    must be unique, so that the result does not depend on how ties fall.
+    must be unique, so that the result does not depend on how ties fall. The input is read several times and
+    is therefore staged first, unless the caller has done so.
     """
     following = following or {}
     keys = [*by, *order]
+    df = df if staged else stage(df, "ordered")
     points = cut_points(df, keys, sample_rows, rows_per_range)
-    if points:
-        df = stage(df, "ordered")
     arrange = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     ranged = df.withColumn("_range", range_of(df, keys, points))
     inner = Window.partitionBy(*by, "_range").orderBy(*arrange)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from cohortry.functions import expressions as X
 from cohortry.operators.ordering import ranked
 from cohortry.operators.quantiles import quantile_rows, value_counts
+from cohortry.session import stage
 
 LABEL_ADVICE = ("Standard cross-validation sufficient", "Use stratified sampling + class weights",
                 "Use cost-sensitive learning (scale_pos_weight) + stratified CV")
@@ -163,7 +164,7 @@ def label_codes(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
 
 def factorize(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     """Replace text columns by their codes; NULL becomes -1."""
-    codes = label_codes(df, columns, order)
+    codes = stage(label_codes(df, columns, order), "codes")
     for c in columns:
         lookup = codes.filter(F.col("feature") == c).select(F.col("level").alias(f"_l_{c}"), F.col("code").alias(f"_c_{c}"))
         df = (df.join(lookup, F.col(c).cast("string") == F.col(f"_l_{c}"), "left")

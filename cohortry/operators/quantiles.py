@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.operators.ordering import running
-from cohortry.session import stage
 
 ACCURACY = 10_000
 DRIVER_ROWS = 20_000
@@ -71,7 +70,7 @@ def quantile_rows(
                 upto += n
                 entries[i] = (value, n, upto)
     else:
-        cumulative = running(stage(inside, "bracket"), ["value"], {"upto": "n"}, by=["feature", "j"])
+        cumulative = running(inside, ["value"], {"upto": "n"}, by=["feature", "j"])
         wanted = []
         for (c, j) in brackets:
             position = probs[j] * (sketch[f"n_{columns.index(c)}"] - 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 from cohortry import cohorts
 from cohortry.cohorts import LINE_CATEGORICAL, LINE_NUMERIC
 from cohortry.functions import expressions as X
-from cohortry.operators import contingency, fairness, metrics, missingness, neighbours, normality, profile, rules, splitting
-from cohortry.plans import features
+from cohortry.operators import (boosting, contingency, explain, fairness, metrics, missingness, neighbours, normality, profile,
+                                rules, splitting)
+from cohortry.plans import evaluation, features, reports, scoring, training
+from cohortry.session import shared_dir, stage
+from cohortry.sources import readers
+from cohortry.streaming import scoring as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -256,7 +261,7 @@ def qq_points(c):
 
 @query()
 def qq_fit(c):
-    return rounded(normality.normal_fit(normality.normal_scores(c, LINE_NUMERIC, "rid")), 4)
+    return rounded(normality.normal_fit(normality.normal_scores(c, LINE_NUMERIC, "rid")), 3)
 
 
 @query()
@@ -361,7 +366,7 @@ def impute_quality(c):
 
 @query("doc")
 def feature_matrix(c):
-    split = splitting.stratified_split(c, "rid", "toxic")
+    split = stage(splitting.stratified_split(c, "rid", "toxic"), "split")
     state = features.fit(split.filter(~F.col("is_test")), "rid", ["n_chars", "n_words", "quality"], ["lang"], "quality")
     return rounded(features.apply(state, split, ["is_test"]))
 
@@ -434,3 +439,144 @@ def demographic_parity(c):
 @query()
 def fairness_audit(c):
     return rounded(fairness.audit(c, "outcome", "score", ("rflag", ("A", "R")), "closed", THRESHOLD, limit=0.001))
+
+
+def _direct(fn: Query) -> Query:
+    """Register a function of (spark, folder) under its own name."""
+    CATALOG[fn.__name__] = fn
+    return fn
+
+
+@query()
+def risk_bands(c):
+    return scoring.with_bands(c.select("rid", F.col("score").alias("probability")))
+
+
+@query()
+def score_records(c):
+    """Validate, set aside, and band the fixture score: the part of scoring that needs no model."""
+    valid, rejected = rules.split_rows(c, LINE_FIELDS)
+    good = scoring.with_bands(valid.select("rid", F.col("score").alias("probability")))
+    bad = rejected.select("rid", F.size("errors").cast("long").alias("n_errors"))
+    return good.select("rid", "risk_level", "confidence", F.lit(0).cast("long").alias("n_errors")).unionByName(
+        bad.select("rid", F.lit(None).cast("string").alias("risk_level"), F.lit(None).cast("string").alias("confidence"), "n_errors"))
+
+
+EVENT_FIELDS = (rules.Field("k", "int", low=0, high=90),)
+
+
+@_direct
+def json_records(spark, sf_dir):
+    parsed = readers.parse_json(cohorts.table(spark, sf_dir, "events").select("event_id", "props"), "props", EVENT_FIELDS)
+    marked = rules.annotate(parsed, EVENT_FIELDS)
+    return marked.select("event_id", F.col("k").try_cast("long").alias("k"), F.size("errors").cast("long").alias("n_errors"))
+
+
+@_direct
+def score_stream(spark, sf_dir):
+    """A file stream of events, scored to parquet until all available rows are done, then read back."""
+    schema = cohorts.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+    def bands(df):
+        p = F.least(F.col("value") / 100, F.lit(1.0))
+        parsed = readers.parse_json(df.select("event_id", p.alias("probability"), "props"), "props", EVENT_FIELDS)
+        return scoring.with_bands(rules.annotate(parsed, EVENT_FIELDS)).select(
+            "event_id", "risk_percentage", "risk_level", "alert", "confidence", F.size("errors").cast("long").alias("n_errors"))
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    streaming.score_stream(events, bands, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+LINE_SPEC = training.CohortSpec("rid", "outcome", LINE_NUMERIC, LINE_CATEGORICAL, "rate", rising=("qty", "price"))
+SHORT = boosting.BoostParams(n_trees=5, max_depth=3, learning_rate=0.3, seed=42)
+
+
+@query()
+def boosted_fit(c):
+    t = training.train(c, LINE_SPEC, SHORT)
+    return rounded(t.model.table(c.sparkSession))
+
+
+@query()
+def boosted_score(c):
+    t = training.train(c, LINE_SPEC, SHORT)
+    return rounded(scoring.with_bands(t.scored.filter("is_test").select("rid", "outcome", "probability")))
+
+
+@query()
+def importance(c):
+    t = training.train(c, LINE_SPEC, SHORT)
+    return rounded(boosting.importance(t.model, c.sparkSession))
+
+
+@query()
+def training_record(c):
+    t = training.train(c, LINE_SPEC, SHORT)
+    rows = [(k, float(v)) for k, v in {**t.record["metrics"], "pos_weight": t.record["pos_weight"], "n_rows": t.record["n_rows"]}.items()]
+    return rounded(c.sparkSession.createDataFrame(rows, "name string, value double"))
+
+
+@query()
+def random_search(c):
+    few = {"n_trees": ("int", 2, 4), **{k: v for k, v in training.SEARCH_SPACE.items() if k != "n_trees"}}
+    draws = training.draw_params(2, 42, few)
+    inside = stage(c, "cohort")
+    weighted = SHORT.with_(pos_weight=boosting.positive_weight(inside, "outcome"))
+    return rounded(training.search_summary(training.random_search(inside, LINE_SPEC, weighted, draws, folds=2)))
+
+
+@query()
+def full_evaluation(c):
+    t = training.train(c, LINE_SPEC, SHORT)
+    groups = stage(c.select("rid", "rflag", "closed"), "groups")
+    tables = evaluation.evaluate(t.scored.filter("is_test").join(groups, "rid"), "outcome", 0.5, ("rflag", ("A", "R")), "closed")
+    return rounded(tables["group_rates"])
+
+
+def _phi(c):
+    t = training.train(c, LINE_SPEC, SHORT)
+    return t, stage(explain.shapley(t.model, t.scored, "rid"), "phi")
+
+
+@query()
+def shap_values(c):
+    """Attributions of all rows, with the margin they must add up to."""
+    t, phi = _phi(c)
+    sums = phi.groupBy("rid").agg(F.sum("phi").alias("total"))
+    base = explain.base_value(t.model)
+    logit = F.log(F.col("probability") / (1 - F.col("probability")))
+    return rounded(t.scored.join(sums, "rid").select("rid", (F.col("total") + base).alias("margin"), logit.alias("logit")), 5)
+
+
+@query()
+def shap_global(c):
+    return rounded(explain.global_importance(_phi(c)[1]))
+
+
+@query()
+def shap_dependence(c):
+    return rounded(explain.dependence(_phi(c)[1], "rid", "numerical__rate", "numerical__qty"))
+
+
+@query()
+def shap_reference_level(c):
+    return rounded(explain.reference_effect(_phi(c)[1], "rid", "categorical__segment_"))
+
+
+@query()
+def shap_level_effects(c):
+    return rounded(explain.level_effects(_phi(c)[1], "categorical__segment_"))
+
+
+@query()
+def missingness_report(c):
+    tables = reports.missingness_tables(stage(c, "cohort"), "rate", "segment", "outcome", "BUILDING",
+                                        ["qty", "price", "closed", "urgent", "outcome"], ["segment", "rflag", "ptype"])
+    return rounded(reports.missingness_findings(tables, "rate", "segment", "BUILDING"))
+
+
+@query()
+def profile_report(c):
+    return rounded(reports.profile_findings(reports.profile_tables(c.drop("score"), "outcome", "rid")))

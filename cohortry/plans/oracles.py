@@ -1 +1,403 @@
-ORACLES = {}
+"""Oracle SQL for the registered queries, written independently of the Spark code."""
+
+from __future__ import annotations
+
+from cohortry.cohorts import DOC_SQL, LINE_CATEGORICAL, LINE_NUMERIC, LINE_SQL
+from cohortry.functions import special
+
+LINE = f"WITH c AS ({LINE_SQL})"
+DOC = f"WITH c AS ({DOC_SQL})"
+LINE_FEATURES = LINE_NUMERIC + LINE_CATEGORICAL
+ORACLES: dict[str, str] = {}
+
+
+def union(parts) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+def tall(columns, cast="DOUBLE", keep="", source="c") -> str:
+    return union(f"SELECT {keep} '{c}' AS feature, CAST({c} AS {cast}) AS value FROM {source} WHERE {c} IS NOT NULL" for c in columns)
+
+
+def rounded(columns: str, digits: int = 6) -> str:
+    return ", ".join(f"round({x.strip()}, {digits}) AS {x.strip()}" for x in columns.split(","))
+
+
+ORACLES["prevalence_by_group"] = f"""{LINE}
+SELECT segment, count(*) AS total, CAST(sum(outcome) AS BIGINT) AS positives, count(*) FILTER (outcome = 0) AS negatives,
+       round(100.0 * sum(outcome) / count(*), 6) AS rate_pct
+FROM c GROUP BY segment"""
+
+ORACLES["crosstab_margins"] = f"""{LINE}
+SELECT CASE WHEN grouping(segment) = 1 THEN 'Total' ELSE segment END AS row_level,
+       CASE WHEN grouping(outcome) = 1 THEN 'Total' ELSE CAST(outcome AS VARCHAR) END AS col_level, count(*) AS n
+FROM c GROUP BY CUBE (segment, outcome)"""
+
+ORACLES["crosstab_dense"] = f"""{DOC}, k AS (SELECT * FROM c WHERE quality IS NOT NULL AND source IS NOT NULL)
+SELECT 'source' AS variable, a.source AS row_level, CAST(b.quality AS VARCHAR) AS col_level, count(k.rid) AS n
+FROM (SELECT DISTINCT source FROM k) a CROSS JOIN (SELECT DISTINCT quality FROM k) b
+LEFT JOIN k ON k.source = a.source AND k.quality = b.quality GROUP BY ALL"""
+
+
+def cells(cte: str, variables, col: str) -> str:
+    pairs = union(f"SELECT '{v}' AS variable, CAST({v} AS VARCHAR) AS r, CAST({col} AS VARCHAR) AS k FROM c "
+                  f"WHERE {v} IS NOT NULL AND {col} IS NOT NULL" for v in variables)
+    return f"""{cte}, p AS ({pairs}),
+o AS (SELECT variable, r, k, count(*) AS n FROM p GROUP BY ALL),
+g AS (SELECT a.variable, a.r, b.k FROM (SELECT DISTINCT variable, r FROM p) a JOIN (SELECT DISTINCT variable, k FROM p) b ON a.variable = b.variable),
+d AS (SELECT g.variable, g.r, g.k, coalesce(o.n, 0) AS n FROM g LEFT JOIN o ON g.variable = o.variable AND g.r = o.r AND g.k = o.k),
+e AS (SELECT *, sum(n) OVER (PARTITION BY variable, r) * sum(n) OVER (PARTITION BY variable, k)
+             / sum(n) OVER (PARTITION BY variable) AS expected FROM d),
+s AS (SELECT variable, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT r) AS nr, count(DISTINCT k) AS nk, min(expected) AS min_expected FROM e GROUP BY variable),
+x AS (SELECT e.variable, sum(CASE WHEN nr = 2 AND nk = 2 THEN pow(greatest(abs(e.n - expected) - 0.5, 0), 2)
+                                 ELSE pow(e.n - expected, 2) END / expected) AS chi2
+      FROM e JOIN s ON e.variable = s.variable GROUP BY e.variable)"""
+
+
+LINE_PAIRS = cells(LINE, ["segment", "ptype", "rflag", "closed", "urgent"], "outcome")
+
+ORACLES["expected_freq"] = cells(DOC, ["lang", "source"], "quality") + """
+SELECT variable, r AS row_level, k AS col_level, n, round(expected, 6) AS expected, expected >= 5 AS large_enough FROM e"""
+ORACLES["chi_square"] = LINE_PAIRS + """
+SELECT s.variable, round(chi2, 6) AS chi2, (nr - 1) * (nk - 1) AS dof, n, round(min_expected, 6) AS min_expected
+FROM s JOIN x ON s.variable = x.variable"""
+ORACLES["cramers_v"] = LINE_PAIRS + """
+SELECT s.variable, round(sqrt(chi2 / (n * (least(nr, nk) - 1))), 6) AS cramers_v FROM s JOIN x ON s.variable = x.variable"""
+ORACLES["chi_square_missing"] = cells(
+    DOC.replace("l.quality, l.toxic", "l.quality, l.toxic, CASE WHEN l.quality IS NULL THEN 1 ELSE 0 END AS miss"),
+    ["lang", "source"], "miss") + """
+SELECT s.variable, round(chi2, 6) AS chi2, (nr - 1) * (nk - 1) AS dof, n FROM s JOIN x ON s.variable = x.variable"""
+
+ORACLES["pairwise_chi_square"] = f"""{LINE},
+t AS (SELECT b.segment AS o, count(*) FILTER (c.segment = 'BUILDING' AND outcome = 1) AS a, count(*) FILTER (c.segment = 'BUILDING' AND outcome = 0) AS b,
+      count(*) FILTER (c.segment <> 'BUILDING' AND outcome = 1) AS c, count(*) FILTER (c.segment <> 'BUILDING' AND outcome = 0) AS d
+      FROM c JOIN (SELECT DISTINCT segment FROM c WHERE segment <> 'BUILDING') b ON c.segment IN ('BUILDING', b.segment) GROUP BY b.segment),
+e AS (SELECT *, CAST(a + b + c + d AS DOUBLE) AS n FROM t)
+SELECT 'BUILDING' AS base_level, o AS other_level,
+       round(n * pow(greatest(abs(a * d - b * c) - n / 2, 0), 2) / (CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d)), 6) AS chi2,
+       round(100.0 * a / (a + b), 6) AS base_rate, round(100.0 * c / (c + d), 6) AS other_rate FROM e"""
+
+ORACLES["mutual_information"] = cells(LINE, ["segment", "ptype", "rflag", "closed"], "outcome") + """
+SELECT e.variable, round(sum(CASE WHEN e.n > 0 THEN e.n / s.n * log2(e.n / expected) ELSE 0 END), 9) AS mutual_information
+FROM e JOIN s ON e.variable = s.variable GROUP BY e.variable"""
+
+SUMMARY_COLUMNS = ["rid", "qty", "price", "rate", "closed", "urgent", "rflag", "ptype", "segment", "outcome", "score"]
+_summary = ["SELECT 'shape' AS section, 'rows' AS name, CAST(count(*) AS DOUBLE) AS value FROM c",
+            f"SELECT 'shape', 'columns', CAST({len(SUMMARY_COLUMNS)} AS DOUBLE)"]
+_summary += [f"SELECT 'missing', '{x}', CAST(count(*) - count({x}) AS DOUBLE) FROM c" for x in SUMMARY_COLUMNS]
+_summary += [f"SELECT 'label', '{v}', CAST(count(*) FILTER (outcome = {v}) AS DOUBLE) FROM c" for v in (0, 1)]
+for _x in ("qty", "price", "rate"):
+    _summary += [f"SELECT '{s}', '{_x}', round({f}, 4) FROM c" for s, f in
+                 (("min", f"min({_x})"), ("max", f"max({_x})"), ("mean", f"avg({_x})"), ("median", f"quantile_cont({_x}, 0.5)"))]
+_summary += ["SELECT 'outliers', 'price', CAST(count(*) FILTER (price > 100000) AS DOUBLE) FROM c"]
+ORACLES["table_summary"] = LINE + union(_summary)
+
+ORACLES["level_counts"] = f"{LINE}, t AS ({tall(['rflag', 'ptype', 'segment'], 'VARCHAR')}) SELECT feature, value AS level, count(*) AS n FROM t GROUP BY ALL"
+
+_types = {"qty": "double", "price": "double", "rate": "double", "rflag": "string", "closed": "int", "urgent": "int", "ptype": "string", "segment": "string"}
+ORACLES["missing_profile"] = f"""{LINE}, m AS ({union(
+    f"SELECT '{x}' AS feature, count(*) - count({x}) AS missing_count, 100.0 * (count(*) - count({x})) / count(*) AS pct, '{_types[x]}' AS data_type FROM c"
+    for x in LINE_FEATURES)})
+SELECT feature, missing_count, round(pct, 6) AS missing_pct, data_type,
+       CASE WHEN pct < 5 THEN 'KNN Imputation (preserves relationships)' WHEN pct < 20 THEN 'KNN Imputation or Multiple Imputation'
+            ELSE 'Consider dropping or separate ''Unknown'' category' END AS advice
+FROM m WHERE missing_count > 0"""
+
+ORACLES["cardinality_profile"] = f"""{LINE}, m AS ({union(
+    f"SELECT '{x}' AS feature, count(DISTINCT {x}) AS u, count(*) AS total, {str(_types[x] != 'string').lower()} AS num FROM c"
+    for x in LINE_FEATURES)})
+SELECT feature, u AS unique_values, total AS total_samples, round(u / total, 9) AS ratio,
+       CASE WHEN num AND u = 2 THEN 'Binary' WHEN num AND u < 10 THEN 'Discrete' WHEN num THEN 'Continuous'
+            WHEN u < 10 THEN 'Categorical (Low)' WHEN u < 50 THEN 'Categorical (Medium)' ELSE 'Categorical (High)' END AS feature_type,
+       CASE WHEN NOT num THEN 'Categorical' WHEN u = 2 THEN 'Binary' WHEN u < 10 THEN 'Discrete' ELSE 'Continuous' END AS family,
+       CASE WHEN num AND u = 2 THEN 'None (already 0/1)' WHEN num AND u < 10 THEN 'None (keep as numeric)'
+            WHEN num THEN 'None (RobustScaler for normalization)' WHEN u <= 10 THEN 'One-Hot Encoding (drop=''first'')'
+            ELSE 'Target/Frequency Encoding' END AS encoding,
+       u / total < 0.01 AS low_cardinality FROM m"""
+
+ORACLES["top3_values"] = f"""{LINE}, t AS ({union(
+    f"SELECT '{x}' AS feature, CAST({x} AS VARCHAR) AS value, count(*) AS n FROM c WHERE {x} IS NOT NULL GROUP BY {x}" for x in LINE_FEATURES)})
+SELECT feature, value, n, position FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS position FROM t)
+WHERE position <= 3"""
+
+ORACLES["class_balance"] = f"""{LINE}, m AS (SELECT count(*) FILTER (outcome = 0) AS neg, count(*) FILTER (outcome = 1) AS pos FROM c)
+SELECT neg AS n_negative, pos AS n_positive, round(neg / pos, 6) AS imbalance_ratio, round(100.0 * pos / (neg + pos), 6) AS minority_pct,
+       CASE WHEN neg / pos < 3 THEN 'Mild' WHEN neg / pos < 10 THEN 'Moderate' ELSE 'Severe' END AS severity,
+       CASE WHEN neg / pos < 3 THEN 'Standard cross-validation sufficient' WHEN neg / pos < 10 THEN 'Use stratified sampling + class weights'
+            ELSE 'Use cost-sensitive learning (scale_pos_weight) + stratified CV' END AS recommendation FROM m"""
+
+ORACLES["moments"] = LINE + union(
+    f"SELECT '{x}' AS feature, count({x}) AS n, round(avg({x}), 6) AS mean, round(quantile_cont({x}, 0.5), 6) AS median, "
+    f"round(stddev_samp({x}), 6) AS std, round(skewness({x}), 6) AS skewness, round(kurtosis({x}), 6) AS kurtosis FROM c" for x in LINE_NUMERIC)
+
+CODES = f"""t AS ({union(f"SELECT '{x}' AS feature, {x} AS level, min(rid) AS first_seen FROM c GROUP BY {x}" for x in ('rflag', 'ptype', 'segment'))}),
+k AS (SELECT feature, level, row_number() OVER (PARTITION BY feature ORDER BY first_seen) - 1 AS code FROM t)"""
+ORACLES["label_codes"] = f"{LINE}, {CODES} SELECT feature, level, code FROM k"
+
+CODED = f"""{LINE}, {CODES}, f AS (SELECT qty, price, rate, kr.code AS rflag, closed, urgent, kp.code AS ptype, ks.code AS segment, outcome
+FROM c JOIN k kr ON kr.feature = 'rflag' AND kr.level = c.rflag JOIN k kp ON kp.feature = 'ptype' AND kp.level = c.ptype
+JOIN k ks ON ks.feature = 'segment' AND ks.level = c.segment)"""
+_all = [*LINE_FEATURES, "outcome"]
+ORACLES["corr_matrix"] = CODED + union(
+    f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, round(corr({a}, {b}), 6) AS r FROM f" for a in _all for b in _all)
+ORACLES["target_corr"] = f"""{CODED}, m AS ({union(f"SELECT '{a}' AS feature, corr({a}, outcome) AS r FROM f" for a in LINE_FEATURES)})
+SELECT feature, round(r, 6) AS r, CASE WHEN abs(r) > 0.5 THEN 'Strong' WHEN abs(r) > 0.3 THEN 'Moderate' ELSE 'Weak' END AS strength,
+       CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction FROM m"""
+_nums = [*LINE_NUMERIC, "closed", "urgent", "outcome", "score"]
+ORACLES["high_corr_pairs"] = f"""{LINE}, m AS ({union(
+    f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, corr({a}, {b}) AS r FROM c" for i, a in enumerate(_nums) for b in _nums[i + 1:])})
+SELECT feature_1, feature_2, round(r, 6) AS r FROM m WHERE abs(r) > 0.8"""
+
+_docs = ["n_chars", "n_words", "quality", "toxic"]
+ORACLES["cov_means"] = DOC + union(
+    [f"SELECT 'mean' AS kind, '{a}' AS feature_1, CAST(NULL AS VARCHAR) AS feature_2, round(avg({a}), 4) AS value FROM c" for a in _docs]
+    + [f"SELECT 'covariance', '{a}', '{b}', round(covar_samp({a}, {b}), 4) FROM c" for a in _docs for b in _docs])
+ORACLES["missing_patterns"] = f"""{DOC} SELECT {' || '.join(f"CASE WHEN {a} IS NULL THEN '1' ELSE '0' END" for a in _docs)} AS pattern, count(*) AS n
+FROM c GROUP BY ALL"""
+ORACLES["group_means"] = f"""{LINE} SELECT CAST(rate IS NULL AS BIGINT) AS level, count(*) AS n, round(avg(qty), 6) AS mean_qty,
+round(avg(price), 6) AS mean_price, round(avg(outcome), 6) AS mean_outcome FROM c GROUP BY ALL"""
+
+_tested = ["qty", "price", "closed", "urgent", "outcome"]
+ORACLES["point_biserial"] = f"""{LINE}, m AS ({union(
+    f"SELECT '{x}' AS feature, corr(CASE WHEN rate IS NULL THEN 1.0 ELSE 0.0 END, {x}) AS r, count({x}) AS n FROM c" for x in _tested)})
+SELECT feature, round(r, 6) AS r, n, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t FROM m"""
+ORACLES["t_test_missing"] = f"""{LINE}, m AS ({union(
+    f"SELECT '{x}' AS feature, count({x}) FILTER (rate IS NULL) AS na, count({x}) FILTER (rate IS NOT NULL) AS nb, "
+    f"avg({x}) FILTER (rate IS NULL) AS ma, avg({x}) FILTER (rate IS NOT NULL) AS mb, "
+    f"var_samp({x}) FILTER (rate IS NULL) AS va, var_samp({x}) FILTER (rate IS NOT NULL) AS vb FROM c" for x in _tested)})
+SELECT feature, na AS n_missing, nb AS n_present, round(ma, 6) AS mean_when_missing, round(mb, 6) AS mean_when_present,
+       round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)), 6) AS t, na + nb - 2 AS dof FROM m"""
+ORACLES["missing_share"] = f"{LINE} SELECT count(*) - count(rate) AS missing_count, round(100.0 * (count(*) - count(rate)) / count(*), 6) AS missing_pct FROM c"
+
+ORACLES["mean_impute_contrast"] = f"""{LINE}, f AS (SELECT rate, coalesce(rate, avg(rate) OVER ()) AS filled, qty FROM c)
+SELECT 'before' AS stage, round(avg(rate), 6) AS mean, round(stddev_samp(rate), 6) AS std, round(corr(rate, qty), 6) AS corr FROM f
+UNION ALL SELECT 'after', round(avg(filled), 6), round(stddev_samp(filled), 6), round(corr(filled, qty), 6) FROM f"""
+
+ORACLES["dagostino"] = f"""{LINE}, m AS ({union(
+    f"SELECT '{x}' AS feature, count({x}) AS c, CAST(count({x}) AS DOUBLE) AS n, skewness({x}) AS sk, kurtosis({x}) AS ku FROM c" for x in LINE_NUMERIC)}),
+p AS (SELECT feature, c, n, sk * (n - 2) / sqrt(n * (n - 1)) AS g1, (ku * (n - 2) * (n - 3) / (n - 1) - 6) / (n + 1) AS g2 FROM m),
+a AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y,
+      3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS b,
+      (g2 + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+      6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS s FROM p),
+b AS (SELECT *, -1 + sqrt(2 * (b - 1)) AS w2, 6 + 8 / s * (2 / s + sqrt(1 + 4 / (s * s))) AS k FROM a),
+d AS (SELECT *, y / sqrt(2 / (w2 - 1)) AS q, 1 + x * sqrt(2 / (k - 4)) AS dd FROM b),
+z AS (SELECT feature, c, ln(q + sqrt(q * q + 1)) / sqrt(0.5 * ln(w2)) AS zs,
+      (1 - 2 / (9 * k) - sign(dd) * pow((1 - 2 / k) / abs(dd), 1.0 / 3)) / sqrt(2 / (9 * k)) AS zk FROM d)
+SELECT feature, c AS n, round(zs * zs + zk * zk, 6) AS statistic, round(exp(-(zs * zs + zk * zk) / 2), 12) AS p_value FROM z"""
+
+
+def horner(x: str, coefficients) -> str:
+    out = f"CAST({coefficients[-1]!r} AS DOUBLE)"
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + CAST({c!r} AS DOUBLE))"
+    return out
+
+
+def quantile_steps(source: str, p: str, name: str, out: str) -> str:
+    """CTEs that add the normal quantile of ``p`` to ``source`` as column ``name`` of ``out``."""
+    def ratio(x, kind):
+        return f"{horner(x, getattr(special, kind + '_NUM'))} / {horner(x, getattr(special, kind + '_DEN'))}"
+    return f"""{out}_1 AS (SELECT *, {p} AS pp FROM {source}),
+{out}_2 AS (SELECT *, pp - 0.5 AS pq, sqrt(-ln(least(pp, 1 - pp))) AS pr FROM {out}_1),
+{out} AS (SELECT *, CASE WHEN abs(pq) <= 0.425 THEN pq * {ratio('(0.180625 - pq * pq)', 'CENTRE')}
+      ELSE sign(pq) * CASE WHEN pr <= 5 THEN {ratio('(pr - 1.6)', 'MIDDLE')} ELSE {ratio('(pr - 5)', 'TAIL')} END END AS {name} FROM {out}_2)"""
+
+
+ORACLES["shapiro"] = f"""{DOC}, t AS ({tall(['n_chars', 'n_words', 'quality'])}),
+r AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) AS i, count(*) OVER (PARTITION BY feature) AS n FROM t),
+{quantile_steps('r', '(i - 0.375) / (n + 0.25)', 'm', 's')},
+e AS (SELECT feature, n, sum(m * m) AS mm, max(m) FILTER (i = n) AS m1, max(m) FILTER (i = n - 1) AS m2, 1 / sqrt(n) AS u FROM s GROUP BY feature, n),
+w AS (SELECT *, m1 / sqrt(mm) + 0.221157 * u - 0.147981 * pow(u, 2) - 2.071190 * pow(u, 3) + 4.434685 * pow(u, 4) - 2.706056 * pow(u, 5) AS a1,
+      m2 / sqrt(mm) + 0.042981 * u - 0.293762 * pow(u, 2) - 1.752461 * pow(u, 3) + 5.682633 * pow(u, 4) - 3.582633 * pow(u, 5) AS a2 FROM e),
+x AS (SELECT *, (mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) AS phi FROM w),
+y AS (SELECT s.feature, s.n, value, CASE WHEN i = 1 THEN -a1 WHEN i = s.n THEN a1 WHEN i = 2 THEN -a2 WHEN i = s.n - 1 THEN a2 ELSE m / sqrt(phi) END AS a
+      FROM s JOIN x ON s.feature = x.feature)
+SELECT feature, n, round(pow(sum(a * value), 2) / (var_pop(value) * n), 6) AS statistic FROM y WHERE n < 5000 GROUP BY feature, n"""
+
+_edge = "pow(CAST(0.5 AS DOUBLE), CAST(1 AS DOUBLE) / n)"
+QQ = f"""r AS (SELECT feature, rid, value, row_number() OVER (PARTITION BY feature ORDER BY value, rid) AS rank, count(*) OVER (PARTITION BY feature) AS n FROM t),
+{quantile_steps('r', f'CASE WHEN rank = n THEN {_edge} WHEN rank = 1 THEN 1 - {_edge} ELSE (rank - 0.3175) / (n + 0.365) END', 'theoretical', 's')}"""
+ORACLES["qq_points"] = f"""{DOC}, t AS ({tall(['n_chars', 'n_words'], keep='rid,')}), {QQ}
+SELECT feature, rid, rank, round(value, 6) AS value, round(theoretical, 6) AS theoretical FROM s"""
+ORACLES["qq_fit"] = f"""{LINE}, t AS ({tall(LINE_NUMERIC, keep='rid,')}), {QQ}
+SELECT feature, count(*) AS n, round(regr_slope(value, theoretical), 3) AS slope, round(regr_intercept(value, theoretical), 3) AS intercept,
+       round(corr(theoretical, value), 3) AS r FROM s GROUP BY feature"""
+
+ORACLES["histogram"] = f"""{LINE}, t AS ({tall(LINE_NUMERIC)}),
+m AS (SELECT feature, min(value) AS lo, (max(value) - min(value)) / 50 AS w, count(*) AS total FROM t GROUP BY feature),
+b AS (SELECT t.feature, CAST(least(floor((value - lo) / w), 49) AS BIGINT) AS bin, count(*) AS n FROM t JOIN m ON t.feature = m.feature GROUP BY ALL)
+SELECT b.feature, bin, round(lo + bin * w, 9) AS lower, n, round(n / total / w, 9) AS density FROM b JOIN m ON b.feature = m.feature"""
+ORACLES["kde"] = f"""{DOC}, t AS ({tall(['n_chars', 'n_words'])}),
+m AS (SELECT feature, min(value) AS lo, (max(value) - min(value)) / 99 AS step, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h FROM t GROUP BY feature),
+g AS (SELECT m.*, p AS point, lo + p * step AS x FROM m CROSS JOIN range(100) r(p))
+SELECT g.feature, point, round(x, 6) AS x, round(sum(exp(-pow((x - value) / h, 2) / 2)) / (n * h * sqrt(2 * pi())), 12) AS density
+FROM g JOIN t ON g.feature = t.feature GROUP BY g.feature, point, x, n, h"""
+
+ORACLES["pearson_ci"] = f"""{LINE}, m AS ({union(
+    f"SELECT '{x}' AS feature, count({x}) AS n, corr({x}, outcome) AS r FROM c" for x in ['qty', 'price', 'rate', 'closed', 'urgent'])})
+SELECT feature, n, round(r, 6) AS r, round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 6) AS lower,
+       round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 6) AS upper, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t FROM m"""
+ORACLES["iqr_outliers"] = f"""{LINE}, t AS ({tall(LINE_NUMERIC)}),
+m AS (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM t GROUP BY feature)
+SELECT t.feature, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 + 1.5 * (q3 - q1), 6) AS fence,
+       count(*) FILTER (value > q3 + 1.5 * (q3 - q1)) AS n_outliers,
+       round(100.0 * count(*) FILTER (value > q3 + 1.5 * (q3 - q1)) / count(*), 6) AS outlier_pct
+FROM t JOIN m ON t.feature = m.feature GROUP BY t.feature, q1, q3"""
+
+# name of the check, severity, failing condition
+LINE_RULES = [
+    ("qty", "type double", "error", "false"), ("qty", "not null", "error", "qty IS NULL"), ("qty", "greater than 0", "error", "qty <= 0"),
+    ("qty", "between 1 and 48", "error", "qty < 1 OR qty > 48"),
+    ("price", "type double", "error", "false"), ("price", "not null", "error", "price IS NULL"), ("price", "greater than 0", "error", "price <= 0"),
+    ("price", "greater than 100000 is an outlier", "warn", "price > 100000"),
+    ("rate", "type double", "error", "false"), ("rate", "greater than 0", "error", "rate <= 0"),
+    ("closed", "type int", "error", "false"), ("closed", "not null", "error", "closed IS NULL"), ("closed", "allowed values", "error", "closed NOT IN (0, 1)"),
+    ("urgent", "type int", "error", "false"), ("urgent", "not null", "error", "urgent IS NULL"), ("urgent", "allowed values", "error", "urgent NOT IN (0, 1)"),
+    ("rflag", "type string", "error", "false"), ("rflag", "not null", "error", "rflag IS NULL"), ("rflag", "allowed values", "error", "rflag NOT IN ('A', 'N')"),
+    ("ptype", "type string", "error", "false"), ("ptype", "not null", "error", "ptype IS NULL"),
+    ("segment", "type string", "error", "false"), ("segment", "not null", "error", "segment IS NULL"),
+    ("segment", "allowed values", "error", "segment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')"),
+    ("outcome", "type int", "error", "false"), ("outcome", "not null", "error", "outcome IS NULL"), ("outcome", "allowed values", "error", "outcome NOT IN (0, 1)"),
+]
+ORACLES["validate_report"] = LINE + union(
+    [f"SELECT '{c}' AS column_name, '{k}' AS check_name, '{s}' AS severity, count(*) FILTER ({cond}) AS n_failed FROM c" for c, k, s, cond in LINE_RULES]
+    + ["SELECT 'rflag', 'must contain R', 'error', CAST(count(*) FILTER (rflag = 'R') = 0 AS BIGINT) FROM c"])
+ORACLES["failing_values"] = LINE + union(
+    f"SELECT rid, '{c}' AS column_name, '{k}' AS check_name, '{s}' AS severity FROM c WHERE {cond}" for c, k, s, cond in LINE_RULES if cond != "false")
+ORACLES["validate_rows"] = f"""{LINE}, e AS (SELECT rid, list_filter([{', '.join(
+    f"CASE WHEN {cond} THEN '{c}: {k}' END" for c, k, s, cond in LINE_RULES if s == 'error')}], lambda x: x IS NOT NULL) AS l FROM c)
+SELECT rid, len(l) AS n_errors, array_to_string(l, '; ') AS errors FROM e"""
+ORACLES["outlier_warning"] = f"{LINE} SELECT 'price' AS column_name, count(*) AS n_outliers FROM c WHERE price > 100000"
+ORACLES["rare_merge"] = f"""{LINE} SELECT CASE WHEN rid = (SELECT min(rid) FROM c) THEN 'N' ELSE rflag END AS rflag, count(*) AS n FROM c GROUP BY 1"""
+
+PLACED = "row_number() OVER (PARTITION BY outcome ORDER BY md5(rid || '|42'), rid)"
+ORACLES["stratified_split"] = f"""{LINE} SELECT rid, outcome, {PLACED} <= round(0.2 * count(*) OVER (PARTITION BY outcome)) AS is_test FROM c"""
+ORACLES["stratified_folds"] = f"{LINE} SELECT rid, outcome, ({PLACED} - 1) % 5 AS fold FROM c"
+ORACLES["hash_sample"] = f"{LINE} SELECT rid, qty, price FROM c ORDER BY md5(rid || '|42'), rid LIMIT 500"
+
+ORACLES["robust_scale"] = f"""{LINE}, m AS (SELECT {', '.join(
+    f"quantile_cont({x}, 0.5) AS m_{x}, quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25) AS s_{x}" for x in LINE_NUMERIC)} FROM c)
+SELECT rid, {', '.join(f'round(({x} - m_{x}) / s_{x}, 6) AS numerical__{x}' for x in LINE_NUMERIC)} FROM c CROSS JOIN m"""
+_levels = {"rflag": ["N", "R"], "closed": ["1"], "urgent": ["1"], "ptype": ["LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"],
+           "segment": ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]}
+ORACLES["one_hot"] = f"""{LINE} SELECT rid, {', '.join(
+    f'CAST(CAST({x} AS VARCHAR) = {v!r} AS DOUBLE) AS "categorical__{x}_{v}"' for x in LINE_CATEGORICAL for v in _levels[x])} FROM c"""
+ORACLES["missing_indicator"] = f"{LINE} SELECT rid, rate, CAST(rate IS NULL AS BIGINT) AS rate_missing FROM c"
+
+
+def scaled_docs(cte: str) -> str:
+    return f"""{cte}, m AS (SELECT quantile_cont(n_chars, 0.5) AS mc, quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25) AS sc,
+      quantile_cont(n_words, 0.5) AS mw, quantile_cont(n_words, 0.75) - quantile_cont(n_words, 0.25) AS sw FROM c),
+s AS (SELECT rid, (n_chars - mc) / sc AS x, (n_words - mw) / sw AS w, CAST(quality AS DOUBLE) AS quality FROM c CROSS JOIN m)"""
+
+
+def neighbour_steps(receivers: str, donors: str, value: str = "quality", x: str = "x", w: str = "w", k: int = 10) -> str:
+    return f"""p AS (SELECT r.rid, d.{value} AS v, pow(r.{x} - d.{x}, 2) + pow(r.{w} - d.{w}, 2) AS d2, d.rid AS did FROM {receivers} r CROSS JOIN {donors} d),
+q AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d2, did) AS k FROM p QUALIFY k <= {k})"""
+
+
+ORACLES["knn_impute"] = f"""{scaled_docs(DOC)}, r AS (SELECT * FROM s WHERE quality IS NULL), d AS (SELECT * FROM s WHERE quality IS NOT NULL),
+{neighbour_steps('r', 'd')}, f AS (SELECT rid, sum(v / sqrt(d2 + 1)) / sum(1 / sqrt(d2 + 1)) AS fill FROM q GROUP BY rid)
+SELECT s.rid, round(x, 6) AS x, round(w, 6) AS w, round(coalesce(quality, fill), 6) AS quality FROM s LEFT JOIN f ON s.rid = f.rid"""
+ORACLES["impute_quality"] = f"""{scaled_docs(DOC)},
+h AS (SELECT *, CAST('0x' || substr(md5(rid || '|42'), 1, 8) AS BIGINT) < 0.1 * 4294967296 AS hid FROM s WHERE quality IS NOT NULL),
+r AS (SELECT * FROM h WHERE hid), d AS (SELECT * FROM h WHERE NOT hid),
+{neighbour_steps('r', 'd')},
+g AS (SELECT kk, q.rid, sum(v / sqrt(d2 + 1)) / sum(1 / sqrt(d2 + 1)) AS guess FROM q JOIN (VALUES (1), (3), (5), (7), (10)) t(kk) ON q.k <= kk GROUP BY kk, q.rid)
+SELECT CAST(kk AS BIGINT) AS k, count(*) AS n, round(sqrt(avg(pow(quality - guess, 2))), 6) AS rmse, round(avg(abs(quality - guess)), 6) AS mae,
+       round(1 - sum(pow(quality - guess, 2)) / (var_pop(quality) * count(*)), 6) AS r2
+FROM g JOIN r ON g.rid = r.rid GROUP BY kk"""
+ORACLES["feature_matrix"] = f"""{DOC},
+b AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5(rid || '|42'), rid) <= round(0.2 * count(*) OVER (PARTITION BY toxic)) AS is_test,
+      CAST(quality IS NULL AS INTEGER) AS miss FROM c),
+m AS (SELECT {', '.join(f"quantile_cont({a}, 0.5) AS m_{a}, quantile_cont({a}, 0.75) - quantile_cont({a}, 0.25) AS s_{a}" for a in ('n_chars', 'n_words', 'quality', 'miss'))}
+      FROM b WHERE NOT is_test),
+s AS (SELECT rid, is_test, lang, {', '.join(f"({a} - m_{a}) / CASE WHEN s_{a} = 0 THEN 1 ELSE s_{a} END AS {a}" for a in ('n_chars', 'n_words', 'quality', 'miss'))},
+      pow(CASE WHEN s_miss = 0 THEN 1 ELSE s_miss END, -2) AS gap FROM b CROSS JOIN m),
+r AS (SELECT * FROM s WHERE quality IS NULL), d AS (SELECT * FROM s WHERE quality IS NOT NULL AND NOT is_test),
+{neighbour_steps('r', 'd', x='n_chars', w='n_words')},
+f AS (SELECT q.rid, sum(v / sqrt(d2 + gap)) / sum(1 / sqrt(d2 + gap)) AS fill FROM q JOIN r ON q.rid = r.rid GROUP BY q.rid)
+SELECT s.rid, is_test, round(n_chars, 6) AS numerical__n_chars, round(n_words, 6) AS numerical__n_words,
+       round(coalesce(quality, fill), 6) AS numerical__quality, round(miss, 6) AS numerical__quality_missing,
+       {', '.join(f'CAST(lang = {v!r} AS DOUBLE) AS categorical__lang_{v}' for v in ('en', 'es', 'fr'))} FROM s LEFT JOIN f ON s.rid = f.rid"""
+ORACLES["missing_cells"] = f"{LINE} SELECT {' + '.join(f'count(*) - count({x})' for x in LINE_NUMERIC)} AS n_missing FROM c"
+
+_confused = "count(*) FILTER (outcome = 0 AND score < 0.8) AS tn, count(*) FILTER (outcome = 0 AND score >= 0.8) AS fp, " \
+            "count(*) FILTER (outcome = 1 AND score < 0.8) AS fn, count(*) FILTER (outcome = 1 AND score >= 0.8) AS tp"
+ORACLES["confusion"] = f"{LINE} SELECT {_confused} FROM c"
+ORACLES["clinical_metrics"] = f"""{LINE}, m AS (SELECT {_confused} FROM c)
+SELECT tn, fp, fn, tp, round(tp / (tp + fn), 6) AS sensitivity, round(tn / (tn + fp), 6) AS specificity,
+       round(tp / (tp + fp), 6) AS ppv, round(tn / (tn + fn), 6) AS npv FROM m"""
+ORACLES["class_report"] = f"""{LINE}, m AS (SELECT {_confused} FROM c),
+k AS (SELECT 'negative' AS class_name, tn / (tn + fn) AS p, tn / (tn + fp) AS r, tn + fp AS s FROM m
+      UNION ALL SELECT 'positive', tp / (tp + fp), tp / (tp + fn), tp + fn FROM m),
+f AS (SELECT *, 2 * p * r / (p + r) AS f FROM k)
+SELECT class_name, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1_score, s AS support FROM f
+UNION ALL SELECT 'accuracy', round((tn + tp) / (tn + fp + fn + tp), 6), round((tn + tp) / (tn + fp + fn + tp), 6), round((tn + tp) / (tn + fp + fn + tp), 6), tn + fp + fn + tp FROM m
+UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(sum(s) AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', round(sum(p * s) / sum(s), 6), round(sum(r * s) / sum(s), 6), round(sum(f * s) / sum(s), 6), CAST(sum(s) AS BIGINT) FROM f"""
+ORACLES["threshold_table"] = LINE + union(
+    f"SELECT CAST({t} AS DOUBLE) AS threshold, round(count(*) FILTER (score >= {t} AND outcome = 1) / count(*) FILTER (outcome = 1), 6) AS recall, "
+    f"round(count(*) FILTER (score >= {t} AND outcome = 1) / count(*) FILTER (score >= {t}), 6) AS precision, "
+    f"count(*) FILTER (score >= {t}) AS n_selected FROM c" for t in (0.3, 0.5, 0.7))
+
+STEPS = f"""{LINE}, h AS (SELECT score, count(*) FILTER (outcome = 1) AS pos, count(*) FILTER (outcome = 0) AS neg FROM c GROUP BY score),
+u AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, lead(pos) OVER (ORDER BY score DESC) AS np, lead(neg) OVER (ORDER BY score DESC) AS nn,
+      row_number() OVER (ORDER BY score DESC) AS i, sum(pos) OVER () AS allp, sum(neg) OVER () AS alln
+      FROM h WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"""
+ORACLES["roc_curve"] = f"""{STEPS}
+SELECT CAST('Infinity' AS DOUBLE) AS threshold, CAST(0 AS DOUBLE) AS fpr, CAST(0 AS DOUBLE) AS tpr
+UNION ALL SELECT score, round(fp / alln, 6), round(tp / allp, 6) FROM u WHERE i = 1 OR np IS NULL OR NOT (pos = np AND neg = nn)"""
+ORACLES["roc_auc"] = f"""{STEPS}, l AS (SELECT *, lag(tp, 1, 0) OVER (ORDER BY i) AS tp0, lag(fp, 1, 0) OVER (ORDER BY i) AS fp0 FROM u)
+SELECT round(sum((fp - fp0) / alln * (tp + tp0) / allp / 2), 6) AS roc_auc, round(max(allp) / (max(allp) + max(alln)), 6) AS positive_rate FROM l"""
+ORACLES["pr_curve"] = f"""{STEPS}
+SELECT round(score, 6) AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / allp, 6) AS recall FROM u UNION ALL SELECT NULL, 1.0, 0.0"""
+ORACLES["avg_precision"] = f"""{STEPS}, l AS (SELECT *, lag(tp, 1, 0) OVER (ORDER BY i) AS tp0 FROM u)
+SELECT round(sum((tp - tp0) / allp * tp / (tp + fp)), 6) AS average_precision FROM l"""
+_points = [f"(SELECT 'threshold' AS kind, CAST({t} AS DOUBLE) AS target, score, tp, fp, allp FROM u ORDER BY abs(score - {t}), score LIMIT 1)" for t in (0.1, 0.3, 0.5, 0.7)]
+_points.append("(SELECT 'recall', CAST(0.8 AS DOUBLE), score, tp, fp, allp FROM u ORDER BY abs(tp / allp - 0.8), score LIMIT 1)")
+ORACLES["operating_points"] = f"""{STEPS}, o AS ({union(_points)})
+SELECT kind, target, score AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / allp, 6) AS recall FROM o"""
+
+
+def rates(columns) -> str:
+    pairs = union(f"SELECT '{x}' AS attribute, CAST({x} AS VARCHAR) AS group_value, outcome, score FROM c" for x in columns)
+    return f"""{LINE}, p AS ({pairs}),
+g AS (SELECT attribute, group_value, count(*) AS support, count(*) FILTER (outcome = 1) AS positives,
+      count(*) FILTER (outcome = 1 AND score >= 0.8) / count(*) FILTER (outcome = 1) AS tpr,
+      count(*) FILTER (outcome = 0 AND score >= 0.8) / count(*) FILTER (outcome = 0) AS fpr,
+      count(*) FILTER (score >= 0.8) / count(*) AS selection_rate FROM p GROUP BY ALL)"""
+
+
+ORACLES["group_rates"] = rates(["rflag", "closed", "segment"]) + f"""
+SELECT attribute, group_value, support, positives, {rounded('tpr, fpr, selection_rate')} FROM g"""
+ORACLES["equalized_odds"] = rates(["closed"]) + """
+SELECT attribute, count(*) AS n_groups, round(max(tpr) - min(tpr), 6) AS tpr_disparity, round(min(tpr) / max(tpr), 6) AS tpr_ratio,
+       round(max(fpr) - min(fpr), 6) AS fpr_disparity FROM g GROUP BY attribute"""
+ORACLES["demographic_parity"] = rates(["urgent"]) + """
+SELECT attribute, count(*) AS n_groups, round(max(selection_rate) - min(selection_rate), 6) AS disparity,
+       round(min(selection_rate) / max(selection_rate), 6) AS ratio FROM g GROUP BY attribute"""
+ORACLES["fairness_audit"] = rates(["rflag", "closed"]) + """,
+a AS (SELECT 'rflag' AS attribute, 'equalized_odds' AS metric, max(tpr) - min(tpr) AS d, min(tpr) / max(tpr) AS r FROM g WHERE attribute = 'rflag' AND group_value IN ('A', 'R')
+      UNION ALL SELECT 'closed', 'demographic_parity', max(selection_rate) - min(selection_rate), min(selection_rate) / max(selection_rate) FROM g WHERE attribute = 'closed')
+SELECT attribute, metric, round(d, 6) AS disparity, round(r, 6) AS ratio,
+       CASE WHEN d > 0.001 THEN attribute || ': ' || metric || ' disparity exceeds the limit' END AS warning FROM a"""
+
+
+def bands(p: str) -> str:
+    return f"""CASE WHEN {p} < 0.2 THEN 'LOW' WHEN {p} < 0.5 THEN 'MODERATE' WHEN {p} < 0.8 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_level,
+       CASE WHEN abs({p} - 0.5) > 0.4 THEN 'High' WHEN abs({p} - 0.5) > 0.2 THEN 'Moderate' ELSE 'Low' END AS confidence"""
+
+
+ALERT = "'CRITICAL ALERT: Patient has extremely high stroke risk (>80%). Immediate clinical evaluation recommended.'"
+ORACLES["risk_bands"] = f"""{LINE} SELECT rid, score AS probability, printf('%.1f%%', score * 100) AS risk_percentage, {bands('score')},
+       CASE WHEN score >= 0.8 THEN {ALERT} END AS alert FROM c"""
+_errors = " + ".join(f"CASE WHEN {cond} THEN 1 ELSE 0 END" for _, _, s, cond in LINE_RULES if s == "error")
+ORACLES["score_records"] = f"""{LINE}, e AS (SELECT rid, score, CAST({_errors} AS BIGINT) AS n_errors FROM c), b AS (SELECT *, {bands('score')} FROM e)
+SELECT rid, CASE WHEN n_errors = 0 THEN risk_level END AS risk_level, CASE WHEN n_errors = 0 THEN confidence END AS confidence, n_errors FROM b"""
+_k = "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
+_bad = f"CASE WHEN {_k} BETWEEN 0 AND 90 THEN 0 ELSE 1 END"
+ORACLES["json_records"] = f"SELECT event_id, {_k} AS k, CAST({_bad} AS BIGINT) AS n_errors FROM events"
+ORACLES["score_stream"] = f"""WITH e AS (SELECT event_id, least(value / 100, 1.0) AS p, CAST({_bad} AS BIGINT) AS n_errors FROM events)
+SELECT event_id, printf('%.1f%%', p * 100) AS risk_percentage, {bands('p')}, CASE WHEN p >= 0.8 THEN {ALERT} END AS alert, n_errors FROM e"""
