@@ -44,8 +44,17 @@ def confidence(p: Column) -> Column:
 
 
 def percent_text(p: Column) -> Column:
-    """P10."""
-    return F.format_string("%.1f%%", p * 100)
+    """P10: percent with one decimal, rounded from the exact binary value (Java's own formatting rounds the decimal text).
+
+    With n the odd number of twentieths between the two candidates, x lies above their middle when 20x > n;
+    16x, 4x and n - 16x are exact near it.
+    """
+    x = p * 100
+    tenths = F.floor(x * 10)
+    rest = 2 * tenths + 1 - x * 16
+    up = (x * 4 > rest) | ((x * 4 == rest) & (tenths % 2 == 1))
+    rounded = tenths + up.cast("long")
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"), F.lit("%"))
 
 
 def plain_name(name: Column, prefix: str = "^(numerical|categorical|model)__") -> Column:

@@ -530,9 +530,10 @@ def random_search(c):
 @query()
 def full_evaluation(c):
     t = training.train(c, LINE_SPEC, SHORT)
-    groups = stage(c.select("rid", "rflag", "closed"), "groups")
-    tables = evaluation.evaluate(t.scored.filter("is_test").join(groups, "rid"), "outcome", 0.5, ("rflag", ("A", "R")), "closed")
-    return rounded(tables["group_rates"])
+    groups = c.select("rid", "rflag", "closed")
+    test = stage(t.scored.filter("is_test").select("rid", "outcome", "probability").join(groups, "rid"), "test")
+    tables = evaluation.evaluate(test, "outcome", 0.5, ("rflag", ("A", "R")), "closed")
+    return rounded(evaluation.as_rows(tables, ["classification_report", "clinical", "ranking", "thresholds", "fairness", "group_rates"]))
 
 
 def _phi(c):
