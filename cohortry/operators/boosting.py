@@ -336,11 +336,9 @@ def score(model: BoostedModel, df: DataFrame, name: str = "probability", express
     if sum(map(len, model.trees)) <= expression_nodes:
         margin = margin_expression(model)
     else:
-        shared = df.sparkSession.sparkContext.broadcast(model)
-
         @F.pandas_udf(DoubleType())
         def walked(*columns: pd.Series) -> pd.Series:
-            return pd.Series(margins(shared.value, np.column_stack([c.to_numpy(dtype=float) for c in columns])))
+            return pd.Series(margins(model, np.column_stack([c.to_numpy(dtype=float) for c in columns])))
 
         margin = walked(*[F.col(f) for f in model.features])
     return df.withColumn(name, 1 / (1 + F.exp(-margin)))

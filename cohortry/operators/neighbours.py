@@ -108,7 +108,6 @@ def nearest(receivers: DataFrame, donors: DataFrame, coords: Sequence[str], key:
     Equal distances fall in key order. ``d2`` is the squared Euclidean distance.
     """
     coords = list(coords)
-    spark = receivers.sparkSession
     d = len(coords)
     position = Window.partitionBy(*coords).orderBy(key)
     known = donors.select(*coords, key, value).dropna(subset=[*coords, value])
@@ -124,11 +123,10 @@ def nearest(receivers: DataFrame, donors: DataFrame, coords: Sequence[str], key:
         cells = Cells(drawn.toPandas().to_numpy(dtype=float), d, wanted)
     else:
         cells = Cells(np.zeros((0, d)), d, 1)
-    shared = spark.sparkContext.broadcast(cells)
 
     @F.pandas_udf("int")
     def cell_of(*columns: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.locate(_matrix(columns)))
+        return pd.Series(cells.locate(_matrix(columns)))
 
     donor_blocks = max(1, math.ceil(n_donors / len(cells) / donors_per_cell))
     key_type = donors.schema[key].dataType.simpleString()
@@ -155,7 +153,7 @@ def nearest(receivers: DataFrame, donors: DataFrame, coords: Sequence[str], key:
                     if row.d0 is not None and len(row.d0) >= k:
                         gaps = squared_distances(at, _matrix([getattr(row, f"d{i}") for i in range(d)]))
                         bound = np.partition(gaps, k - 1, axis=1)[:, k - 1]
-                    who, cell = shared.value.within(at, bound)
+                    who, cell = cells.within(at, bound)
                     out = pd.DataFrame(at[who], columns=coords)
                     out["cell"] = cell.astype(np.int32)
                     yield out

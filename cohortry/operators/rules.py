@@ -89,6 +89,8 @@ def coerced(field: Field) -> Column:
 
 def known(field: Field) -> Column:
     raw = F.col(field.name)
+    if field.dtype == "string":
+        return raw.isNotNull()
     return raw.isNotNull() & ~F.coalesce(F.isnan(raw.try_cast("double")), F.lit(False))
 
 

@@ -35,11 +35,11 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.
     last = (edge.withColumn("_p", place).filter(F.col("_p") == F.col("_left"))
             .select("_y", F.col("_h").alias("_ch"), F.col(key).alias("_ck")).collect())
     flag = F.lit(False)
+    h = F.col("_h")
     for row in last:
-        h = hash_order(key, seed)
         below = (h < row["_ch"]) | ((h == row["_ch"]) & (F.col(key) <= row["_ck"]))
         flag = F.when(F.col(label).eqNullSafe(F.lit(row["_y"])), below).otherwise(flag)
-    return df.withColumn(name, flag)
+    return df.withColumn("_h", hash_order(key, seed)).withColumn(name, flag).drop("_h")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, digits: int = HASH_DIGITS) -> DataFrame:

@@ -228,7 +228,7 @@ def mean_impute_contrast(c):
 @query()
 def dagostino(c):
     t = normality.k_squared_test(c, LINE_NUMERIC)
-    return rounded(t, 6, p_value=12)
+    return rounded(t, 12, statistic=3)
 
 
 @query("doc")

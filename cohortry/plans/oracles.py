@@ -184,7 +184,7 @@ b AS (SELECT *, -1 + sqrt(2 * (b - 1)) AS w2, 6 + 8 / s * (2 / s + sqrt(1 + 4 /
 d AS (SELECT *, y / sqrt(2 / (w2 - 1)) AS q, 1 + x * sqrt(2 / (k - 4)) AS dd FROM b),
 z AS (SELECT feature, c, ln(q + sqrt(q * q + 1)) / sqrt(0.5 * ln(w2)) AS zs,
       (1 - 2 / (9 * k) - sign(dd) * pow((1 - 2 / k) / abs(dd), 1.0 / 3)) / sqrt(2 / (9 * k)) AS zk FROM d)
-SELECT feature, c AS n, round(zs * zs + zk * zk, 6) AS statistic, round(exp(-(zs * zs + zk * zk) / 2), 12) AS p_value FROM z"""
+SELECT feature, c AS n, round(zs * zs + zk * zk, 3) AS statistic, round(exp(-(zs * zs + zk * zk) / 2), 12) AS p_value FROM z"""
 
 
 def horner(x: str, coefficients) -> str:
