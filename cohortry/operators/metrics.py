@@ -92,9 +92,12 @@ def cumulative_counts(df: DataFrame, label: str, score: str, **options) -> DataF
     return steps.withColumns({"all_pos": F.lit(totals["p"]).cast("long"), "all_neg": F.lit(totals["n"]).cast("long")})
 
 
-def roc_curve(df: DataFrame, label: str, score: str, **options) -> DataFrame:
-    """``(threshold, fpr, tpr)``; inner points on a straight line are dropped, (0, 0) is added."""
-    steps = cumulative_counts(df, label, score, **options)
+def roc_curve(df: DataFrame, label: str, score: str, steps: DataFrame | None = None, **options) -> DataFrame:
+    """``(threshold, fpr, tpr)``; inner points on a straight line are dropped, (0, 0) is added.
+
+    This and the next two take ready ``cumulative_counts`` as ``steps`` when several are wanted.
+    """
+    steps = cumulative_counts(df, label, score, **options) if steps is None else steps
     first = F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg")
     last = F.col("next_pos").isNull()
     straight = (F.col("pos") == F.col("next_pos")) & (F.col("neg") == F.col("next_neg"))
@@ -105,9 +108,9 @@ def roc_curve(df: DataFrame, label: str, score: str, **options) -> DataFrame:
     return start.unionByName(curve)
 
 
-def ranking_quality(df: DataFrame, label: str, score: str, **options) -> DataFrame:
+def ranking_quality(df: DataFrame, label: str, score: str, steps: DataFrame | None = None, **options) -> DataFrame:
     """ROC-AUC by trapezoids, average precision as a step sum, and the positive rate."""
-    steps = cumulative_counts(df, label, score, **options)
+    steps = cumulative_counts(df, label, score, **options) if steps is None else steps
     area = F.col("neg") * (F.col("tp") - F.col("pos") / 2)
     precise = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
     sums = steps.agg(F.sum(area).alias("a"), F.sum(precise).alias("s"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
@@ -116,9 +119,9 @@ def ranking_quality(df: DataFrame, label: str, score: str, **options) -> DataFra
                        F.try_divide(p, p + n).alias("positive_rate"))
 
 
-def precision_recall(df: DataFrame, label: str, score: str, **options) -> DataFrame:
+def precision_recall(df: DataFrame, label: str, score: str, steps: DataFrame | None = None, **options) -> DataFrame:
     """``(threshold, precision, recall)`` and the end point (1, 0) without a threshold."""
-    steps = cumulative_counts(df, label, score, **options)
+    steps = cumulative_counts(df, label, score, **options) if steps is None else steps
     curve = steps.select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                          F.try_divide("tp", "all_pos").alias("recall"))
     end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))

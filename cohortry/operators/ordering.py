@@ -25,16 +25,17 @@ MAX_RANGES = 1024
 def cut_points(df: DataFrame, keys: Sequence[str], sample_rows: int, rows_per_range: int) -> list[dict]:
     """Cut points of near-equal ranges of ``keys``; empty when the table fits the sample.
 
-    The sample holds the rows with the smallest hashes, so its largest hash also estimates the row count.
+    The sample holds the rows whose hash falls below a share set from the row count, so its size is bounded
+    whatever the number of tasks. ``df`` is a staged table: its count comes from the file footers.
     """
-    hashed = F.xxhash64(*keys).alias("_h")
-    sample = df.select(*keys, hashed).orderBy("_h").limit(sample_rows).collect()
-    if len(sample) < sample_rows:
+    rows = df.count()
+    if rows <= sample_rows:
         return []
-    share = (sample[-1]["_h"] + 2**63 + 1) / 2**64
-    ranges = int(min(MAX_RANGES, max(2, math.ceil(sample_rows / share / rows_per_range))))
-    values = sorted(tuple((row[k] is not None, row[k]) if row[k] is not None else (False, 0) for k in keys) for row in sample)
-    picked = sorted({values[len(values) * i // ranges] for i in range(1, ranges)})
+    hashed = F.shiftrightunsigned(F.xxhash64(*keys), 1).cast("double")
+    sample = df.filter(hashed < sample_rows / rows * 2.0**63).select(*keys).collect()
+    ranges = int(min(MAX_RANGES, max(2, math.ceil(rows / rows_per_range))))
+    values = sorted(tuple((v is not None, 0 if v is None else v) for v in row) for row in sample)
+    picked = sorted({values[len(values) * i // ranges] for i in range(1, ranges)}) if values else []
     return [{k: (v if known else None) for k, (known, v) in zip(keys, point)} for point in picked]
 
 

@@ -73,18 +73,21 @@ def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def all_value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(feature, value, n)`` for columns of any type; each type family is counted in its own type."""
-    families: dict[str, list[str]] = {}
-    for c in columns:
+    """``(feature, value, n)`` for columns of any type, from one scan; values are counted in their own type family."""
+    def family(c: str) -> str:
         dtype = df.schema[c].dataType
-        family = "long" if isinstance(dtype, T.IntegralType) else "double" if isinstance(dtype, T.NumericType) else "string"
-        families.setdefault(family, []).append(c)
-    counted = [value_counts(df, names, dtype=family).withColumn("value", F.col("value").cast("string"))
-               for family, names in families.items()]
-    out = counted[0]
-    for other in counted[1:]:
-        out = out.unionByName(other)
-    return out
+        return "long" if isinstance(dtype, T.IntegralType) else "double" if isinstance(dtype, T.NumericType) else "string"
+
+    def slot(c: str, name: str) -> Column:
+        return (F.col(c) if family(c) == name else F.lit(None)).cast(name).alias(f"_{name}")
+
+    names = ["long", "double", "string"]
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), *[slot(c, name) for name in names]) for c in columns])
+    slots = [f"_{name}" for name in names]
+    value = F.coalesce(*[F.col(s).cast("string") for s in slots])
+    known = F.col("_long").isNotNull() | F.col("_double").isNotNull() | F.col("_string").isNotNull()
+    counted = df.select(F.inline(pairs)).filter(known)
+    return counted.groupBy("feature", *slots).agg(F.count("*").alias("n")).select("feature", value.alias("value"), "n")
 
 
 def cardinality(df: DataFrame, columns: Sequence[str], low_ratio: float = 0.01) -> DataFrame:

@@ -155,7 +155,7 @@ def label_codes(c):
 
 
 def _coded(c):
-    return profile.factorize(c, ["rflag", "ptype", "segment"], "rid")
+    return stage(profile.factorize(c, ["rflag", "ptype", "segment"], "rid"), "coded")
 
 
 @query()
@@ -580,4 +580,4 @@ def missingness_report(c):
 
 @query()
 def profile_report(c):
-    return rounded(reports.profile_findings(reports.profile_tables(c.drop("score"), "outcome", "rid")))
+    return rounded(reports.profile_findings(reports.profile_tables(stage(c.drop("score"), "cohort"), "outcome", "rid")))

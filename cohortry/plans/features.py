@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.operators.neighbours import fill_missing
-from cohortry.operators.quantiles import quantile_rows
+from cohortry.operators.quantiles import quantile_rows, tall
 from cohortry.session import stage
 
 
@@ -80,12 +80,14 @@ def scaler_stats(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, float
     return centre, {c: ((v[0.75] - v[0.25]) or 1.0) if v[0.25] is not None else 1.0 for c, v in q.items()}
 
 
-def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """sorted levels per column. Each one but the first becomes a column, so they fit on the driver."""
+def category_levels(df: DataFrame, columns: Sequence[str], most: int = 10_000) -> dict[str, list[str]]:
+    """sorted levels per column. Each one but the first becomes a column, so more than ``most`` is an error."""
     if not columns:
         return {}
-    found = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns]).first()
-    return {c: list(found[c]) for c in columns}
+    found = tall(df, columns, dtype="string").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} levels in {', '.join(columns)}: too many to encode as columns")
+    return {c: sorted(r["value"] for r in found if r["feature"] == c) for c in columns}
 
 
 def fit(train: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], imputed: str | None = None,

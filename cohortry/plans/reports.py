@@ -64,15 +64,17 @@ def missingness_findings(t: dict[str, DataFrame], target: str, group: str, base:
 
 
 def profile_tables(df: DataFrame, label: str, key: str) -> dict[str, DataFrame]:
-    """All profiles of a table. The key takes part in the correlations only, and orders the text codes."""
-    df = stage(df, "profile")
+    """All profiles of a table. The key takes part in the correlations only, and orders the text codes.
+
+    The table is read about a dozen times; stage it first when it is the result of joins.
+    """
     columns = [c for c in df.columns if c != key]
     inputs = [c for c in columns if c != label]
     cards = profile.cardinality(df, inputs)
     kinds = {r["feature"]: r["family"] for r in cards.select("feature", "family").collect()}
     continuous = [c for c in inputs if kinds[c] == "Continuous"]
     texts = [c for c in columns if not profile.is_numeric(df, c)]
-    coded = profile.factorize(df, texts, key) if texts else df
+    coded = stage(profile.factorize(df, texts, key), "coded") if texts else df
     numeric_key = [key] if profile.is_numeric(df, key) else []
     matrix = profile.correlations(coded, [*numeric_key, *columns])
     return {
