@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 
@@ -24,6 +25,7 @@ from cohortry.session import stage
 DONORS_PER_CELL = 2048
 MAX_CELLS = 16384
 BLOCK_RECEIVERS = 512
+BLOCKS_PER_COPY = 64
 
 
 class Cells:
@@ -113,7 +115,7 @@ def nearest(receivers: DataFrame, donors: DataFrame, coords: Sequence[str], key:
     known = donors.select(*coords, key, value).dropna(subset=[*coords, value])
     pool = stage(known.withColumn("_r", F.row_number().over(position)).filter(F.col("_r") <= k).drop("_r"), "donors")
     points = stage(receivers.select(*coords).dropna().distinct(), "receivers")
-    n_donors, n_points = pool.count(), points.count()
+    n_donors = pool.count()
     if not n_donors:
         raise ValueError(f"no donor has a known {value}")
 
@@ -137,11 +139,25 @@ def nearest(receivers: DataFrame, donors: DataFrame, coords: Sequence[str], key:
               .select("cell", "block", F.col(f"m.{key}").alias("dk"), F.col(f"m.{value}").cast("array<double>").alias("dv"),
                       *[F.col(f"m.{c}").alias(f"d{i}") for i, c in enumerate(coords)]))
 
-    def receiver_blocks(df: DataFrame, per_cell: float) -> DataFrame:
-        parts = max(1, math.ceil(per_cell / block_receivers))
-        return (df.withColumn("part", F.pmod(F.xxhash64(*coords), F.lit(parts)).cast("int"))
-                .groupBy("cell", "part").agg(F.collect_list(F.struct(*coords)).alias("m"))
-                .select("cell", *[F.col(f"m.{c}").alias(f"r{i}") for i, c in enumerate(coords)]))
+    def meet(df: DataFrame, donor_side: DataFrame) -> DataFrame:
+        """Receiver blocks of ``df`` beside the donor blocks of their cell, whatever the crowd in a cell.
+
+        Both the number of receiver blocks and the copies of the donor blocks they are dealt to follow the
+        receivers counted per cell (a table no longer than the cell table).
+        """
+        crowd = {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
+        parts = [max(1, math.ceil(crowd.get(c, 0) / block_receivers)) for c in range(len(cells))]
+        copies = [math.ceil(n / BLOCKS_PER_COPY) for n in parts]
+
+        def of_cell(values: list[int]) -> Column:
+            return F.get(F.from_json(F.lit(json.dumps(values)), "array<int>"), F.col("cell"))
+
+        packed = (df.withColumn("part", F.pmod(F.xxhash64(*coords), of_cell(parts)).cast("int"))
+                  .groupBy("cell", "part").agg(F.collect_list(F.struct(*coords)).alias("m"))
+                  .select("cell", F.pmod("part", of_cell(copies)).alias("copy"),
+                          *[F.col(f"m.{c}").alias(f"r{i}") for i, c in enumerate(coords)]))
+        dealt = donor_side.withColumn("copy", F.explode(F.sequence(F.lit(0), of_cell(copies) - 1)))
+        return packed.join(dealt, ["cell", "copy"], "left")
 
     names = ", ".join(f"`{c}` double" for c in coords)
     if len(cells) > 1:
@@ -158,13 +174,12 @@ def nearest(receivers: DataFrame, donors: DataFrame, coords: Sequence[str], key:
                     out["cell"] = cell.astype(np.int32)
                     yield out
 
-        own = receiver_blocks(points.withColumn("cell", cell_of(*coords)), n_points / len(cells))
+        own = stage(points.withColumn("cell", cell_of(*coords)), "own")
         first = blocks.filter(F.col("block") == 0).select("cell", *[f"d{i}" for i in range(d)])
-        visits = own.join(first, "cell", "left").mapInPandas(route, f"{names}, cell int")
-        # how many cells a receiver visits depends on the data: four is typical, more only makes larger blocks
-        meeting = receiver_blocks(visits, 4 * n_points / len(cells))
+        visits = stage(meet(own, first).mapInPandas(route, f"{names}, cell int"), "visits")
     else:
-        meeting = receiver_blocks(points.withColumn("cell", F.lit(0)), n_points)
+        visits = points.withColumn("cell", F.lit(0))
+    meeting = meet(visits, blocks).filter(F.col("dk").isNotNull())
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -185,7 +200,7 @@ def nearest(receivers: DataFrame, donors: DataFrame, coords: Sequence[str], key:
                 out["value"] = np.asarray(row.dv, dtype=float)[donor[keep]]
                 yield out
 
-    found = meeting.join(blocks, "cell").mapInPandas(search, f"{names}, d2 double, _dk {key_type}, value double")
+    found = meeting.mapInPandas(search, f"{names}, d2 double, _dk {key_type}, value double")
     best = Window.partitionBy(*coords).orderBy("d2", "_dk")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select(*coords, "rank", "d2", "value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -179,7 +180,8 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The full Pearson matrix, pairwise complete, as ``(feature_1, feature_2, i, j, r)``.
 
     One pass for means and counts, one for sums of centred products; only pairs with a nullable column need
-    sums over their own common rows. Plain sums stay in generated code where dozens of corr() would not.
+    sums over their own common rows. Plain sums stay in generated code where dozens of corr() would not. The
+    k * k results are put together on the driver.
     """
     k = len(columns)
     first = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
@@ -188,33 +190,32 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     centred = df.select(*[(F.col(c).cast("double") - F.lit(first[f"m{i}"] or 0.0)).alias(f"d{i}") for i, c in enumerate(columns)])
     d = [F.col(f"d{i}") for i in range(k)]
     sums: dict[str, Column] = {}
-
-    def total(name: str, value: Column) -> Column:
-        sums.setdefault(name, F.sum(value))
-        return F.col(name)
-
-    def own(i: int, j: int) -> tuple[Column, Column]:
-        """Sum and sum of squares of column i over the rows that also have column j."""
-        if i == j or not partial[j]:
-            return total(f"s{i}", d[i]), total(f"q{i}", d[i] * d[i])
-        seen = d[j].isNotNull()
-        return total(f"s{i}_{j}", F.when(seen, d[i])), total(f"q{i}_{j}", F.when(seen, d[i] * d[i]))
-
-    found = {}
     for i in range(k):
-        for j in range(i, k):
-            if partial[i] and partial[j] and i != j:
-                n = total(f"n{i}_{j}", (d[i].isNotNull() & d[j].isNotNull()).cast("double"))
-            else:
-                n = F.lit(float(min(first[f"n{i}"], first[f"n{j}"])))
-            cross = total(f"q{i}" if i == j else f"x{i}_{j}", d[i] * d[j])
-            (sx, qx), (sy, qy) = own(i, j), own(j, i)
-            spread = F.sqrt(F.greatest((qx - sx * sx / n) * (qy - sy * sy / n), F.lit(0.0)))
-            found[(i, j)] = F.try_divide(cross - sx * sy / n, spread) if first[f"n{i}"] and first[f"n{j}"] else F.lit(None).cast("double")
-    rows = [F.struct(F.lit(columns[i]).alias("feature_1"), F.lit(columns[j]).alias("feature_2"), F.lit(i).alias("i"),
-                     F.lit(j).alias("j"), F.col(f"r_{min(i, j)}_{max(i, j)}").alias("r")) for i in range(k) for j in range(k)]
-    added = centred.agg(*[s.alias(name) for name, s in sums.items()])
-    return unfold(added.select(*[r.alias(f"r_{i}_{j}") for (i, j), r in found.items()]), rows)
+        sums[f"s{i}"], sums[f"q{i}"] = d[i], d[i] * d[i]
+        for j in range(k):
+            if i < j:
+                sums[f"x{i}_{j}"] = d[i] * d[j]
+            if i != j and partial[j]:
+                seen = d[j].isNotNull()
+                sums[f"s{i}_{j}"], sums[f"q{i}_{j}"] = F.when(seen, d[i]), F.when(seen, d[i] * d[i])
+                sums[f"n{i}_{j}"] = (d[i].isNotNull() & seen).cast("double")
+    added = centred.agg(*[F.sum(value).alias(name) for name, value in sums.items()]).first().asDict()
+
+    def own(i: int, j: int, kind: str) -> float | None:
+        """Sum of column i (or of its square) over the rows that also have column j."""
+        return added[f"{kind}{i}_{j}" if i != j and partial[j] else f"{kind}{i}"]
+
+    def correlation(i: int, j: int) -> float | None:
+        n = added[f"n{i}_{j}"] if i != j and partial[j] else float(first[f"n{i}"])
+        cross = added[f"q{i}" if i == j else f"x{i}_{j}"]
+        if not n or cross is None:
+            return None
+        sx, sy = own(i, j, "s"), own(j, i, "s")
+        spread = (own(i, j, "q") - sx * sx / n) * (own(j, i, "q") - sy * sy / n)
+        return (cross - sx * sy / n) / math.sqrt(spread) if spread > 0 else None
+
+    rows = [(columns[i], columns[j], i, j, correlation(min(i, j), max(i, j))) for i in range(k) for j in range(k)]
+    return df.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, i int, j int, r double")
 
 
 def target_correlations(matrix: DataFrame, target: str) -> DataFrame:

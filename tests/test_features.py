@@ -104,7 +104,8 @@ def test_state_survives_saving(spark, patients, tmp_path):
 
 
 @pytest.mark.parametrize("shape", ["even", "crowded", "copies", "line"])
-def test_cells_find_the_same_neighbours(spark, shape):
+def test_cells_find_the_same_neighbours(spark, shape, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCKS_PER_COPY", 2)
     rng = np.random.default_rng(3)
     n = 1500
     x, y = rng.uniform(size=n), rng.uniform(size=n)
@@ -119,7 +120,7 @@ def test_cells_find_the_same_neighbours(spark, shape):
     has = rng.random(n) > 0.2
     rows = [(i, float(a), float(b), float(i % 17) if h else None) for i, (a, b, h) in enumerate(zip(x, y, has))]
     df = spark.createDataFrame(rows, "id int, x double, y double, v double")
-    kwargs = {"donors_per_cell": 40, "block_receivers": 16}
+    kwargs = {"donors_per_cell": 40, "block_receivers": 4}
     found = neighbours.nearest(df.filter("v is null"), df.filter("v is not null"), ["x", "y"], "id", "v", 10, **kwargs)
     got = {}
     for r in found.collect():
