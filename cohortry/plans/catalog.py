@@ -280,6 +280,11 @@ def vif(c):
     return rounded(normality.variance_inflation(c, ["qty", "price", "rate", "closed", "urgent"]))
 
 
+@query()
+def vif_three(c):
+    return rounded(normality.variance_inflation(c, LINE_NUMERIC))
+
+
 @query()
 def validate_report(c):
     return rules.report(c, LINE_FIELDS)

@@ -173,18 +173,28 @@ ORACLES["mean_impute_contrast"] = f"""{LINE}, f AS (SELECT rate, coalesce(rate,
 SELECT 'before' AS stage, round(avg(rate), 6) AS mean, round(stddev_samp(rate), 6) AS std, round(corr(rate, qty), 6) AS corr FROM f
 UNION ALL SELECT 'after', round(avg(filled), 6), round(stddev_samp(filled), 6), round(corr(filled, qty), 6) FROM f"""
 
-ORACLES["dagostino"] = f"""{LINE}, m AS ({union(
-    f"SELECT '{x}' AS feature, count({x}) AS c, CAST(count({x}) AS DOUBLE) AS n, skewness({x}) AS sk, kurtosis({x}) AS ku FROM c" for x in LINE_NUMERIC)}),
-p AS (SELECT feature, c, n, sk * (n - 2) / sqrt(n * (n - 1)) AS g1, (ku * (n - 2) * (n - 3) / (n - 1) - 6) / (n + 1) AS g2 FROM m),
+K2 = f"""{LINE}, m AS ({union(
+    f"SELECT '{x}' AS feature, count({x}) AS c, CAST(count({x}) AS DOUBLE) AS n, skewness({x}) AS sk, kurtosis({x}) AS ku, avg({x}) AS mean, "
+    f"quantile_cont({x}, 0.5) AS median, stddev_samp({x}) AS std FROM c" for x in LINE_NUMERIC)}),
+p AS (SELECT *, sk * (n - 2) / sqrt(n * (n - 1)) AS g1, (ku * (n - 2) * (n - 3) / (n - 1) - 6) / (n + 1) AS g2 FROM m),
 a AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y,
       3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS b,
       (g2 + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
       6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS s FROM p),
 b AS (SELECT *, -1 + sqrt(2 * (b - 1)) AS w2, 6 + 8 / s * (2 / s + sqrt(1 + 4 / (s * s))) AS k FROM a),
 d AS (SELECT *, y / sqrt(2 / (w2 - 1)) AS q, 1 + x * sqrt(2 / (k - 4)) AS dd FROM b),
-z AS (SELECT feature, c, ln(q + sqrt(q * q + 1)) / sqrt(0.5 * ln(w2)) AS zs,
-      (1 - 2 / (9 * k) - sign(dd) * pow((1 - 2 / k) / abs(dd), 1.0 / 3)) / sqrt(2 / (9 * k)) AS zk FROM d)
-SELECT feature, c AS n, round(zs * zs + zk * zk, 3) AS statistic, round(exp(-(zs * zs + zk * zk) / 2), 12) AS p_value FROM z"""
+z AS (SELECT *, pow(ln(q + sqrt(q * q + 1)) / sqrt(0.5 * ln(w2)), 2)
+      + pow((1 - 2 / (9 * k) - sign(dd) * pow((1 - 2 / k) / abs(dd), 1.0 / 3)) / sqrt(2 / (9 * k)), 2) AS k2 FROM d)"""
+ORACLES["dagostino"] = f"{K2} SELECT feature, c AS n, round(k2, 3) AS statistic, round(exp(-k2 / 2), 12) AS p_value FROM z"
+# every column of the line cohort has at least 5,000 values at all scales, so the large-sample test applies
+ORACLES["distribution_table"] = f"""{K2} SELECT feature, c AS n, {rounded('mean, median, std')}, round(sk, 6) AS skewness, round(ku, 6) AS kurtosis,
+       'D''Agostino' AS normality_test, round(exp(-k2 / 2), 6) AS p_value, exp(-k2 / 2) > 0.05 AS is_normal,
+       CASE WHEN exp(-k2 / 2) > 0.05 THEN 'StandardScaler (data is normally distributed)'
+            WHEN abs(sk) > 1 THEN 'RobustScaler or Log Transform (highly skewed)' ELSE 'RobustScaler (not normal, use median/IQR)' END AS recommendation FROM z"""
+ORACLES["vif_three"] = f"""{LINE}, m AS (SELECT corr(qty, price) AS a, corr(qty, rate) AS b, corr(price, rate) AS k FROM c),
+d AS (SELECT *, 1 + 2 * a * b * k - a * a - b * b - k * k AS det FROM m)
+SELECT 'qty' AS feature, round((1 - k * k) / det, 6) AS vif FROM d UNION ALL SELECT 'price', round((1 - b * b) / det, 6) FROM d
+UNION ALL SELECT 'rate', round((1 - a * a) / det, 6) FROM d"""
 
 
 def horner(x: str, coefficients) -> str:
@@ -300,6 +310,15 @@ q AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d2, did) AS k FROM
 ORACLES["knn_impute"] = f"""{scaled_docs(DOC)}, r AS (SELECT * FROM s WHERE quality IS NULL), d AS (SELECT * FROM s WHERE quality IS NOT NULL),
 {neighbour_steps('r', 'd')}, f AS (SELECT rid, sum(v / sqrt(d2 + 1)) / sum(1 / sqrt(d2 + 1)) AS fill FROM q GROUP BY rid)
 SELECT s.rid, round(x, 6) AS x, round(w, 6) AS w, round(coalesce(quality, fill), 6) AS quality FROM s LEFT JOIN f ON s.rid = f.rid"""
+ORACLES["knn_impute_large"] = f"""{LINE}, m AS (SELECT {', '.join(
+    f"quantile_cont({x}, 0.5) AS m_{x}, quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25) AS s_{x}" for x in LINE_NUMERIC)} FROM c),
+s AS (SELECT rid, {', '.join(f"({x} - m_{x}) / s_{x} AS {x}" for x in LINE_NUMERIC)} FROM c CROSS JOIN m),
+r AS (SELECT * FROM s WHERE rate IS NULL), d AS (SELECT * FROM s WHERE rate IS NOT NULL),
+p AS (SELECT r.rid, min({{'d2': (r.qty - d.qty) * (r.qty - d.qty) + (r.price - d.price) * (r.price - d.price), 'did': d.rid, 'v': d.rate}}, 10) AS l
+      FROM r CROSS JOIN d GROUP BY r.rid),
+q AS (SELECT rid, unnest(l) AS e FROM p),
+f AS (SELECT rid, sum(e.v / sqrt(e.d2 + 1)) / sum(1 / sqrt(e.d2 + 1)) AS fill FROM q GROUP BY rid)
+SELECT s.rid, round(qty, 6) AS qty, round(price, 6) AS price, round(coalesce(rate, fill), 6) AS rate FROM s LEFT JOIN f ON s.rid = f.rid"""
 ORACLES["impute_quality"] = f"""{scaled_docs(DOC)},
 h AS (SELECT *, CAST('0x' || substr(md5(rid || '|42'), 1, 8) AS BIGINT) < 0.1 * 4294967296 AS hid FROM s WHERE quality IS NOT NULL),
 r AS (SELECT * FROM h WHERE hid), d AS (SELECT * FROM h WHERE NOT hid),
