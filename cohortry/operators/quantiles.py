@@ -42,61 +42,67 @@ def quantile_rows(
                     *[F.approx_percentile(F.col(c).cast("double"), edges, accuracy).alias(f"q_{i}")
                       for i, c in enumerate(columns)]).first()
     result: dict[str, dict[float, float]] = {c: {p: None for p in probs} for c in columns}
-    brackets = {}
-    for i, c in enumerate(columns):
-        for j, p in enumerate(probs):
-            if sketch[f"n_{i}"]:
-                brackets[(c, j)] = tuple(sketch[f"q_{i}"][2 * j:2 * j + 2])
-    if not brackets:
-        return result
-
+    sizes = {c: sketch[f"n_{i}"] for i, c in enumerate(columns)}
     pairs = []
-    for (c, j), (low, high) in brackets.items():
+    for i, c in enumerate(columns):
+        if not sizes[c]:
+            continue
         value = F.col(c).cast("double")
-        kept = F.when(value < low, F.lit(None)).otherwise(value)
-        pairs.append(F.when(value <= high, F.struct(F.lit(c).alias("feature"), F.lit(j).alias("j"), kept.alias("value"))))
-    inside = (df.select(F.explode(F.array_compact(F.array(*pairs))).alias("e"))
-              .groupBy("e.feature", "e.j", "e.value").agg(F.count("*").alias("n")))
+        # odd bands are brackets and keep their values, even bands lie between them and are only counted
+        band, number = F.when(value.isNull(), F.lit(-1)), 0
+        for low, high in _merged(sketch[f"q_{i}"]):
+            band = band.when(value < low, number).when(value <= high, number + 1)
+            number += 2
+        band = band.otherwise(number)
+        kept = F.when(band % 2 == 1, value)
+        pairs.append(F.struct(F.lit(c).alias("feature"), band.alias("band"), kept.alias("value")))
+    if not pairs:
+        return result
 
+    inside = (df.select(F.inline(F.array(*pairs))).filter(F.col("band") >= 0)
+              .groupBy("feature", "band", "value").agg(F.count("*").alias("n")))
+    positions = {(c, p): p * (sizes[c] - 1) for c in columns if sizes[c] for p in probs}
     rows = inside.limit(driver_rows + 1).collect()
-    covered: dict[tuple[str, int], list[tuple[float, int]]] = {key: [] for key in brackets}
     if len(rows) <= driver_rows:
-        for row in rows:
-            covered[(row["feature"], row["j"])].append((row["value"], row["n"]))
-        for key, entries in covered.items():
-            entries.sort(key=lambda e: -math.inf if e[0] is None else e[0])
-            upto = 0
-            for i, (value, n) in enumerate(entries):
-                upto += n
-                entries[i] = (value, n, upto)
+        covered = []
+        ordered = sorted(rows, key=lambda r: (r["feature"], r["band"], -math.inf if r["value"] is None else r["value"]))
+        upto, previous = 0, None
+        for r in ordered:
+            upto = r["n"] + (upto if r["feature"] == previous else 0)
+            previous = r["feature"]
+            covered.append((r["feature"], r["value"], r["n"], upto))
     else:
-        cumulative = running(inside, ["value"], {"upto": "n"}, by=["feature", "j"])
-        wanted = []
-        for (c, j) in brackets:
-            position = probs[j] * (sketch[f"n_{columns.index(c)}"] - 1)
+        cumulative = running(inside, ["band", "value"], {"upto": "n"}, by=["feature"])
+        chosen = F.lit(False)
+        for (c, _), position in positions.items():
             for rank in {math.floor(position), math.ceil(position)}:
-                wanted.append((F.col("feature") == c) & (F.col("j") == j)
-                              & (F.col("upto") - F.col("n") <= rank) & (F.col("upto") > rank))
-        chosen = wanted[0]
-        for w in wanted[1:]:
-            chosen = chosen | w
-        for row in cumulative.filter(chosen).collect():
-            covered[(row["feature"], row["j"])].append((row["value"], row["n"], row["upto"]))
-
-    for (c, j), entries in covered.items():
-        position = probs[j] * (sketch[f"n_{columns.index(c)}"] - 1)
+                chosen = chosen | ((F.col("feature") == c) & (F.col("upto") - F.col("n") <= rank) & (F.col("upto") > rank))
+        covered = [(r["feature"], r["value"], r["n"], r["upto"]) for r in cumulative.filter(chosen).collect()]
+
+    for (c, p), position in positions.items():
         ends = []
         for rank in (math.floor(position), math.ceil(position)):
-            hit = [value for value, n, upto in entries if upto - n <= rank < upto and value is not None]
+            hit = [v for feature, v, n, upto in covered if feature == c and upto - n <= rank < upto and v is not None]
             ends.append(hit[0] if hit else None)
         if None in ends:
             # the sketch missed the rank: count every distinct value of this column instead
-            result[c][probs[j]] = _from_all_values(df, c, position)
+            result[c][p] = _from_all_values(df, c, position)
         else:
-            result[c][probs[j]] = ends[0] + (ends[1] - ends[0]) * (position - math.floor(position))
+            result[c][p] = ends[0] + (ends[1] - ends[0]) * (position - math.floor(position))
     return result
 
 
+def _merged(edges: Sequence[float]) -> list[tuple[float, float]]:
+    """Brackets (low, high, low, high, ...) in order, overlapping ones joined."""
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(zip(edges[::2], edges[1::2])):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
 def _from_all_values(df: DataFrame, column: str, position: float) -> float:
     counts = running(value_counts(df, [column]), ["value"], {"upto": "n"})
     low, high = math.floor(position), math.ceil(position)
