@@ -39,10 +39,10 @@ def cut_points(df: DataFrame, keys: Sequence[str], sample_rows: int, rows_per_ra
     return [{k: (v if known else None) for k, (known, v) in zip(keys, point)} for point in picked]
 
 
-def range_of(df: DataFrame, keys: Sequence[str], points: list[dict]) -> Column:
-    """Number of cut points below the row: a coarse search over blocks of cut points, then one inside the block."""
+def with_range(df: DataFrame, keys: Sequence[str], points: list[dict], name: str = "_range") -> DataFrame:
+    """Add the number of cut points not above the row: a search over blocks of cut points, then one inside the block."""
     if not points:
-        return F.lit(0)
+        return df.withColumn(name, F.lit(0))
     row_type = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
     width = math.isqrt(len(points) - 1) + 1
     blocks = [points[i:i + width] for i in range(0, len(points), width)]
@@ -50,12 +50,15 @@ def range_of(df: DataFrame, keys: Sequence[str], points: list[dict]) -> Column:
     def literal(value, dtype):
         return F.from_json(F.lit(json.dumps(value)), dtype)
 
+    def below(cuts: Column) -> Column:
+        row = F.struct(*[F.col(k) for k in keys])
+        return F.size(F.filter(cuts, lambda p: p <= row))
+
     heads = literal([b[0] for b in blocks], T.ArrayType(row_type))
     groups = literal(blocks, T.ArrayType(T.ArrayType(row_type)))
-    row = F.struct(*[F.col(k) for k in keys])
-    block = F.size(F.filter(heads, lambda p: p <= row))
-    inside = F.size(F.filter(F.get(groups, F.greatest(block - 1, F.lit(0))), lambda p: p <= row))
-    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * width + inside)
+    block = F.col("_block") - 1
+    inside = block * width + below(F.get(groups, F.greatest(block, F.lit(0))))
+    return df.withColumn("_block", below(heads)).withColumn(name, F.when(block < 0, 0).otherwise(inside)).drop("_block")
 
 
 def running(
@@ -80,7 +83,7 @@ def running(
     df = df if staged else stage(df, "ordered")
     points = cut_points(df, keys, sample_rows, rows_per_range)
     arrange = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    ranged = df.withColumn("_range", range_of(df, keys, points))
+    ranged = with_range(df, keys, points)
     inner = Window.partitionBy(*by, "_range").orderBy(*arrange)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = {name: F.sum(source).over(upto) for name, source in sums.items()}

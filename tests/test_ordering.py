@@ -1,5 +1,7 @@
 """Running totals, ranks and quantiles agree with plain windows when the table is cut into many ranges."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -24,7 +26,7 @@ def test_running_equals_window(spark, line, descending):
 def test_many_ranges_are_used(spark, line):
     points = ordering.cut_points(line, ["price", "rid"], 300, 100)
     assert 30 < len(points) < 120
-    sizes = [r["count"] for r in line.groupBy(ordering.range_of(line, ["price", "rid"], points)).count().collect()]
+    sizes = [r["count"] for r in ordering.with_range(line, ["price", "rid"], points).groupBy("_range").count().collect()]
     assert len(sizes) == len(points) + 1 and max(sizes) < 600
 
 
@@ -91,3 +93,37 @@ def test_small_columns(spark):
     three = normality.w_test(df.limit(3).withColumn("x", F.col("id").cast("double")), ["x"]).first()
     assert three["statistic"] == pytest.approx(1.0) and three["p_value"] == pytest.approx(1.0, abs=1e-6)
     assert normality.w_test(df, ["x"], limit=5).isEmpty()
+
+
+def test_shared_folder(spark, monkeypatch):
+    from cohortry import session
+    assert session.shared_dir(spark)
+
+    class Conf:
+        @staticmethod
+        def get(key, default=None):
+            return "hdfs://shared/run/" if key == "spark.checkpoint.dir" else default
+
+    class Fake:
+        conf = Conf
+    assert session.shared_dir(Fake) == "hdfs://shared/run"
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Bare)
+
+
+def test_staged_tables_are_released(spark, tmp_path):
+    from cohortry import session
+    kept, session._staged[:] = list(session._staged), []
+    df = session.stage(spark.range(10), "gone")
+    path = session._staged[0]
+    assert df.count() == 10 and session.release(spark) == 1
+    assert not Path(path.replace("file:", "")).exists()
+    session._staged[:] = kept
