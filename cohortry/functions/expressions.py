@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the alert text of a scored record.
-ALERT_TEXT = (
-    "CRITICAL ALERT: Patient has extremely high stroke risk (>80%). "
-    "Immediate clinical evaluation recommended."
-)
-
+from cohortry.functions import texts
 
 def missing_flag(column: str) -> Column:
     """P5: 1 where the value is missing."""
@@ -29,10 +24,11 @@ def predicted_class(score: Column, threshold: float = 0.5) -> Column:
 
 def risk_level(p: Column, low: float = 0.2, moderate: float = 0.5, high: float = 0.8) -> Column:
     """P7."""
-    return F.when(p < low, "LOW").when(p < moderate, "MODERATE").when(p < high, "HIGH").otherwise("CRITICAL")
+    names = texts.RISK_LEVELS
+    return F.when(p < low, names[0]).when(p < moderate, names[1]).when(p < high, names[2]).otherwise(names[3])
 
 
-def alert(p: Column, threshold: float = 0.8, text: str = ALERT_TEXT) -> Column:
+def alert(p: Column, threshold: float = 0.8, text: str = texts.ALERT_TEXT) -> Column:
     """P8."""
     return F.when(p >= threshold, F.lit(text))
 
@@ -40,7 +36,8 @@ def alert(p: Column, threshold: float = 0.8, text: str = ALERT_TEXT) -> Column:
 def confidence(p: Column) -> Column:
     """From the distance to one half."""
     distance = F.abs(p - 0.5)
-    return F.when(distance > 0.4, "High").when(distance > 0.2, "Moderate").otherwise("Low")
+    names = texts.CONFIDENCE
+    return F.when(distance > 0.4, names[0]).when(distance > 0.2, names[1]).otherwise(names[2])
 
 
 def percent_text(p: Column) -> Column:
@@ -64,7 +61,8 @@ def plain_name(name: Column, prefix: str = "^(numerical|categorical|model)__") -
 
 def strength(r: Column) -> Column:
     """P14."""
-    return F.when(F.abs(r) > 0.5, "Strong").when(F.abs(r) > 0.3, "Moderate").otherwise("Weak")
+    names = texts.STRENGTH
+    return F.when(F.abs(r) > 0.5, names[0]).when(F.abs(r) > 0.3, names[1]).otherwise(names[2])
 
 
 def direction(r: Column) -> Column:

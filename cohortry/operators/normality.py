@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions import expressions as X
+from cohortry.functions import texts
 from cohortry.functions.special import normal_upper_p, polynomial, student_p, with_normal_quantile
 from cohortry.operators.ordering import ranked
 from cohortry.operators.profile import correlations, moments, unfold
@@ -90,10 +91,9 @@ def distribution_table(df: DataFrame, columns: Sequence[str], alpha: float = 0.0
     table = X.with_k_squared(shape.join(small, "feature", "left"), "k2")
     big = F.col("n") >= limit
     normal = F.col("p_value") > alpha
-    advice = (F.when(normal, "StandardScaler (data is normally distributed)")
-              .when(F.abs("skewness") > 1, "RobustScaler or Log Transform (highly skewed)")
-              .otherwise("RobustScaler (not normal, use median/IQR)"))
-    return (table.withColumn("normality_test", F.when(big, "D'Agostino").otherwise("Shapiro-Wilk"))
+    words = texts.SCALER_ADVICE
+    advice = F.when(normal, words[0]).when(F.abs("skewness") > 1, words[1]).otherwise(words[2])
+    return (table.withColumn("normality_test", F.when(big, texts.LARGE_TEST).otherwise(texts.SMALL_TEST))
             .withColumn("p_value", F.when(big, F.exp(-F.col("k2") / 2)).otherwise(F.col("w_p")))
             .withColumn("is_normal", normal).withColumn("recommendation", advice)
             .select("feature", "n", "mean", "median", "std", "skewness", "kurtosis", "normality_test", "p_value",

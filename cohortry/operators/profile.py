@@ -10,14 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.functions import expressions as X
+from cohortry.functions import texts
 from cohortry.operators.ordering import ranked
 from cohortry.operators.quantiles import quantile_rows, value_counts
 from cohortry.session import stage
 
-LABEL_ADVICE = ("Standard cross-validation sufficient", "Use stratified sampling + class weights",
-                "Use cost-sensitive learning (scale_pos_weight) + stratified CV")
-
-
 def is_numeric(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.NumericType)
 
@@ -66,9 +63,8 @@ def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                      F.try_divide(F.col(c) * 100.0, F.col("total")).alias("missing_pct"),
                      F.lit(types[c]).alias("data_type")) for c in columns]
     pct = F.col("missing_pct")
-    advice = (F.when(pct < 5, "KNN Imputation (preserves relationships)")
-              .when(pct < 20, "KNN Imputation or Multiple Imputation")
-              .otherwise("Consider dropping or separate 'Unknown' category"))
+    words = texts.MISSING_ADVICE
+    advice = F.when(pct < 5, words[0]).when(pct < 20, words[1]).otherwise(words[2])
     return (unfold(counted, rows).filter(F.col("missing_count") > 0)
             .withColumn("advice", advice).orderBy(F.desc("missing_pct"), "feature"))
 
@@ -100,13 +96,15 @@ def cardinality(df: DataFrame, columns: Sequence[str], low_ratio: float = 0.01)
     n = F.coalesce(F.col("n"), F.lit(0))
     table = unfold(totals, names).join(distinct, "feature", "left").withColumn("unique_values", n)
     u, numeric = F.col("unique_values"), F.col("numeric")
-    detail = (F.when(numeric & (u == 2), "Binary").when(numeric & (u < 10), "Discrete").when(numeric, "Continuous")
-              .when(u < 10, "Categorical (Low)").when(u < 50, "Categorical (Medium)").otherwise("Categorical (High)"))
+    binary, discrete, continuous = texts.NUMERIC_TYPES
+    few, medium, many = texts.TEXT_TYPES
+    detail = (F.when(numeric & (u == 2), binary).when(numeric & (u < 10), discrete).when(numeric, continuous)
+              .when(u < 10, few).when(u < 50, medium).otherwise(many))
     family = F.when(numeric, F.col("feature_type")).otherwise("Categorical")
-    encoding = (F.when(F.col("family") == "Continuous", "None (RobustScaler for normalization)")
-                .when(F.col("family") == "Discrete", "None (keep as numeric)")
-                .when(F.col("family") == "Binary", "None (already 0/1)")
-                .when(u <= 10, "One-Hot Encoding (drop='first')").otherwise("Target/Frequency Encoding"))
+    advice = texts.ENCODING_ADVICE
+    encoding = F.when(u <= 10, advice["Few levels"]).otherwise(advice["Many levels"])
+    for name in texts.NUMERIC_TYPES:
+        encoding = F.when(F.col("family") == name, advice[name]).otherwise(encoding)
     ratio = F.try_divide(u, F.col("total_samples"))
     return (table.withColumn("ratio", ratio).withColumn("feature_type", detail).withColumn("family", family)
             .withColumn("encoding", encoding).withColumn("low_cardinality", F.col("ratio") < low_ratio)
@@ -138,8 +136,8 @@ def class_balance(df: DataFrame, label: str, bands: tuple[float, float] = (3, 10
         return F.when(ratio < bands[0], values[0]).when(ratio < bands[1], values[1]).otherwise(values[2])
 
     return (counted.withColumn("imbalance_ratio", checked).withColumn("minority_pct", pos * 100.0 / F.col("n"))
-            .withColumn("severity", banded(("Mild", "Moderate", "Severe")))
-            .withColumn("recommendation", banded(LABEL_ADVICE)).drop("n"))
+            .withColumn("severity", banded(texts.SEVERITY))
+            .withColumn("recommendation", banded(texts.BALANCE_ADVICE)).drop("n"))
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
