@@ -66,10 +66,9 @@ class BoostedModel:
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The model as rows, one per node."""
-        rows = [(t, i, self.features[n.feature] if n.feature >= 0 else None, n.cut, n.bin, n.value, n.gain, n.cover)
-                for t, tree in enumerate(self.trees) for i, n in tree.items()]
-        return spark.createDataFrame([(int(a), int(b), c, *map(float, (d,)), int(e), float(f), float(g), float(h))
-                                      for a, b, c, d, e, f, g, h in rows], TREE_COLUMNS)
+        rows = [(t, i, self.features[n.feature] if n.feature >= 0 else None, float(n.cut), int(n.bin), float(n.value),
+                 float(n.gain), float(n.cover)) for t, tree in enumerate(self.trees) for i, n in tree.items()]
+        return spark.createDataFrame(rows, TREE_COLUMNS)
 
     def save(self, path: str, spark: SparkSession) -> None:
         self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")

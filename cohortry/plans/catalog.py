@@ -541,16 +541,16 @@ def full_evaluation(c):
     return rounded(evaluation.as_rows(tables, ["classification_report", "clinical", "ranking", "thresholds", "fairness", "group_rates"]))
 
 
-def _phi(c):
+def _attributed(c):
     t = training.train(c, LINE_SPEC, SHORT)
-    return t, stage(explain.shapley(t.model, t.scored, "rid"), "phi")
+    return t, explain.attribute(t.model, t.scored, "rid")
 
 
 @query()
 def shap_values(c):
     """Attributions of all rows, with the margin they must add up to."""
-    t, phi = _phi(c)
-    sums = phi.groupBy("rid").agg(F.sum("phi").alias("total"))
+    t, wide = _attributed(c)
+    sums = explain.tall(wide, t.model.features, "rid").groupBy("rid").agg(F.sum("phi").alias("total"))
     base = explain.base_value(t.model)
     logit = F.log(F.col("probability") / (1 - F.col("probability")))
     return rounded(t.scored.join(sums, "rid").select("rid", (F.col("total") + base).alias("margin"), logit.alias("logit")), 5)
@@ -558,22 +558,26 @@ def shap_values(c):
 
 @query()
 def shap_global(c):
-    return rounded(explain.global_importance(_phi(c)[1]))
+    t, wide = _attributed(c)
+    return rounded(explain.global_importance(wide, t.model.features))
 
 
 @query()
 def shap_dependence(c):
-    return rounded(explain.dependence(_phi(c)[1], "rid", "numerical__rate", "numerical__qty"))
+    t, wide = _attributed(c)
+    return rounded(explain.dependence(wide, t.model.features, "rid", "numerical__rate", "numerical__qty"))
 
 
 @query()
 def shap_reference_level(c):
-    return rounded(explain.reference_effect(_phi(c)[1], "rid", "categorical__segment_"))
+    t, wide = _attributed(c)
+    return rounded(explain.reference_effect(wide, t.model.features, "categorical__segment_"))
 
 
 @query()
 def shap_level_effects(c):
-    return rounded(explain.level_effects(_phi(c)[1], "categorical__segment_"))
+    t, wide = _attributed(c)
+    return rounded(explain.level_effects(wide, t.model.features, "categorical__segment_"))
 
 
 @query()
