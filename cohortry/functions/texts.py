@@ -30,3 +30,4 @@ ALERT_TEXT = (
     "CRITICAL ALERT: Patient has extremely high stroke risk (>80%). "
     "Immediate clinical evaluation recommended."
 )
+RISK_PREFIX = "Stroke Risk: "

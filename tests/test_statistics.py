@@ -125,3 +125,10 @@ def test_reports(spark, line):
     advice = {(r["finding"], r["subject"]): r["verdict"] for r in reports.profile_findings(every).collect()}
     assert advice[("encoding", "ptype")] == "One-Hot Encoding (drop='first')"
     assert advice[("missing values", "rate")].startswith("KNN")
+
+
+def test_text_of_a_scored_record(spark):
+    from cohortry.plans import scoring
+    df = scoring.with_bands(spark.createDataFrame([(0.452,), (0.9,)], "probability double"))
+    texts = [r["t"] for r in df.select(scoring.text_of(F.col("risk_level"), F.col("risk_percentage"), F.col("alert")).alias("t")).collect()]
+    assert texts[0] == "Stroke Risk: 45.2% (MODERATE)" and texts[1].startswith("Stroke Risk: 90.0% (CRITICAL)\nCRITICAL ALERT")
