@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import exact_dedup, packing, quality
+from cohortry.llm import exact_dedup, extraction, packing, pseudonyms, quality, warc
 from cohortry.llm.tables import read
 
+#: Key of the registered queries; users bring their own.
+PII_KEY = "key of the registered queries"
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.assess(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(read(spark, sf_dir, "pages")))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read(spark, sf_dir, "pages"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymize(docs, PII_KEY)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,7 +39,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(read(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
-CATALOG = {f.__name__: f for f in (op1_quality_rules, op7_best_fit_packing, op9_exact_dedup)}
+CATALOG = {f.__name__: f for f in (op1_quality_rules, op4_warc, op5_html_extraction, op6_pii, op7_best_fit_packing, op9_exact_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": """

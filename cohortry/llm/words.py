@@ -20,6 +20,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
+#: Everything but ASCII letters and bytes of other characters, for words without marks and digits.
+NOT_LETTERS = np.ones(256, bool)
+NOT_LETTERS[65:91] = NOT_LETTERS[97:123] = NOT_LETTERS[128:] = False
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -66,10 +69,10 @@ class Chunk:
     word, and the count of words at the end.
     """
 
-    def __init__(self, rows: range, data: np.ndarray, at: np.ndarray):
+    def __init__(self, rows: range, data: np.ndarray, at: np.ndarray, separator: np.ndarray = _SEPARATOR):
         self.rows, self.data, self.at = rows, data, at
         n = len(data)
-        word = ~_SEPARATOR[data]
+        word = ~separator[data]
         edge = np.zeros(n + 1, bool)
         edge[at] = True
         before = np.empty(n, bool)
@@ -99,13 +102,13 @@ class Chunk:
         return self.span(self.prefix(lower), self.starts, self.ends)
 
 
-def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
+def chunks(column: pa.Array, size: int = CHUNK, separator: np.ndarray = _SEPARATOR) -> Iterator[Chunk]:
     data, offsets = string_buffer(column)
     begin = 0
     while begin < len(offsets) - 1:
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + size, side="right")) - 1)
         at = offsets[begin: end + 1]
-        yield Chunk(range(begin, end), data[at[0]: at[-1]], at - at[0])
+        yield Chunk(range(begin, end), data[at[0]: at[-1]], at - at[0], separator)
         begin = end
 
 
