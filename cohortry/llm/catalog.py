@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import exact_dedup, extraction, packing, pseudonyms, quality, warc
+from cohortry.llm import exact_dedup, extraction, line_dedup, ngram_join, packing, pseudonyms, quality, warc
 from cohortry.llm.tables import read
 
 #: Key of the registered queries; users bring their own.
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents")).drop("node")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(read(spark, sf_dir, "pages")))
 
@@ -39,7 +43,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(read(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
-CATALOG = {f.__name__: f for f in (op1_quality_rules, op4_warc, op5_html_extraction, op6_pii, op7_best_fit_packing, op9_exact_dedup)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_lines(docs, count_col="n_removed")
+
+
+CATALOG = {f.__name__: f for f in (
+    op1_quality_rules, op2_ngram_join, op4_warc, op5_html_extraction, op6_pii, op7_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": """
