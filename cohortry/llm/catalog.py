@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import exact_dedup, extraction, line_dedup, ngram_join, packing, pseudonyms, quality, warc
+from cohortry.llm import exact_dedup, extraction, line_dedup, ngram_join, packing, pseudonyms, quality, toxicity, warc
 from cohortry.llm.tables import read
 
 #: Key of the registered queries; users bring their own.
@@ -20,6 +20,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents")).drop("node")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.assess(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(read(spark, sf_dir, "pages")))
 
@@ -49,7 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOG = {f.__name__: f for f in (
-    op1_quality_rules, op2_ngram_join, op4_warc, op5_html_extraction, op6_pii, op7_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
+    op1_quality_rules, op2_ngram_join, op3_toxicity, op4_warc, op5_html_extraction, op6_pii, op7_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": """
