@@ -141,10 +141,11 @@ def gather(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col:
 
     rows = labelled(docs, labels, most, id_col, text_col, label).select("id", "label", "text")
     got = rows.mapInArrow(run, "id long, label int, buckets binary, shares binary").toPandas().sort_values("id")
-    buckets = [np.frombuffer(b, "<i4") for b in got["buckets"]]
-    bounds = np.concatenate([[0], np.cumsum([len(b) for b in buckets])]).astype(np.int64)
-    shares = np.concatenate([np.frombuffer(s, "<f4") for s in got["shares"]]) if len(got) else np.zeros(0, "f4")
-    return got["id"].to_numpy(np.int64), got["label"].to_numpy(float), np.concatenate(buckets) if len(got) else np.zeros(0, "i4"), shares, bounds
+    ids, y = got["id"].to_numpy(np.int64), got["label"].to_numpy(float)
+    bounds = np.concatenate([[0], np.cumsum([len(b) // 4 for b in got["buckets"]])]).astype(np.int64)
+    buckets = np.frombuffer(b"".join(got.pop("buckets")), "<i4")
+    shares = np.frombuffer(b"".join(got.pop("shares")), "<f4")
+    return ids, y, buckets, shares, bounds
 
 
 def logistic(z: np.ndarray) -> np.ndarray:
@@ -168,7 +169,7 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, id_col: str = "doc_id", text_col: str = "text", label: str = "quality",
+def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", label: str = "quality",
         rounds: int = 200, rate: float = 0.5, ridge: float = 1e-6) -> Model:
     """Fit on at most ``most`` labelled rows by Adam on all of them at once."""
     ids, y, buckets, shares, bounds = gather(docs, labels, most, id_col, text_col, label)
@@ -179,13 +180,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, id_col: str = "doc
     if len(np.unique(y[aside])) < 2:
         aside[:] = False
     learn = ~aside
-    used, where = np.unique(buckets, return_inverse=True)
-    row = np.repeat(np.arange(len(y)), np.diff(bounds))
-    w, m, v = (np.zeros(len(used) + 1) for _ in range(3))
+    used = np.unique(buckets)
+    where = np.searchsorted(used, buckets).astype(np.int32)
+    del buckets
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(bounds))
+    w, m, v = (np.zeros(len(used) + 1, np.float32) for _ in range(3))
     weight = np.where(y > 0, 0.5 / y[learn].sum(), 0.5 / (learn.sum() - y[learn].sum())) * learn
     for step in range(1, rounds + 1):
         z = np.bincount(row, weights=shares * w[where], minlength=len(y)) + w[-1]
-        error = (logistic(z) - y) * weight
+        error = ((logistic(z) - y) * weight).astype(np.float32)
         g = np.append(np.bincount(where, weights=shares * error[row], minlength=len(used)), error.sum()) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
