@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import exact_dedup, extraction, line_dedup, ngram_join, packing, pseudonyms, quality, toxicity, warc
+import corpus_pipeline
+from cohortry.llm import exact_dedup, extraction, line_dedup, ngram_join, packing, pieces, pseudonyms, quality, toxicity, warc
 from cohortry.llm.tables import read
 
-#: Key of the registered queries; users bring their own.
-PII_KEY = "key of the registered queries"
-
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -35,7 +33,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymize(docs, PII_KEY)
+    return pseudonyms.pseudonymize(docs, pseudonyms.SAMPLE_KEY)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +42,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(read(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -54,7 +58,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOG = {f.__name__: f for f in (
-    op1_quality_rules, op2_ngram_join, op3_toxicity, op4_warc, op5_html_extraction, op6_pii, op7_best_fit_packing, op9_exact_dedup, op10_line_dedup)}
+    op1_quality_rules, op2_ngram_join, op3_toxicity, op4_warc, op5_html_extraction, op6_pii, op7_best_fit_packing, op8_sentencepiece,
+    op9_exact_dedup, op10_line_dedup)}
+CATALOG["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
     "op9_exact_dedup": """

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.tables import slots_of, spread, stage
+from cohortry.llm.tables import fresh, slots_of, spread, stage
 
 
 def groups_of_copies(rows: DataFrame) -> DataFrame:
@@ -50,5 +50,6 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``copies`` does not keep, with all their columns."""
-    stays = copies(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(stays, docs[id_col] == stays["__kept_id"], "left_semi")
+    name = fresh(docs, "kept_id")
+    stays = copies(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(stays, F.col(id_col) == F.col(name), "left_semi")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm import similar
-from cohortry.llm.tables import stage
+from cohortry.llm.tables import fresh, stage
 
 
 def matched(pairs: DataFrame, first: DataFrame) -> DataFrame:
@@ -61,12 +61,13 @@ def drop_lines(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100,
                count_col: str | None = None) -> DataFrame:
     """``docs`` with the later matches taken out of its text; ``count_col`` names a column for their number, if wanted."""
     gone = removals(docs, shingle, num, den, id_col, text_col)
-    by_doc = gone.groupBy("id").agg(F.collect_list("item").alias("__gone"))
-    by_doc = by_doc.withColumnRenamed("id", "__gone_id")
-    joined = docs.join(by_doc, docs[id_col].cast("long").eqNullSafe(by_doc["__gone_id"]), "left")
-    lost = F.map_from_arrays("__gone", F.transform("__gone", lambda i: F.lit(True)))
+    key = fresh(docs, "gone_id")
+    items = fresh(docs, "gone_items")
+    by_doc = gone.groupBy(F.col("id").alias(key)).agg(F.collect_list("item").alias(items))
+    joined = docs.join(by_doc, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left")
+    lost = F.map_from_arrays(F.col(items), F.transform(items, lambda i: F.lit(True)))
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: F.coalesce(~lost[i.cast("long")], F.lit(True))), "\n")
-    out = joined.withColumn(text_col, F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept))
+    out = joined.withColumn(text_col, F.when(F.col(items).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept))
     if count_col:
-        out = out.withColumn(count_col, F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return out.drop("__gone", "__gone_id")
+        out = out.withColumn(count_col, F.coalesce(F.size(items), F.lit(0)).cast("long"))
+    return out.drop(key, items)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm import similar
-from cohortry.llm.tables import slots_of, spread, stage
+from cohortry.llm.tables import fresh, slots_of, spread, stage
 
 
 def links(job: similar.Job, items: DataFrame) -> DataFrame:
@@ -72,5 +72,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose component has a smaller id; all columns are kept."""
     found = near_duplicates(docs, shingle, num, den, id_col, text_col)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
+    name = fresh(docs, "gone_id")
+    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

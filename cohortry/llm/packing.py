@@ -45,7 +45,7 @@ _KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _SPACE
 
 
 class Units:
-    """Token ids of the units of texts. A unit is encoded when first seen, and kept in a table of two places by its hash."""
+    """Token ids of the units of texts. A unit is encoded when first seen."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,37 +57,16 @@ class Units:
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(1 << PLACES, np.uint64)
-        self.numbers = np.full(1 << PLACES, -1, np.int32)
+        self.places = W.Places(PLACES)
         self.count = 0
-        self.ids = np.zeros(1 << 16, np.uint16 if len(self.ends_word) <= 1 << 16 else np.uint32)
-        self.at = np.zeros(1 << 14, np.int64)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of known units, -1 for others."""
-        place = (hashes & np.uint64((1 << PLACES) - 1)).astype(np.int64)
-        out = np.where(self.keys[place] == hashes, self.numbers[place], -1)
-        other = np.flatnonzero(out < 0)
-        if len(other):
-            place = (hashes[other] >> np.uint64(64 - PLACES)).astype(np.int64)
-            out[other] = np.where(self.keys[place] == hashes[other], self.numbers[place], -1)
-        return out
-
-    def _put(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
-        place = (hashes & np.uint64((1 << PLACES) - 1)).astype(np.int64)
-        free = self.numbers[place] < 0
-        place[~free] = (hashes[~free] >> np.uint64(64 - PLACES)).astype(np.int64)
-        self.keys[place], self.numbers[place] = hashes, numbers
+        self.ids = W.Growing(np.uint16 if len(self.ends_word) <= 1 << 16 else np.uint32)
+        self.at = W.Growing(np.int64)
+        self.at.append(np.zeros(1, np.int64))
 
     def _add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        used, n = int(self.at[self.count]), len(lengths)
-        while used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.count + n + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.ids[used: used + len(ids)] = ids
-        self.at[self.count + 1: self.count + n + 1] = used + np.cumsum(lengths)
-        self.count += n
+        self.at.append(self.ids.size + np.cumsum(lengths))
+        self.ids.append(ids)
+        self.count += len(lengths)
 
     def learn(self, hashes: np.ndarray, texts: list[bytes], plain: np.ndarray) -> np.ndarray:
         """Encode unseen units; plain ones are single words for the tokenizer, so many are encoded as one text."""
@@ -105,7 +84,7 @@ class Units:
             self._add(ids, np.array([len(ids)]))
         numbers = np.empty(len(texts), np.int64)
         numbers[order] = np.arange(before, self.count)
-        self._put(hashes, numbers)
+        self.places.put(hashes, numbers)
         return numbers
 
     def encode(self, chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -135,20 +114,21 @@ class Units:
         if len(apart):  # case may matter to special tokens
             plain[apart := np.searchsorted(starts, chunk.starts[apart])] = False
             hashes[apart] = W.mix(chunk.span(chunk.prefix(), starts[apart], ends[apart]), 1)
-        units = self.find(hashes)
+        units = self.places.find(hashes)
         if len(missing := np.flatnonzero(units < 0)):
             if self.count + len(missing) > REMEMBERED:
                 self.forget()
-                units = self.find(hashes)
+                units = self.places.find(hashes)
                 missing = np.arange(len(hashes))
             new, first, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
             of = missing[first]
             units[missing] = self.learn(new, [data[s:e].tobytes() for s, e in zip(starts[of], ends[of], strict=True)], plain[of])[inverse]
-        begin = self.at[units]
-        size = self.at[units + 1] - begin
+        starts_of = self.at.used
+        begin = starts_of[units]
+        size = starts_of[units + 1] - begin
         at = np.zeros(len(units) + 1, np.int64)
         np.cumsum(size, out=at[1:])
-        ids = self.ids[np.arange(at[-1]) + np.repeat(begin - at[:-1], size)]
+        ids = self.ids.used[np.arange(at[-1]) + np.repeat(begin - at[:-1], size)]
         return ids, at[np.searchsorted(starts, chunk.at)]
 
 

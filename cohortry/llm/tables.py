@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.session import shared_dir, stage
 
-__all__ = ["read", "stage", "shared_dir", "slots_of", "SLOTS", "spread", "shuffle_partitions"]
+__all__ = ["read", "stage", "shared_dir", "slots_of", "SLOTS", "spread", "fresh"]
 
 #: A group's rows are dealt to so many places at most before they are combined.
 SLOTS = 16
@@ -19,8 +17,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slots_of(*keys: Column) -> Column:
@@ -32,16 +34,3 @@ def spread(groups: DataFrame, mask: str, slot: str) -> DataFrame:
     """One copy of a group's row for each place in which its members are; ``mask`` has a bit for each."""
     places = F.expr(f"filter(sequence(0, {SLOTS - 1}), i -> (shiftright({mask}, i) & 1) = 1)")
     return groups.withColumn(slot, F.explode(places)).drop(mask)
-
-
-def members(rows: DataFrame, keys: Sequence[str], row_id: str, totals: dict[str, tuple[str, str]]) -> DataFrame:
-    """``rows`` with the totals of their group: ``{name: (function, column)}`` with min, max, sum or bit_or as the function.
-
-    Rows of a group are combined where they are, then by place in the group, then as a whole; the totals go back by place, so no
-    task gets more than a share of the group's rows.
-    """
-    placed = rows.withColumn("__slot", slots_of(F.col(row_id)))
-    local = placed.groupBy(*keys, "__slot").agg(*[getattr(F, f)(c).alias(name) for name, (f, c) in totals.items()])
-    whole = (local.withColumn("__mask", F.expr("shiftleft(1L, __slot)")).groupBy(*keys)
-             .agg(F.bit_or("__mask").alias("__mask"), *[getattr(F, f)(name).alias(name) for name, (f, _) in totals.items()]))
-    return placed.join(spread(whole, "__mask", "__slot"), [*keys, "__slot"]).drop("__slot")

@@ -168,3 +168,45 @@ def distinct(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
     new[0] = True
     new[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
     return values[new], row[new]
+
+
+class Places:
+    """Numbers by 64-bit hash, in a table of fixed size with two places for each; a number that finds neither free takes one over."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.numbers = np.full(1 << bits, -1, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers, -1 for unknown hashes."""
+        place = (hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        out = np.where(self.keys[place] == hashes, self.numbers[place], -1).astype(np.int64)
+        other = np.flatnonzero(out < 0)
+        if len(other):
+            place = (hashes[other] >> np.uint64(64 - self.bits)).astype(np.int64)
+            out[other] = np.where(self.keys[place] == hashes[other], self.numbers[place], -1)
+        return out
+
+    def put(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        place = (hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        taken = self.numbers[place] >= 0
+        place[taken] = (hashes[taken] >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.keys[place], self.numbers[place] = hashes, numbers
+
+
+class Growing:
+    """An array that numbers are appended to."""
+
+    def __init__(self, dtype: type):
+        self.data, self.size = np.zeros(1 << 12, dtype), 0
+
+    def append(self, values: np.ndarray) -> None:
+        while self.size + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[self.size: self.size + len(values)] = values
+        self.size += len(values)
+
+    @property
+    def used(self) -> np.ndarray:
+        return self.data[: self.size]
