@@ -120,7 +120,7 @@ class Job:
     # -- index lists --------------------------------------------------------------------------------------------------------------
 
     def lists(self) -> DataFrame:
-        """Entries ``(token, place, node, size, pos, ord, head, before)`` of all lists with two nodes or more in a place."""
+        """Entries ``(token, place, node, size, pos, ord, head, before)`` of all lists with two nodes or more, or with places (from 0)."""
         job, num, den = _Light(self), self.num, self.den
         places = np.maximum(1, -(-self.counts // CROWDED))[np.argsort(self.rank)]  # by rank
 
@@ -142,7 +142,7 @@ class Job:
                     keep = new[row] & (pos < prefix[row])
                     tokens, row, pos = tokens[keep], row[keep], pos[keep]
                     spread = places[(tokens >> np.uint64(48)).astype(np.int64)]
-                    place = (node[row].view(np.uint64) % spread.astype(np.uint64)).astype(np.int32)
+                    place = np.where(spread > 1, (node[row].view(np.uint64) % spread.astype(np.uint64)).astype(np.int32), -1).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(place), pa.array(node[row]), pa.array(size[row].astype(np.int32)),
                                                       pa.array(pos.astype(np.int32)), pa.array(ids[rows[row]])],
                                                      ["token", "place", "node", "size", "pos", "ord"])
@@ -153,7 +153,7 @@ class Job:
         order = Window.partitionBy("token", "place").orderBy("ord", "node")
         entry = F.struct("node", "size", "pos")
         entries = entries.select("*", F.lag(entry).over(order).alias("before"), F.first(entry).over(order).alias("head"), F.lead("node").over(order).alias("after"))
-        return stage(entries.where("before is not null or after is not null").drop("after"), "lists")
+        return stage(entries.where("before is not null or after is not null or place >= 0").drop("after"), "lists")
 
     def possible(self, a: str, b: str) -> Column:
         """Whether two entries of a list may be similar, by their sizes and positions."""
