@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from cohortry.plans.catalog import CATALOG  # noqa: E402
-from cohortry.session import release, session  # noqa: E402
+from cohortry.session import scratch, session  # noqa: E402
 
 HEADLINE = [
     "prevalence_by_group", "crosstab_margins", "chi_square", "pairwise_chi_square", "table_summary", "missing_profile",
@@ -32,9 +32,9 @@ def main() -> None:
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()
-        CATALOG[name](spark, folder).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
-        release(spark)
+        with scratch(spark):
+            CATALOG[name](spark, folder).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - start, 3)
     spark.stop()
     print(json.dumps({"metric": "total wall time of the headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(folder.rstrip("/"))}))

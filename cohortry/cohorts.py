@@ -33,15 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan with fewer splits than cores to all cores. A large table has more splits and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _cohort(spark: SparkSession, sf_dir: str, sql: str, tables: list[str]) -> DataFrame:
     frames = {name: table(spark, sf_dir, name) for name in tables}
-    frames[tables[0]] = spread(frames[tables[0]])
     for name in tables:
         sql = sql.replace(f"FROM {name} ", f"FROM {{{name}}} ").replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
     return spark.sql(sql, **frames)

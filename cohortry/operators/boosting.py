@@ -301,21 +301,6 @@ def _advanced(rows: DataFrame, recent: list[dict[int, Node]], width: int) -> Dat
     return rows.withColumn("margin", F.col("margin") + gained("b"))
 
 
-def margin_expression(model: BoostedModel) -> Column:
-    """M8: the model as nested conditions; stays inside the JVM, for models of moderate size."""
-    def branch(tree: dict[int, Node], i: int) -> Column:
-        node = tree[i]
-        if node.feature < 0:
-            return F.lit(float(node.value))
-        goes_left = F.col(model.features[node.feature]) < F.lit(node.cut)
-        return F.when(goes_left, branch(tree, 2 * i)).otherwise(branch(tree, 2 * i + 1))
-
-    total = F.lit(float(model.base_margin))
-    for tree in model.trees:
-        total = total + branch(tree, 1)
-    return total
-
-
 def margins(model: BoostedModel, x: np.ndarray) -> np.ndarray:
     """Margins of a block of raw feature rows."""
     out = np.full(len(x), model.base_margin)
@@ -330,17 +315,13 @@ def margins(model: BoostedModel, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(model: BoostedModel, df: DataFrame, name: str = "probability", expression_nodes: int = 300) -> DataFrame:
-    """M8: add the positive-class probability; conditions for a small model, Arrow batches for a large one."""
-    if sum(map(len, model.trees)) <= expression_nodes:
-        margin = margin_expression(model)
-    else:
-        @F.pandas_udf(DoubleType())
-        def walked(*columns: pd.Series) -> pd.Series:
-            return pd.Series(margins(model, np.column_stack([c.to_numpy(dtype=float) for c in columns])))
+def score(model: BoostedModel, df: DataFrame, name: str = "probability") -> DataFrame:
+    """M8: add the positive-class probability, in Arrow batches whatever the size of the model."""
+    @F.pandas_udf(DoubleType())
+    def walked(*columns: pd.Series) -> pd.Series:
+        return pd.Series(margins(model, np.column_stack([c.to_numpy(dtype=float) for c in columns])))
 
-        margin = walked(*[F.col(f) for f in model.features])
-    return df.withColumn(name, 1 / (1 + F.exp(-margin)))
+    return df.withColumn(name, 1 / (1 + F.exp(-walked(*[F.col(f) for f in model.features]))))
 
 
 def score_binned(model: BoostedModel, rows: DataFrame, name: str = "probability") -> DataFrame:

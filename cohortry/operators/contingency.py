@@ -39,9 +39,8 @@ def cell_counts(df: DataFrame, rows: Sequence[str], col: str) -> DataFrame:
 
 def crosstab_dense(cells: DataFrame) -> DataFrame:
     """A4: all combinations of the levels found, empty cells as zero."""
-    levels = cells.groupBy("variable").agg(F.collect_set("row_level").alias("r"), F.collect_set("col_level").alias("c"))
-    grid = (levels.select("variable", "c", F.explode("r").alias("row_level"))
-            .select("variable", "row_level", F.explode("c").alias("col_level")))
+    rows, cols = (cells.select("variable", c).distinct() for c in ("row_level", "col_level"))
+    grid = rows.join(cols, "variable")
     return (grid.join(cells, ["variable", "row_level", "col_level"], "left")
             .withColumn("n", F.coalesce("n", F.lit(0).cast("long"))))
 

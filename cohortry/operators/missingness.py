@@ -118,16 +118,24 @@ def missing_share(df: DataFrame, target: str) -> DataFrame:
 
 
 def missing_odds(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
-    """Logistic regression of the missing flag: coefficients and odds ratios."""
+    """Logistic regression of the missing flag: coefficients, odds ratios, and how many rows had all inputs or lacked one.
+
+    Rows that lack an input cannot enter the model; they are counted, not dropped in silence.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     known = df.select(X.missing_flag(target).cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in columns])
-    ready = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(known)
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(c)
+    sizes = known.agg(F.count_if(whole).alias("used"), F.count_if(~whole).alias("lacking")).first()
+    ready = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error").transform(known.filter(whole))
     model = LogisticRegression(maxIter=50, regParam=0.0).fit(ready.select("label", "features"))
     rows = [(c, float(w)) for c, w in zip(["intercept", *columns], [model.intercept, *model.coefficients])]
     out = df.sparkSession.createDataFrame(rows, "feature string, coefficient double")
-    return out.withColumn("odds_ratio", F.exp("coefficient"))
+    return (out.withColumn("odds_ratio", F.exp("coefficient"))
+            .withColumns({"n_used": F.lit(sizes["used"]).cast("long"), "n_lacking": F.lit(sizes["lacking"]).cast("long")}))
 
 
 def mean_fill_contrast(df: DataFrame, target: str, other: str) -> DataFrame:

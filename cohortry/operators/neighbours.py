@@ -210,7 +210,7 @@ def weighted_mean(gap2: float = 1.0, upto: int | None = None) -> Column:
     """Mean of the donor values weighted by 1 / distance; ``gap2`` is the fixed part of the squared distance.
 
     A receiver lacks the value, so its missing flag differs from every donor's: that adds ``gap2`` (1 after
-    scaling a 0/1 flag). Rescaling for the missing coordinate multiplies all distances alike and cancels.
+    scaling a 0/1 flag). Rescaling for missing coordinates cancels where all donors share it.
     """
     weight = 1 / F.sqrt(F.col("d2") + F.lit(gap2))
     if upto is not None:
@@ -218,16 +218,57 @@ def weighted_mean(gap2: float = 1.0, upto: int | None = None) -> Column:
     return F.sum(F.col("value") * weight) / F.sum(weight)
 
 
+def _patterns(df: DataFrame, coords: Sequence[str]) -> list[list[str]]:
+    """The sets of known coordinates that occur (at most two to the number of coordinates)."""
+    flags = df.select(*[F.col(c).isNotNull().alias(f"k{i}") for i, c in enumerate(coords)]).distinct().collect() if coords else [()]
+    return [[c for c, known in zip(coords, row) if known] for row in sorted(flags, reverse=True)]
+
+
+def _with_pattern(df: DataFrame, coords: Sequence[str], known: Sequence[str]) -> DataFrame:
+    for c in coords:
+        df = df.filter(F.col(c).isNotNull() if c in known else F.col(c).isNull())
+    return df
+
+
 def fill_missing(df: DataFrame, target: str, coords: Sequence[str], key: str, donors: DataFrame | None = None,
                  k: int = 10, gap2: float = 1.0, **options) -> DataFrame:
-    """fill NULLs of ``target`` from the nearest ``donors`` (default: the rows of ``df`` that have it)."""
-    donors = df if donors is None else donors
+    """fill NULLs of ``target`` from the nearest ``donors`` (default: the rows of ``df`` that have it).
+
+    A distance is taken over the coordinates that both rows know, and scaled up by the share that they are of all (with the
+    target and its flag), so every receiver is filled, whatever it lacks. Receivers and donors are dealt with by the set of
+    coordinates they know.
+    """
+    coords = list(coords)
+    donors = (df if donors is None else donors).filter(F.col(target).isNotNull())
     lacking = df.filter(F.col(target).isNull())
-    found = nearest(lacking, donors.filter(F.col(target).isNotNull()), coords, key, target, k, **options)
-    fills = found.groupBy(*coords).agg(weighted_mean(gap2).alias("_fill"))
-    filled = (lacking.drop(target).join(fills, list(coords), "left")
-              .withColumnRenamed("_fill", target).select(*df.columns))
-    return df.filter(F.col(target).isNotNull()).unionByName(filled)
+    out = df.filter(F.col(target).isNotNull())
+    owned = _patterns(donors, coords)
+    for known in _patterns(lacking, coords):
+        mine = _with_pattern(lacking, coords, known)
+        places = mine.select(*known).distinct() if known else mine.select(F.lit(0).alias("_one")).limit(1)
+        parts = []
+        for n, theirs in enumerate(owned):
+            shared = [c for c in known if c in theirs]
+            pool = _with_pattern(donors, coords, theirs)
+            if shared:
+                found = nearest(places, pool, shared, key, target, k, **options)
+                met = places.join(found, shared)
+            else:
+                found = pool.orderBy(key).limit(k).select(F.lit(0.0).alias("d2"), F.row_number().over(Window.orderBy(key)).alias("rank"),
+                                                          F.col(target).cast("double").alias("value"))
+                met = places.join(found, F.lit(True))
+            scale = (len(coords) + 2) / (len(shared) + 1)
+            parts.append(met.select(*places.columns, ((F.col("d2") + gap2) * scale).alias("d2"), F.lit(n).alias("_n"), "rank", "value"))
+        best = parts[0]
+        if len(parts) > 1:
+            for more in parts[1:]:
+                best = best.unionByName(more)
+            order = Window.partitionBy(*places.columns).orderBy("d2", "_n", "rank")
+            best = best.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k)
+        fills = best.groupBy(*places.columns).agg(weighted_mean(0.0).alias("_fill"))
+        joined = mine.drop(target).join(fills, known, "left") if known else mine.drop(target).join(fills.drop("_one"), F.lit(True), "left")
+        out = out.unionByName(joined.withColumnRenamed("_fill", target).select(*df.columns))
+    return out
 
 
 def imputation_quality(df: DataFrame, target: str, coords: Sequence[str], key: str, ks: Sequence[int] = (1, 3, 5, 7, 10),

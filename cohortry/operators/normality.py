@@ -39,13 +39,14 @@ def k_squared_test(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return tested.select("feature", "n", "statistic", F.exp(-F.col("statistic") / 2).alias("p_value"))
 
 
-def w_test(df: DataFrame, columns: Sequence[str], limit: int = SHAPIRO_LIMIT) -> DataFrame:
-    """Shapiro-Wilk for the columns with 3 <= n < ``limit``: ``(feature, n, statistic, p_value)``.
+def w_test(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Shapiro-Wilk for every column with three values or more: ``(feature, n, statistic, p_value)``.
 
-    The limit is the test's own: above it the K2 test is used.
+    The ranks come from ranges of the order, so any size is within reach; the weights are an approximation that was
+    published for up to 5,000 values.
     """
     sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    fit = [c for c in columns if 3 <= sizes[c] < limit]
+    fit = [c for c in columns if sizes[c] >= 3]
     if not fit:
         return df.sparkSession.createDataFrame([], "feature string, n long, statistic double, p_value double")
     size_of = F.create_map(*[x for c in fit for x in (F.lit(c), F.lit(sizes[c]).cast("long"))])
@@ -85,9 +86,10 @@ def w_test(df: DataFrame, columns: Sequence[str], limit: int = SHAPIRO_LIMIT) ->
 
 
 def distribution_table(df: DataFrame, columns: Sequence[str], alpha: float = 0.05, limit: int = SHAPIRO_LIMIT) -> DataFrame:
-    """Moments, the test that suits the size, verdict and scaler advice."""
+    """Moments, the test recommended for the size, verdict and scaler advice."""
     shape = moments(df, columns)
-    small = w_test(df, columns, limit).select("feature", F.col("p_value").alias("w_p"))
+    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    small = w_test(df, [c for c in columns if sizes[c] < limit]).select("feature", F.col("p_value").alias("w_p"))
     table = X.with_k_squared(shape.join(small, "feature", "left"), "k2")
     big = F.col("n") >= limit
     normal = F.col("p_value") > alpha
@@ -111,7 +113,7 @@ def _lookup(values: dict[str, float], dtype: str = "double"):
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
-    """``(feature, bin, lower, n, density)``; empty bins are left out."""
+    """``(feature, bin, lower, n, density)``, every bin of every column that has values."""
     stats = _ranges(df, columns)
     known = [c for c in columns if stats[c]["n"]]
     low = _lookup({c: stats[c]["lo"] for c in known})
@@ -120,7 +122,10 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFram
     lows = {c: float(stats[c]["lo"]) - (0.5 if stats[c]["hi"] == stats[c]["lo"] else 0.0) for c in known}
     low, width = _lookup(lows), _lookup({c: s / bins for c, s in spans.items()})
     number = F.least(F.floor((F.col("value") - low) / width), F.lit(bins - 1))
-    counted = tall(df, known).select("feature", number.alias("bin")).groupBy("feature", "bin").agg(F.count("*").alias("n"))
+    counted = tall(df, known).select("feature", number.cast("int").alias("bin")).groupBy("feature", "bin").agg(F.count("*").alias("n"))
+    names = df.sparkSession.createDataFrame([(c,) for c in known], "feature string")
+    grid = names.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    counted = grid.join(counted, ["feature", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     total = _lookup({c: stats[c]["n"] for c in known})
     return counted.select("feature", "bin", (low + F.col("bin") * width).alias("lower"), "n",
                           (F.col("n") / total / width).alias("density"))

@@ -1,64 +1,26 @@
 """Exact running totals and ranks along an order, without a window that puts the whole table in one task.
 
-Rows are cut into ranges of the order; a window runs inside each range and the totals of the earlier ranges
-are added. The cut points come from a sample of bounded size and become literals of the plan, so that both
-passes agree on them even when a lost executor makes Spark compute a partition again.
+Spark deals the rows to ranges of the order, about equally many to each, and the ranges are written with their numbers; a window
+runs inside each range and the totals of the earlier ranges are added. The written numbers hold for every later pass, also when
+a lost executor makes Spark compute a partition again. The number of ranges follows the number of rows, whatever it is.
 """
 
 from __future__ import annotations
 
-import json
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortry.session import stage
 
-SAMPLE_ROWS = 16384
-ROWS_PER_RANGE = 50_000
-MAX_RANGES = 1024
+ROWS_PER_RANGE = 250_000
 
 
-def cut_points(df: DataFrame, keys: Sequence[str], sample_rows: int, rows_per_range: int) -> list[dict]:
-    """Cut points of near-equal ranges of ``keys``; empty when the table fits the sample.
-
-    The sample holds the rows whose hash falls below a share set from the row count, so its size is bounded
-    whatever the number of tasks. ``df`` is a staged table: its count comes from the file footers.
-    """
-    rows = df.count()
-    if rows <= sample_rows:
-        return []
-    hashed = F.shiftrightunsigned(F.xxhash64(*keys), 1).cast("double")
-    sample = df.filter(hashed < sample_rows / rows * 2.0**63).select(*keys).collect()
-    ranges = int(min(MAX_RANGES, max(2, math.ceil(rows / rows_per_range))))
-    values = sorted(tuple((v is not None, 0 if v is None else v) for v in row) for row in sample)
-    picked = sorted({values[len(values) * i // ranges] for i in range(1, ranges)}) if values else []
-    return [{k: (v if known else None) for k, (known, v) in zip(keys, point)} for point in picked]
-
-
-def with_range(df: DataFrame, keys: Sequence[str], points: list[dict], name: str = "_range") -> DataFrame:
-    """Add the number of cut points not above the row: a search over blocks of cut points, then one inside the block."""
-    if not points:
-        return df.withColumn(name, F.lit(0))
-    row_type = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
-    width = math.isqrt(len(points) - 1) + 1
-    blocks = [points[i:i + width] for i in range(0, len(points), width)]
-
-    def literal(value, dtype):
-        return F.from_json(F.lit(json.dumps(value)), dtype)
-
-    def below(cuts: Column) -> Column:
-        row = F.struct(*[F.col(k) for k in keys])
-        return F.size(F.filter(cuts, lambda p: p <= row))
-
-    heads = literal([b[0] for b in blocks], T.ArrayType(row_type))
-    groups = literal(blocks, T.ArrayType(T.ArrayType(row_type)))
-    block = F.col("_block") - 1
-    inside = block * width + below(F.get(groups, F.greatest(block, F.lit(0))))
-    return df.withColumn("_block", below(heads)).withColumn(name, F.when(block < 0, 0).otherwise(inside)).drop("_block")
+def with_ranges(df: DataFrame, keys: Sequence[str], rows: int, rows_per_range: int, name: str = "_range") -> DataFrame:
+    """A written copy of ``df`` with the number of each row's range of ``keys``."""
+    ranges = max(1, -(-rows // rows_per_range))
+    return stage(df.repartitionByRange(ranges, *[F.col(k) for k in keys]).withColumn(name, F.spark_partition_id()), "ranges")
 
 
 def running(
@@ -68,29 +30,24 @@ def running(
     by: Sequence[str] = (),
     descending: bool = False,
     following: dict[str, str] | None = None,
-    sample_rows: int = SAMPLE_ROWS,
     rows_per_range: int = ROWS_PER_RANGE,
     staged: bool = False,
 ) -> DataFrame:
     """Add inclusive running totals ``sums`` (new name -> numeric column) along ``order`` within ``by``.
 
     ``following`` (new name -> column) adds the value of the next row in the order. ``order`` within ``by``
-    must be unique, so that the result does not depend on how ties fall. The input is read several times and
-    is therefore staged first, unless the caller has done so.
+    must be unique, so that the result does not depend on how ties fall. The input is staged first, for its count and for the
+    sample that Spark cuts the ranges by, unless the caller has done so.
     """
     following = following or {}
     keys = [*by, *order]
     df = df if staged else stage(df, "ordered")
-    points = cut_points(df, keys, sample_rows, rows_per_range)
     arrange = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    ranged = with_range(df, keys, points)
+    ranged = with_ranges(df, keys, df.count(), rows_per_range)
     inner = Window.partitionBy(*by, "_range").orderBy(*arrange)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = {name: F.sum(source).over(upto) for name, source in sums.items()}
     cols.update({name: F.lead(source).over(inner) for name, source in following.items()})
-    if not points:
-        return ranged.withColumns(cols).drop("_range")
-
     if following:
         cols["_last"] = F.lead(F.lit(1)).over(inner).isNull()
     first = F.max_by if descending else F.min_by

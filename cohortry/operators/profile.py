@@ -112,12 +112,6 @@ def cardinality(df: DataFrame, columns: Sequence[str], low_ratio: float = 0.01)
                     "low_cardinality").orderBy("ratio", "feature"))
 
 
-def approximate_cardinality(df: DataFrame, columns: Sequence[str], error: float = 0.02) -> DataFrame:
-    """Distinct counts from sketches: one narrow pass, for very wide or very long tables."""
-    counted = df.agg(*[F.approx_count_distinct(c, error).alias(c) for c in columns])
-    return unfold(counted, [F.struct(F.lit(c).alias("feature"), F.col(c).alias("unique_values")) for c in columns])
-
-
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 3) -> DataFrame:
     """The most frequent values per column; equal counts in value order."""
     order = Window.partitionBy("feature").orderBy(F.desc("n"), "value")

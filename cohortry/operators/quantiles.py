@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from cohortry.operators.ordering import running
 
 ACCURACY = 10_000
-DRIVER_ROWS = 20_000
 
 
 def tall(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), dtype: str = "double") -> DataFrame:
@@ -29,11 +28,7 @@ def value_counts(df: DataFrame, columns: Sequence[str], dtype: str = "double") -
 
 
 def quantile_rows(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    accuracy: int = ACCURACY,
-    driver_rows: int = DRIVER_ROWS,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY,
 ) -> dict[str, dict[float, float]]:
     """``{column: {p: quantile}}``, exact; NULLs are left out and an all-NULL column gives None."""
     slack = 2.0 / accuracy
@@ -62,22 +57,12 @@ def quantile_rows(
     inside = (df.select(F.inline(F.array(*pairs))).filter(F.col("band") >= 0)
               .groupBy("feature", "band", "value").agg(F.count("*").alias("n")))
     positions = {(c, p): p * (sizes[c] - 1) for c in columns if sizes[c] for p in probs}
-    rows = inside.limit(driver_rows + 1).collect()
-    if len(rows) <= driver_rows:
-        covered = []
-        ordered = sorted(rows, key=lambda r: (r["feature"], r["band"], -math.inf if r["value"] is None else r["value"]))
-        upto, previous = 0, None
-        for r in ordered:
-            upto = r["n"] + (upto if r["feature"] == previous else 0)
-            previous = r["feature"]
-            covered.append((r["feature"], r["value"], r["n"], upto))
-    else:
-        cumulative = running(inside, ["band", "value"], {"upto": "n"}, by=["feature"])
-        chosen = F.lit(False)
-        for (c, _), position in positions.items():
-            for rank in {math.floor(position), math.ceil(position)}:
-                chosen = chosen | ((F.col("feature") == c) & (F.col("upto") - F.col("n") <= rank) & (F.col("upto") > rank))
-        covered = [(r["feature"], r["value"], r["n"], r["upto"]) for r in cumulative.filter(chosen).collect()]
+    cumulative = running(inside, ["band", "value"], {"upto": "n"}, by=["feature"])
+    chosen = F.lit(False)
+    for (c, _), position in positions.items():
+        for rank in {math.floor(position), math.ceil(position)}:
+            chosen = chosen | ((F.col("feature") == c) & (F.col("upto") - F.col("n") <= rank) & (F.col("upto") > rank))
+    covered = [(r["feature"], r["value"], r["n"], r["upto"]) for r in cumulative.filter(chosen).collect()]
 
     for (c, p), position in positions.items():
         ends = []
@@ -112,10 +97,3 @@ def _from_all_values(df: DataFrame, column: str, position: float) -> float:
 
     row = counts.agg(at(low).alias("low"), at(high).alias("high")).first()
     return row["low"] + (row["high"] - row["low"]) * (position - low)
-
-
-def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], **options) -> DataFrame:
-    """The same as a table ``(feature, p, q)``."""
-    found = quantile_rows(df, columns, probs, **options)
-    rows = [(c, float(p), q) for c, per in found.items() for p, q in per.items()]
-    return df.sparkSession.createDataFrame(rows, "feature string, p double, q double")

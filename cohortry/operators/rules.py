@@ -181,12 +181,19 @@ def outlier_examples(df: DataFrame, key: str, column: str, threshold: float, exa
     return counted.select(name, "n_outliers").join(first.select(name, text.alias("examples")), "column_name")
 
 
+class MissingLevel(ValueError):
+    """A required level does not occur; ``levels`` is the table of all levels found with their counts."""
+
+    def __init__(self, column: str, level: str, levels: DataFrame):
+        self.levels = levels
+        super().__init__(f"{column} must contain {level!r}; levels found: {[r[column] for r in levels.orderBy(column).toLocalIterator()]}")
+
+
 def require_level(df: DataFrame, column: str, level: str) -> DataFrame:
     """V7: raise, naming the levels found, unless ``level`` occurs in ``column``."""
     levels = df.groupBy(column).agg(F.count("*").alias("n"))
     if levels.filter(F.col(column) == level).isEmpty():
-        found = [r[column] for r in levels.orderBy(F.desc("n"), column).limit(100).collect()]
-        raise ValueError(f"{column} must contain {level!r}; most frequent levels: {found}")
+        raise MissingLevel(column, level, levels)
     return df
 
 

@@ -15,7 +15,7 @@ from cohortry.operators import (boosting, contingency, explain, fairness, metric
                                 rules, splitting)
 from cohortry.plans import evaluation, features, reports, scoring, training
 from cohortry.session import shared_dir, stage
-from cohortry.sources import readers
+from cohortry.sources import readers, writers
 from cohortry.streaming import scoring as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,6 +290,37 @@ def validate_report(c):
     return rules.report(c, LINE_FIELDS)
 
 
+@query()
+def dirty_report(c):
+    """Texts that are no numbers, numbers below their bound, missing values and an undeclared level, counted by the rules."""
+    start = F.substring("rid", 1, 1)
+    dirty = c.select(F.when(start == "0", "many").when(start == "1", "-3").otherwise(F.col("qty").cast("string")).alias("qty"),
+                     F.when(start == "2", None).otherwise(F.col("closed")).alias("closed"),
+                     F.when(start == "3", "Z").otherwise(F.col("rflag")).alias("rflag"))
+    return rules.report(dirty, [rules.Field("qty", "double", above=0), rules.Field("closed", "int", allowed=(0, 1)),
+                                rules.Field("rflag", "string", allowed=("A", "N", "R"), must_contain="N")])
+
+
+@query()
+def csv_round_trip(c):
+    """Written as CSV with its missing values, read back as text, checked for its columns, and coerced."""
+    spark = c.sparkSession
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    names = [f.name for f in LINE_FIELDS]
+    writers.write_table(c.select("rid", *names), path, "csv")
+    back = readers.read_csv(spark, path)
+    assert not rules.column_differences(back, LINE_FIELDS, ["rid"])
+    whole = rules.coerce(back, LINE_FIELDS)
+    assert rules.drop_key(whole, "rid").columns == names
+    return rounded(whole.select("rid", *names))
+
+
+@query()
+def plain_names(c):
+    named = c.select(F.concat(F.lit("categorical__segment_"), "segment").alias("feature"))
+    return named.groupBy(X.plain_name(F.col("feature")).alias("feature")).agg(F.count("*").alias("n"))
+
+
 @query()
 def outlier_warning(c):
     return rules.outlier_examples(c, "rid", "price", 100000.0).drop("examples")
@@ -549,11 +580,11 @@ def _attributed(c):
 @query()
 def shap_values(c):
     """Attributions of all rows, with the margin they must add up to."""
-    t, wide = _attributed(c)
-    sums = explain.tall(wide, t.model.features, "rid").groupBy("rid").agg(F.sum("phi").alias("total"))
-    base = explain.base_value(t.model)
+    t = training.train(c, LINE_SPEC, SHORT)
+    wide = explain.attribute(t.model, t.scored, "rid", keep=["probability"])
+    total = F.aggregate("phi", F.lit(0.0), lambda s, x: s + x) + explain.base_value(t.model)
     logit = F.log(F.col("probability") / (1 - F.col("probability")))
-    return rounded(t.scored.join(sums, "rid").select("rid", (F.col("total") + base).alias("margin"), logit.alias("logit")), 5)
+    return rounded(wide.select("rid", total.alias("margin"), logit.alias("logit")), 5)
 
 
 @query()

@@ -81,12 +81,14 @@ def scaler_stats(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, float
 
 
 def category_levels(df: DataFrame, columns: Sequence[str], most: int = 10_000) -> dict[str, list[str]]:
-    """sorted levels per column. Each one but the first becomes a column, so more than ``most`` is an error."""
+    """sorted levels per column. Each one but the first becomes a column, so more than ``most`` in one column is an error."""
     if not columns:
         return {}
-    found = tall(df, columns, dtype="string").distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"more than {most} levels in {', '.join(columns)}: too many to encode as columns")
+    levels = stage(tall(df, columns, dtype="string").distinct(), "levels")
+    wide = [r["feature"] for r in levels.groupBy("feature").count().filter(F.col("count") > most).collect()]
+    if wide:
+        raise ValueError(f"more than {most} levels in {', '.join(sorted(wide))}: too many to encode as columns")
+    found = levels.collect()
     return {c: sorted(r["value"] for r in found if r["feature"] == c) for c in columns}
 
 
@@ -121,9 +123,3 @@ def apply(state: FeatureState, df: DataFrame, keep: Sequence[str] = (), **option
     coords = [f"numerical__{c}" for c in state.numeric if c != state.imputed]
     return fill_missing(table, f"numerical__{state.imputed}", coords, state.key, state.donors, state.neighbours,
                         gap2=1.0 / state.scale[state.flag] ** 2, **options)
-
-
-def state_table(state: FeatureState, spark: SparkSession) -> DataFrame:
-    rows = [(c, "centre", state.centre[c], None) for c in state.centre] + [(c, "scale", state.scale[c], None) for c in state.scale]
-    rows += [(c, "level", float(i), v) for c in state.categorical for i, v in enumerate(state.levels[c])]
-    return spark.createDataFrame(rows, "feature string, kind string, value double, level string")

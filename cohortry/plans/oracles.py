@@ -223,7 +223,7 @@ w AS (SELECT *, m1 / sqrt(mm) + 0.221157 * u - 0.147981 * pow(u, 2) - 2.071190 *
 x AS (SELECT *, (mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) AS phi FROM w),
 y AS (SELECT s.feature, s.n, value, CASE WHEN i = 1 THEN -a1 WHEN i = s.n THEN a1 WHEN i = 2 THEN -a2 WHEN i = s.n - 1 THEN a2 ELSE m / sqrt(phi) END AS a
       FROM s JOIN x ON s.feature = x.feature)
-SELECT feature, n, round(pow(sum(a * value), 2) / (var_pop(value) * n), 6) AS statistic FROM y WHERE n < 5000 GROUP BY feature, n"""
+SELECT feature, n, round(pow(sum(a * value), 2) / (var_pop(value) * n), 6) AS statistic FROM y GROUP BY feature, n"""
 
 _edge = "pow(CAST(0.5 AS DOUBLE), CAST(1 AS DOUBLE) / n)"
 QQ = f"""r AS (SELECT feature, rid, value, row_number() OVER (PARTITION BY feature ORDER BY value, rid) AS rank, count(*) OVER (PARTITION BY feature) AS n FROM t),
@@ -236,8 +236,10 @@ SELECT feature, count(*) AS n, round(regr_slope(value, theoretical), 3) AS slope
 
 ORACLES["histogram"] = f"""{LINE}, t AS ({tall(LINE_NUMERIC)}),
 m AS (SELECT feature, min(value) AS lo, (max(value) - min(value)) / 50 AS w, count(*) AS total FROM t GROUP BY feature),
-b AS (SELECT t.feature, CAST(least(floor((value - lo) / w), 49) AS BIGINT) AS bin, count(*) AS n FROM t JOIN m ON t.feature = m.feature GROUP BY ALL)
-SELECT b.feature, bin, round(lo + bin * w, 9) AS lower, n, round(n / total / w, 9) AS density FROM b JOIN m ON b.feature = m.feature"""
+b AS (SELECT t.feature, CAST(least(floor((value - lo) / w), 49) AS BIGINT) AS bin, count(*) AS n FROM t JOIN m ON t.feature = m.feature GROUP BY ALL),
+g AS (SELECT m.*, i AS bin FROM m CROSS JOIN range(50) r(i))
+SELECT g.feature, g.bin, round(lo + g.bin * w, 9) AS lower, coalesce(n, 0) AS n, round(coalesce(n, 0) / total / w, 9) AS density
+FROM g LEFT JOIN b ON b.feature = g.feature AND b.bin = g.bin"""
 ORACLES["kde"] = f"""{DOC}, t AS ({tall(['n_chars', 'n_words'])}),
 m AS (SELECT feature, min(value) AS lo, (max(value) - min(value)) / 99 AS step, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h FROM t GROUP BY feature),
 g AS (SELECT m.*, p AS point, lo + p * step AS x FROM m CROSS JOIN range(100) r(p))
@@ -255,6 +257,18 @@ SELECT t.feature, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 + 1.5 * (q3 -
        round(100.0 * count(*) FILTER (value > q3 + 1.5 * (q3 - q1)) / count(*), 6) AS outlier_pct
 FROM t JOIN m ON t.feature = m.feature GROUP BY t.feature, q1, q3"""
 
+_start = "substr(rid, 1, 1)"
+ORACLES["dirty_report"] = f"""{LINE},
+d AS (SELECT {_start} = '0' AS text, {_start} = '1' AS low, {_start} = '2' AS gone, {_start} = '3' AS other, rflag, closed FROM c)
+SELECT 'qty' AS column_name, 'type double' AS check_name, 'error' AS severity, count(*) FILTER (text) AS n_failed FROM d
+UNION ALL SELECT 'qty', 'not null', 'error', 0 UNION ALL SELECT 'qty', 'greater than 0', 'error', count(*) FILTER (low) FROM d
+UNION ALL SELECT 'closed', 'type int', 'error', 0 UNION ALL SELECT 'closed', 'not null', 'error', count(*) FILTER (gone) FROM d
+UNION ALL SELECT 'closed', 'allowed values', 'error', 0 UNION ALL SELECT 'rflag', 'type string', 'error', 0
+UNION ALL SELECT 'rflag', 'not null', 'error', 0 UNION ALL SELECT 'rflag', 'allowed values', 'error', count(*) FILTER (other) FROM d
+UNION ALL SELECT 'rflag', 'must contain N', 'error', CAST(count(*) FILTER (rflag = 'N' AND NOT other) = 0 AS BIGINT) FROM d"""
+ORACLES["csv_round_trip"] = f"""{LINE} SELECT rid, {rounded('qty, price, rate')}, closed, urgent, rflag, ptype, segment, outcome FROM c"""
+ORACLES["plain_names"] = f"""{LINE} SELECT 'segment_' || segment AS feature, count(*) AS n FROM c GROUP BY ALL"""
+
 # name of the check, severity, failing condition
 LINE_RULES = [
     ("qty", "type double", "error", "false"), ("qty", "not null", "error", "qty IS NULL"), ("qty", "greater than 0", "error", "qty <= 0"),

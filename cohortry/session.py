@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +27,7 @@ def session(app: str = "cohortry", master: str | None = None, **conf) -> SparkSe
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a scratch folder only in local mode where none is set."""
+    """The folder named in ``spark.checkpoint.dir``. In local mode with none set, one beside the warehouse, which is shared too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
@@ -35,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
         return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortry-"))
+    context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return context.getCheckpointDir()
 
 
@@ -48,11 +49,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every table staged by this process; returns how many there were."""
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what was staged inside; only results that were written elsewhere stay readable."""
+    before = len(_staged)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the tables staged by this process but for the first ``keep``; returns how many there were."""
     jvm = spark.sparkContext._jvm
-    count = len(_staged)
-    while _staged:
+    count = len(_staged) - keep
+    while len(_staged) > keep:
         path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return count

@@ -19,18 +19,36 @@ DEFAULT_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
 MISSING_TOKENS = tuple(sorted({*STRICT_TOKENS, *DEFAULT_TOKENS}))
 
 
-def read_csv(spark: SparkSession, path: str, tokens: Sequence[str] = MISSING_TOKENS) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, tokens: Sequence[str] = MISSING_TOKENS, multi_line: bool = False) -> DataFrame:
     """All columns as text, missing tokens as NULL. A missing path raises FileNotFoundError.
 
-    Types are not guessed from the data (that would read it twice); ``rules.coerce`` gives the declared ones.
+    A line with more fields than the header, or a header that differs between files, is an error when the table is computed; a line
+    with fewer fields has NULLs at its end. A quoted line break needs ``multi_line``, which keeps Spark from splitting files; without it a
+    quote that is open at the end of a line is an error too. Types are not guessed from the data (that would read it
+    twice); ``rules.coerce`` gives the declared ones.
     """
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "enforceSchema": False}
     try:
-        raw = spark.read.option("header", True).option("multiLine", False).csv(path)
+        header = spark.read.options(**options).csv(path).columns
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(path) from error
         raise
-    return raw.select([F.when(~F.trim(F.col(f"`{c}`")).isin(*tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    line = "_line"
+    while line in header:
+        line += "_"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, line]])
+    raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=line).schema(schema).csv(path)
+    columns = {c: F.col(f"`{c}`") for c in header}
+    # marked are lines with too many and with too few fields; one field more than the header tells them apart
+    wider = ", ".join(f"c{i} string" for i in range(len(header) + 1))
+    surplus = F.from_csv(F.col(line), wider, {"escape": '"', "nullValue": "\0"})[f"c{len(header)}"].isNotNull()
+    bad = F.when(F.col(line).isNotNull() & surplus, F.concat(F.lit("too many fields in line: "), F.col(line)))
+    if not multi_line:
+        for value in columns.values():
+            bad = F.coalesce(bad, F.when(value.startswith('"'), F.concat(F.lit("a quote is open at the end of a line: "), value)))
+    whole = raw.filter(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(True))
+    return whole.select([F.when(~F.trim(value).isin(*tokens), value).alias(c) for c, value in columns.items()])
 
 
 def load_patients(spark: SparkSession, path: str, validate: bool = True, drop_id: bool = True,
