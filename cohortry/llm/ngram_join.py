@@ -24,24 +24,29 @@ from cohortry.llm import similar
 from cohortry.llm.tables import fresh, slots_of, spread, stage
 
 
-def links(job: similar.Job, items: DataFrame) -> DataFrame:
-    """Pairs of similar nodes enough for the components: none between different texts is missing from their closure."""
+def roots_of(job: similar.Job) -> DataFrame:
+    """``(node, root)`` for all nodes with links: the components of all links between different sets."""
     lists = job.lists()
     verified = job.verify(job.near_pairs(lists))
     found = verified.where("similar").select("x", "y")
-    near = similar.components(found)
+    near = stage(similar.components(found), "near")
     sizes = lists.select("node", "size").distinct()
     state = lists.select("node").distinct().join(near, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     crossing = _crossing(job, lists, stage(state, "state"))
     open_pairs = stage(crossing.join(verified, ["x", "y"], "left_anti"), "open")
     if open_pairs.isEmpty():
-        return found
+        return near
     derived = stage(job.derive(open_pairs, verified, sizes), "derived")
     rest = derived.where("similar is null").select("x", "y")
     more = derived.where("similar").select("x", "y")
     if not rest.isEmpty():
         more = more.unionByName(job.verify(rest).where("similar").select("x", "y"))
-    return found.unionByName(more)
+    # links across components join whole components: only their roots are gone over again
+    x, y = (near.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in ("x", "y"))
+    joined = more.join(x, "x", "left").join(y, "y", "left").select(F.coalesce("x_root", "x").alias("x"), F.coalesce("y_root", "y").alias("y"))
+    far = stage(similar.components(joined.where("x != y")), "far").withColumnsRenamed({"node": "root", "root": "top"})
+    moved = near.join(far, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(far.select(F.col("root").alias("node"), F.col("top").alias("root")).join(near, "node", "left_anti"))
 
 
 def _crossing(job: similar.Job, lists: DataFrame, state: DataFrame) -> DataFrame:
@@ -55,7 +60,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
     """Per row: id, n_shingles, component_id, node (rows with equal sets have equal nodes)."""
     job = similar.Job(docs, similar.documents, shingle, num, den, id_col, text_col)
     items, _ = job.survey()
-    roots = similar.components(links(job, items))
+    roots = roots_of(job)
     full = items.where("size > 0").withColumn("slot", slots_of(F.col("id")))
     # rows with equal sets are combined by place first, so that a crowd of copies stays dealt out
     place = full.groupBy("node", "slot").agg(F.min("id").alias("low"))

@@ -286,7 +286,7 @@ def components(edges: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: every larger neighbour goes to the least of a node's neighbourhood
-        now = stage(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "edges")
+        now = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: a node and its smaller neighbours go to the least of them
         least = now.groupBy("u").agg(F.min("v").alias("m"))
         low = now.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
