@@ -3,8 +3,8 @@
 A document's set is its distinct windows of ``shingle`` lower-cased (A-Z) words; with fewer words, the whole sequence as one. Documents
 link when ``den * |intersection| >= num * |union|``; components of links are found exactly. The two kinds of skipping:
 
-* *Index lists are skipped in blocks by position*: a list holds only the rarest tokens of each set, is cut into blocks by size, and of
-  a block only the first positions that can still reach the overlap are joined.
+* *Index lists are skipped in blocks by position*: a list holds only the rarest tokens of each set, is cut into blocks by size, entries
+  whose positions are too far apart for similar sets are skipped, and a pair must meet in as many lists as similar sets do.
 * *A set's answers come from those of a set much like it*: a first round links each set to the head of its lists and its
   predecessor there. Sets that are then in one component share their answers: pairs within it are never looked at, lists
   with a single component are passed over, and pairs across components are first decided from the verified overlap of the
@@ -44,7 +44,7 @@ def roots_of(job: similar.Job) -> DataFrame:
     # links across components join whole components: only their roots are gone over again
     x, y = (near.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in ("x", "y"))
     joined = more.join(x, "x", "left").join(y, "y", "left").select(F.coalesce("x_root", "x").alias("x"), F.coalesce("y_root", "y").alias("y"))
-    far = stage(similar.components(joined.where("x != y")), "far").withColumnsRenamed({"node": "root", "root": "top"})
+    far = stage(similar.components(joined.where("x != y")), "far").select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = near.join(far, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return moved.unionByName(far.select(F.col("root").alias("node"), F.col("top").alias("root")).join(near, "node", "left_anti"))
 

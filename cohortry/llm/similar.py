@@ -11,9 +11,9 @@ An item is a document or one of its lines, its set the distinct hashes of its wo
 3. ``near_pairs`` compares each entry with the head of its list and the entry before it only; ``verify`` counts the overlap on whole sets.
    So a crowd of similar sets costs a few pairs per entry, and its answers (a component, or that an earlier match is known)
    hold for all that remain.
-4. ``other_pairs`` looks at all pairs of a list whose answer is still open. Lists are split into blocks by size, and only entries in the
-   first positions of a block take part, as the bound on the overlap from position and size demands. ``derive`` then decides pairs from
-   the overlap of a similar set where bounds are enough, and only the rest is verified.
+4. ``other_pairs`` looks at all pairs of a list whose answer is still open. Lists are split into blocks by size, entries whose positions
+   lie too far apart are skipped, and pairs must meet in as many lists as the prefixes of similar sets share tokens. ``derive`` then
+   decides pairs from the overlap of a similar set where bounds are enough, and only the rest is verified.
 
 Sets for verification are read again from the texts, for the nodes that pairs name: a bitmap of fixed size (``BITMAP`` bits) says
 which; more nodes than it can tell apart make more sets travel, and change no result.
@@ -160,31 +160,52 @@ class Job:
         most = 1 + F.least(F.expr(f"{a}size - 1 - {a}pos"), F.expr(f"{b}size - 1 - {b}pos"))
         return most * (self.num + self.den) >= self.num * (F.col(f"{a}size") + F.col(f"{b}size"))
 
+    def prefix(self, size: Column) -> Column:
+        """How many of its rarest tokens a set of this size sends to lists."""
+        return size - F.ceil(size * self.num / self.den).cast("int") + 1
+
+    def needed(self, a: str, b: str) -> Column:
+        """How many tokens the prefixes of two similar sets share at least.
+
+        Of the tokens common to both, those that are not in both prefixes come after the end of the prefix that ends first, so there
+        are no more of them than what that set has beyond its prefix."""
+        beyond = F.greatest(*[F.col(f"{p}size") - self.prefix(F.col(f"{p}size")) for p in (a, b)])
+        return F.greatest(F.ceil((F.col(f"{a}size") + F.col(f"{b}size")) * self.num / (self.num + self.den)) - beyond, F.lit(1))
+
     def near_pairs(self, lists: DataFrame) -> DataFrame:
-        """Pairs ``(x, y)`` of an entry with the head of its list and with the entry before it."""
-        met = lists.where("before is not null").select("node", "size", "pos", F.explode(F.array("head", "before")).alias("o"))
+        """Pairs ``(x, y)`` of an entry with the head of its list and with the entry before it, if they meet in a good part of the lists
+        in which similar sets would. The others are left to ``other_pairs``."""
+        met = lists.where("before is not null").select("node", "size", "pos", F.explode(F.array_distinct(F.array("head", "before"))).alias("o"))
         met = met.select("node", "size", "pos", F.col("o.node").alias("o_node"), F.col("o.size").alias("o_size"), F.col("o.pos").alias("o_pos"))
-        return self._pairs(met.where(self.possible("", "o_")), "node", "o_node")
+        return self._pairs(met.where(self.possible("", "o_")), "", "o_", 2)
 
-    @staticmethod
-    def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
-        return met.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x < y").distinct()
+    def _pairs(self, met: DataFrame, a: str, b: str, part: int) -> DataFrame:
+        """Pairs that meet in a ``part``-th of the needed lists or more."""
+        pairs = met.select(F.least(f"{a}node", f"{b}node").alias("x"), F.greatest(f"{a}node", f"{b}node").alias("y"), self.needed(a, b).alias("needed"))
+        counted = pairs.where("x < y").groupBy("x", "y", "needed").agg(F.count("*").alias("met"))
+        return counted.where(F.col("met") * part >= F.col("needed")).select("x", "y")
 
     def other_pairs(self, lists: DataFrame, state: DataFrame, is_open: Callable[[str, str], Column]) -> DataFrame:
-        """Pairs of entries of one list that may be similar and for which ``is_open`` holds.
+        """Pairs that meet in as many lists as similar sets do, and for which ``is_open`` holds.
 
         ``state`` has columns by ``node``; ``is_open`` gets the prefixes under which those of either entry stand."""
         more = [c for c in state.columns if c != "node"]
         entries = lists.select("token", "node", "size", "pos").join(state, "node")
         ratio = math.log(self.den / self.num)
         band = F.floor(F.log(F.col("size").cast("double")) / ratio).cast("int")
-        small = entries.where((F.col("size") - F.col("pos")) * (self.num + self.den) >= 2 * self.num * F.col("size"))
-        small = small.select("token", band.alias("band"), *[F.col(c).alias(f"s_{c}") for c in ("node", "size", "pos", *more)])
+        small = entries.select("token", band.alias("band"), *[F.col(c).alias(f"s_{c}") for c in ("node", "size", "pos", *more)])
         # a set's partners of no greater size are in its own band of sizes or in the two below (rounding may cost one)
         large = entries.select("token", F.explode(F.sequence(band - 2, band)).alias("band"), *[F.col(c).alias(f"l_{c}") for c in ("node", "size", "pos", *more)])
         ordered = (F.col("s_size") < F.col("l_size")) | (F.col("s_size") == F.col("l_size")) & (F.col("s_node") < F.col("l_node"))
-        met = large.join(small, ["token", "band"]).where(ordered & self.possible("s_", "l_") & is_open("s_", "l_"))
-        return self._pairs(met, "s_node", "l_node")
+        alike = F.col("s_size") * self.den >= F.col("l_size") * self.num
+        met = large.join(small, ["token", "band"]).where(ordered & alike & self.apart() & is_open("s_", "l_"))
+        return self._pairs(met, "s_", "l_", 1)
+
+    def apart(self) -> Column:
+        """Whether the places of one token in two sets are as near as those in similar sets must be: what stands before it in one
+        set and not in the other is at most what the sets may differ in."""
+        common = F.ceil((F.col("s_size") + F.col("l_size")) * self.num / (self.num + self.den))
+        return (F.col("l_pos") - F.col("s_pos") <= F.col("l_size") - common) & (F.col("s_pos") - F.col("l_pos") <= F.col("s_size") - common)
 
     # -- verification ---------------------------------------------------------------------------------------------------------------
 
