@@ -45,7 +45,7 @@ def w_test(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     The ranks come from ranges of the order, so any size is within reach; the weights are an approximation that was
     published for up to 5,000 values.
     """
-    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first() if columns else {}
     fit = [c for c in columns if sizes[c] >= 3]
     if not fit:
         return df.sparkSession.createDataFrame([], "feature string, n long, statistic double, p_value double")

@@ -97,7 +97,9 @@ def test_small_columns(spark):
     assert row["statistic"] == pytest.approx(0.789, abs=5e-4) and row["p_value"] == pytest.approx(0.0067, abs=3e-4)
     three = normality.w_test(df.limit(3).withColumn("x", F.col("id").cast("double")), ["x"]).first()
     assert three["statistic"] == pytest.approx(1.0) and three["p_value"] == pytest.approx(1.0, abs=1e-6)
-    assert normality.w_test(df, ["x"], limit=5).isEmpty()
+    assert normality.w_test(df.limit(2), ["x"]).isEmpty() and normality.w_test(df, []).isEmpty()
+    large = spark.range(20000).select((F.col("id") % 997).cast("double").alias("x"))
+    assert normality.w_test(large, ["x"]).first()["n"] == 20000
 
 
 def test_shared_folder(spark, monkeypatch):
