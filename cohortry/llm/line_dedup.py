@@ -31,13 +31,15 @@ def matched(pairs: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, item, node)`` of every line to remove."""
+    """``(id, item)`` of every line to remove."""
     job = similar.Job(docs, similar.lines, shingle, num, den, id_col, text_col)
     items, _ = job.survey()
     worded = items.where("size > 0")
     first = stage(worded.groupBy("node").agg(F.min(F.struct("id", "item")).alias("first")), "first")
     lists = job.lists()
-    verified = job.verify(job.near_pairs(lists))
+    # sets of lines are short: those of all that stand in lists are read once for both rounds
+    sets = job.sets(lists.select("node"))
+    verified = job.verify(job.near_pairs(lists), sets)
     late = stage(matched(verified, first), "late")
     # what is still open: entries without an earlier match so far, against all earlier entries of their lists
     waiting = lists.join(late, "node", "left_anti").select("token").distinct()
@@ -50,24 +52,26 @@ def removals(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, i
     other = job.other_pairs(lists.join(waiting, "token", "left_semi"), stage(state, "state"), is_open)
     rest = stage(other.join(verified, ["x", "y"], "left_anti"), "open")
     if not rest.isEmpty():
-        late = stage(late.unionByName(matched(job.verify(rest), first)), "late").distinct()
+        late = stage(late.unionByName(matched(job.verify(rest, sets), first)), "late").distinct()
     known = first.join(late.withColumn("late", F.lit(True)), "node", "left")
     # a line stays if its node stands here first and has no earlier match
     stays = known.where("late is null").select(F.col("first.id").alias("id"), F.col("first.item").alias("item"))
-    return worded.select("id", "item").distinct().exceptAll(stays)
+    stays = stays.select(F.col("id").alias("s_id"), F.col("item").alias("s_item"))
+    return worded.select("id", "item").join(stays, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("item") == F.col("s_item")), "left_anti")
 
 
 def drop_lines(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
                count_col: str | None = None) -> DataFrame:
     """``docs`` with the later matches taken out of its text; ``count_col`` names a column for their number, if wanted."""
     gone = removals(docs, shingle, num, den, id_col, text_col)
-    key = fresh(docs, "gone_id")
-    items = fresh(docs, "gone_items")
-    by_doc = gone.groupBy(F.col("id").alias(key)).agg(F.collect_list("item").alias(items))
+    key, mask, count = fresh(docs, "gone_id"), fresh(docs, "gone_mask"), fresh(docs, "gone_count")
+    # a text's lines as a string with 1 for those to take out, as far as the last of them
+    ones = F.aggregate(F.array_sort("items"), F.lit(""), lambda m, i: F.concat(F.rpad(m, i.cast("int"), "0"), F.lit("1")))
+    by_doc = (gone.groupBy("id").agg(F.collect_set("item").alias("items"))
+              .select(F.col("id").alias(key), ones.alias(mask), F.size("items").cast("long").alias(count)))
     joined = docs.join(by_doc, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left")
-    lost = F.map_from_arrays(F.col(items), F.transform(items, lambda i: F.lit(True)))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: F.coalesce(~lost[i.cast("long")], F.lit(True))), "\n")
-    out = joined.withColumn(text_col, F.when(F.col(items).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept))
+    lines = F.zip_with(F.split(F.col(text_col), "\n", -1), F.split(F.col(mask), ""), lambda line, out: F.when(F.coalesce(out, F.lit("0")) != "1", line))
+    out = joined.withColumn(text_col, F.when(F.col(mask).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n")))
     if count_col:
-        out = out.withColumn(count_col, F.coalesce(F.size(items), F.lit(0)).cast("long"))
-    return out.drop(key, items)
+        out = out.withColumn(count_col, F.coalesce(F.col(count), F.lit(0)).cast("long"))
+    return out.drop(key, mask, count)

@@ -209,9 +209,8 @@ class Job:
 
     # -- verification ---------------------------------------------------------------------------------------------------------------
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """The sets ``(node, tokens)`` of at least the nodes that ``pairs`` name."""
-        nodes = pairs.select(F.explode(F.array("x", "y")).alias("node"))
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """The sets ``(node, tokens)`` of at least the given nodes."""
         bits = BITMAP.bit_length() - 1
         spot = F.shiftrightunsigned("node", 64 - bits)
         marks = nodes.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(node, {64 - bits}) & 63 as int)))").alias("mark"))
@@ -239,12 +238,13 @@ class Job:
                             sets.append(tokens[bounds[k]: bounds[k + 1]].tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
-        return self.rows.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+        return stage(self.rows.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"]), "sets")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` with ``x_size, y_size, common, similar``."""
+    def verify(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """``pairs`` with ``x_size, y_size, common, similar``; ``sets`` are read from the texts if not given."""
         num, den = self.num, self.den
-        sets = stage(self.sets(pairs), "sets")
+        if sets is None:
+            sets = self.sets(pairs.select(F.explode(F.array("x", "y")).alias("node")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
