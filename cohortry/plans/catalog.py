@@ -611,6 +611,74 @@ def shap_level_effects(c):
     return rounded(explain.level_effects(wide, t.model.features, "categorical__segment_"))
 
 
+NODE = boosting.Node
+#: A small model with known covers and gains, for results that SQL can state.
+FIXED_MODEL = boosting.BoostedModel(
+    ["qty", "price", "closed", "categorical__segment_BUILDING", "categorical__segment_MACHINERY"],
+    [{1: NODE(0.0, 1000.0, 1, 0, 50000.0, 120.5), 2: NODE(-0.6, 600.0), 3: NODE(0.0, 400.0, 0, 0, 25.0, 40.25), 6: NODE(0.2, 150.0), 7: NODE(0.9, 250.0)},
+     {1: NODE(0.0, 1000.0, 2, 0, 0.5, 18.0), 2: NODE(0.0, 500.0, 3, 0, 0.5, 7.5), 3: NODE(0.05, 500.0), 4: NODE(-0.1, 400.0), 5: NODE(0.3, 100.0)},
+     {1: NODE(0.0, 1000.0, 4, 0, 0.5, 3.25), 2: NODE(0.02, 800.0), 3: NODE(-0.15, 200.0)}], -0.4)
+
+
+def _fixed_rows(c):
+    levels = [F.when(F.col("segment") == v, 1.0).otherwise(0.0).alias(f"categorical__segment_{v}") for v in ("BUILDING", "MACHINERY")]
+    return c.select("rid", *[F.col(x).cast("double").alias(x) for x in ("qty", "price", "closed")], *levels)
+
+
+def _fixed_score(rows):
+    scored = scoring.with_bands(boosting.score(FIXED_MODEL, rows).withColumn("closed", F.col("closed").cast("int")), used=["closed"])
+    return rounded(scored.select("rid", "probability", "risk_percentage", "risk_level", "alert", "confidence", "features_used"))
+
+
+@query()
+def score_model(c):
+    return _fixed_score(_fixed_rows(c))
+
+
+@query()
+def stream_model(c):
+    """The same scoring on a stream of written records."""
+    spark, base = c.sparkSession, f"{shared_dir(c.sparkSession)}/stream-{uuid.uuid4().hex}"
+    rows = _fixed_rows(c)
+    rows.write.parquet(f"{base}/in")
+    records = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+    streaming.score_stream(records, _fixed_score, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query()
+def importance_fixed(c):
+    """Mean gains of the model that scored the rows, beside how many rows there are."""
+    n = c.agg(F.count("*").alias("n_rows"))
+    return rounded(boosting.importance(FIXED_MODEL, c.sparkSession).join(n, F.lit(True)))
+
+
+def _fixed_phi(c):
+    return explain.attribute(FIXED_MODEL, _fixed_rows(c), "rid")
+
+
+@query()
+def shap_fixed(c):
+    phi = [F.get("phi", F.lit(i)).alias(f"phi_{name.rpartition('_')[2].lower()}") for i, name in enumerate(FIXED_MODEL.features)]
+    return rounded(_fixed_phi(c).select("rid", *phi))
+
+
+@query()
+def shap_tables_fixed(c):
+    """Global importance, effect of the reference level and effects of the other levels, as one table."""
+    wide = stage(_fixed_phi(c), "phi")
+    names, family = FIXED_MODEL.features, "categorical__segment_"
+    most = explain.global_importance(wide, names).select("feature", F.lit("mean_abs_phi").alias("metric"), F.col("mean_abs_phi").alias("value"))
+    level = explain.level_effects(wide, names, family).select("feature", F.lit("mean_phi").alias("metric"), F.col("mean_phi").alias("value"))
+    effect = explain.reference_effect(wide, names, family).select(F.col("verdict").alias("feature"), F.lit("effect").alias("metric"), F.col("effect").alias("value"))
+    return rounded(most.unionByName(level).unionByName(effect))
+
+
+@query()
+def shap_dependence_fixed(c):
+    return rounded(explain.dependence(_fixed_phi(c), FIXED_MODEL.features, "rid", "price", "qty"))
+
+
 @query()
 def missingness_report(c):
     tables = reports.missingness_tables(stage(c, "cohort"), "rate", "segment", "outcome", "BUILDING",

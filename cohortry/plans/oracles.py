@@ -434,3 +434,35 @@ _bad = f"CASE WHEN {_k} BETWEEN 0 AND 90 THEN 0 ELSE 1 END"
 ORACLES["json_records"] = f"SELECT event_id, {_k} AS k, CAST({_bad} AS BIGINT) AS n_errors FROM events"
 ORACLES["score_stream"] = f"""WITH e AS (SELECT event_id, least(value / 100, 1.0) AS p, CAST({_bad} AS BIGINT) AS n_errors FROM events)
 SELECT event_id, printf('%.1f%%', p * 100) AS risk_percentage, {bands('p')}, CASE WHEN p >= 0.8 THEN {ALERT} END AS alert, n_errors FROM e"""
+
+# the fixed model: three trees as conditions, and the worth of every coalition of the features on their paths
+_t1, _t2, _t3 = ("CASE WHEN price < 50000 THEN -0.6 WHEN qty < 25 THEN 0.2 ELSE 0.9 END",
+                 "CASE WHEN closed >= 0.5 THEN 0.05 WHEN segment <> 'BUILDING' THEN -0.1 ELSE 0.3 END",
+                 "CASE WHEN segment <> 'MACHINERY' THEN 0.02 ELSE -0.15 END")
+FIXED = f"""{LINE}, m AS (SELECT *, CAST(-0.4 AS DOUBLE) + {_t1} + {_t2} + {_t3} AS margin FROM c),
+s AS (SELECT *, 1 / (1 + exp(-margin)) AS p FROM m)"""
+ORACLES["score_model"] = f"""{FIXED} SELECT rid, round(p, 6) AS probability, printf('%.1f%%', p * 100) AS risk_percentage, {bands('p')},
+       CASE WHEN p >= 0.8 THEN {ALERT} END AS alert, '{{"closed":' || closed || '}}' AS features_used FROM s"""
+ORACLES["stream_model"] = ORACLES["score_model"]
+ORACLES["importance_fixed"] = f"""{LINE}, g(feature, gain) AS (VALUES ('qty', 40.25), ('price', 120.5), ('closed', 18.0),
+     ('categorical__segment_BUILDING', 7.5), ('categorical__segment_MACHINERY', 3.25))
+SELECT feature, round(CAST(gain AS DOUBLE) / CAST(sum(gain) OVER () AS DOUBLE), 6) AS importance, (SELECT count(*) FROM c) AS n_rows FROM g"""
+_deep = "CAST(0.375 * 0.2 + 0.625 * 0.9 AS DOUBLE)"
+_flat = "CAST(0.8 * -0.1 + 0.2 * 0.3 AS DOUBLE)"
+PHI = f"""{LINE}, v AS (SELECT *, CAST({_t1} AS DOUBLE) AS pq, CASE WHEN price < 50000 THEN CAST(-0.6 AS DOUBLE) ELSE {_deep} END AS p0,
+     0.6 * -0.6 + 0.4 * CASE WHEN qty < 25 THEN CAST(0.2 AS DOUBLE) ELSE 0.9 END AS q0, 0.6 * -0.6 + 0.4 * {_deep} AS none1,
+     CAST({_t2} AS DOUBLE) AS cb, CASE WHEN closed >= 0.5 THEN CAST(0.05 AS DOUBLE) ELSE {_flat} END AS c0,
+     0.5 * CASE WHEN segment <> 'BUILDING' THEN CAST(-0.1 AS DOUBLE) ELSE 0.3 END + 0.5 * 0.05 AS b0, 0.5 * {_flat} + 0.5 * 0.05 AS none2 FROM c),
+f AS (SELECT rid, qty, price, segment, ((p0 - none1) + (pq - q0)) / 2 AS phi_price, ((q0 - none1) + (pq - p0)) / 2 AS phi_qty,
+      ((c0 - none2) + (cb - b0)) / 2 AS phi_closed, ((b0 - none2) + (cb - c0)) / 2 AS phi_building,
+      CAST({_t3} AS DOUBLE) - (0.8 * 0.02 + 0.2 * -0.15) AS phi_machinery FROM v)"""
+ORACLES["shap_fixed"] = f"{PHI} SELECT rid, {rounded('phi_price, phi_qty, phi_closed, phi_building, phi_machinery')} FROM f"
+ORACLES["shap_dependence_fixed"] = f"""{PHI} SELECT rid, round(CAST(price AS DOUBLE), 6) AS feature_value, round(phi_price, 6) AS phi,
+       round(CAST(qty AS DOUBLE), 6) AS interaction_value FROM f"""
+_names = {"price": "price", "qty": "qty", "closed": "closed", "categorical__segment_BUILDING": "building", "categorical__segment_MACHINERY": "machinery"}
+ORACLES["shap_tables_fixed"] = f"""{PHI}, e AS (SELECT avg(phi_building + phi_machinery) FILTER (segment NOT IN ('BUILDING', 'MACHINERY'))
+     - avg(phi_building + phi_machinery) FILTER (segment IN ('BUILDING', 'MACHINERY')) AS x FROM f)
+{union(f"SELECT '{name}' AS feature, 'mean_abs_phi' AS metric, round(avg(abs(phi_{c})), 6) AS value FROM f" for name, c in _names.items())}
+UNION ALL SELECT 'categorical__segment_BUILDING', 'mean_phi', round(avg(phi_building), 6) FROM f WHERE segment = 'BUILDING'
+UNION ALL SELECT 'categorical__segment_MACHINERY', 'mean_phi', round(avg(phi_machinery), 6) FROM f WHERE segment = 'MACHINERY'
+UNION ALL SELECT CASE WHEN x > 0.01 THEN 'RAISES' WHEN x < -0.01 THEN 'LOWERS' ELSE 'MINIMAL' END, 'effect', round(x, 6) FROM e"""
