@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cohortry.session import stage
+from cohortry.session import discard, stage
 
 TREE_COLUMNS = "tree int, node int, feature string, cut double, bin int, value double, gain double, cover double"
 RESTAGE_EVERY = 10
@@ -170,9 +170,8 @@ def _drawn(h: np.ndarray, seed: int, share: float) -> np.ndarray:
 
 
 def _histogram(rows: DataFrame, recent: list[dict[int, Node]], tree: dict[int, Node], params: BoostParams, seed: int, width: int,
-               columns: np.ndarray, depth: int) -> pd.DataFrame:
+               columns: np.ndarray, depth: int, bins_max: int) -> pd.DataFrame:
     first = 2 ** depth
-    bins_max = 256
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((3, first, len(columns), bins_max))
@@ -246,16 +245,18 @@ def fit(table: BinnedTable, params: BoostParams) -> BoostedModel:
     width = len(table.features)
     signs = np.array([params.monotone.get(f, 0) for f in table.features])
     rows = table.rows.select("h", "y", "b", F.lit(float(params.base_margin)).alias("margin"))
+    margins_of: DataFrame | None = None  # the last written copy with margins
     trees: list[dict[int, Node]] = []
     recent: list[dict[int, Node]] = []
     picks = np.random.default_rng(params.seed)
     n_columns = max(1, int(round(params.column_share * width)))
+    bins_max = max(map(len, table.cuts), default=0) + 1
     for t in range(params.n_trees):
         columns = np.sort(picks.choice(width, n_columns, replace=False))
         tree: dict[int, Node] = {}
         bounds = {1: (-np.inf, np.inf)}
         for depth in range(params.max_depth):
-            hist = _histogram(rows, recent, tree, params, params.seed + t, width, columns, depth)
+            hist = _histogram(rows, recent, tree, params, params.seed + t, width, columns, depth, bins_max)
             split_any = False
             for node, part in hist.groupby("node", sort=True):
                 low, high = bounds[node]
@@ -286,7 +287,10 @@ def fit(table: BinnedTable, params: BoostParams) -> BoostedModel:
         trees.append(tree)
         recent.append(tree)
         if len(recent) == RESTAGE_EVERY and t + 1 < params.n_trees:
-            rows, recent = stage(_advanced(rows, recent, width), "margin"), []
+            advanced = stage(_advanced(rows, recent, width), "margin")
+            discard(margins_of)
+            rows, recent, margins_of = advanced, [], advanced
+    discard(margins_of)
     return BoostedModel(list(table.features), trees, params.base_margin)
 
 

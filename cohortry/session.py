@@ -46,7 +46,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the table that ``stage`` wrote for ``df``; nothing that reads it may be computed afterwards."""
+    path = getattr(df, "staged_path", None)
+    if path in _staged:
+        _staged.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextlib.contextmanager
@@ -61,9 +76,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def release(spark: SparkSession, keep: int = 0) -> int:
     """Delete the tables staged by this process but for the first ``keep``; returns how many there were."""
-    jvm = spark.sparkContext._jvm
-    count = len(_staged) - keep
-    while len(_staged) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return count
+    gone = _staged[keep:]
+    del _staged[keep:]
+    for path in gone:
+        _delete(spark, path)
+    return len(gone)
