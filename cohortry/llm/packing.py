@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,15 +133,16 @@ class Units:
         return ids, at[np.searchsorted(starts, chunk.at)]
 
 
-PIECES = "id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "id long, piece int, start long, length long, ids_crc32 long, uid long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, id_col: str = "doc_id", text_col: str = "text",
            with_ids: bool = False) -> DataFrame:
-    """The pieces of all documents: id, piece, start, length, ids_crc32, and ids if asked for."""
+    """The pieces of all documents: id, piece, start, length, ids_crc32, uid (task and place in it), and ids if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(tokenizer)
+        uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             for chunk in W.chunks(batch.column(1)):
                 ids, at = units.encode(chunk)
@@ -152,8 +154,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, id_col: str
                         rows.append((doc, n, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
                 out = list(zip(*rows, strict=True))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                columns = [pa.array(c, t) for c, t in zip(out, types)]
-                names = ["id", "piece", "start", "length", "ids_crc32"]
+                columns = [pa.array(c, t) for c, t in zip(out, types)] + [pa.array(range(uid, uid + len(rows)), pa.int64())]
+                uid += len(rows)
+                names = ["id", "piece", "start", "length", "ids_crc32", "uid"]
                 if with_ids:
                     columns.append(pa.array(out[5], pa.list_(pa.int32())))
                     names.append("ids")
@@ -269,7 +272,6 @@ def assign(made: DataFrame, capacity: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, id_col: str = "doc_id", text_col: str = "text",
          with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
+    # written once, so the numbers hold
     made = stage(pieces(docs, tokenizer, capacity, end, id_col, text_col, with_ids), "pieces")
-    # the written table is read in the same parts each time, so the numbers hold
-    made = stage(made.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     return assign(made, capacity).drop("uid").withColumnRenamed("id", id_col)
