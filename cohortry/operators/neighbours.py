@@ -243,6 +243,8 @@ def fill_missing(df: DataFrame, target: str, coords: Sequence[str], key: str, do
     lacking = df.filter(F.col(target).isNull())
     out = df.filter(F.col(target).isNotNull())
     owned = _patterns(donors, coords)
+    if not owned:
+        raise ValueError(f"no donor has a known {target}")
     for known in _patterns(lacking, coords):
         mine = _with_pattern(lacking, coords, known)
         places = mine.select(*known).distinct() if known else mine.select(F.lit(0).alias("_one")).limit(1)

@@ -292,7 +292,8 @@ ORACLES["failing_values"] = LINE + union(
 ORACLES["validate_rows"] = f"""{LINE}, e AS (SELECT rid, list_filter([{', '.join(
     f"CASE WHEN {cond} THEN '{c}: {k}' END" for c, k, s, cond in LINE_RULES if s == 'error')}], lambda x: x IS NOT NULL) AS l FROM c)
 SELECT rid, len(l) AS n_errors, array_to_string(l, '; ') AS errors FROM e"""
-ORACLES["outlier_warning"] = f"{LINE} SELECT 'price' AS column_name, count(*) AS n_outliers FROM c WHERE price > 100000"
+ORACLES["outlier_warning"] = f"""{LINE}, o AS (SELECT rid, price, row_number() OVER (ORDER BY rid) AS place FROM c WHERE price > 100000)
+SELECT 'price' AS column_name, count(*) AS n_outliers, string_agg(CAST(round(price, 2) AS VARCHAR), ', ' ORDER BY rid) FILTER (place <= 5) AS examples FROM o"""
 ORACLES["rare_merge"] = f"""{LINE} SELECT CASE WHEN rid = (SELECT min(rid) FROM c) THEN 'N' ELSE rflag END AS rflag, count(*) AS n FROM c GROUP BY 1"""
 
 PLACED = "row_number() OVER (PARTITION BY outcome ORDER BY md5(rid || '|42'), rid)"

@@ -141,3 +141,24 @@ def test_fewer_donors_than_neighbours(spark):
     assert out[3] == pytest.approx((1.0 + 3.0 * w) / (1 + w))
     with pytest.raises(ValueError):
         neighbours.fill_missing(df.filter("v is null"), "v", ["x"], "id")
+
+
+def test_receivers_and_donors_that_lack_coordinates(spark):
+    """Distances over the coordinates both know, scaled up by their share of all (the target and its flag are two more)."""
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(120, 3))
+    data[rng.random(120) < 0.2, 0] = np.nan
+    data[rng.random(120) < 0.2, 1] = np.nan
+    data[:40, 2] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(data)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, v double")
+    out = {r["id"]: r["v"] for r in neighbours.fill_missing(df, "v", ["x", "y"], "id", k=5).collect()}
+    donors = data[40:]
+    for i in range(40):
+        both = ~np.isnan(data[i, :2]) & ~np.isnan(donors[:, :2])
+        gap = np.where(both, data[i, :2] - donors[:, :2], 0.0)
+        d2 = ((gap * gap).sum(axis=1) + 1) * 4 / (both.sum(axis=1) + 1)
+        if not np.isnan(data[i, :2]).all():  # else all donors are as near as each other
+            near = np.argsort(d2, kind="stable")[:5]
+            assert out[i] == pytest.approx(np.average(donors[near, 2], weights=1 / np.sqrt(d2[near])), rel=1e-9)
+        assert out[i] is not None
