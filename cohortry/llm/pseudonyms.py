@@ -76,7 +76,7 @@ def shifted(text: Column, stream: Column) -> Column:
         for alphabet in ("0123456789", LETTERS, CAPITALS):
             n = len(alphabet)
             at = F.instr(F.lit(alphabet), c)
-            out = F.when(at > 0, F.substr(F.lit(alphabet), (at - 1 + by) % n + 1, F.lit(1))).otherwise(out)
+            out = F.when((at > 0) & (c != ""), F.substr(F.lit(alphabet), (at - 1 + by) % n + 1, F.lit(1))).otherwise(out)
         return out
 
     return F.array_join(F.transform(F.split(text, ""), move), "")
