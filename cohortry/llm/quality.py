@@ -1,9 +1,9 @@
 """Quality rules: fixed base rules, then a logistic regression on hashed word and character n-grams with calibrated probability.
 
-Features of a text are the shares of its word 1- and 2-grams and of its byte 4-grams (of lower-cased words) that fall into each of
-``2**BITS`` buckets per kind, so long and short texts compare. The regression is fitted in numpy on at most ``most`` labelled rows,
+Features of a text are the shares of its word 1- and 2-grams (lower-cased), of its byte 4-grams, and of the same with letters, capitals
+and digits each as one, that fall into each of ``2**BITS`` buckets per kind, so long and short texts compare. The regression is fitted in numpy on at most ``most`` labelled rows,
 those with the lowest hash of their id; a fifth of them, chosen by another hash, is kept out of the fit and calibrates the
-probability (Platt scaling). Scoring goes over Arrow batches and keeps a text if its probability is at least a fixed threshold.
+probability (Platt scaling), if it has enough rows of both labels. Scoring goes over Arrow batches and keeps a text if its probability is at least a fixed threshold.
 
 Null text has no words and fails the base rules; so do empty and blank texts. Labelled rows without text, or with a null label, teach
 nothing. Without both labels among the rows, the fitted model says 1 for every text and only the base rules remain. Rows that repeat
@@ -23,9 +23,16 @@ from pyspark.sql import functions as F
 from cohortry.llm import words as W
 
 BITS = 17
-KINDS = 3
+KINDS = 4
+#: With fewer rows of a label than this to calibrate on, all rows are fitted and calibrated on.
+FEW = 10
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
+#: Bytes by their class: letters, capitals and digits each as one.
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[97:123] = _SHAPE[128:] = ord("a")
+_SHAPE[65:91] = ord("A")
+_SHAPE[48:58] = ord("9")
 
 
 @dataclass
@@ -45,18 +52,16 @@ def features(chunk: W.Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
     out = [((hashes & mask).astype(np.int64), chunk.first)]
     pairs, of = W.grams(hashes, chunk.first, 2)
     out.append(((pairs & mask).astype(np.int64) + (1 << BITS), np.searchsorted(of, np.arange(len(chunk.rows) + 1))))
-    data = W._LOWER[chunk.data].astype(np.uint32)
-    n = max(0, len(data) - 3)
-    four = data[:n] | data[1: n + 1] << np.uint32(8) | data[2: n + 2] << np.uint32(16) | data[3: n + 3] << np.uint32(24)
-    four = (four * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-    # windows that begin in a row and reach into the next belong to neither
-    ends = np.maximum(chunk.at[1:] - 3, chunk.at[:-1])
-    keep = np.zeros(n + 1, np.int32)
-    np.add.at(keep, np.minimum(chunk.at[:-1], n), 1)
-    np.add.at(keep, np.minimum(ends, n), -1)
-    inside = np.cumsum(keep[:n]) > 0
-    first = np.concatenate([[0], np.cumsum(np.minimum(ends, n) - np.minimum(chunk.at[:-1], n))])
-    out.append((four[inside].astype(np.int64) + (2 << BITS), first))
+    # byte windows that begin in a row and reach into the next belong to neither
+    n = max(0, len(chunk.data) - 3)
+    begins, ends = np.minimum(chunk.at[:-1], n), np.minimum(np.maximum(chunk.at[1:] - 3, chunk.at[:-1]), n)
+    first = np.concatenate([[0], np.cumsum(ends - begins)])
+    inside = np.arange(first[-1]) + np.repeat(begins - first[:-1], ends - begins)
+    for kind, data in ((2, chunk.data), (3, _SHAPE[chunk.data])):
+        data = data.astype(np.uint32)
+        four = data[:n] | data[1: n + 1] << np.uint32(8) | data[2: n + 2] << np.uint32(16) | data[3: n + 3] << np.uint32(24)
+        four = (four * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        out.append((four[inside].astype(np.int64) + (kind << BITS), first))
     return out
 
 
@@ -153,16 +158,16 @@ def logistic(z: np.ndarray) -> np.ndarray:
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of Platt scaling by Newton steps, with smoothed targets."""
+    """Slope and shift of Platt scaling by bounded Newton steps, with smoothed targets and the slope drawn to 1."""
     up, down = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
     a, b = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(200):
         p = logistic(a * z + b)
         w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - target) * z).sum() + 1e-3 * (a - 1), (p - target).sum()])
-        h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-9]])
-        step = np.linalg.solve(h, g)
+        g = np.array([((p - target) * z).sum() + (a - 1), (p - target).sum()])
+        h = np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
+        step = np.clip(np.linalg.solve(h, g), -0.5, 0.5)
         a, b = a - step[0], b - step[1]
         if abs(step).max() < 1e-9:
             break
@@ -177,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc
     if len(np.unique(y)) < 2:
         return Model(np.zeros(size, np.float32), 40.0, 1.0, 0.0)
     aside = (W.mix(ids.astype(np.uint64), 5) % np.uint64(5)) == 0
-    if len(np.unique(y[aside])) < 2:
+    if min(y[aside].sum(), (1 - y[aside]).sum()) < FEW:
         aside[:] = False
     learn = ~aside
     used = np.unique(buckets)
