@@ -150,7 +150,8 @@ class Job:
         sent = self.rows.mapInArrow(run, "token long, place int, node long, size int, pos int, ord long")
         # dealt by list first; tasks that sent the same node are merged there without another exchange
         entries = sent.repartition("token", "place").groupBy("token", "place", "node", "size", "pos").agg(F.min("ord").alias("ord"))
-        order = Window.partitionBy("token", "place").orderBy("ord", "node")
+        # a set with few tokens of its own has a shared token early: the original of a crowd of near copies stands at the head
+        order = Window.partitionBy("token", "place").orderBy("pos", "ord", "node")
         entry = F.struct("node", "size", "pos")
         entries = entries.select("*", F.lag(entry).over(order).alias("before"), F.first(entry).over(order).alias("head"), F.lead("node").over(order).alias("after"))
         return stage(entries.where("before is not null or after is not null or place >= 0").drop("after"), "lists")
