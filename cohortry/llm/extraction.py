@@ -1,9 +1,12 @@
 """Main text of web pages by container paths that the pages of a host agree on.
 
 Each page is parsed once for its containers: elements that hold text, named by the generalised tag-class path from the body down
-(digits and case of classes left out). A container's score is the text of the blocks directly in it, less text in links, and
-weighed by its names. The page gives its best path a vote in proportion to the score's share. Spark adds the votes by host and path;
-a second pass takes the text of the containers on the host's winning path, or of the page's own best one if it has none on it.
+(ids, and digits and case of classes left out). Lists, tables, quotes and figures belong to the container around them. What stands in
+an article or main element is one text, whatever containers it is in; without such an element, what stands in a child of the body is. That
+frame's score is the text of the blocks in it, less text in links, and weighed by its names. The page gives its best path a vote in
+proportion to the score's share. Spark adds the votes by host and path; a second pass takes the whole text of the frames on the
+host's winning path, or of the page's own best one if it has none on it. Of several children of the body with different paths the votes
+choose one.
 
 The text of a page is a line per block (paragraph, heading, list item, cell, ...): character references decoded, white space made
 one space, trimmed, empty blocks left out. Menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles
@@ -33,6 +36,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 LEFT_OUT = frozenset("nav aside footer form dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a text that aren't containers of their own.
+PARTS = frozenset("ul ol dl table caption thead tbody tfoot colgroup blockquote figure figcaption pre address details summary hgroup".split())
+#: What holds the page, and what holds the whole of an article.
+OUTER, WHOLE = frozenset(("", "html", "body")), frozenset(("article", "main"))
 #: Parts of class and id names of what isn't the article.
 BOILERPLATE = frozenset("""ad ads advert advertisement advertising banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies
 disqus disclaimer footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay
@@ -55,13 +62,19 @@ _HOLDS = {"li": {"ul", "ol", "menu"}, "p": {"div", "article", "section", "main",
 
 
 class Element:
-    """An open or closed element. ``holder``: the container its text counts for; ``begin``, ``end``: numbers of the blocks in it."""
+    """An open or closed element. ``holder``: the container its text counts for; ``frame``: the element whose text is one with it;
+    ``words``: of its class and id; ``inside``: in an article or main, by element or name; ``begin``, ``end``: numbers of its blocks."""
 
-    __slots__ = ("tag", "path", "out", "linked", "holder", "own", "begin", "end")
+    __slots__ = ("tag", "path", "words", "inside", "out", "linked", "holder", "frame", "own", "begin", "end")
 
-    def __init__(self, tag: str, path: str, out: bool, linked: bool, holder: Element | None, begin: int):
-        self.tag, self.path, self.out, self.linked, self.begin, self.end = tag, path, out, linked, begin, -1
+    def __init__(self, tag: str, path: str, words: list[str], parent: Element | None, out: bool, linked: bool, holder: Element | None, begin: int):
+        self.tag, self.path, self.words, self.out, self.linked, self.begin, self.end = tag, path, words, out, linked, begin, -1
+        self.inside = bool(parent and parent.inside) or any(w in name for w in WHOLE for name in (tag, *words))
         self.holder = holder or self
+        around = parent.frame if parent else self
+        # the outermost article or main, or else the container right in the body
+        first = holder is None and (parent is None or tag in OUTER or parent.tag in OUTER)
+        self.frame = self if first or tag in WHOLE and around.tag not in WHOLE else around
         self.own = 0.0
 
 
@@ -71,9 +84,10 @@ class Page:
     containers: list[Element]
 
 
-def describe(tag: str, attributes: str, parent: Element) -> tuple[str, bool]:
-    """The path of an element, and whether it is left out."""
+def describe(tag: str, attributes: str, parent: Element) -> tuple[str, list[str], bool]:
+    """The path of an element, the words of its class and id, and whether it is left out."""
     words: list[str] = []
+    classes: set[str] = set()
     role = ""
     if attributes and not attributes.isspace():
         for name, *values in _NAMES.findall(attributes):
@@ -81,20 +95,23 @@ def describe(tag: str, attributes: str, parent: Element) -> tuple[str, bool]:
             if name == "role":
                 role = value
             elif name == "hidden":
-                return parent.path, True
+                return parent.path, words, True
             else:
-                words += _WORD.findall(value)
+                found = _WORD.findall(value)
+                words += found
+                if name == "class":
+                    classes.update(found)
     out = (tag in LEFT_OUT or bool(words) and not BOILERPLATE.isdisjoint(words) or role in ROLES
-           or tag == "header" and "article" not in parent.path and "main" not in parent.path)
+           or tag == "header" and not parent.inside)
     if tag in ("body", "article", "main"):  # what holds the page isn't left out for a word like page-header
         out = tag == "article" and "comment" in words
-    name = ".".join([tag, *sorted(set(words))]) if words else tag
-    return (f"{parent.path}/{name}" if parent.path else name), out
+    name = ".".join([tag, *sorted(classes)])
+    return (f"{parent.path}/{name}" if parent.path else name), words, out
 
 
 def parse(page: str) -> Page:
     """Blocks of a page in their order and its containers; what is left out is in neither."""
-    root = Element("", "", False, False, None, 0)
+    root = Element("", "", [], None, False, False, None, 0)
     stack, found, blocks = [root], [root], []
     opened: Counter[str] = Counter()
     parts: list[str] = []
@@ -154,7 +171,7 @@ def parse(page: str) -> Page:
             continue
         parent = stack[-1]
         if inline:
-            path, out = parent.path, bool(m[3]) and describe(tag, m[3], parent)[1]
+            path, words, out = parent.path, [], bool(m[3]) and describe(tag, m[3], parent)[2]
             if out and not parent.out:
                 flush()
         else:
@@ -169,9 +186,9 @@ def parse(page: str) -> Page:
                     if stack[i].tag in holds:
                         break
                 parent = stack[-1]
-            path, out = describe(tag, m[3], parent)
-        container = not (inline or tag in _HOLDS or tag in HEADINGS)
-        element = Element(tag, path, parent.out or out, parent.linked or tag == "a", None if container else parent.holder, len(blocks))
+            path, words, out = describe(tag, m[3], parent)
+        container = not (inline or tag in _HOLDS or tag in HEADINGS or tag in PARTS)
+        element = Element(tag, path, words, parent, parent.out or out, parent.linked or tag == "a", None if container else parent.holder, len(blocks))
         stack.append(element)
         opened[tag] += 1
         if container and not element.out:
@@ -185,12 +202,13 @@ def parse(page: str) -> Page:
 
 
 def best(page: Page) -> tuple[str, float]:
-    """Path of the best container, and its share of all scores; of equal ones the first by path."""
+    """Path of the best frame, and its share of all scores; of equal ones the first by path."""
     total: dict[str, float] = {}
     for e in page.containers:
         if e.own > 0:
-            named = not ARTICLE.isdisjoint(_WORD.findall(e.path.rpartition("/")[2]))
-            total[e.path] = total.get(e.path, 0.0) + e.own * (2.0 if named else 1.0)
+            frame = e.frame
+            named = frame.tag in ARTICLE or not ARTICLE.isdisjoint(frame.words)
+            total[frame.path] = total.get(frame.path, 0.0) + e.own * (2.0 if named else 1.0)
     if not total:
         return "", 0.0
     path = min(total, key=lambda p: (-total[p], p))
@@ -198,12 +216,12 @@ def best(page: Page) -> tuple[str, float]:
 
 
 def text_on(page: Page, path: str) -> str:
-    """Text of the containers on ``path``, each block once, in page order."""
+    """Text of the frames of containers on ``path``, each block once, in page order."""
     out, after = [], 0
-    for e in page.containers:
-        if e.path == path and e.end > after:
-            out += page.blocks[max(after, e.begin): e.end]
-            after = e.end
+    for frame in dict.fromkeys(e.frame for e in page.containers if e.path == path):
+        if frame.end > after:
+            out += page.blocks[max(after, frame.begin): frame.end]
+            after = frame.end
     return "\n".join(out)
 
 

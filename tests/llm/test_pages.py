@@ -111,6 +111,22 @@ def test_odd_pages(html, text):
     assert extraction.extract_page(html) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<article><h1>T</h1><div class=lead><p>lead</p></div><div class=body><p>the longest part</p></div></article>", "T\nlead\nthe longest part"),
+    ("<body><section id=intro><p>first</p></section><section id=methods><p>the second</p></section></body>", "first\nthe second"),
+    ("<main><h1>T</h1><section class=a><p>one</p><section class=b><p>two and more</p></section></section><p>end</p></main>", "T\none\ntwo and more\nend"),
+    ("<article><h1>T</h1><p>in</p><ul><li>a long item</li><li>another long item</li></ul><p>out</p></article>", "T\nin\na long item\nanother long item\nout"),
+    ("<article><p>in</p><table><tr><td>a long cell</td><td>another cell</td></tr></table></article>", "in\na long cell\nanother cell"),
+    ("<body><h1>T</h1><ul><li>a long item</li><li>another</li></ul></body>", "T\na long item\nanother"),
+    ("<div class=page><div class=lead><p>lead</p></div><div class=text><p>the longest part</p></div><div class=sidebar>no</div></div>", "lead\nthe longest part"),
+    ("<div><p>wrapper text</p><main><div class=x><p>one</p></div><div class=y><p>two and more</p></div></main></div>", "one\ntwo and more"),
+    ("<body><h1>T</h1><table><tr><td><div class=x>one</div><td><div class=y>two and more</div></table></body>", "T\none\ntwo and more"),
+    ("<article><div class=x><p>one</p></div><nav>no</nav><aside>no</aside><div class=y><p>two</p></div></article>", "one\ntwo")])
+def test_whole_article(html, text):
+    assert extraction.extract_page(html) == text
+    assert extraction.extract_page(html, extraction.best(extraction.parse(html))[0]) == text
+
+
 def test_host_decides(spark):
     """A page on which a sidebar is larger than the article gets the container of its host."""
     def page(article, side):
