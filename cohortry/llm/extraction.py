@@ -10,7 +10,10 @@ choose one.
 
 The text of a page is a line per block (paragraph, heading, list item, cell, ...): character references decoded, white space made
 one space, trimmed, empty blocks left out. Menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are left out wherever they stand. Null html is empty and gives an empty text; a null url belongs to the host
+and reader comments are left out wherever they stand, by element, role or a class name or id with a word for them; names like
+with-sidebar don't count, nor does a name on what holds a first heading, article or main and most of the page's text. Scripts, styles and
+text areas without an end tag go on to the end of the page, as in browsers; the tags of other embedded elements without one are passed
+over, and their text stays. Null html is empty and gives an empty text; a null url belongs to the host
 without name. Rows that repeat an id are pages of their own. An empty table gives no rows. Other columns play no part.
 """
 
@@ -30,7 +33,10 @@ from cohortry.llm.tables import slots_of, spread, stage
 
 # Element names of HTML by their kind
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select button canvas audio video".split())
+RAW = frozenset("script style textarea".split())
+#: Left out with all they hold, if they have an end tag; of SELF_CLOSING a slash is one.
+SKIPPED = frozenset("title noscript template iframe svg math object select button canvas audio video".split())
+SELF_CLOSING = frozenset("svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike "
                    "strong sub sup time tt u var wbr br img".split())
 LEFT_OUT = frozenset("nav aside footer form dialog menu head".split())
@@ -45,6 +51,10 @@ BOILERPLATE = frozenset("""ad ads advert advertisement advertising banner breadc
 disqus disclaimer footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay
 pagination pager popup promo promoted promotion related reply replies respond share sharing sidebar signup skip skyscraper social sponsor
 sponsored subscribe subscription syndication toc toolbar tooltip topbar widget widgets""".split())
+#: Words in a class name that tell something about what is or isn't around.
+MODIFIERS = frozenset("with without no not non has have hide hides hidden show shows is enable enabled disable disabled".split())
+#: Words of what readers write, which may be longer than the article.
+READERS = frozenset("captcha comment comments disqus reply replies respond".split())
 #: Names that speak for a container.
 ARTICLE = frozenset("article main content body post entry story text blog page hentry".split())
 
@@ -53,6 +63,9 @@ _CUT = re.compile(r"</?[a-zA-Z!?][^<]*\Z")
 _ENDS = {tag: re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+_SKIPPED = re.compile(rf"<(?:{'|'.join(sorted(SKIPPED))})[\s/>]", re.I)
+#: Elements whose end closes what is open in them.
+_FIRM = frozenset("html body main article section div header footer nav aside form ul ol table".split())
 #: Elements that an opening tag of the same kind closes.
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}}
@@ -65,10 +78,12 @@ class Element:
     """An open or closed element. ``holder``: the container its text counts for; ``frame``: the element whose text is one with it;
     ``words``: of its class and id; ``inside``: in an article or main, by element or name; ``begin``, ``end``: numbers of its blocks."""
 
-    __slots__ = ("tag", "path", "words", "inside", "out", "linked", "holder", "frame", "own", "begin", "end")
+    __slots__ = ("tag", "path", "words", "inside", "out", "named", "linked", "holder", "frame", "own", "begin", "end")
 
     def __init__(self, tag: str, path: str, words: list[str], parent: Element | None, out: bool, linked: bool, holder: Element | None, begin: int):
         self.tag, self.path, self.words, self.out, self.linked, self.begin, self.end = tag, path, words, out, linked, begin, -1
+        #: number of the element around that is left out for its name alone
+        self.named = parent.named if parent else None
         self.inside = bool(parent and parent.inside) or any(w in name for w in WHOLE for name in (tag, *words))
         self.holder = holder or self
         around = parent.frame if parent else self
@@ -80,14 +95,23 @@ class Element:
 
 @dataclass
 class Page:
+    """``named``: for elements left out for their names alone, by number: length of text in them, and whether an article stands there."""
+
     blocks: list[str]
     containers: list[Element]
+    named: dict[int, list]
+
 
+def boilerplate(name: list[str]) -> bool:
+    """Whether the words of one class name or id tell that the element isn't the article; with-sidebar and no-share don't."""
+    return not BOILERPLATE.isdisjoint(name) and MODIFIERS.isdisjoint(name)
 
-def describe(tag: str, attributes: str, parent: Element) -> tuple[str, list[str], bool]:
-    """The path of an element, the words of its class and id, and whether it is left out."""
+
+def describe(tag: str, attributes: str, parent: Element) -> tuple[str, list[str], bool, bool]:
+    """The path of an element, the words of its class and id, whether it is left out, and whether it is for its names alone."""
     words: list[str] = []
     classes: set[str] = set()
+    named = False
     role = ""
     if attributes and not attributes.isspace():
         for name, *values in _NAMES.findall(attributes):
@@ -95,25 +119,79 @@ def describe(tag: str, attributes: str, parent: Element) -> tuple[str, list[str]
             if name == "role":
                 role = value
             elif name == "hidden":
-                return parent.path, words, True
+                return parent.path, words, True, False
             else:
-                found = _WORD.findall(value)
-                words += found
+                found = [_WORD.findall(v) for v in value.split()]
+                named = named or any(map(boilerplate, found))
+                words += [w for f in found for w in f]
                 if name == "class":
-                    classes.update(found)
-    out = (tag in LEFT_OUT or bool(words) and not BOILERPLATE.isdisjoint(words) or role in ROLES
-           or tag == "header" and not parent.inside)
+                    classes.update(w for f in found for w in f)
+    out = tag in LEFT_OUT or role in ROLES or tag == "header" and not parent.inside
     if tag in ("body", "article", "main"):  # what holds the page isn't left out for a word like page-header
-        out = tag == "article" and "comment" in words
+        out, named = tag == "article" and "comment" in words, False
     name = ".".join([tag, *sorted(classes)])
-    return (f"{parent.path}/{name}" if parent.path else name), words, out
+    return (f"{parent.path}/{name}" if parent.path else name), words, out or named, named and not out
+
+
+def skips(page: str) -> dict[int, int]:
+    """Where elements of SKIPPED that have an end tag of their own begin and end; what is open around them closes them."""
+    ends: dict[int, int] = {}
+    if not _SKIPPED.search(page):
+        return ends
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    at = 0
+    for m in _TOKEN.finditer(page):
+        if m.start() < at or m[2] is None:
+            continue
+        tag = m[2].lower()
+        if tag in RAW and not m[1]:
+            at = raw_end(page, tag, m.end())
+        elif tag not in SKIPPED and tag not in _FIRM:
+            continue
+        elif not m[1]:
+            if tag in SELF_CLOSING and m[3].endswith("/"):
+                ends[m.start()] = m.end()
+            else:
+                stack.append((tag, m.start()))
+                opened[tag] += 1
+        elif opened[tag] > 0:
+            last = ""
+            while last != tag:
+                last, start = stack.pop()
+                opened[last] -= 1
+            if tag in SKIPPED:
+                ends[start] = m.end()
+    return ends
+
+
+def raw_end(page: str, tag: str, at: int) -> int:
+    stop = _ENDS[tag].search(page, at)
+    return stop.end() if stop else len(page)
 
 
 def parse(page: str) -> Page:
-    """Blocks of a page in their order and its containers; what is left out is in neither."""
+    """Blocks of a page in their order and its containers; what is left out is in neither.
+
+    An element that is left out for its names alone but holds the article and most of the page's text is kept."""
+    ends = skips(page)
+    spared: set[int] = set()
+    while True:
+        got = _parse(page, ends, spared)
+        most = max(got.named, key=lambda n: got.named[n][0], default=None)
+        if most is None:
+            return got
+        length, holds = got.named[most]
+        if not holds or 2 * length <= sum(map(len, got.blocks)) + sum(n for n, _ in got.named.values()):
+            return got
+        spared.add(most)
+
+
+def _parse(page: str, ends: dict[int, int], spared: set[int]) -> Page:
     root = Element("", "", [], None, False, False, None, 0)
     stack, found, blocks = [root], [root], []
     opened: Counter[str] = Counter()
+    named: dict[int, list] = {}
     parts: list[str] = []
     links = 0
 
@@ -126,6 +204,8 @@ def parse(page: str) -> Page:
             if text and not top.out:
                 top.holder.own += max(0, len(text) - 2 * links)
                 blocks.append(text)
+            elif text and top.named is not None:
+                named[top.named][0] += max(0, len(text) - 2 * links)
             parts.clear()
             links = 0
 
@@ -166,12 +246,17 @@ def parse(page: str) -> Page:
                 parts.append(" ")
             continue
         if tag in RAW:
-            stop = _ENDS[tag].search(page, at)
-            at = stop.end() if stop else len(page)
+            at = raw_end(page, tag, at)
+            continue
+        if tag in SKIPPED:
+            at = ends.get(start, at)
             continue
         parent = stack[-1]
         if inline:
-            path, words, out = parent.path, [], bool(m[3]) and describe(tag, m[3], parent)[2]
+            path, words = parent.path, []
+            out, by_name = describe(tag, m[3], parent)[2:] if m[3] else (False, False)
+            if start in spared:
+                out = False
             if out and not parent.out:
                 flush()
         else:
@@ -186,9 +271,17 @@ def parse(page: str) -> Page:
                     if stack[i].tag in holds:
                         break
                 parent = stack[-1]
-            path, words, out = describe(tag, m[3], parent)
+            path, words, out, by_name = describe(tag, m[3], parent)
+            if start in spared:
+                out = False
         container = not (inline or tag in _HOLDS or tag in HEADINGS or tag in PARTS)
         element = Element(tag, path, words, parent, parent.out or out, parent.linked or tag == "a", None if container else parent.holder, len(blocks))
+        if out and not parent.out and by_name and READERS.isdisjoint(words):
+            element.named, named[start] = start, [0, False]
+        elif out and not by_name:
+            element.named = None
+        if tag in ("h1", *WHOLE) and element.named is not None:
+            named[element.named][1] = True
         stack.append(element)
         opened[tag] += 1
         if container and not element.out:
@@ -198,7 +291,7 @@ def parse(page: str) -> Page:
     parts.append(rest[: cut.start()] if cut else rest)
     flush()
     close(0)
-    return Page(blocks, found)
+    return Page(blocks, found, named)
 
 
 def best(page: Page) -> tuple[str, float]:

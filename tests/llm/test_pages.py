@@ -127,6 +127,33 @@ def test_whole_article(html, text):
     assert extraction.extract_page(html, extraction.best(extraction.parse(html))[0]) == text
 
 
+@pytest.mark.parametrize("open_tag", ["<svg class=i />", "<svg/>", "<math/>", "<object data=x />", "<button>", "<select>", "<canvas id=c>", "<iframe src=x />", "<video>",
+                                      "<div><button></div>", "<div><select><option></div>", "<!-- </svg> --><svg>"])
+@pytest.mark.parametrize("later", ["", "<svg><text>no</text></svg>", "<button><b>no</b></button>", "<select><option>no</select><canvas>no</canvas>"])
+def test_no_end_tag(open_tag, later):
+    page = f"<body><article><p>before</p>{open_tag}<p>after</p>{later}<p>end</p></article></body>"
+    assert extraction.extract_page(page) == "before\nafter\nend"
+
+
+def test_skipped_elements():
+    html = "<article>a<svg><title>no</title><svg/><g><svg>no</svg></g>no</svg><noscript><div>no</div></noscript><object><object>no</object>no</object>b</article>"
+    assert extraction.extract_page(html) == "ab"
+    assert extraction.extract_page("<button>" * 20_000 + "<svg>" * 20_000 + "end") == "end"
+
+
+@pytest.mark.parametrize("names", ["class='content with-sidebar'", "class='post has-comments'", "class='entry-content no-share'", "class='layout sidebar-right'",
+                                   "id=header-page", "class='page-widgets x'"])
+def test_names_of_what_holds_the_article(names):
+    page = f"<body><div {names}><h1>T</h1><p>the text of the article</p><div class=sidebar>no</div></div><div class=cookie-notice>we use cookies</div></body>"
+    assert extraction.extract_page(page) == "T\nthe text of the article"
+
+
+def test_names_of_what_does_not():
+    comments = "<section class=comments><h1>Comments</h1><p>" + "longer than the article " * 9 + "</p></section>"
+    page = f"<body><div class=text><p>the text</p></div><div class='box cookie-notice'>{'cookies ' * 30}</div><div class=site-header><h1>S</h1></div>{comments}</body>"
+    assert extraction.extract_page(page) == "the text"
+
+
 def test_host_decides(spark):
     """A page on which a sidebar is larger than the article gets the container of its host."""
     def page(article, side):
