@@ -2,7 +2,9 @@
 
 Found are mail addresses, IPv4 addresses, payment card numbers, IBANs, social security numbers, telephone numbers and calendar dates.
 What has a rule is validated: card numbers by their check digit, IBANs by their remainder, octets, areas and dates by their range;
-what fails is left as it is. A value is enciphered by a keyed Feistel network over exactly the values of its format, so a
+what fails is left as it is. Card numbers and IBANs are looked for among the numbers and capitals that stand beside them: an IBAN ends at the
+length of its country, and of a run of digits those blocks that pass are a card, first single blocks, then usual groups (16 digits before
+others), then other groups of three digits or more, or the whole run. A value is enciphered by a keyed Feistel network over exactly the values of its format, so a
 pseudonym is a valid value of the same format, different values get different pseudonyms, and equal values get the same one in every
 document. Spaces and marks between digits stay where they are.
 
@@ -25,6 +27,8 @@ whoever has it can undo a pseudonym.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +40,24 @@ IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d]|[/.-]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"
 PHONE = r"(?<![\w+])(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\w)|(?<![\w+])\+[1-9]\d(?:[ .()-]{0,2}\d){6,12}(?!\w)"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)"
+#: Digits in groups as cards have them, and runs of digits, spaces and marks that may hold cards and other kinds. A class of characters,
+#: so that long runs don't deepen the stack.
+CARD_GROUPS = r"\d{4}(?: \d{4}){3}(?: \d{3})?|\d{4}(?:-\d{4}){3}(?:-\d{3})?|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5}"
+CARD = r"(?<![\w.-])\d[\d -]{11,}\d(?!\w|\.\d|[A-Za-z0-9._%+-]*@)"
+WITHIN = f"{DATE}|{SSN}|{PHONE}"
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+                22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+                26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+                31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _ibans(gap: str) -> str:
+    return "|".join(rf"(?:{'|'.join(names.split())})\d{{2}}(?:{gap}[A-Z0-9]){{{n - 4}}}(?!\w)" for n, names in IBAN_LENGTHS.items())
+
+
+_STOP = rf"(?!{WITHIN}|\d{{13,19}}(?!\w)|{_ibans(' ?')})"
+IBAN = rf"(?<!\w)(?:{_ibans(f'(?: {_STOP})?')}|[A-Z]{{2}}\d{{2}}(?:(?: {_STOP})?[A-Z0-9]){{11,30}}(?!\w))"
 FOUND = "|".join((EMAIL, IP, DATE, SSN, PHONE, IBAN, CARD))
 #: Every kind has one of these characters; the rest of the texts is passed by without a search.
 HINT = r"[0-9@]"
@@ -149,15 +169,88 @@ def ip(found: Column, key: str) -> Column:
     return F.when(F.forall(octets, lambda o: o <= 255), made).otherwise(found)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def card(found: Column, key: str) -> Column:
+    """A card number with or without marks; itself if its check digit is wrong."""
     digits = digits_of(found)
     body = F.substr(digits, F.lit(1), F.length(digits) - 1)
     new = F.concat(F.substr(digits, F.lit(1), F.lit(1)), within_alphabet(F.substr(body, F.lit(2)), key, "card"))
-    valid = check_digit(body) == F.substr(digits, F.length(digits))
-    return F.when(valid, refill(found, F.concat(new, check_digit(new)))).otherwise(found)
+    return F.when(luhn_valid(found), refill(found, F.concat(new, check_digit(new)))).otherwise(found)
+
+
+def luhn_valid(found: Column) -> Column:
+    digits = digits_of(found)
+    return check_digit(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.substr(digits, F.length(digits))
+
+
+def cards(found: Column, key: str) -> Column:
+    """The card numbers in a run of digits, and the dates and telephone numbers beside them, replaced; the rest stays."""
+    def between(run: Column) -> Column:
+        # blocks and what stands between them
+        scanned = let(F.regexp_extract_all(run, F.lit(r"(\d+|[ -]+)"), F.lit(1)), lambda parts: _cards(run, parts, key))
+        return F.when(F.length(digits_of(run)) < 13, run).otherwise(scanned)
+
+    def other(found: Column) -> Column:
+        return F.when(found.rlike(rf"^(?:{DATE})$"), date(found, key)).when(found.rlike(rf"^(?:{SSN})$"), ssn(found, key)).otherwise(phone(found, key))
+
+    return _replaced(found, WITHIN, other, between)[1]
+
+
+def _cards(run: Column, parts: Column, key: str) -> Column:
+    first = F.when(F.element_at(parts, 1).rlike(r"^\d"), 1).otherwise(2)
+
+    def of_block(at: Column) -> Column:
+        # seven blocks at most: six of three digits and one of one
+        ends = F.sequence(at, F.least(at + 12, F.size(parts)), F.lit(2))
+        return F.transform(ends, lambda end: F.struct(at.alias("at"), end.alias("end"), F.array_join(F.slice(parts, at, end - at + 1), "").alias("text")))
+
+    def ranked(c: Column) -> Column:
+        n = F.length(digits_of(c["text"]))
+        kind = (F.when(~c["text"].rlike("[ -]"), 0).when(c["text"].rlike(rf"^(?:{CARD_GROUPS})$"), 1)
+                .when(c["text"].rlike(r"^(?:\d{3,}[ -])+\d+$") | (c["text"] == F.trim(run)) & ~c["text"].rlike("[ -]{2}"), 2))
+        return F.struct(F.when((n >= 13) & (n <= 19), kind).alias("kind"), F.when(n <= 16, 16 - n).otherwise(n).alias("far"), c["at"].alias("at"),
+                        c["end"].alias("end"), c["text"].alias("text"))
+
+    last = F.size(parts) - F.when(F.element_at(parts, -1).rlike(r"^\d"), 0).otherwise(1)
+    whole = F.struct(first.alias("at"), last.alias("end"), F.array_join(F.slice(parts, first, last - first + 1), "").alias("text"))
+    tried = F.concat(F.flatten(F.transform(F.sequence(first, last, F.lit(2)), of_block)), F.array(whole))
+    good = F.filter(F.transform(tried, ranked), lambda c: c["kind"].isNotNull() & luhn_valid(c["text"]))
+
+    def take(taken: Column, c: Column) -> Column:
+        free = ~F.exists(taken, lambda t: (t["at"] <= c["end"]) & (c["at"] <= t["end"]))
+        return F.when(free, F.concat(taken, F.array(c))).otherwise(taken)
+
+    def put(taken: Column) -> Column:
+        def part(text: Column, i: Column) -> Column:
+            mine = F.filter(taken, lambda t: (t["at"] <= i + 1) & (i + 1 <= t["end"]))
+            return F.when(F.size(mine) == 0, text).when(mine[0]["at"] == i + 1, card(mine[0]["text"], key)).otherwise(F.lit(""))
+
+        return F.array_join(F.transform(parts, part), "")
+
+    return let(F.array_sort(good), lambda ranks: let(F.aggregate(ranks, F.slice(ranks, 1, 0), take), lambda taken: F.when(F.size(taken) > 0, put(taken)).otherwise(run)))
 
 
 def iban(found: Column, key: str) -> Column:
+    """An IBAN, with what stands behind it if its country isn't known; without a valid one, the card numbers in it."""
+    def cut(found: Column) -> Column:
+        # places where a block ends, the last one first
+        ends = F.filter(F.sequence(F.length(found), F.lit(15), F.lit(-1)),
+                        lambda n: ((n == F.length(found)) | (F.substr(found, n + 1, F.lit(1)) == " ")) & (F.substr(found, n, F.lit(1)) != " "))
+        plain = F.transform(ends, lambda n: F.substr(found, F.lit(1), n))
+        valid = F.filter(plain, lambda t: (F.length(F.replace(t, F.lit(" "), F.lit(""))) >= 15) & (remainder_97(F.replace(t, F.lit(" "), F.lit(""))) == 1))
+        inner = _replaced(found, CARD, lambda f: cards(f, key))[1]
+        known = found.rlike(rf"^(?:{_ibans(' ?')})$")
+        return let(F.when(known, F.filter(valid, lambda t: t == found)).otherwise(valid), lambda v: F.when(
+            F.size(v) > 0, F.concat(_iban(v[0], key), F.substr(found, F.length(v[0]) + 1))).otherwise(inner))
+
+    return let(found, cut)
+
+
+def _iban(found: Column, key: str) -> Column:
     plain = F.replace(found, F.lit(" "), F.lit(""))
     account = within_alphabet(F.substr(plain, F.lit(5)), key, "iban")
     country = F.substr(plain, F.lit(1), F.lit(2))
@@ -168,8 +261,7 @@ def iban(found: Column, key: str) -> Column:
         n = s["n"] + F.when(c == " ", 0).otherwise(1)
         return F.struct(n.alias("n"), F.concat(s["t"], F.when(c == " ", c).otherwise(F.substr(new, n, F.lit(1)))).alias("t"))
 
-    spaced = F.aggregate(F.split(found, ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("t")), step)["t"]
-    return F.when(remainder_97(plain) == 1, spaced).otherwise(found)
+    return F.aggregate(F.split(found, ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("t")), step)["t"]
 
 
 def ssn(found: Column, key: str) -> Column:
@@ -213,18 +305,25 @@ KINDS = (("email", "@", email), ("date", rf"^(?:{DATE})$", date), ("ip", rf"^(?:
 
 def pseudonym(found: Column, key: str) -> Column:
     """The pseudonym of one found string, itself if it isn't valid."""
-    out = card(found, key)
+    out = cards(found, key)
     for _, pattern, make in reversed(KINDS):
         out = F.when(found.rlike(pattern), make(found, key)).otherwise(out)
     return out
 
 
+def _replaced(text: Column, pattern: str, make: Callable[[Column], Column], between: Callable[[Column], Column] | None = None) -> tuple[Column, Column]:
+    """Strings of ``pattern`` in ``text``, and the text with ``make`` of them, and ``between`` of what stands between them."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    around = F.split(text, pattern, -1)
+    made = F.transform(found, make)
+    if between:
+        around = F.transform(around, between)
+    return found, F.array_join(F.flatten(F.zip_with(around, made, lambda a, m: F.array(a, F.coalesce(m, F.lit(""))))), "")
+
+
 def replaced(text: Column, key: str) -> tuple[Column, Column]:
     """Strings found in ``text``, and the text with their pseudonyms."""
-    found = F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
-    around = F.split(text, FOUND, -1)
-    made = F.transform(found, lambda f: pseudonym(f, key))
-    return found, F.array_join(F.flatten(F.zip_with(around, made, lambda a, m: F.array(a, F.coalesce(m, F.lit(""))))), "")
+    return _replaced(text, FOUND, lambda f: pseudonym(f, key))
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:

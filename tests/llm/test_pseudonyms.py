@@ -66,6 +66,34 @@ def test_left_alone(spark):
     assert all(r.n == 0 for r in got.values())
 
 
+CARDS = ["4111111111111111", "4111 1111 1111 1111", "3782 822463 10005", "4944-3394-9042-9605"]
+IBANS = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"]
+
+
+def test_neighbours(spark):
+    """What stands beside a card or an IBAN changes neither that it is found nor its pseudonym."""
+    around = ["{} 123", "{} 3 items", "3 {}", "12 {} 99", "{} 2024", "{}-7", "1234 {}", "AB12 {}", "{} 20 25 30 35 40"]
+    many = [(c, a) for c in CARDS for a in around]
+    spaced = ["{} BIC COBADEFF", "{} USD", "{} 12", "{} EUR 100", "AB12 {}", "IBAN {} 4", "BIC COBADEFF {} A"]
+    many += [(c, a) for c in IBANS for a in spaced]
+    many += [(c, a) for c in CARDS + IBANS for a in ("{}", "{} 61.131.143.218")]
+    got = run(spark, [a.format(c) for c, a in many])
+    alone = {c: got[i].text for i, (c, a) in enumerate(many) if a == "{}"}
+    ip = run(spark, ["61.131.143.218"])[0].text
+    assert all(new != old for old, new in alone.items()) and all(luhn(alone[c]) for c in CARDS) and all(iban(alone[c]) for c in IBANS)
+    wrong = [(a.format(c), got[i].text) for i, (c, a) in enumerate(many) if got[i].text != a.format(alone[c]).replace("61.131.143.218", ip)]
+    assert not wrong
+
+
+def test_several_in_a_run(spark):
+    texts = [" ".join(CARDS), " ".join(IBANS), "4111111111111111 2024-01-15 123-45-6789 212-555-0199", "DE89370400440532013000 4111 1111 1111 1111 212-555-0199", *CARDS, *IBANS,
+             "2024-01-15", "123-45-6789", "212-555-0199", "1 2 " * 3000, "7" * 100_000]
+    got = [r.text for _, r in sorted(run(spark, texts).items())]
+    cards, ibans, (date, ssn, phone) = got[4:8], got[8:11], got[11:14]
+    assert got[0] == " ".join(cards) and got[1] == " ".join(ibans) and got[14:] == texts[14:]
+    assert got[2] == f"{cards[0]} {date} {ssn} {phone}" and got[3] == f"{ibans[0]} {cards[1]} {phone}"
+
+
 def test_places_in_the_text(spark):
     texts = ["61.131.143.218", "a 61.131.143.218", "61.131.143.218 b", "x\n61.131.143.218\n61.131.143.218\n", "y" * 100_000 + " 61.131.143.218"]
     got = run(spark, texts)
