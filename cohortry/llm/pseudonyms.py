@@ -4,7 +4,9 @@ Found are mail addresses, IPv4 addresses, payment card numbers, IBANs, social se
 What has a rule is validated: card numbers by their check digit, IBANs by their remainder, octets, areas and dates by their range;
 what fails is left as it is. Card numbers and IBANs are looked for among the numbers and capitals that stand beside them: an IBAN ends at the
 length of its country, and of a run of digits those blocks that pass are a card, first single blocks, then usual groups (16 digits before
-others), then other groups of three digits or more, or the whole run. A value is enciphered by a keyed Feistel network over exactly the values of its format, so a
+others), then other groups of three digits or more, or the whole run. Telephone
+numbers are found by notation, whatever their digits: North American ones with an area, with a plus, with a trunk or dialling zero (nine
+digits or more), and Spanish ones in groups; local numbers without an area stay. A value is enciphered by a keyed Feistel network over exactly the values of its format, so a
 pseudonym is a valid value of the same format, different values get different pseudonyms, and equal values get the same one in every
 document. Spaces and marks between digits stay where they are.
 
@@ -16,7 +18,8 @@ ip          the 32 bits of the address, as two halves
 card        the digits between the first and the check digit, which is set anew
 iban        the digits and letters of the account, each within its alphabet; check digits are set anew
 ssn         area (of 898) and the rest (of 99 x 9999)
-phone       North American: area (of 800) and number (of 8,000,000); others: all digits after the first two
+phone       North American: area (of 800) and number (of 8,000,000), outside these ranges all digits but the first of area and of
+            exchange; others: all digits after the first two
 date        days from 1800-01-01 to 2199-12-31, 146,097 = 189 x 773 of them, kept in their notation
 ==========  ==================================================================================================================
 
@@ -39,10 +42,19 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d]|[/.-]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"
-PHONE = r"(?<![\w+])(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\w)|(?<![\w+])\+[1-9]\d(?:[ .()-]{0,2}\d){6,12}(?!\w)"
-#: Digits in groups as cards have them, and runs of digits, spaces and marks that may hold cards and other kinds. A class of characters,
-#: so that long runs don't deepen the stack.
+#: Digits in groups as cards have them.
 CARD_GROUPS = r"\d{4}(?: \d{4}){3}(?: \d{3})?|\d{4}(?:-\d{4}){3}(?:-\d{3})?|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5}"
+_NOT_CARD = rf"(?!\d{{13,19}}(?!\w)|(?:{CARD_GROUPS})(?!\w))"
+#: American numbers, of any digits; those with a plus; those with a trunk or dialling zero; Spanish ones, of nine digits from 6 to 9.
+PHONE = "|".join((
+    r"(?<![\w+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
+    rf"(?<![\w+])\+[1-9](?:(?:[ ./()-]{{1,3}}{_NOT_CARD})?\d){{7,14}}(?!\w)",
+    rf"(?<![\w.,+/-])\(0\d{{1,5}}\)(?:(?:[ ./-]{{1,2}}{_NOT_CARD})?\d){{5,12}}(?!\w|[.,/-]\d)",
+    rf"(?<![\w.,+/-])0\d(?=[ ./()\d-]{{0,8}}[ ./()-])(?:(?:[ ./()-]{{1,2}}{_NOT_CARD})?\d){{7,13}}(?!\w|[.,/-]\d)",
+    r"(?<![\w.,+/-])0[1-9]\d{8,10}(?!\w|[.,/-]\d)",
+    r"(?<![\w.,+/-])(?:[6-9]\d{2}[ -]\d{3}[ -]\d{3}|[6-9]\d{2}(?:[ -]\d{2}){3}|9\d[ -]\d{3}(?:[ -]\d{2}){2})(?!\w|[ .,/-]\d)"))
+#: Runs of digits, spaces and marks that may hold cards and other kinds. A class of characters,
+#: so that long runs don't deepen the stack.
 CARD = r"(?<![\w.-])\d[\d -]{11,}\d(?!\w|\.\d|[A-Za-z0-9._%+-]*@)"
 WITHIN = f"{DATE}|{SSN}|{PHONE}"
 #: Lengths of IBANs by country.
@@ -118,7 +130,7 @@ def digits_of(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
-def refill(shape: Column, digits: Column, skip: int = 0) -> Column:
+def refill(shape: Column, digits: Column, skip: Column | int = 0) -> Column:
     """``shape`` with its digits, after ``skip`` of them, replaced in order by ``digits``."""
     def step(s: Column, c: Column) -> Column:
         is_digit = c.rlike(r"^\d$")
@@ -175,23 +187,23 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def card(found: Column, key: str) -> Column:
-    """A card number with or without marks; itself if its check digit is wrong."""
-    digits = digits_of(found)
-    body = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    new = F.concat(F.substr(digits, F.lit(1), F.lit(1)), within_alphabet(F.substr(body, F.lit(2)), key, "card"))
-    return F.when(luhn_valid(found), refill(found, F.concat(new, check_digit(new)))).otherwise(found)
+    """The pseudonym of a valid card number with or without marks."""
+    def of_digits(digits: Column) -> Column:
+        new = F.concat(F.substr(digits, F.lit(1), F.lit(1)), within_alphabet(F.substr(digits, F.lit(2), F.length(digits) - 2), key, "card"))
+        return let(new, lambda n: refill(found, F.concat(n, check_digit(n))))
+
+    return let(digits_of(found), of_digits)
 
 
 def luhn_valid(found: Column) -> Column:
-    digits = digits_of(found)
-    return check_digit(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.substr(digits, F.length(digits))
+    return let(digits_of(found), lambda digits: check_digit(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.substr(digits, F.length(digits)))
 
 
-def cards(found: Column, key: str) -> Column:
-    """The card numbers in a run of digits, and the dates and telephone numbers beside them, replaced; the rest stays."""
+def runs(found: Column, key: str) -> Column:
+    """Dates, security and telephone numbers of a found string and the card numbers beside them, replaced; the rest stays."""
     def between(run: Column) -> Column:
-        # blocks and what stands between them
-        scanned = let(F.regexp_extract_all(run, F.lit(r"(\d+|[ -]+)"), F.lit(1)), lambda parts: _cards(run, parts, key))
+        # blocks of digits and what stands between them
+        scanned = let(F.regexp_extract_all(run, F.lit(r"(\d+|\D+)"), F.lit(1)), lambda parts: _cards(run, parts, key))
         return F.when(F.length(digits_of(run)) < 13, run).otherwise(scanned)
 
     def other(found: Column) -> Column:
@@ -210,8 +222,9 @@ def _cards(run: Column, parts: Column, key: str) -> Column:
 
     def ranked(c: Column) -> Column:
         n = F.length(digits_of(c["text"]))
-        kind = (F.when(~c["text"].rlike("[ -]"), 0).when(c["text"].rlike(rf"^(?:{CARD_GROUPS})$"), 1)
-                .when(c["text"].rlike(r"^(?:\d{3,}[ -])+\d+$") | (c["text"] == F.trim(run)) & ~c["text"].rlike("[ -]{2}"), 2))
+        joined = (c["at"] > 1) & F.element_at(parts, F.greatest(c["at"] - 1, F.lit(1))).rlike("[A-Za-z]$")
+        kind = (F.when(joined, F.lit(None).cast("int")).when(c["text"].rlike(r"^\d+$"), 0).when(c["text"].rlike(rf"^(?:{CARD_GROUPS})$"), 1)
+                .when(c["text"].rlike(r"^(?:\d{3,}[ -])+\d+$") | (c["text"] == F.trim(run)) & ~c["text"].rlike(r"[^\d -]|[ -]{2}"), 2))
         return F.struct(F.when((n >= 13) & (n <= 19), kind).alias("kind"), F.when(n <= 16, 16 - n).otherwise(n).alias("far"), c["at"].alias("at"),
                         c["end"].alias("end"), c["text"].alias("text"))
 
@@ -234,23 +247,18 @@ def _cards(run: Column, parts: Column, key: str) -> Column:
     return let(F.array_sort(good), lambda ranks: let(F.aggregate(ranks, F.slice(ranks, 1, 0), take), lambda taken: F.when(F.size(taken) > 0, put(taken)).otherwise(run)))
 
 
+def valid_iban(found: Column) -> Column:
+    """The IBAN at the beginning of ``found``, which goes further if its country isn't known; null if there is none."""
+    # places where a block ends, the last one first
+    size = F.length(found)
+    ends = F.filter(F.sequence(size, F.least(size, F.lit(15)), F.lit(-1)), lambda n: F.substr(found, n, F.lit(2)).rlike("^[A-Z0-9](?: |$)"))
+    known = found.rlike(rf"^(?:{_ibans(' ?')})$")
+    plain = F.transform(ends, lambda n: F.struct(F.substr(found, F.lit(1), n).alias("t"), F.replace(F.substr(found, F.lit(1), n), F.lit(" "), F.lit("")).alias("p")))
+    valid = F.filter(plain, lambda c: (~known | (c["t"] == found)) & (F.length(c["p"]) >= 15) & (remainder_97(c["p"]) == 1))
+    return F.when(found.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$"), F.get(valid, F.lit(0))["t"])
+
+
 def iban(found: Column, key: str) -> Column:
-    """An IBAN, with what stands behind it if its country isn't known; without a valid one, the card numbers in it."""
-    def cut(found: Column) -> Column:
-        # places where a block ends, the last one first
-        ends = F.filter(F.sequence(F.length(found), F.lit(15), F.lit(-1)),
-                        lambda n: ((n == F.length(found)) | (F.substr(found, n + 1, F.lit(1)) == " ")) & (F.substr(found, n, F.lit(1)) != " "))
-        plain = F.transform(ends, lambda n: F.substr(found, F.lit(1), n))
-        valid = F.filter(plain, lambda t: (F.length(F.replace(t, F.lit(" "), F.lit(""))) >= 15) & (remainder_97(F.replace(t, F.lit(" "), F.lit(""))) == 1))
-        inner = _replaced(found, CARD, lambda f: cards(f, key))[1]
-        known = found.rlike(rf"^(?:{_ibans(' ?')})$")
-        return let(F.when(known, F.filter(valid, lambda t: t == found)).otherwise(valid), lambda v: F.when(
-            F.size(v) > 0, F.concat(_iban(v[0], key), F.substr(found, F.length(v[0]) + 1))).otherwise(inner))
-
-    return let(found, cut)
-
-
-def _iban(found: Column, key: str) -> Column:
     plain = F.replace(found, F.lit(" "), F.lit(""))
     account = within_alphabet(F.substr(plain, F.lit(5)), key, "iban")
     country = F.substr(plain, F.lit(1), F.lit(2))
@@ -275,13 +283,22 @@ def ssn(found: Column, key: str) -> Column:
 
 
 def phone(found: Column, key: str) -> Column:
-    digits = digits_of(found)
-    american = found.rlike(r"^(?:\+1[ .-]?)?\(?[2-9]\d{2}[) .-]+[2-9]\d{2}[ .-]\d{4}$")
-    ten = F.substr(digits, F.length(digits) - 9)
-    out = feistel(number(F.substr(ten, F.lit(1), F.lit(3))) - 200, number(F.substr(ten, F.lit(4))) - 2_000_000, 800, 8_000_000, key, "phone")
-    new = F.concat((out["l"] + 200).cast("string"), (out["r"] + 2_000_000).cast("string"))
-    local = F.when(found.startswith("+"), refill(found, new, 1)).otherwise(refill(found, new))
-    return F.when(american, local).otherwise(refill(found, within_alphabet(F.substr(digits, F.lit(3)), key, "abroad"), 2))
+    """Area and number of an American one within their ranges; of one outside them all but the first digits of both, so that it stays
+    outside; of others all digits after the first two."""
+    def of_digits(digits: Column) -> Column:
+        n = F.length(digits)
+        ten = F.substr(digits, F.greatest(n - 9, F.lit(1)))
+        notation = found.rlike(r"^(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}$")
+        out = feistel(number(F.substr(ten, F.lit(1), F.lit(3))) - 200, number(F.substr(ten, F.lit(4))) - 2_000_000, 800, 8_000_000, key, "phone")
+        inside = let(out, lambda o: F.concat((o["l"] + 200).cast("string"), (o["r"] + 2_000_000).cast("string")))
+        first, fourth = F.substr(ten, F.lit(1), F.lit(1)), F.substr(ten, F.lit(4), F.lit(1))
+        rest = F.when(notation, F.concat(F.substr(ten, F.lit(2), F.lit(2)), F.substr(ten, F.lit(5)))).otherwise(F.substr(digits, F.lit(3)))
+        moved = let(within_alphabet(rest, key, "abroad"), lambda r: F.when(
+            notation, F.concat(first, F.substr(r, F.lit(1), F.lit(2)), fourth, F.substr(r, F.lit(3)))).otherwise(r))
+        new = F.when(notation & ten.rlike(r"^[2-9]\d{2}[2-9]"), inside).otherwise(moved)
+        return refill(found, new, F.when(notation, n - 10).otherwise(2))
+
+    return let(digits_of(found), of_digits)
 
 
 def date(found: Column, key: str) -> Column:
@@ -299,16 +316,10 @@ def date(found: Column, key: str) -> Column:
     return F.when(days.isNotNull() & (at >= 0) & (at < a * b), text).otherwise(found)
 
 
-KINDS = (("email", "@", email), ("date", rf"^(?:{DATE})$", date), ("ip", rf"^(?:{IP})$", ip), ("ssn", rf"^(?:{SSN})$", ssn),
-         ("phone", rf"^(?:{PHONE})$", phone), ("iban", "^[A-Z]{2}", iban))
-
-
 def pseudonym(found: Column, key: str) -> Column:
     """The pseudonym of one found string, itself if it isn't valid."""
-    out = cards(found, key)
-    for _, pattern, make in reversed(KINDS):
-        out = F.when(found.rlike(pattern), make(found, key)).otherwise(out)
-    return out
+    behind_iban = let(valid_iban(found), lambda v: F.when(v.isNotNull(), F.concat(iban(v, key), F.substr(found, F.length(v) + 1))).otherwise(runs(found, key)))
+    return F.when(F.instr(found, "@") > 0, email(found, key)).when(found.rlike(rf"^(?:{IP})$"), ip(found, key)).otherwise(behind_iban)
 
 
 def _replaced(text: Column, pattern: str, make: Callable[[Column], Column], between: Callable[[Column], Column] | None = None) -> tuple[Column, Column]:

@@ -94,6 +94,28 @@ def test_several_in_a_run(spark):
     assert got[2] == f"{cards[0]} {date} {ssn} {phone}" and got[3] == f"{ibans[0]} {cards[1]} {phone}"
 
 
+PHONES = ["+1 (017) 555-7713", "(017) 555-7713", "+1 (136) 155-7479", "212-155-0199", "+7 (495) 123-45-67", "+49 (0)30 901820", "030 901820-12", "(030) 901 82 01",
+          "030/9018201", "0171 1234567", "01701234567", "01 42 68 53 00", "01.42.68.53.00", "0142685300", "0049 30 901820", "912 345 678", "612 34 56 78",
+          "91 234 56 78", "+34 912 345 678", "020 7946 0018"]
+
+
+def test_phones_by_notation(spark):
+    got = run(spark, [f"call {t}, or {t}." for t in PHONES], count_col="n")
+    for i, text in enumerate(PHONES):
+        new = got[i].text[5:-1].split(", or ")
+        assert new[0] == new[1] != text and got[i].n == 2 and shape(new[0]) == shape(text), (text, got[i].text)
+    assert got[0].text[5:].startswith("+1 (0") and got[0].text[8:].startswith(got[1].text[5:19])  # linked, and outside of the usual ranges
+    cards = run(spark, ["+49 30 901820 4111 1111 1111 1111", "030 901820 4111111111111111", "4111 1111 1111 1111", "4111111111111111", "0 1 2 3 4 5 6 7 8 9", "0.123456789 08:30 012"])
+    assert cards[0].text.endswith(" " + cards[2].text) and cards[1].text.endswith(" " + cards[3].text)
+    assert [cards[4].text, cards[5].text] == ["0 1 2 3 4 5 6 7 8 9", "0.123456789 08:30 012"]
+
+
+def test_phones_are_permuted(spark):
+    table = spark.range(0, 1000).select(F.format_string("(0%02d) 155-%04d", F.col("id") % 100, F.col("id")).alias("t"))
+    out = {r.o for r in table.select(P.phone(F.col("t"), "k").alias("o")).collect()}
+    assert len(out) == 1000 and all(re.fullmatch(r"\(0\d\d\) 1\d\d-\d{4}", t) for t in out)
+
+
 def test_places_in_the_text(spark):
     texts = ["61.131.143.218", "a 61.131.143.218", "61.131.143.218 b", "x\n61.131.143.218\n61.131.143.218\n", "y" * 100_000 + " 61.131.143.218"]
     got = run(spark, texts)
