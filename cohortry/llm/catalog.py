@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cohortry.llm import exact_dedup, extraction, line_dedup, ngram_join, packing, pieces, pseudonyms, quality, toxicity, warc
+from cohortry.llm import (byte_bpe, conversations, exact_dedup, extraction, line_dedup, ngram_join, packing, periods, pieces, pseudonyms, quality,
+                          toxicity, warc)
 from cohortry.llm.tables import read
 
 
@@ -57,9 +58,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(docs, count_col="n_removed")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(conversations.turns_of(read(spark, sf_dir, "conversations"))))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.report(read(spark, sf_dir, "documents"), damage=True)
+
+
 CATALOG = {f.__name__: f for f in (
     op1_quality_rules, op2_ngram_join, op3_toxicity, op4_warc, op5_html_extraction, op6_pii, op7_best_fit_packing, op8_sentencepiece,
-    op9_exact_dedup, op10_line_dedup)}
+    op9_exact_dedup, op10_line_dedup, op11_byte_bpe, op12_conversation_repair, op13_periodic_runs)}
 CATALOG["pipeline"] = corpus_pipeline.run
 
 ORACLES = {

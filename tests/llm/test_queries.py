@@ -34,7 +34,7 @@ def test_stages_without_rows(spark):
 
 def test_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in CATALOG if name.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in CATALOG
+    assert numbers == list(range(1, 14)) and "pipeline" in CATALOG
 
 
 def test_fresh_names(spark):
