@@ -1,61 +1,40 @@
 """Class-weighted, monotone-constrained boosted trees as Spark jobs (M1-M3, M8, M9).
 
-The training table is binned once and staged as one short byte string per row. Every tree level is one job:
-each task sums gradients per (node, feature, bin) over its rows, Spark adds up the partial sums, and the driver
-chooses the splits from that histogram, whose size does not depend on the number of rows.
+The training table is binned once and staged as a short byte string per row, a byte per numeric feature and one per category. A fit whose
+rows fit one block grows its trees in one task; many of them, as in a search, are as many tasks. Beyond that every tree level is one job for
+all fits: tasks add up gradients per (fit, node, byte) over their blocks, Spark sums those and chooses the split of each node where the
+sums are, and one row per node comes to the driver. Margins stay beside the rows in blocks that Spark holds, and are written to the
+shared folder every ``WRITE_EVERY`` trees, so that a lost executor costs a few trees of work. Both ways give the same trees.
+
+Blocks are kept as an RDD: they are numpy arrays that change from tree to tree, which no column expression can hold.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cohortry.session import discard, stage
-
-TREE_COLUMNS = "tree int, node int, feature string, cut double, bin int, value double, gain double, cover double"
-RESTAGE_EVERY = 10
-
-
-@dataclass(frozen=True)
-class BoostParams:
-    """M3 defaults."""
-
-    n_trees: int = 200
-    learning_rate: float = 0.05
-    max_depth: int = 4
-    min_child_weight: float = 3.0
-    row_share: float = 0.8
-    column_share: float = 0.8
-    alpha: float = 1.0
-    lam: float = 1.0
-    gamma: float = 0.1
-    pos_weight: float = 1.0
-    max_bins: int = 64
-    base_margin: float = 0.0
-    seed: int = 42
-    monotone: dict[str, int] = field(default_factory=dict)
-
-    def with_(self, **changes) -> BoostParams:
-        return replace(self, **changes)
-
+from cohortry.operators import metrics, trees
+from cohortry.operators.trees import BoostParams, Draws, Layout, Node, Tree
+from cohortry.session import discard, folder, stage
 
-@dataclass
-class Node:
-    """One node of a tree; children of node i are 2i and 2i + 1, the root is 1."""
+__all__ = ["BoostParams", "BoostedModel", "BinnedTable", "Node", "bin_table", "fit", "fit_many", "validate"]
 
-    value: float
-    cover: float
-    feature: int = -1
-    bin: int = 0
-    cut: float = 0.0
-    gain: float = 0.0
+TREE_COLUMNS = "tree int, node int, feature string, cut double, bin int, value double, gain double, cover double"
+#: Rows and bytes of a block. A table of one block is what a single task may hold.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 1 << 25
+#: Trees after which margins are written.
+WRITE_EVERY = 25
 
 
 @dataclass
@@ -102,207 +81,277 @@ def monotone_by_name(features: Sequence[str], rising: Sequence[str] = ("numerica
 
 @dataclass
 class BinnedTable:
+    """Staged rows ``key, h, y, keep..., b`` and where the features stand in the bytes ``b``."""
+
     rows: DataFrame
-    features: list[str]
-    cuts: list[np.ndarray]
+    layout: Layout
+
+    @property
+    def features(self) -> list[str]:
+        return self.layout.features
+
+    @property
+    def cuts(self) -> list[np.ndarray]:
+        return self.layout.cuts
+
+
+def _layout(features: list[str], cuts: list[np.ndarray], bundles: Sequence[Sequence[str]]) -> Layout:
+    """A column for each feature outside the bundles, and one for every 255 features of a bundle that have a cut."""
+    column, code, sizes = np.full(len(features), -1), np.full(len(features), -1), []
+    number = {f: i for i, f in enumerate(features)}
+    bundled = {number[f]: (n, k) for n, bundle in enumerate(bundles) for k, f in enumerate(bundle)}
+    of_bundle: dict[tuple[int, int], int] = {}
+    for i, cut in enumerate(cuts):
+        if i in bundled:
+            place = bundled[i][0], bundled[i][1] // 255
+            if place not in of_bundle:
+                of_bundle[place] = len(sizes)
+                sizes.append(1)
+            column[i], code[i] = of_bundle[place], bundled[i][1] % 255 + 1
+            sizes[column[i]] = max(sizes[column[i]], code[i] + 1)
+        else:
+            column[i] = len(sizes)
+            sizes.append(len(cut) + 1)
+    return Layout(features, cuts, column, code, sizes)
 
 
 def bin_table(df: DataFrame, features: Sequence[str], label: str, key: str, max_bins: int = 64, keep: Sequence[str] = (),
-              fit_on: Column | None = None) -> BinnedTable:
+              fit_on: Column | None = None, bundles: Sequence[Sequence[str]] = ()) -> BinnedTable:
     """Bin every feature at its quantiles (of the rows where ``fit_on`` holds) and stage ``key, h, y, keep..., b``.
 
-    Rows go left at cut c when x < c; a bin is the number of cuts not above x, in one byte.
+    Rows go left at cut c when x < c; a bin is the number of cuts not above x, in one byte. Features of a bundle are 0 or 1, and at most
+    one of them is 1 in a row; they share a byte.
     """
     features = list(features)
     if not 2 <= max_bins <= 256:
         raise ValueError("max_bins must lie between 2 and 256")
+    number = {f: i for i, f in enumerate(features)}
+    single = [i for i, f in enumerate(features) if not any(f in b for b in bundles)]
     source = df if fit_on is None else df.filter(fit_on)
     probs = [i / max_bins for i in range(max_bins + 1)]
-    found = source.agg(*[F.approx_percentile(F.col(f).cast("double"), probs, 10_000).alias(f"q{i}") for i, f in enumerate(features)]).first()
-    cuts = [np.unique(np.array(found[f"q{i}"], dtype=float))[1:] for i in range(len(features))]
-    keep = list(keep)
-    ready = df.select(F.col(key), F.xxhash64(key).alias("h"), F.col(label).cast("double").alias("y"), *keep,
-                      F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-
-    def to_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found = source.agg(F.count("*").alias("n"), *[F.approx_percentile(F.col(features[i]).cast("double"), probs, 10_000).alias(f"q{i}") for i in single],
+                       *[F.max(F.col(f).cast("double")).alias(f"m{number[f]}") for b in bundles for f in b]).first()
+    cuts = [np.unique(np.array(found[f"q{i}"], dtype=float))[1:] if i in set(single)
+            else np.array([1.0] if found[f"m{i}"] == 1.0 else []) for i in range(len(features))]
+    layout = _layout(features, cuts, bundles)
+    columns: list[Column] = [F.lit(0)] * layout.width
+    for c in range(layout.width):
+        members = np.flatnonzero(layout.column == c).tolist()
+        if layout.code[members[0]] < 0:
+            columns[c] = F.col(features[members[0]]).cast("double")
+        else:  # the sum of the codes of the features that are 1, as at most one is
+            columns[c] = sum((F.col(features[i]).cast("double") * int(layout.code[i]) for i in members), F.lit(0.0))
+    ready = df.select(F.col(key), F.xxhash64(key).alias("h"), F.col(label).cast("double").alias("y"), *keep, F.array(*columns).alias("x"))
+    edges = [cuts[np.flatnonzero(layout.column == c)[0]] if layout.code[np.flatnonzero(layout.column == c)[0]] < 0 else None for c in range(layout.width)]
+
+    def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, len(features)))
-            bins = np.column_stack([np.searchsorted(c, x[:, i], side="right") for i, c in enumerate(cuts)]).astype(np.uint8)
-            yield batch.drop(columns="x").assign(b=[row.tobytes() for row in bins])
+            at = batch.schema.get_field_index("x")
+            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            bins = np.empty(x.shape, np.uint8)
+            for c, cut in enumerate(edges):
+                bins[:, c] = x[:, c] if cut is None else np.searchsorted(cut, x[:, c], side="right")
+            packed = pa.Array.from_buffers(pa.binary(bins.shape[1]), len(bins), [None, pa.py_buffer(bins.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + [packed],
+                                             [n for n in batch.schema.names if n != "x"] + ["b"])
 
     types = ", ".join(f"`{c}` {t}" for c, t in ready.drop("x").dtypes)
-    return BinnedTable(stage(ready.mapInPandas(to_bins, f"{types}, b binary"), "bins"), features, cuts)
+    return BinnedTable(stage(ready.mapInArrow(to_bins, f"{types}, b binary"), "bins"), layout)
 
 
-def walk(tree: dict[int, Node], bins: np.ndarray) -> np.ndarray:
-    """The node every binned row reaches in a whole or half-grown tree."""
-    at = np.ones(len(bins), dtype=np.int64)
-    for i in sorted(tree):
-        node = tree[i]
-        if node.feature >= 0:
-            here = at == i
-            at[here] = np.where(bins[here, node.feature] <= node.bin, 2 * i, 2 * i + 1)
-    return at
+def _unpack(column: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, width)
 
 
-def leaf_values(tree: dict[int, Node], at: np.ndarray) -> np.ndarray:
-    size = max(tree) + 1
-    values = np.zeros(size)
-    for i, node in tree.items():
-        values[i] = node.value
-    return values[at]
+def _blocks(rows: DataFrame, width: int, flag: Column) -> DataFrame:
+    """The rows as blocks ``n, y, h, flag, b`` of packed values, at most ``BLOCK_ROWS`` rows in each."""
+    most = BLOCK_ROWS
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                part = batch.slice(start, most)
+                if sum(len(x[0]) for x in held) + part.num_rows > most:
+                    yield packed(held)
+                    held = []
+                y, h, flags = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                held.append((y.astype(np.uint8), h.astype(np.int64), flags.astype(np.uint8), _unpack(part.column(3).to_pylist(), width)))
+        if held:
+            yield packed(held)
 
-def _unpack(column: pd.Series, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, width)
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([len(columns[0])], pa.int64())] + [pa.array([c.tobytes()], pa.binary()) for c in columns], ["n", "y", "h", "flag", "b"])
 
+    return rows.select("y", "h", flag.alias("flag"), "b").mapInArrow(pack, "n long, y binary, h binary, flag binary, b binary")
 
-def _drawn(h: np.ndarray, seed: int, share: float) -> np.ndarray:
-    """Rows drawn for a tree: a mix of the row hash and the seed, so a recomputed task draws the same rows."""
-    if share >= 1.0:
-        return np.ones(len(h), dtype=bool)
-    with np.errstate(over="ignore"):
-        z = h.astype(np.uint64) + np.uint64(seed % 2**32 + 1) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-    return z / 2.0**64 < share
 
+def _arrays(block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, label, hash and flag of the rows of a block."""
+    return (np.frombuffer(block.b, np.uint8).reshape(-1, width), np.frombuffer(block.y, np.uint8).astype(np.float64),
+            np.frombuffer(block.h, np.int64), np.frombuffer(block.flag, np.uint8).astype(bool))
 
-def _histogram(rows: DataFrame, recent: list[dict[int, Node]], tree: dict[int, Node], params: BoostParams, seed: int, width: int,
-               columns: np.ndarray, depth: int, bins_max: int) -> pd.DataFrame:
-    first = 2 ** depth
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((3, first, len(columns), bins_max))
+@dataclass(frozen=True)
+class Fit:
+    """One fit of a search: its table, the rows it learns from, and its parameters."""
+
+    table: int
+    params: BoostParams
+
+
+def _here(spark: SparkSession, tables: list[tuple[list, Layout]], fits: Sequence[Fit]) -> list[tuple]:
+    """``(models' trees, AUC of the learning rows, AUC of the others)`` of fits that each are one task, over tables of one block each."""
+    shared = spark.sparkContext.broadcast([(blocks, layout) for blocks, layout in tables])  # at most BLOCK_BYTES each
+    jobs = list(fits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            used = _drawn(batch["h"].to_numpy(), seed, params.row_share)
-            batch = batch[used]
-            if not len(batch):
-                continue
-            bins = _unpack(batch["b"], width)
-            margin = batch["margin"].to_numpy().copy()
-            for old in recent:
-                margin += leaf_values(old, walk(old, bins))
-            at = walk(tree, bins)
-            live = at >= first
-            if not live.any():
-                continue
-            y = batch["y"].to_numpy()[live]
-            p = 1.0 / (1.0 + np.exp(-margin[live]))
-            w = np.where(y == 1, params.pos_weight, 1.0)
-            g, h = w * (p - y), w * p * (1 - p)
-            slot = at[live] - first
-            for j, c in enumerate(columns):
-                cell = slot * bins_max + bins[live, c]
-                for s, weights in enumerate((g, h, np.ones(len(g)))):
-                    sums[s, :, j] += np.bincount(cell, weights, first * bins_max).reshape(first, bins_max)
-        node, j, b = np.nonzero(sums[2])
-        yield pd.DataFrame({"node": node + first, "feature": columns[j], "bin": b, "g": sums[0, node, j, b], "h": sums[1, node, j, b]})
-
-    parts = rows.select("h", "y", "b", "margin").mapInPandas(partial, "node int, feature int, bin int, g double, h double")
-    return parts.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
-
-
-def _shrink(g: np.ndarray | float, alpha: float):
-    return np.sign(g) * np.maximum(np.abs(g) - alpha, 0.0)
-
-
-def _weight(g, h, p: BoostParams, low: float, high: float):
-    return np.clip(-_shrink(g, p.alpha) / (h + p.lam), low, high)
-
-
-def _quality(g, h, w, p: BoostParams):
-    """Twice the loss removed by weight ``w``; T(G)^2 / (H + lambda) when no bound cuts the weight."""
-    return -(2 * g * w + (h + p.lam) * w * w + 2 * p.alpha * np.abs(w))
-
-
-def _best_split(hist: pd.DataFrame, p: BoostParams, signs: np.ndarray, cuts: list[np.ndarray], low: float, high: float):
-    """``(gain, feature, bin, left (G, H, w), right (G, H, w))`` of the best allowed split of one node."""
-    best = None
-    for f, part in hist.groupby("feature", sort=True):
-        n = len(cuts[f])
-        g, h = np.zeros(n + 1), np.zeros(n + 1)
-        g[part["bin"]], h[part["bin"]] = part["g"], part["h"]
-        if n == 0:
-            continue
-        gl, hl = np.cumsum(g)[:-1], np.cumsum(h)[:-1]
-        total_g, total_h = g.sum(), h.sum()
-        gr, hr = total_g - gl, total_h - hl
-        wl, wr = _weight(gl, hl, p, low, high), _weight(gr, hr, p, low, high)
-        parent = _quality(total_g, total_h, _weight(total_g, total_h, p, low, high), p)
-        gain = 0.5 * (_quality(gl, hl, wl, p) + _quality(gr, hr, wr, p) - parent) - p.gamma
-        allowed = (hl >= p.min_child_weight) & (hr >= p.min_child_weight) & (signs[f] * (wr - wl) >= 0)
-        gain = np.where(allowed, gain, -np.inf)
-        i = int(np.argmax(gain))
-        if gain[i] > 1e-12 and (best is None or gain[i] > best[0]):
-            best = (float(gain[i]), int(f), i, (gl[i], hl[i], float(wl[i])), (gr[i], hr[i], float(wr[i])))
-    return best
+            for i in batch["id"].tolist():
+                blocks, layout = shared.value[jobs[i].table]
+                parts = [_arrays(b, layout.width) for b in blocks]
+                bins, y, h, inside = (np.concatenate(c) for c in zip(*parts, strict=True))
+                order = np.argsort(h, kind="stable")  # sums then do not depend on how the rows lay
+                bins, y, h, inside = bins[order], y[order], h[order], inside[order]
+                grown, margin = trees.grow_here(layout, bins, y, h, inside, jobs[i].params)
+                plain = pickle.dumps([{node: vars(n) for node, n in tree.items()} for tree in grown])
+                yield pd.DataFrame({"id": [i], "trees": [plain], "train": [trees.auc(margin[inside], y[inside])], "valid": [trees.auc(margin[~inside], y[~inside])]})
+
+    made = spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(run, "id long, trees binary, train double, valid double")
+    return [([{i: Node(**n) for i, n in tree.items()} for tree in pickle.loads(r["trees"])], r["train"], r["valid"])
+            for r in sorted(made.collect(), key=lambda r: r["id"])]
+
+
+def _in_jobs(spark: SparkSession, table: BinnedTable, rows: DataFrame, count: int, fits: Sequence[BoostParams]) -> list[list[dict[int, Node]]]:
+    """The trees of several fits on the same rows, a job for each level of all of them."""
+    layout = table.layout
+    parts = max(1, -(-count // BLOCK_ROWS))
+    packed = stage(_blocks(rows.repartition(parts, "h"), layout.width, F.lit(True)), "blocks")
+
+    def begin(block) -> tuple:
+        bins, y, h, _ = _arrays(block, layout.width)
+        return bins, y, h, np.stack([np.full(len(y), float(p.base_margin)) for p in fits])
+
+    state: RDD = packed.rdd.map(begin).persist()
+    draws = [Draws(layout, p) for p in fits]
+    out: list[list[dict[int, Node]]] = [[] for _ in fits]
+    before, written, last = None, None, [None] * len(fits)
+    for t in range(max(p.n_trees for p in fits)):
+        if t:
+            done = list(last)
+
+            def advance(block: tuple, done: list = done) -> tuple:
+                bins, y, h, margin = block
+                margin = margin.copy()
+                for i, tree in enumerate(done):
+                    if tree is not None:
+                        margin[i] += tree.value[tree.walk(bins)] * fits[i].learning_rate
+                return bins, y, h, margin
+
+            before, state = state, state.map(advance).persist()
+            if t % WRITE_EVERY == 0:
+                path = folder(spark, "margins")
+                state.saveAsPickleFile(path)
+                state.unpersist()
+                state = spark.sparkContext.pickleFile(path, parts).persist()
+                written, old = path, written
+                if old:
+                    discard(spark, old)
+        live = [i for i, p in enumerate(fits) if t < p.n_trees]
+        growing: list[Tree | None] = [Tree(layout, fits[i], draws[i].next()) if i in set(live) else None for i in range(len(fits))]
+        while any(tree is not None and len(tree.open) for tree in growing):
+            now = [(i, tree) for i, tree in enumerate(growing) if tree is not None and len(tree.open)]
+
+            def partial(blocks: Iterator[tuple], now: list = now, t: int = t) -> Iterator[tuple]:
+                total: dict[tuple[int, int], np.ndarray] = {}
+                for bins, y, h, margin in blocks:
+                    for i, tree in now:
+                        p = tree.params
+                        got = trees.sums(tree, bins, tree.walk(bins), trees.drawn_rows(h, p.seed + t, p.row_share), *trees.gradients(margin[i], y, p.pos_weight))
+                        for s, node in enumerate(tree.open.tolist()):
+                            total[i, node] = total[i, node] + got[:, s] if (i, node) in total else got[:, s].copy()
+                return iter(total.items())
+
+            def best(item: tuple, now: dict = dict(now)) -> tuple:
+                (i, node), both = item
+                found = trees.choose(now[i], np.array([node]), both[:, None])
+                return i, node, {k: v[0] for k, v in found.items()}
+
+            keys = sum(len(tree.open) for _, tree in now)
+            rows_of = state.mapPartitions(partial).reduceByKey(np.add, min(parts, keys)).map(best).collect()
+            for i, tree in now:
+                own = sorted((node, found) for j, node, found in rows_of if j == i)
+                nodes = np.array([node for node, _ in own], np.int64)
+                tree.absorb(nodes, {k: np.array([found[k] for _, found in own]) for k in (own[0][1] if own else ())} if own else _nothing())
+            if before is not None:
+                before.unpersist()
+                before = None
+        last = growing
+        for i in live:
+            out[i].append(growing[i].nodes())
+    state.unpersist()
+    if written:
+        discard(spark, written)
+    discard(spark, packed)
+    return out
+
+
+def _nothing() -> dict[str, np.ndarray]:
+    return {k: np.zeros(0) for k in ("gain", "wl", "wr", "hl", "hr", "value", "h")} | {"split": np.zeros(0, np.int64)}
+
+
+def _fits_one_block(rows: int, width: int) -> bool:
+    return rows <= BLOCK_ROWS and rows * (width + 10) <= BLOCK_BYTES
+
+
+def fit_many(table: BinnedTable, fits: Sequence[BoostParams], inside: Column | None = None) -> list[BoostedModel]:
+    """M3 for several sets of parameters on the rows where ``inside`` holds."""
+    spark = table.rows.sparkSession
+    rows = table.rows if inside is None else table.rows.filter(inside)
+    count = rows.count()
+    if _fits_one_block(count, table.layout.width):
+        blocks = _blocks(rows, table.layout.width, F.lit(True)).collect()
+        if not blocks:
+            return [BoostedModel(table.features, [], p.base_margin) for p in fits]
+        grown = [g for g, _, _ in _here(spark, [(blocks, table.layout)], [Fit(0, p) for p in fits])]
+    else:
+        grown = _in_jobs(spark, table, rows, count, fits)
+    return [BoostedModel(table.features, g, p.base_margin) for g, p in zip(grown, fits, strict=True)]
 
 
 def fit(table: BinnedTable, params: BoostParams) -> BoostedModel:
-    """M3: grow ``n_trees`` trees; one job per level, row margins written back every few trees."""
-    width = len(table.features)
-    signs = np.array([params.monotone.get(f, 0) for f in table.features])
-    rows = table.rows.select("h", "y", "b", F.lit(float(params.base_margin)).alias("margin"))
-    margins_of: DataFrame | None = None  # the last written copy with margins
-    trees: list[dict[int, Node]] = []
-    recent: list[dict[int, Node]] = []
-    picks = np.random.default_rng(params.seed)
-    n_columns = max(1, int(round(params.column_share * width)))
-    bins_max = max(map(len, table.cuts), default=0) + 1
-    for t in range(params.n_trees):
-        columns = np.sort(picks.choice(width, n_columns, replace=False))
-        tree: dict[int, Node] = {}
-        bounds = {1: (-np.inf, np.inf)}
-        for depth in range(params.max_depth):
-            hist = _histogram(rows, recent, tree, params, params.seed + t, width, columns, depth, bins_max)
-            split_any = False
-            for node, part in hist.groupby("node", sort=True):
-                low, high = bounds[node]
-                if node == 1:
-                    one = part[part["feature"] == columns[0]]
-                    g, h = one["g"].sum(), one["h"].sum()
-                    tree[1] = Node(float(_weight(g, h, params, low, high)), float(h))
-                best = _best_split(part, params, signs, table.cuts, low, high)
-                if best is None:
-                    continue
-                split_any = True
-                gain, f, b, (_, hl, wl), (_, hr, wr) = best
-                tree[node].feature, tree[node].bin, tree[node].cut, tree[node].gain = f, b, float(table.cuts[f][b]), gain
-                tree[2 * node], tree[2 * node + 1] = Node(wl, float(hl)), Node(wr, float(hr))
-                middle = (wl + wr) / 2
-                left, right = (low, high), (low, high)
-                if signs[f] > 0:
-                    left, right = (low, middle), (middle, high)
-                elif signs[f] < 0:
-                    left, right = (middle, high), (low, middle)
-                bounds[2 * node], bounds[2 * node + 1] = left, right
-            if not split_any:
-                break
-        if not tree:
-            break
-        for node in tree.values():
-            node.value *= params.learning_rate
-        trees.append(tree)
-        recent.append(tree)
-        if len(recent) == RESTAGE_EVERY and t + 1 < params.n_trees:
-            advanced = stage(_advanced(rows, recent, width), "margin")
-            discard(margins_of)
-            rows, recent, margins_of = advanced, [], advanced
-    discard(margins_of)
-    return BoostedModel(list(table.features), trees, params.base_margin)
-
-
-def _advanced(rows: DataFrame, recent: list[dict[int, Node]], width: int) -> DataFrame:
-    done = list(recent)
+    """M3: grow ``n_trees`` trees."""
+    return fit_many(table, [params])[0]
+
+
+def validate(tables: Sequence[BinnedTable], fits: Sequence[BoostParams]) -> list[tuple[int, int, float | None, float | None]]:
+    """M5: every fit on every table without the rows of the table's own fold: ``(fit, fold, AUC of the fold, AUC of the other rows)``."""
+    spark = tables[0].rows.sparkSession
+    counts = [t.rows.count() for t in tables]
+    if all(_fits_one_block(n, t.layout.width) for n, t in zip(counts, tables, strict=True)):
+        packed = [(_blocks(t.rows, t.layout.width, F.col("fold") != k).collect(), t.layout) for k, t in enumerate(tables)]
+        jobs = [(i, k) for i in range(len(fits)) for k in range(len(tables))]
+        jobs.sort(key=lambda j: -fits[j[0]].n_trees * fits[j[0]].max_depth)  # the long ones first
+        made = _here(spark, packed, [Fit(k, fits[i]) for i, k in jobs])
+        return sorted((i, k, valid, train) for (i, k), (_, train, valid) in zip(jobs, made, strict=True))
+    out = []
+    for k, table in enumerate(tables):
+        models = fit_many(table, fits, F.col("fold") != k)
+        scored = score_all(models, table)
+        tall = scored.select((F.col("fold") == k).alias("held"), "y", F.posexplode("margins").alias("fit", "margin"))
+        for r in metrics.roc_auc_by(tall, "y", "margin", ["fit", "held"]).collect():
+            out.append((r["fit"], k, r["held"], r["roc_auc"]))
+    found = {(i, k, held): value for i, k, held, value in out}
+    return [(i, k, found.get((i, k, True)), found.get((i, k, False))) for i in range(len(fits)) for k in range(len(tables))]
 
-    @F.pandas_udf(DoubleType())
-    def gained(b: pd.Series) -> pd.Series:
-        bins = _unpack(b, width)
-        return pd.Series(sum(leaf_values(t, walk(t, bins)) for t in done))
 
-    return rows.withColumn("margin", F.col("margin") + gained("b"))
+def leaf_values(tree: dict[int, Node], at: np.ndarray) -> np.ndarray:
+    size = max(tree) + 1
+    values = np.zeros(size)
+    for i, node in tree.items():
+        values[i] = node.value
+    return values[at]
 
 
 def margins(model: BoostedModel, x: np.ndarray) -> np.ndarray:
@@ -328,19 +377,39 @@ def score(model: BoostedModel, df: DataFrame, name: str = "probability") -> Data
     return df.withColumn(name, 1 / (1 + F.exp(-walked(*[F.col(f) for f in model.features]))))
 
 
-def score_binned(model: BoostedModel, rows: DataFrame, name: str = "probability") -> DataFrame:
-    """The same on a staged binned table."""
-    width = len(model.features)
+def _binned_tree(layout: Layout, nodes: dict[int, Node]) -> Tree:
+    """A finished tree in the form that walks over bins; values as they are."""
+    depth = max(nodes).bit_length() - 1
+    tree = Tree(layout, BoostParams(max_depth=max(1, depth)), np.zeros(0, np.int64))
+    for i, node in nodes.items():
+        tree.feature[i], tree.bin[i], tree.value[i] = node.feature, node.bin, node.value
+    tree.depth = depth
+    return tree
 
-    @F.pandas_udf(DoubleType())
-    def walked(b: pd.Series) -> pd.Series:
-        bins = _unpack(b, width)
-        out = np.full(len(bins), model.base_margin)
-        for tree in model.trees:
-            out += leaf_values(tree, walk(tree, bins))
-        return pd.Series(1.0 / (1.0 + np.exp(-out)))
 
-    return rows.withColumn(name, walked("b"))
+def score_all(models: Sequence[BoostedModel], table: BinnedTable, name: str = "margins") -> DataFrame:
+    """The staged rows with the margin of every model, as an array."""
+    layout = table.layout
+    shared = table.rows.sparkSession.sparkContext.broadcast([(m.base_margin, m.trees) for m in models])  # nodes of the models, whatever the rows
+
+    @F.pandas_udf("array<double>")
+    def walked(b: pd.Series) -> pd.Series:
+        bins = _unpack(b, layout.width)
+        out = np.zeros((len(bins), len(shared.value)))
+        for i, (base, grown) in enumerate(shared.value):
+            out[:, i] = base
+            for nodes in grown:
+                tree = _binned_tree(layout, nodes)
+                out[:, i] += tree.value[tree.walk(bins)]
+        return pd.Series(list(out))
+
+    return table.rows.withColumn(name, walked("b"))
+
+
+def score_binned(model: BoostedModel, table: BinnedTable, name: str = "probability") -> DataFrame:
+    """M8 on a staged binned table."""
+    scored = score_all([model], table, "_margins")
+    return scored.withColumn(name, 1 / (1 + F.exp(-F.element_at("_margins", 1)))).drop("_margins")
 
 
 def importance(model: BoostedModel, spark: SparkSession, top: int | None = None) -> DataFrame:

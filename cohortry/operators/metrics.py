@@ -119,6 +119,14 @@ def ranking_quality(df: DataFrame, label: str, score: str, steps: DataFrame | No
                        F.try_divide(p, p + n).alias("positive_rate"))
 
 
+def roc_auc_by(df: DataFrame, label: str, score: str, by: Sequence[str], **options) -> DataFrame:
+    """E5 for each group: ``by..., roc_auc``; running totals go along the scores of all groups at once."""
+    counts = df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    steps = running(counts, ["score"], {"upto": "neg"}, by=by, **options)
+    sums = steps.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return sums.select(*by, F.try_divide("a", F.col("p").cast("double") * F.col("n")).alias("roc_auc"))
+
+
 def precision_recall(df: DataFrame, label: str, score: str, steps: DataFrame | None = None, **options) -> DataFrame:
     """``(threshold, precision, recall)`` and the end point (1, 0) without a threshold."""
     steps = cumulative_counts(df, label, score, **options) if steps is None else steps

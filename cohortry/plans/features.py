@@ -39,7 +39,12 @@ class FeatureState:
     @property
     def names(self) -> list[str]:
         """F8: output columns in order."""
-        return self.numeric_names + [f"categorical__{c}_{v}" for c in self.categorical for v in self.levels[c][1:]]
+        return self.numeric_names + [name for bundle in self.bundles for name in bundle]
+
+    @property
+    def bundles(self) -> list[list[str]]:
+        """The columns of each categorical, of which a row has at most one."""
+        return [[f"categorical__{c}_{v}" for v in self.levels[c][1:]] for c in self.categorical]
 
     def save(self, path: str, spark: SparkSession) -> None:
         """The small part as JSON lines, the donors as parquet."""

@@ -43,20 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, prunes columns."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = folder(spark, label)
     df.write.parquet(path)
-    _staged.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete the table that ``stage`` wrote for ``df``; nothing that reads it may be computed afterwards."""
-    path = getattr(df, "staged_path", None)
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted with the staged tables."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
+def discard(spark: SparkSession, what: DataFrame | str | None) -> None:
+    """Delete what ``stage`` wrote for a table, or a ``folder``; nothing that reads it may be computed afterwards."""
+    path = what if isinstance(what, str) else getattr(what, "staged_path", None)
     if path in _staged:
         _staged.remove(path)
-        _delete(df.sparkSession, path)
+        _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

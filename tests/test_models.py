@@ -62,14 +62,53 @@ def test_sampling_does_not_depend_on_partitions(spark, toy):
     assert [n.value for n in a.trees[0].values()] != [n.value for n in other.trees[0].values()]
 
 
-def test_margin_is_carried_over_restaging(spark, toy, monkeypatch):
+def same_trees(a, b):
+    assert len(a) == len(b)
+    for s, t in zip(a, b, strict=True):
+        assert {i: (n.feature, n.bin, n.cut) for i, n in s.items()} == {i: (n.feature, n.bin, n.cut) for i, n in t.items()}
+        for what in ("value", "gain", "cover"):
+            assert [getattr(n, what) for n in s.values()] == pytest.approx([getattr(n, what) for n in t.values()], rel=1e-7, abs=1e-9)
+
+
+def test_one_task_and_one_job_a_level_give_the_same_trees(spark, toy, monkeypatch):
     df, _, _ = toy
-    table = boosting.bin_table(df, ["a", "b", "c"], "y", "id")
-    params = BoostParams(n_trees=5, max_depth=2)
-    plain = boosting.fit(table, params)
-    monkeypatch.setattr(boosting, "RESTAGE_EVERY", 2)
-    again = boosting.fit(table, params)
-    assert [n.value for t in plain.trees for n in t.values()] == pytest.approx([n.value for t in again.trees for n in t.values()])
+    levels = df.withColumns({f"l{k}": (F.pmod("id", F.lit(5)) == k).cast("double") for k in range(1, 5)})
+    names = ["a", "b", "c", "l1", "l2", "l3", "l4"]
+    table = boosting.bin_table(levels, names, "y", "id", bundles=[["l1", "l2", "l3", "l4"]])
+    fits = [BoostParams(n_trees=7, max_depth=3, monotone={"a": 1}), BoostParams(n_trees=4, max_depth=5, row_share=0.5, seed=3, pos_weight=2.0),
+            BoostParams(n_trees=2, max_depth=1, column_share=0.3, min_child_weight=1e9)]
+    plain = boosting.fit_many(table, fits)
+    assert [len(m.trees) for m in plain] == [7, 4, 2] and all(set(t) == {1} for t in plain[2].trees)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(boosting, "WRITE_EVERY", 3)
+    for one, other in zip(plain, boosting.fit_many(table, fits), strict=True):
+        same_trees(one.trees, other.trees)
+
+
+def test_bundles_change_nothing(spark, toy):
+    df, _, _ = toy
+    levels = df.withColumns({f"l{k}": (F.pmod("id", F.lit(7)) == k).cast("double") for k in range(1, 7)})
+    names, bundle = ["a", *[f"l{k}" for k in range(1, 7)], "b"], [f"l{k}" for k in range(1, 7)]
+    params = BoostParams(n_trees=6, max_depth=4, min_child_weight=1.0, gamma=0.0)
+    one, other = (boosting.fit(boosting.bin_table(levels, names, "y", "id", bundles=b), params) for b in ([], [bundle]))
+    same_trees(one.trees, other.trees)
+    assert any(names[n.feature].startswith("l") for t in one.trees for n in t.values() if n.feature >= 0)
+
+
+def test_search_by_either_way(spark, toy, monkeypatch):
+    df, x, y = toy
+    dealt = df.withColumn("fold", F.pmod("id", F.lit(3)).cast("int"))
+    tables = [boosting.bin_table(dealt, ["a", "b", "c"], "y", "id", keep=["fold"], fit_on=F.col("fold") != k) for k in range(3)]
+    fits = [BoostParams(n_trees=5, max_depth=3), BoostParams(n_trees=3, max_depth=2, seed=9)]
+    plain = boosting.validate(tables, fits)
+    assert [r[:2] for r in plain] == [(i, k) for i in range(2) for k in range(3)] and all(min(r[2:]) > 0.5 for r in plain)
+    assert sum(r[3] - r[2] for r in plain) > 0
+    model = boosting.fit_many(tables[1], fits[:1], F.col("fold") != 1)[0]
+    held = boosting.score(model, dealt.filter("fold = 1"))
+    assert metrics.ranking_quality(held, "y", "probability").first()["roc_auc"] == pytest.approx(plain[1][2], rel=1e-9)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 150)
+    for a, b in zip(plain, boosting.validate(tables, fits), strict=True):
+        assert a == pytest.approx(b, rel=1e-9)
 
 
 @pytest.mark.parametrize("sign", [1, -1])
@@ -93,7 +132,7 @@ def test_scorers_agree(spark, toy, tmp_path):
     table = boosting.bin_table(df, ["a", "b", "c"], "y", "id")
     model = boosting.fit(table, BoostParams(n_trees=6, max_depth=3))
     a = {r["id"]: r["probability"] for r in boosting.score(model, df).collect()}
-    c = {r["id"]: r["probability"] for r in boosting.score_binned(model, table.rows).collect()}
+    c = {r["id"]: r["probability"] for r in boosting.score_binned(model, table).collect()}
     assert a == pytest.approx(c, rel=1e-12)
     model.save(str(tmp_path / "m"), spark)
     back = boosting.BoostedModel.load(str(tmp_path / "m"), spark)
