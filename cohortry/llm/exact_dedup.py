@@ -6,7 +6,7 @@ a digest that two texts share cannot join them. Members find their group by dige
 text as well.
 
 Null text counts as empty; empty texts are equal to each other. Of equal texts the row with the largest id stays. Rows that repeat
-an id are rows of their own, each counted. An empty table gives no rows. Columns other than the id and the text play no part.
+an id are rows of their own, each counted. A null id is less than any other and stays if there is no other. An empty table gives no rows. Columns other than the id and the text play no part.
 """
 
 from __future__ import annotations
@@ -45,11 +45,26 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not shared.isEmpty():
         apart = spread(whole.drop("one").join(shared, "digest", "left_semi"), "slots", "slot")
         members = members.unionByName(rows.join(apart, ["digest", "slot", "text"]).select("id", "keep_id", "group_size", "digest"))
-    return members.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "digest")
+    return members.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``copies`` does not keep, with all their columns."""
-    name = fresh(docs, "kept_id")
-    stays = copies(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(name)).distinct()
-    return docs.join(stays, F.col(id_col) == F.col(name), "left_semi")
+    """One row of each group of equal texts, with all its columns: that of the largest id, a null id being the least.
+
+    Rows of equal text and id are told apart by their other columns that can be ordered; of rows equal in all, one stays.
+    """
+    text, there, kept, slot = (fresh(docs, name) for name in ("own_text", "own_null", "own_row", "own_slot"))
+    others = [c for c in docs.columns if c != text_col]
+    ordered = [c for c in others if c != id_col and "map<" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()]
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text), slots_of(F.col(id_col)).alias(slot),
+                       F.struct(*[F.col(_quoted(c)).alias(f"c{i}") for i, c in enumerate(others)], F.col(text_col).isNotNull().alias("there")).alias(kept),
+                       F.struct(*[F.col(_quoted(c)).alias(f"c{i}") for i, c in enumerate([id_col, *ordered])], F.col(text_col).isNotNull().alias("there")).alias(there))
+    # the best row of each text where it is read, then of each place, then of all
+    best = rows.groupBy(text, slot).agg(F.max_by(kept, there).alias(kept), F.max(there).alias(there)).groupBy(text).agg(F.max_by(kept, there).alias(kept))
+    place = {c: i for i, c in enumerate(others)}
+    return best.select(*[F.when(F.col(f"{kept}.there"), F.col(text)).cast(docs.schema[c].dataType).alias(c) if c == text_col
+                         else F.col(f"{kept}.c{place[c]}").alias(c) for c in docs.columns])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -36,6 +36,16 @@ def test_drop_copies_keeps_columns(docs, rows):
     assert {r.doc_id for r in out.collect()} == {i for i, (_, _, kept) in plain_copies(rows).items() if kept}
 
 
+def test_drop_copies_by_row(spark):
+    rows = [(None, "only one", 1), (1, "A", 1), (1, "B", 1), (2, "B", 1), (3, "C", 1), (3, "C", 1), (None, "D", 1), (5, "D", 2), (7, None, 1), (8, "", 1), (9, "E", 1), (9, "E", 2)]
+    table = spark.createDataFrame([(*r, "x", {"k": "v"}) for r in rows], "doc_id long, text string, n int, own_text string, m map<string,string>").repartition(4)
+    out = exact_dedup.drop_copies(table)
+    assert out.columns == table.columns
+    got = sorted(((r.doc_id, r.text, r.n, r.own_text, r.m) for r in out.collect()), key=str)
+    assert got == sorted(((*r, "x", {"k": "v"}) for r in [(None, "only one", 1), (1, "A", 1), (2, "B", 1), (3, "C", 1), (5, "D", 2), (8, "", 1), (9, "E", 2)]), key=str)
+    assert {(r.doc_id, r.kept) for r in exact_dedup.copies(table.where("text in ('only one', 'D')")).collect()} == {(None, True), (None, False), (5, True)}
+
+
 @pytest.mark.parametrize(("n", "num", "den"), [(4, 85, 100), (5, 80, 100), (1, 60, 100)])
 def test_components(docs, rows, n, num, den):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, n, num, den).collect()}
