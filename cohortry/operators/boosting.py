@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import RDD
+from pyspark import RDD, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -223,73 +223,105 @@ def _here(spark: SparkSession, tables: list[tuple[list, Layout]], fits: Sequence
             for r in sorted(made.collect(), key=lambda r: r["id"])]
 
 
+NOTHING = dict.fromkeys(("gain", "split", "wl", "wr", "hl", "hr", "value", "h"))
+
+
+class Tasks:
+    """What the tasks of a fit in jobs do with a block ``bins, label, hash, margins (fit, row)``."""
+
+    def __init__(self, layout: Layout, fits: list[BoostParams]):
+        self.layout, self.fits = layout, fits
+
+    def begin(self, _: None, block) -> tuple:
+        bins, y, h, _ = _arrays(block, self.layout.width)
+        return bins, y, h, np.stack([np.full(len(y), float(p.base_margin)) for p in self.fits])
+
+    def advance(self, done: list, block: tuple) -> tuple:
+        """The block with the values of finished trees added to its margins."""
+        bins, y, h, margin = block
+        margin = margin.copy()
+        for i, state in done:
+            tree = Tree.of(self.layout, self.fits[i], state)
+            margin[i] += tree.value[tree.walk(bins)] * self.fits[i].learning_rate
+        return bins, y, h, margin
+
+    def partial(self, what: tuple, blocks: Iterator[tuple]) -> Iterator[tuple]:
+        """``((fit, node), sums)`` over the blocks of a task, for every open node."""
+        t, now = what
+        total: dict[tuple[int, int], np.ndarray] = {}
+        growing = {i: Tree.of(self.layout, self.fits[i], state) for i, state in now.items()}
+        for bins, y, h, margin in blocks:
+            places = bins + self.layout.offset
+            for i, tree in growing.items():
+                p = tree.params
+                used = trees.drawn_rows(h, p.seed + t, p.row_share)
+                got = trees.sums(tree, places, tree.walk(bins), used, *trees.gradients(margin[i], y, p.pos_weight))
+                for s, node in enumerate(tree.open.tolist()):
+                    total[i, node] = total[i, node] + got[:, s] if (i, node) in total else got[:, s].copy()
+        return iter(total.items())
+
+    def best(self, now: dict, items: Iterator[tuple]) -> Iterator[tuple]:
+        """``(fit, node, split)``: the best split of every node, from its sums."""
+        growing: dict[int, Tree] = {}
+        for (i, node), both in items:
+            tree = growing.setdefault(i, Tree.of(self.layout, self.fits[i], now[i]))
+            yield i, node, {k: v[0] for k, v in trees.choose(tree, np.array([node]), both[:, None]).items()}
+
+
+def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a + b
+
+
+def _with(kernel, name: str, what):
+    """A function of rows that has the tasks' arithmetic do ``name``."""
+    def run(rows):
+        import pickle as p
+
+        made, layout, fits = p.loads(kernel.value)
+        return getattr(made(layout, fits), name)(what, rows)
+
+    return run
+
+
 def _in_jobs(spark: SparkSession, table: BinnedTable, rows: DataFrame, count: int, fits: Sequence[BoostParams]) -> list[list[dict[int, Node]]]:
     """The trees of several fits on the same rows, a job for each level of all of them."""
     layout = table.layout
     parts = max(1, -(-count // BLOCK_ROWS))
     packed = stage(_blocks(rows.repartition(parts, "h"), layout.width, F.lit(True)), "blocks")
 
-    def begin(block) -> tuple:
-        bins, y, h, _ = _arrays(block, layout.width)
-        return bins, y, h, np.stack([np.full(len(y), float(p.base_margin)) for p in fits])
+    # the arithmetic goes to the tasks once, not with every job
+    kernel = spark.sparkContext.broadcast(cloudpickle.dumps((Tasks, layout, list(fits))))
 
-    state: RDD = packed.rdd.map(begin).persist()
+    state: RDD = packed.rdd.map(_with(kernel, "begin", None)).persist()
     draws = [Draws(layout, p) for p in fits]
     out: list[list[dict[int, Node]]] = [[] for _ in fits]
-    before, written, last = None, None, [None] * len(fits)
+    before, written, last = None, None, []
     for t in range(max(p.n_trees for p in fits)):
         if t:
-            done = list(last)
-
-            def advance(block: tuple, done: list = done) -> tuple:
-                bins, y, h, margin = block
-                margin = margin.copy()
-                for i, tree in enumerate(done):
-                    if tree is not None:
-                        margin[i] += tree.value[tree.walk(bins)] * fits[i].learning_rate
-                return bins, y, h, margin
-
-            before, state = state, state.map(advance).persist()
+            before, state = state, state.map(_with(kernel, "advance", last)).persist()
             if t % WRITE_EVERY == 0:
                 path = folder(spark, "margins")
                 state.saveAsPickleFile(path)
                 state.unpersist()
                 state = spark.sparkContext.pickleFile(path, parts).persist()
                 written, old = path, written
-                if old:
-                    discard(spark, old)
-        live = [i for i, p in enumerate(fits) if t < p.n_trees]
-        growing: list[Tree | None] = [Tree(layout, fits[i], draws[i].next()) if i in set(live) else None for i in range(len(fits))]
-        while any(tree is not None and len(tree.open) for tree in growing):
-            now = [(i, tree) for i, tree in enumerate(growing) if tree is not None and len(tree.open)]
-
-            def partial(blocks: Iterator[tuple], now: list = now, t: int = t) -> Iterator[tuple]:
-                total: dict[tuple[int, int], np.ndarray] = {}
-                for bins, y, h, margin in blocks:
-                    for i, tree in now:
-                        p = tree.params
-                        got = trees.sums(tree, bins, tree.walk(bins), trees.drawn_rows(h, p.seed + t, p.row_share), *trees.gradients(margin[i], y, p.pos_weight))
-                        for s, node in enumerate(tree.open.tolist()):
-                            total[i, node] = total[i, node] + got[:, s] if (i, node) in total else got[:, s].copy()
-                return iter(total.items())
-
-            def best(item: tuple, now: dict = dict(now)) -> tuple:
-                (i, node), both = item
-                found = trees.choose(now[i], np.array([node]), both[:, None])
-                return i, node, {k: v[0] for k, v in found.items()}
-
-            keys = sum(len(tree.open) for _, tree in now)
-            rows_of = state.mapPartitions(partial).reduceByKey(np.add, min(parts, keys)).map(best).collect()
-            for i, tree in now:
-                own = sorted((node, found) for j, node, found in rows_of if j == i)
-                nodes = np.array([node for node, _ in own], np.int64)
-                tree.absorb(nodes, {k: np.array([found[k] for _, found in own]) for k in (own[0][1] if own else ())} if own else _nothing())
+                discard(spark, old)
+        growing = {i: Tree(layout, p, draws[i].next()) for i, p in enumerate(fits) if t < p.n_trees}
+        while now := {i: tree.state() for i, tree in growing.items() if len(tree.open)}:
+            keys = sum(len(one["open"]) for one in now.values())
+            summed = state.mapPartitions(_with(kernel, "partial", (t, now))).reduceByKey(_add, min(parts, keys))
+            found: dict[int, list] = {i: [] for i in now}
+            for i, node, split in summed.mapPartitions(_with(kernel, "best", now)).collect():
+                found[i].append((node, split))
+            for i, own in found.items():
+                own.sort(key=lambda x: x[0])
+                growing[i].absorb(np.array([node for node, _ in own], np.int64), {k: np.array([x[k] for _, x in own]) for k in (own[0][1] if own else NOTHING)})
             if before is not None:
                 before.unpersist()
                 before = None
-        last = growing
-        for i in live:
-            out[i].append(growing[i].nodes())
+        last = [(i, tree.state()) for i, tree in growing.items()]
+        for i, tree in growing.items():
+            out[i].append(tree.nodes())
     state.unpersist()
     if written:
         discard(spark, written)
@@ -297,10 +329,6 @@ def _in_jobs(spark: SparkSession, table: BinnedTable, rows: DataFrame, count: in
     return out
 
 
-def _nothing() -> dict[str, np.ndarray]:
-    return {k: np.zeros(0) for k in ("gain", "wl", "wr", "hl", "hr", "value", "h")} | {"split": np.zeros(0, np.int64)}
-
-
 def _fits_one_block(rows: int, width: int) -> bool:
     return rows <= BLOCK_ROWS and rows * (width + 10) <= BLOCK_BYTES
 

@@ -112,6 +112,19 @@ class Tree:
         self.depth += 1
         self.open = np.sort(np.concatenate([left, right])) if self.depth < self.params.max_depth else np.zeros(0, np.int64)
 
+    #: What the growing changes.
+    STATE = ("depth", "feature", "bin", "value", "low", "high", "open", "allowed")
+
+    def state(self) -> dict[str, object]:
+        """What a task needs besides layout and parameters, to sum over rows and to choose splits."""
+        return {name: getattr(self, name) for name in self.STATE}
+
+    @classmethod
+    def of(cls, layout: Layout, params: BoostParams, state: dict[str, object]) -> Tree:
+        tree = cls(layout, params, np.zeros(0, np.int64))
+        vars(tree).update(state)
+        return tree
+
     def step(self, bins: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows at a node that has been split go on to its children."""
         layout, f = self.layout, self.feature[at]
@@ -155,8 +168,8 @@ def drawn_rows(h: np.ndarray, seed: int, share: float) -> np.ndarray:
     return z / 2.0**64 < share
 
 
-def sums(tree: Tree, bins: np.ndarray, at: np.ndarray, used: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Gradient sums ``(2, open nodes, bytes of all columns)`` over the used rows at open nodes."""
+def sums(tree: Tree, places: np.ndarray, at: np.ndarray, used: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Gradient sums ``(2, open nodes, bytes of all columns)`` over the used rows at open nodes; ``places``: bytes plus their column's offset."""
     layout, slots = tree.layout, len(tree.open)
     slot_of = np.full(len(tree.feature), -1, np.int64)
     slot_of[tree.open] = np.arange(slots)
@@ -165,7 +178,7 @@ def sums(tree: Tree, bins: np.ndarray, at: np.ndarray, used: np.ndarray, g: np.n
     out = np.zeros((2, slots * layout.total))
     for begin in range(0, len(rows), CHUNK):
         part = rows[begin: begin + CHUNK]
-        cell = (bins[part] + (layout.offset + slot[part][:, None] * layout.total)).ravel()
+        cell = (places[part] + slot[part][:, None] * layout.total).ravel()
         for s, weights in enumerate((g, h)):
             out[s] += np.bincount(cell, np.repeat(weights[part], layout.width), slots * layout.total)
     return out.reshape(2, slots, layout.total)
@@ -221,7 +234,7 @@ class Draws:
 def grow_here(layout: Layout, bins: np.ndarray, y: np.ndarray, h: np.ndarray, inside: np.ndarray, params: BoostParams) -> tuple[list[dict[int, Node]], np.ndarray]:
     """All trees of one fit on the ``inside`` rows of one block, and the margins of all its rows."""
     margin = np.full(len(y), float(params.base_margin))
-    out, draws = [], Draws(layout, params)
+    out, draws, places = [], Draws(layout, params), bins + layout.offset
     for t in range(params.n_trees):
         tree = Tree(layout, params, draws.next())
         used = inside & drawn_rows(h, params.seed + t, params.row_share)
@@ -229,7 +242,7 @@ def grow_here(layout: Layout, bins: np.ndarray, y: np.ndarray, h: np.ndarray, in
         at = np.ones(len(y), np.int64)
         while len(tree.open):
             nodes = tree.open
-            tree.absorb(nodes, choose(tree, nodes, sums(tree, bins, at, used, g, hess)))
+            tree.absorb(nodes, choose(tree, nodes, sums(tree, places, at, used, g, hess)))
             at = tree.step(bins, at)
         out.append(tree.nodes())
         margin += tree.value[at] * params.learning_rate

@@ -526,46 +526,45 @@ def score_stream(spark, sf_dir):
 
 
 LINE_SPEC = training.CohortSpec("rid", "outcome", LINE_NUMERIC, LINE_CATEGORICAL, "rate", rising=("qty", "price"))
-SHORT = boosting.BoostParams(n_trees=5, max_depth=3, learning_rate=0.3, seed=42)
+DEFAULT = boosting.BoostParams(seed=42)
 
 
 @query()
 def boosted_fit(c):
-    t = training.train(c, LINE_SPEC, SHORT)
+    t = training.train(c, LINE_SPEC, DEFAULT)
     return rounded(t.model.table(c.sparkSession))
 
 
 @query()
 def boosted_score(c):
-    t = training.train(c, LINE_SPEC, SHORT)
+    t = training.train(c, LINE_SPEC, DEFAULT)
     return rounded(scoring.with_bands(t.scored.filter("is_test").select("rid", "outcome", "probability")))
 
 
 @query()
 def importance(c):
-    t = training.train(c, LINE_SPEC, SHORT)
+    t = training.train(c, LINE_SPEC, DEFAULT)
     return rounded(boosting.importance(t.model, c.sparkSession))
 
 
 @query()
 def training_record(c):
-    t = training.train(c, LINE_SPEC, SHORT)
+    t = training.train(c, LINE_SPEC, DEFAULT)
     rows = [(k, float(v)) for k, v in {**t.record["metrics"], "pos_weight": t.record["pos_weight"], "n_rows": t.record["n_rows"]}.items()]
     return rounded(c.sparkSession.createDataFrame(rows, "name string, value double"))
 
 
 @query()
 def random_search(c):
-    few = {"n_trees": ("int", 2, 4), **{k: v for k, v in training.SEARCH_SPACE.items() if k != "n_trees"}}
-    draws = training.draw_params(2, 42, few)
+    """The quick search: 10 draws from the whole space, 3 folds."""
     inside = stage(c, "cohort")
-    weighted = SHORT.with_(pos_weight=boosting.positive_weight(inside, "outcome"))
-    return rounded(training.search_summary(training.random_search(inside, LINE_SPEC, weighted, draws, folds=2)))
+    weighted = DEFAULT.with_(pos_weight=boosting.positive_weight(inside, "outcome"))
+    return rounded(training.search_summary(training.random_search(inside, LINE_SPEC, weighted, training.draw_params(10), folds=3)))
 
 
 @query()
 def full_evaluation(c):
-    t = training.train(c, LINE_SPEC, SHORT)
+    t = training.train(c, LINE_SPEC, DEFAULT)
     groups = c.select("rid", "rflag", "closed")
     test = stage(t.scored.filter("is_test").select("rid", "outcome", "probability").join(groups, "rid"), "test")
     tables = evaluation.evaluate(test, "outcome", 0.5, ("rflag", ("A", "R")), "closed")
@@ -573,14 +572,14 @@ def full_evaluation(c):
 
 
 def _attributed(c):
-    t = training.train(c, LINE_SPEC, SHORT)
+    t = training.train(c, LINE_SPEC, DEFAULT)
     return t, explain.attribute(t.model, t.scored, "rid")
 
 
 @query()
 def shap_values(c):
     """Attributions of all rows, with the margin they must add up to."""
-    t = training.train(c, LINE_SPEC, SHORT)
+    t = training.train(c, LINE_SPEC, DEFAULT)
     wide = explain.attribute(t.model, t.scored, "rid", keep=["probability"])
     total = F.aggregate("phi", F.lit(0.0), lambda s, x: s + x) + explain.base_value(t.model)
     logit = F.log(F.col("probability") / (1 - F.col("probability")))

@@ -9,14 +9,14 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.operators.neighbours import fill_missing
+from cohortry.operators.neighbours import DonorIndex, fill_missing
 from cohortry.operators.quantiles import quantile_rows, tall
 from cohortry.session import stage
 
 
 @dataclass
 class FeatureState:
-    """What the training rows taught: medians and spreads, levels, and the donor table. Small but for the donors."""
+    """What the training rows taught: medians and spreads, levels, and the donors with their index. Small but for the donors."""
 
     key: str
     numeric: list[str]
@@ -26,7 +26,7 @@ class FeatureState:
     centre: dict[str, float]
     scale: dict[str, float]
     levels: dict[str, list[str]]
-    donors: DataFrame | None = field(default=None, repr=False)
+    donors: DonorIndex | None = field(default=None, repr=False)
 
     @property
     def flag(self) -> str | None:
@@ -47,16 +47,16 @@ class FeatureState:
         return [[f"categorical__{c}_{v}" for v in self.levels[c][1:]] for c in self.categorical]
 
     def save(self, path: str, spark: SparkSession) -> None:
-        """The small part as JSON lines, the donors as parquet."""
+        """The small part as JSON lines, the donors and their index as parquet."""
         small = {k: v for k, v in asdict_without_donors(self).items()}
         spark.createDataFrame([(json.dumps(small),)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
         if self.donors is not None:
-            self.donors.write.mode("overwrite").parquet(f"{path}/donors")
+            self.donors.save(f"{path}/donors", spark)
 
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> FeatureState:
         small = json.loads(spark.read.text(f"{path}/state").first()["value"])
-        donors = spark.read.parquet(f"{path}/donors") if small["imputed"] else None
+        donors = DonorIndex.load(f"{path}/donors", spark) if small["imputed"] else None
         return cls(donors=donors, **small)
 
 
@@ -108,7 +108,8 @@ def fit(train: DataFrame, key: str, numeric: Sequence[str], categorical: Sequenc
     if imputed:
         coords = [c for c in numeric if c != imputed]
         known = train.filter(F.col(imputed).isNotNull())
-        state.donors = stage(known.select(key, *[_scaled(state, c).alias(f"numerical__{c}") for c in [*coords, imputed]]), "fit")
+        rows = stage(known.select(key, *[_scaled(state, c).alias(f"numerical__{c}") for c in [*coords, imputed]]), "fit")
+        state.donors = DonorIndex(rows, [f"numerical__{c}" for c in coords], key, f"numerical__{imputed}", neighbours)
     return state
 
 
@@ -118,7 +119,7 @@ def one_hot(state: FeatureState) -> list[Column]:
             for c in state.categorical for v in state.levels[c][1:]]
 
 
-def apply(state: FeatureState, df: DataFrame, keep: Sequence[str] = (), **options) -> DataFrame:
+def apply(state: FeatureState, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``key, keep..., features...`` for any rows, from the fitted state alone."""
     flagged = _flagged(df, state.imputed)
     columns = [*state.numeric, *([state.flag] if state.flag else [])]
@@ -127,4 +128,4 @@ def apply(state: FeatureState, df: DataFrame, keep: Sequence[str] = (), **option
         return table
     coords = [f"numerical__{c}" for c in state.numeric if c != state.imputed]
     return fill_missing(table, f"numerical__{state.imputed}", coords, state.key, state.donors, state.neighbours,
-                        gap2=1.0 / state.scale[state.flag] ** 2, **options)
+                        gap2=1.0 / state.scale[state.flag] ** 2)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import neighbours, rules
 from cohortry.plans import features
+from cohortry.session import stage
 
 NUMERIC, CATEGORICAL = ["age", "avg_glucose_level", "bmi"], ["gender", "hypertension", "work_type", "smoking_status"]
 
@@ -103,9 +104,10 @@ def test_state_survives_saving(spark, patients, tmp_path):
     assert as_dict(features.apply(back, patients)) == as_dict(features.apply(state, patients))
 
 
-@pytest.mark.parametrize("shape", ["even", "crowded", "copies", "line"])
+@pytest.mark.parametrize("shape", ["even", "crowded", "copies", "line", "sparse"])
 def test_cells_find_the_same_neighbours(spark, shape, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCKS_PER_COPY", 2)
+    for name, value in (("BLOCK_DONORS", 40), ("TOP_DONORS", 150), ("BATCH", 4), ("CROWD", 30)):
+        monkeypatch.setattr(neighbours, name, value)
     rng = np.random.default_rng(3)
     n = 1500
     x, y = rng.uniform(size=n), rng.uniform(size=n)
@@ -117,11 +119,12 @@ def test_cells_find_the_same_neighbours(spark, shape, monkeypatch):
         x[: n // 3], y[: n // 3] = 2, 2
     if shape == "line":
         y[:] = 1.0
+    if shape == "sparse":  # blocks with fewer donors than neighbours wanted
+        monkeypatch.setattr(neighbours, "BLOCK_DONORS", 4)
     has = rng.random(n) > 0.2
     rows = [(i, float(a), float(b), float(i % 17) if h else None) for i, (a, b, h) in enumerate(zip(x, y, has))]
     df = spark.createDataFrame(rows, "id int, x double, y double, v double")
-    kwargs = {"donors_per_cell": 40, "block_receivers": 4}
-    found = neighbours.nearest(df.filter("v is null"), df.filter("v is not null"), ["x", "y"], "id", "v", 10, **kwargs)
+    found = neighbours.nearest(df.filter("v is null"), df.filter("v is not null"), ["x", "y"], "id", "v", 10)
     got = {}
     for r in found.collect():
         got.setdefault((r["x"], r["y"]), []).append((r["rank"], r["d2"], r["value"]))
@@ -134,6 +137,44 @@ def test_cells_find_the_same_neighbours(spark, shape, monkeypatch):
         assert sorted(mine) == want
 
 
+def test_few_blocks_are_visited(spark, monkeypatch):
+    """Whatever the number of donors, a receiver visits a few blocks, also where blocks hold fewer donors than are wanted."""
+    rng = np.random.default_rng(6)
+    rows = [(i, *map(float, rng.normal(size=2)), 1.0) for i in range(20_000)]
+    donors = stage(spark.createDataFrame(rows, "id int, x double, y double, v double"), "many")
+    receivers = spark.createDataFrame([tuple(map(float, rng.normal(size=2))) for _ in range(300)], "x double, y double")
+    for block, most in ((400, 6), (50, 16), (4, 60)):
+        monkeypatch.setattr(neighbours, "BLOCK_DONORS", block)
+        monkeypatch.setattr(neighbours, "TOP_DONORS", 1000)
+        part = neighbours.build(donors, ["x", "y"], "id", "v", 10)
+        assert len(part.tops["top"]) == 20 and sum(part.tops["n"]) == 20_000
+        counts = [r["count"] for r in neighbours.visits(part, receivers, 10).groupBy("x", "y").count().collect()]
+        assert len(counts) == 300 and np.mean(counts) < most
+
+
+def test_a_batch_reads_only_the_folders_it_visits(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(neighbours, "TOP_DONORS", 500)
+    monkeypatch.setattr(neighbours, "BLOCK_DONORS", 50)
+    rows = [(i, *map(float, rng.uniform(size=2)), float(i)) for i in range(5000)]
+    index = neighbours.DonorIndex(stage(spark.createDataFrame(rows, "id int, x double, y double, v double"), "many"), ["x", "y"], "id", "v")
+    index.save(str(tmp_path / "index"), spark)
+    back = neighbours.DonorIndex.load(str(tmp_path / "index"), spark)
+    assert list(back.parts) == [("x+y", "x+y")]
+    batch = spark.createDataFrame([(-1, 0.1, 0.1, None), (-2, 0.11, 0.1, None)], "id int, x double, y double, v double")
+    met = neighbours.visits(back.part(["x", "y"], ["x", "y"]), batch)
+    read = neighbours._pruned(back.part(["x", "y"], ["x", "y"]), met)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [top" in plan
+    tops = {r["top"] for r in met.select("top").distinct().collect()}
+    assert len(tops) < 4 and {r["top"] for r in read.select("top").distinct().collect()} == tops
+    out = {r["id"]: r["v"] for r in neighbours.fill_missing(batch, "v", ["x", "y"], "id", back).collect()}
+    for i, x in ((-1, 0.1), (-2, 0.11)):
+        d2 = np.array([(r[1] - x) ** 2 + (r[2] - 0.1) ** 2 for r in rows])
+        near = np.argsort(d2, kind="stable")[:10]
+        assert out[i] == pytest.approx(np.average(near.astype(float), weights=1 / np.sqrt(d2[near] + 1)), rel=1e-9)
+
+
 def test_fewer_donors_than_neighbours(spark):
     df = spark.createDataFrame([(1, 0.0, 1.0), (2, 1.0, 3.0), (3, 0.0, None)], "id int, x double, v double")
     out = {r["id"]: r["v"] for r in neighbours.fill_missing(df, "v", ["x"], "id").collect()}
