@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.session import discard, stage
+from cohortry.session import discard, released, stage
 
 BLOCK_DONORS = 2048
 #: Donors of a top, and the most tops there are; beyond ``MOST_TOPS`` times that many donors tops have more blocks.
@@ -329,7 +329,7 @@ class DonorIndex:
 
     def part(self, theirs: Sequence[str], dims: Sequence[str]) -> Part:
         name = ("+".join(theirs), "+".join(dims))
-        if name not in self.parts:
+        if name not in self.parts or released(self.parts[name].blocks):
             self.parts[name] = build(self.pool(theirs), dims, self.key, self.value, self.k)
         return self.parts[name]
 

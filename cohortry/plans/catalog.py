@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from cohortry.functions import expressions as X
 from cohortry.operators import (boosting, contingency, explain, fairness, metrics, missingness, neighbours, normality, profile,
                                 rules, splitting)
 from cohortry.plans import evaluation, features, reports, scoring, training
-from cohortry.session import shared_dir, stage
+from cohortry.session import folder, stage
 from cohortry.sources import readers, writers
 from cohortry.streaming import scoring as streaming
 
@@ -305,7 +304,7 @@ def dirty_report(c):
 def csv_round_trip(c):
     """Written as CSV with its missing values, read back as text, checked for its columns, and coerced."""
     spark = c.sparkSession
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = folder(spark, "csv")
     names = [f.name for f in LINE_FIELDS]
     writers.write_table(c.select("rid", *names), path, "csv")
     back = readers.read_csv(spark, path)
@@ -407,6 +406,26 @@ def feature_matrix(c):
     return rounded(features.apply(state, split, ["is_test"]))
 
 
+DOC_NUMERIC = ["n_chars", "n_words", "quality"]
+DOC_FIELDS = (rules.Field("n_chars", "double", above=0), rules.Field("n_words", "double", above=0), rules.Field("quality", "double", nullable=True),
+              rules.Field("lang", "string", allowed=("de", "en", "es", "fr")))
+
+
+def _fitted_apart(c):
+    """A state learned from the training documents, saved and loaded again, and the documents outside."""
+    split = stage(splitting.stratified_split(c, "rid", "toxic"), "split")
+    path = folder(c.sparkSession, "state")
+    features.fit(split.filter(~F.col("is_test")), "rid", DOC_NUMERIC, ["lang"], "quality").save(path, c.sparkSession)
+    return features.FeatureState.load(path, c.sparkSession), split.filter("is_test").drop("is_test")
+
+
+@query("doc")
+def transform_new_rows(c):
+    """rows that the state has not seen, by the donor index saved with it."""
+    state, new = _fitted_apart(c)
+    return rounded(features.apply(state, new))
+
+
 @query()
 def missing_cells(c):
     return rules.missing_cells(c, LINE_NUMERIC)
@@ -520,7 +539,7 @@ def score_stream(spark, sf_dir):
         return scoring.with_bands(rules.annotate(parsed, EVENT_FIELDS)).select(
             "event_id", "risk_percentage", "risk_level", "alert", "confidence", F.size("errors").cast("long").alias("n_errors"))
 
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = folder(spark, "stream")
     streaming.score_stream(events, bands, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
@@ -637,7 +656,8 @@ def score_model(c):
 @query()
 def stream_model(c):
     """The same scoring on a stream of written records."""
-    spark, base = c.sparkSession, f"{shared_dir(c.sparkSession)}/stream-{uuid.uuid4().hex}"
+    spark = c.sparkSession
+    base = folder(spark, "stream")
     rows = _fixed_rows(c)
     rows.write.parquet(f"{base}/in")
     records = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
@@ -645,11 +665,44 @@ def stream_model(c):
     return spark.read.parquet(f"{base}/out")
 
 
-@query()
-def importance_fixed(c):
-    """Mean gains of the model that scored the rows, beside how many rows there are."""
-    n = c.agg(F.count("*").alias("n_rows"))
-    return rounded(boosting.importance(FIXED_MODEL, c.sparkSession).join(n, F.lit(True)))
+#: A small model over prepared documents, for scores that SQL can state.
+DOC_MODEL = boosting.BoostedModel(
+    ["numerical__n_chars", "numerical__quality", "categorical__lang_es", "numerical__quality_missing"],
+    [{1: NODE(0.0, 1000.0, 0, 0, 0.5, 60.0), 2: NODE(0.0, 700.0, 1, 0, -0.25, 20.0), 3: NODE(0.9, 300.0), 4: NODE(-1.0, 200.0), 5: NODE(0.2, 500.0)},
+     {1: NODE(0.0, 1000.0, 2, 0, 0.5, 9.0), 2: NODE(-0.3, 750.0), 3: NODE(0.4, 250.0)},
+     {1: NODE(0.0, 1000.0, 3, 0, 0.5, 5.0), 2: NODE(-0.1, 900.0), 3: NODE(1.3, 100.0)}], -0.2)
+
+
+def _doc_records(new):
+    """Raw JSON of documents, some unreadable, some with a wrong type, some with a value outside its domain."""
+    n = F.pmod(F.col("rid"), F.lit(35))
+    body = F.to_json(F.struct("n_chars", F.when(n == 1, F.lit("many")).otherwise(F.col("n_words").cast("string")).alias("n_words"), "quality",
+                              F.when(n == 2, F.lit("xx")).otherwise(F.col("lang")).alias("lang")))
+    return new.select("rid", F.when(n == 3, F.lit("{")).otherwise(body).alias("body"))
+
+
+def _doc_scores(scored):
+    wanted = ["rid", "status", "probability", "risk_percentage", "risk_level", "alert", "confidence", "features_used"]
+    return rounded(scored.select(*wanted, F.coalesce(F.size("errors"), F.lit(0)).cast("long").alias("n_errors")), 5)
+
+
+@query("doc")
+def score_cohort(c):
+    """R1 from raw records to bands, with a state and donors learned from other rows."""
+    state, new = _fitted_apart(c)
+    return _doc_scores(scoring.score_json(_doc_records(new), "body", state, DOC_MODEL, DOC_FIELDS))
+
+
+@query("doc")
+def stream_cohort(c):
+    """R2: the same on a stream of written records, a file in each micro-batch."""
+    spark = c.sparkSession
+    state, new = _fitted_apart(c)
+    base = folder(spark, "stream")
+    _doc_records(new).repartition(4, "rid").write.parquet(f"{base}/in")
+    records = spark.readStream.schema("rid long, body string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    streaming.score_stream_batches(records, lambda df: scoring.score_json(df, "body", state, DOC_MODEL, DOC_FIELDS), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return _doc_scores(spark.read.parquet(f"{base}/out").drop("batch"))
 
 
 def _fixed_phi(c):

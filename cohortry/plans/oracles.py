@@ -445,9 +445,22 @@ s AS (SELECT *, 1 / (1 + exp(-margin)) AS p FROM m)"""
 ORACLES["score_model"] = f"""{FIXED} SELECT rid, round(p, 6) AS probability, printf('%.1f%%', p * 100) AS risk_percentage, {bands('p')},
        CASE WHEN p >= 0.8 THEN {ALERT} END AS alert, '{{"closed":' || closed || '}}' AS features_used FROM s"""
 ORACLES["stream_model"] = ORACLES["score_model"]
-ORACLES["importance_fixed"] = f"""{LINE}, g(feature, gain) AS (VALUES ('qty', 40.25), ('price', 120.5), ('closed', 18.0),
-     ('categorical__segment_BUILDING', 7.5), ('categorical__segment_MACHINERY', 3.25))
-SELECT feature, round(CAST(gain AS DOUBLE) / CAST(sum(gain) OVER () AS DOUBLE), 6) AS importance, (SELECT count(*) FROM c) AS n_rows FROM g"""
+ORACLES["transform_new_rows"] = f"SELECT * EXCLUDE (is_test) FROM ({ORACLES['feature_matrix']}) WHERE is_test"
+_exact = ORACLES["feature_matrix"].replace("round(coalesce(quality, fill), 6)", "coalesce(quality, fill)").replace("round(n_chars, 6)", "n_chars")
+_bad = "CASE WHEN rid % 35 = 3 THEN 3 WHEN rid % 35 IN (1, 2) THEN 1 ELSE 0 END"
+DOC_SCORES = f"""WITH x AS (SELECT * FROM ({_exact}) WHERE is_test), raw AS ({DOC_SQL}),
+y AS (SELECT x.rid, CASE WHEN x.rid % 35 IN (1, 2, 3) THEN NULL ELSE 1 END AS ok, CAST({_bad.replace('rid', 'x.rid')} AS BIGINT) AS n_errors,
+  -0.2 + CASE WHEN numerical__n_chars < 0.5 THEN CASE WHEN numerical__quality < -0.25 THEN -1.0 ELSE 0.2 END ELSE 0.9 END
+  + CASE WHEN categorical__lang_es < 0.5 THEN -0.3 ELSE 0.4 END + CASE WHEN numerical__quality_missing < 0.5 THEN -0.1 ELSE 1.3 END AS margin,
+  raw.n_chars, raw.n_words, raw.quality, raw.lang FROM x JOIN raw ON x.rid = raw.rid),
+s AS (SELECT *, ok / (1 + exp(-CAST(margin AS DOUBLE))) AS p FROM y)"""
+ORACLES["score_cohort"] = f"""{DOC_SCORES}, t AS (SELECT *, {bands('p')} FROM s)
+SELECT rid, CASE WHEN ok = 1 THEN 'scored' ELSE 'rejected' END AS status, round(p, 5) AS probability,
+       CASE WHEN ok = 1 THEN printf('%.1f%%', p * 100) END AS risk_percentage, CASE WHEN ok = 1 THEN risk_level END AS risk_level,
+       CASE WHEN ok = 1 THEN confidence END AS confidence, CASE WHEN p >= 0.8 THEN {ALERT} END AS alert,
+       CASE WHEN ok = 1 THEN '{{"n_chars":' || CAST(n_chars AS VARCHAR) || ',"n_words":' || CAST(n_words AS VARCHAR) || ',"quality":'
+       || coalesce(CAST(CAST(quality AS DOUBLE) AS VARCHAR), 'null') || ',"lang":"' || lang || '"}}' END AS features_used, n_errors FROM t"""
+ORACLES["stream_cohort"] = ORACLES["score_cohort"]
 _deep = "CAST(0.375 * 0.2 + 0.625 * 0.9 AS DOUBLE)"
 _flat = "CAST(0.8 * -0.1 + 0.2 * 0.3 AS DOUBLE)"
 PHI = f"""{LINE}, v AS (SELECT *, CAST({_t1} AS DOUBLE) AS pq, CASE WHEN price < 50000 THEN CAST(-0.6 AS DOUBLE) ELSE {_deep} END AS p0,

@@ -65,6 +65,12 @@ def discard(spark: SparkSession, what: DataFrame | str | None) -> None:
         _delete(spark, path)
 
 
+def released(df: DataFrame) -> bool:
+    """Whether the table that ``stage`` wrote for ``df`` has been deleted."""
+    path = getattr(df, "staged_path", None)
+    return path is not None and path not in _staged
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

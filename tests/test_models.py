@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -12,8 +13,8 @@ from cohortry.cohorts import LINE_CATEGORICAL, LINE_NUMERIC
 from cohortry.operators import boosting, explain, fairness, metrics, rules
 from cohortry.operators.boosting import BoostParams
 from cohortry.plans import evaluation, scoring, training
-from cohortry.session import stage
-from cohortry.sources import readers, writers
+from cohortry.session import shared_dir, stage
+from cohortry.sources import writers
 from cohortry.streaming import scoring as streaming
 
 SPEC = training.CohortSpec("rid", "outcome", LINE_NUMERIC, LINE_CATEGORICAL, "rate", rising=("qty", "price"))
@@ -204,6 +205,12 @@ def test_attributions_add_up(spark, trained):
     assert evaluation.explain_tables(trained.model, rows, "rid", 10)["shapley"].select("rid").distinct().count() == 10
 
 
+def test_quick_train(spark, line):
+    t = training.quick_train(line.limit(1500), SPEC, base=QUICK)
+    assert t.record["n_draws"] == 10 and t.record["folds"] == 3 and t.search.count() == 10
+    assert set(t.search.columns) >= {"mean_auc", "std_auc", "mean_train_auc", "std_train_auc"} and t.search.first()["mean_train_auc"] > 0.9
+
+
 def test_search(spark, line):
     draws = training.draw_params(2, 1, {**training.SEARCH_SPACE, "n_trees": ("int", 2, 3)})
     assert draws == training.draw_params(2, 1, {**training.SEARCH_SPACE, "n_trees": ("int", 2, 3)})
@@ -249,17 +256,28 @@ def test_batch_and_stream_scoring(spark, line, trained, tmp_path):
     one = next(iter(rows.values()))
     assert json.loads(one["features_used"])["price"] > 0
 
-    (batch.select(F.col("rid"), F.to_json(F.struct(*[f.name for f in FIELDS])).alias("body")).write.parquet(str(tmp_path / "in")))
-    records = spark.readStream.schema("rid string, body string").parquet(str(tmp_path / "in"))
+    (batch.select(F.col("rid"), F.to_json(F.struct(*[f.name for f in FIELDS])).alias("body")).repartition(10, "rid").write.parquet(str(tmp_path / "in")))
+    records = spark.readStream.schema("rid string, body string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
     def score(df):
-        return scoring.score_batch(readers.parse_json(df, "body", FIELDS), state, model, FIELDS)
+        return scoring.score_json(df, "body", state, model, FIELDS)
+
+    def staged():
+        return sorted(os.listdir(shared_dir(spark)))
 
-    query = streaming.score_stream_batches(records, score, str(tmp_path / "ok"), str(tmp_path / "bad"), str(tmp_path / "cp"))
+    score(records_of(spark, tmp_path).limit(1)).count()
+    before = staged()
+    query = streaming.score_stream_batches(records, score, str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination()
-    again = {r["rid"]: r["probability"] for r in spark.read.parquet(str(tmp_path / "ok")).collect()}
+    assert staged() == before and len(os.listdir(tmp_path / "out")) == 10
+    out = spark.read.parquet(str(tmp_path / "out"))
+    again = {r["rid"]: r["probability"] for r in out.filter("status = 'scored'").collect()}
     assert again == pytest.approx({k: r["probability"] for k, r in rows.items()}, rel=1e-9)
-    assert spark.read.parquet(str(tmp_path / "bad")).count() == bad
+    assert out.filter("status = 'rejected' and size(errors) > 0").count() == bad
+
+
+def records_of(spark, path):
+    return spark.read.schema("rid string, body string").parquet(str(path / "in"))
 
 
 def test_sinks(spark, line, tmp_path):
