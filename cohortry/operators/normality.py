@@ -6,17 +6,19 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions import expressions as X
 from cohortry.functions import texts
 from cohortry.functions.special import normal_upper_p, polynomial, student_p, with_normal_quantile
-from cohortry.operators.ordering import ranked
+from cohortry.operators.ordering import ranked, running
 from cohortry.operators.profile import correlations, moments, unfold
 from cohortry.operators.quantiles import quantile_rows, tall, value_counts
 
 SHAPIRO_LIMIT = 5000
+#: Ranks at either end whose normal scores are summed one by one.
+EDGE = 64
 
 # Weights and p-value polynomials of the W test (Royston 1995, AS R94), lowest power first.
 LAST_WEIGHT = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
@@ -39,42 +41,76 @@ def k_squared_test(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return tested.select("feature", "n", "statistic", F.exp(-F.col("statistic") / 2).alias("p_value"))
 
 
+def _sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    found = df.agg(*[agg.alias(f"{n}_{i}") for i, c in enumerate(columns) for n, agg in (("n", F.count(c)), ("mean", F.avg(c)))]).first() if columns else {}
+    return {c: {n: found[f"{n}_{i}"] for n in ("n", "mean")} for i, c in enumerate(columns)}
+
+
+def score_sums(df: DataFrame, columns: Sequence[str], sizes: dict[str, dict], shift: float, over: float) -> DataFrame:
+    """Sums of the normal scores ``m(i)`` at ``(i - shift) / (n + over)`` over ranks of equal values.
+
+    ``(feature, n, value, copies, rank, m, mm)``: rows of one rank, its score and square, for the ``EDGE`` ranks at either end, and without a rank
+    the sums over all others of a value. Those are integrals with the corrections of Euler and Maclaurin, closed forms in the first and
+    the last rank, which beyond the ends are as exact as the score itself. So a value is one row whatever the number of its copies.
+    """
+    counts = value_counts(df, columns).withColumnRenamed("n", "copies")
+    n = _lookup({c: sizes[c]["n"] for c in columns}, "long")
+    runs = running(counts, ["value"], {"last": "copies"}, by=["feature"]).withColumns({"first": F.col("last") - F.col("copies") + 1, "n": n})
+    size = F.col("n") + over
+    first, last, upper = F.col("first"), F.col("last"), F.greatest(F.col("n") - EDGE + 1, F.lit(EDGE + 1).cast("long"))
+    none = F.array().cast("array<bigint>")
+    ranks = F.concat(F.when(first <= EDGE, F.sequence(first, F.least(last, F.lit(EDGE).cast("long")))).otherwise(none),
+                     F.when(last >= upper, F.sequence(F.greatest(first, upper), last)).otherwise(none))
+    ends = runs.select("feature", "n", "value", F.lit(1).cast("long").alias("copies"), F.explode(ranks).alias("rank"))
+    ends = with_normal_quantile(ends, (F.col("rank") - shift) / size, "m").withColumn("mm", F.col("m") * F.col("m"))
+    inner = runs.withColumns({"low": F.greatest(first, F.lit(EDGE + 1).cast("long")), "high": F.least(last, upper - 1)}).filter("low <= high")
+    for name, at in (("z0", "low"), ("z1", "high")):
+        inner = with_normal_quantile(inner, (F.col(at) - shift) / size, name)
+
+    def at_end(z: Column, rank: str) -> dict[str, Column]:
+        height = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        step = 1 / (size * height)
+        return {"area": -size * height, "d1": step, "d3": (1 + 2 * z * z) * step * step * step, "area2": (F.col(rank) - shift) - size * z * height,
+                "e1": 2 * z * step, "e3": (8 * z + 4 * z * z * z) * step * step * step}
+
+    z0, z1 = F.col("z0"), F.col("z1")
+    low, high = at_end(z0, "low"), at_end(z1, "high")
+
+    def total(area: str, begin: Column, end: Column, one: str, three: str) -> Column:
+        return high[area] - low[area] + (begin + end) / 2 + (high[one] - low[one]) / 12 - (high[three] - low[three]) / 720
+
+    inner = inner.select("feature", "n", "value", (F.col("high") - F.col("low") + 1).alias("copies"), F.lit(None).cast("long").alias("rank"),
+                         total("area", z0, z1, "d1", "d3").alias("m"), total("area2", z0 * z0, z1 * z1, "e1", "e3").alias("mm"))
+    return ends.unionByName(inner)
+
+
 def w_test(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Shapiro-Wilk for every column with three values or more: ``(feature, n, statistic, p_value)``.
 
-    The ranks come from ranges of the order, so any size is within reach; the weights are an approximation that was
-    published for up to 5,000 values.
+    The ranks come from ranges of the order and equal values are one row, so any size is within reach; the weights are an approximation
+    that was published for up to 5,000 values.
     """
-    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first() if columns else {}
-    fit = [c for c in columns if sizes[c] >= 3]
+    sizes = _sizes(df, columns)
+    fit = [c for c in columns if sizes[c]["n"] >= 3]
     if not fit:
         return df.sparkSession.createDataFrame([], "feature string, n long, statistic double, p_value double")
-    size_of = F.create_map(*[x for c in fit for x in (F.lit(c), F.lit(sizes[c]).cast("long"))])
-    values = tall(df, fit).groupBy("feature", "value").agg(F.count("*").alias("copies"))
-    # equal values may take their ranks in any order, so copies only need distinct numbers
-    copies = values.select("feature", "value", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    rank, value, m = F.col("rank"), F.col("value"), F.col("m")
+    gap = value - _lookup({c: sizes[c]["mean"] for c in fit})
+    places = {"1": rank == 1, "2": rank == 2, "y": rank == F.col("n") - 1, "z": rank == F.col("n")}
+    sums = score_sums(df, fit, sizes, 0.375, 0.25).groupBy("feature", "n").agg(
+        F.sum("mm").alias("mm"), F.sum(gap * m).alias("xm"), F.sum(F.col("copies") * gap * gap).alias("ss"),
+        *[F.max(F.when(at, gap)).alias(f"x{p}") for p, at in places.items()], *[F.max(F.when(at, m)).alias(f"m{p}") for p, at in places.items()])
     n = F.col("n").cast("double")
-    places = ranked(copies, ["value", "copy"], by=["feature"]).withColumn("n", F.element_at(size_of, F.col("feature")))
-    scores = with_normal_quantile(places, (F.col("rank") - 0.375) / (n + 0.25), "m")
-    ends = scores.groupBy("feature").agg(
-        F.sum(F.col("m") * F.col("m")).alias("mm"), F.max("m").alias("m1"), F.avg("value").alias("mean"),
-        F.max(F.when(F.col("rank") == F.col("n") - 1, F.col("m"))).alias("m2"))
-    joined = scores.join(ends, "feature")
     u, root = 1 / F.sqrt(n), F.sqrt("mm")
-    last = F.when(F.col("n") == 3, F.lit(math.sqrt(0.5))).otherwise(F.col("m1") / root + polynomial(u, LAST_WEIGHT))
-    second = F.when(F.col("n") > 5, F.col("m2") / root + polynomial(u, NEXT_WEIGHT))
-    joined = joined.withColumn("a1", last).withColumn("a2", second)
-    m1, m2, a1, a2 = (F.col(x) for x in ("m1", "m2", "a1", "a2"))
-    phi = F.when(F.col("n") > 5, (F.col("mm") - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)).otherwise(
-        F.try_divide(F.col("mm") - 2 * m1 * m1, 1 - 2 * a1 * a1))
-    i = F.col("rank")
-    inner = F.coalesce(F.try_divide(F.col("m"), F.sqrt(phi)), F.lit(0.0))
-    weight = (F.when(i == 1, -a1).when(i == F.col("n"), a1)
-              .when((F.col("n") > 5) & (i == 2), -a2).when((F.col("n") > 5) & (i == F.col("n") - 1), a2).otherwise(inner))
-    gap = F.col("value") - F.col("mean")
-    w = (joined.withColumn("a", weight).groupBy("feature", "n")
-         .agg(F.sum(F.col("a") * F.col("value")).alias("s"), F.sum(gap * gap).alias("ss"))
-         .withColumn("statistic", F.least(F.try_divide(F.col("s") * F.col("s"), F.col("ss")), F.lit(1.0))))
+    wide = F.col("n") > 5  # the second and the last but one have a weight of their own
+    sums = sums.withColumn("a1", F.when(F.col("n") == 3, F.lit(math.sqrt(0.5))).otherwise(F.col("mz") / root + polynomial(u, LAST_WEIGHT)))
+    sums = sums.withColumn("a2", F.when(wide, F.col("my") / root + polynomial(u, NEXT_WEIGHT)))
+    a1, a2, x1, x2, xy, xz, m1, m2, my, mz = (F.col(c) for c in ("a1", "a2", "x1", "x2", "xy", "xz", "m1", "m2", "my", "mz"))
+    phi = F.when(wide, (F.col("mm") - 2 * mz * mz - 2 * my * my) / (1 - 2 * a1 * a1 - 2 * a2 * a2)).otherwise(
+        F.try_divide(F.col("mm") - 2 * mz * mz, 1 - 2 * a1 * a1))
+    inner = F.col("xm") - m1 * x1 - mz * xz - F.when(wide, m2 * x2 + my * xy).otherwise(0.0)
+    s = F.coalesce(F.try_divide(inner, F.sqrt(phi)), F.lit(0.0)) + a1 * (xz - x1) + F.when(wide, a2 * (xy - x2)).otherwise(0.0)
+    w = sums.withColumn("s", s).withColumn("statistic", F.least(F.try_divide(F.col("s") * F.col("s"), F.col("ss")), F.lit(1.0)))
     size, log_n = F.col("n").cast("double"), F.log(F.col("n").cast("double"))
     left = F.log(1 - F.col("statistic"))
     small = (-F.log(polynomial(size, SMALL_GAMMA) - left) - polynomial(size, SMALL_MEAN)) / F.exp(polynomial(size, SMALL_LOG_SD))
@@ -158,11 +194,25 @@ def normal_scores(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     return with_normal_quantile(places, median, "theoretical").select("feature", key, "rank", "value", "theoretical")
 
 
-def normal_fit(scores: DataFrame) -> DataFrame:
-    """Least-squares line through the normal scores."""
-    return scores.groupBy("feature").agg(
-        F.count("*").alias("n"), F.regr_slope("value", "theoretical").alias("slope"),
-        F.regr_intercept("value", "theoretical").alias("intercept"), F.corr("theoretical", "value").alias("r"))
+def normal_fit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Least-squares line through the normal scores of ``normal_scores``, from sums over equal values."""
+    sizes = {c: s for c, s in _sizes(df, columns).items() if s["n"]}
+    n = F.col("n").cast("double")
+    edge = F.pow(F.lit(0.5), 1 / n)
+    sums = score_sums(df, list(sizes), sizes, 0.3175, 0.365)
+    # the first and the last rank have scores of their own
+    sums = with_normal_quantile(sums, F.when(F.col("rank") == F.col("n"), edge).when(F.col("rank") == 1, 1 - edge).otherwise(F.lit(0.5)), "own")
+    outer = F.coalesce(F.col("rank").isin(1) | (F.col("rank") == F.col("n")), F.lit(False))
+    m, mm = F.when(outer, F.col("own")).otherwise(F.col("m")), F.when(outer, F.col("own") * F.col("own")).otherwise(F.col("mm"))
+    mean = _lookup({c: s["mean"] for c, s in sizes.items()})
+    gap = F.col("value") - mean
+    total = sums.groupBy("feature", "n").agg(F.sum(m).alias("x"), F.sum(mm).alias("xx"), F.sum(gap * m).alias("xy"),
+                                             F.sum(F.col("copies") * gap).alias("y"), F.sum(F.col("copies") * gap * gap).alias("yy"))
+    x, y, xx, xy, yy = (F.col(c) for c in ("x", "y", "xx", "xy", "yy"))
+    sxx, sxy, syy = xx - x * x / n, xy - x * y / n, yy - y * y / n
+    slope = F.try_divide(sxy, sxx)
+    return total.select("feature", "n", slope.alias("slope"), (mean + y / n - slope * x / n).alias("intercept"),
+                        F.try_divide(sxy, F.sqrt(sxx * syy)).alias("r"))
 
 
 def correlation_interval(df: DataFrame, columns: Sequence[str], target: str, z: float = 1.959963984540054,

@@ -260,7 +260,7 @@ def qq_points(c):
 
 @query()
 def qq_fit(c):
-    return rounded(normality.normal_fit(normality.normal_scores(c, LINE_NUMERIC, "rid")), 3)
+    return rounded(normality.normal_fit(c, LINE_NUMERIC))
 
 
 @query()
@@ -587,7 +587,39 @@ def full_evaluation(c):
     groups = c.select("rid", "rflag", "closed")
     test = stage(t.scored.filter("is_test").select("rid", "outcome", "probability").join(groups, "rid"), "test")
     tables = evaluation.evaluate(test, "outcome", 0.5, ("rflag", ("A", "R")), "closed")
-    return rounded(evaluation.as_rows(tables, ["classification_report", "clinical", "ranking", "thresholds", "fairness", "group_rates"]))
+    return rounded(evaluation.as_rows(tables, ["classification_report", "clinical", "ranking", "thresholds", "roc_curve", "pr_curve", "operating_points", "fairness", "group_rates"]))
+
+
+SPLIT_FEATURES = ["qty", "closed", "urgent", "rflag_N", "rflag_R"]
+
+
+def _split_table(c):
+    """Features with few values, so that every value is a cut, and the parameters of a single tree of all rows and features."""
+    rows = c.select("rid", "outcome", *[F.col(x).cast("double").alias(x) for x in SPLIT_FEATURES[:3]],
+                    *[F.when(F.col("rflag") == v, 1.0).otherwise(0.0).alias(f"rflag_{v}") for v in ("N", "R")])
+    whole = boosting.BoostParams(n_trees=1, max_depth=1, learning_rate=1.0, row_share=1.0, column_share=1.0, pos_weight=boosting.positive_weight(rows, "outcome"))
+    return boosting.bin_table(rows, SPLIT_FEATURES, "outcome", "rid", bundles=[SPLIT_FEATURES[3:]]), whole
+
+
+@query()
+def first_split(c):
+    """M2, M3: the first split with its gain, weights and covers, free and under either limit on one feature."""
+    table, whole = _split_table(c)
+    limits = {"free": {}, "rising": {"qty": 1}, "falling": {"qty": -1}}
+    models = boosting.fit_many(table, [whole.with_(monotone=m) for m in limits.values()])
+    rows = []
+    for limit, model in zip(limits, models, strict=True):
+        root, left, right = (model.trees[0][i] for i in (1, 2, 3))
+        rows.append((limit, SPLIT_FEATURES[root.feature], root.cut, root.gain, left.value, right.value, left.cover, right.cover))
+    schema = "direction string, feature string, cut double, gain double, left_value double, right_value double, left_cover double, right_cover double"
+    return rounded(c.sparkSession.createDataFrame(rows, schema), 5)
+
+
+@query()
+def tree_importance(c):
+    """M9: normalised mean gains of a tree of two levels."""
+    table, whole = _split_table(c)
+    return rounded(boosting.importance(boosting.fit(table, whole.with_(max_depth=2)), c.sparkSession))
 
 
 def _attributed(c):

@@ -231,8 +231,8 @@ QQ = f"""r AS (SELECT feature, rid, value, row_number() OVER (PARTITION BY featu
 ORACLES["qq_points"] = f"""{DOC}, t AS ({tall(['n_chars', 'n_words'], keep='rid,')}), {QQ}
 SELECT feature, rid, rank, round(value, 6) AS value, round(theoretical, 6) AS theoretical FROM s"""
 ORACLES["qq_fit"] = f"""{LINE}, t AS ({tall(LINE_NUMERIC, keep='rid,')}), {QQ}
-SELECT feature, count(*) AS n, round(regr_slope(value, theoretical), 3) AS slope, round(regr_intercept(value, theoretical), 3) AS intercept,
-       round(corr(theoretical, value), 3) AS r FROM s GROUP BY feature"""
+SELECT feature, count(*) AS n, round(regr_slope(value, theoretical), 6) AS slope, round(regr_intercept(value, theoretical), 6) AS intercept,
+       round(corr(theoretical, value), 6) AS r FROM s GROUP BY feature"""
 
 ORACLES["histogram"] = f"""{LINE}, t AS ({tall(LINE_NUMERIC)}),
 m AS (SELECT feature, min(value) AS lo, (max(value) - min(value)) / 50 AS w, count(*) AS total FROM t GROUP BY feature),
@@ -480,3 +480,37 @@ ORACLES["shap_tables_fixed"] = f"""{PHI}, e AS (SELECT avg(phi_building + phi_ma
 UNION ALL SELECT 'categorical__segment_BUILDING', 'mean_phi', round(avg(phi_building), 6) FROM f WHERE segment = 'BUILDING'
 UNION ALL SELECT 'categorical__segment_MACHINERY', 'mean_phi', round(avg(phi_machinery), 6) FROM f WHERE segment = 'MACHINERY'
 UNION ALL SELECT CASE WHEN x > 0.01 THEN 'RAISES' WHEN x < -0.01 THEN 'LOWERS' ELSE 'MINIMAL' END, 'effect', round(x, 6) FROM e"""
+
+
+def splits(rows: str, name: str) -> str:
+    """Every split of each node of ``rows`` (node, g, h and the features), with the gain at the default penalties."""
+    def shrunk(x: str) -> str:
+        return f"(sign({x}) * greatest(abs({x}) - 1, 0))"
+
+    places = ["qty", "closed", "urgent", "rflag_N", "rflag_R"]
+    return f"""{name}_u AS ({union(f"SELECT node, '{f}' AS feature, {i} AS place, {f} AS value, g, h FROM {rows}" for i, f in enumerate(places))}),
+{name}_v AS (SELECT node, feature, place, value, sum(g) AS g, sum(h) AS h FROM {name}_u GROUP BY ALL),
+{name}_w AS (SELECT *, sum(g) OVER e AS gl, sum(h) OVER e AS hl, sum(g) OVER f AS gt, sum(h) OVER f AS ht FROM {name}_v
+  WINDOW e AS (PARTITION BY node, feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY node, feature)),
+{name}_x AS (SELECT *, gt - gl AS gr, ht - hl AS hr FROM {name}_w WHERE gl IS NOT NULL),
+{name} AS (SELECT node, feature, place, value AS cut, hl, hr, -{shrunk('gl')} / (hl + 1) AS wl, -{shrunk('gr')} / (hr + 1) AS wr,
+  0.5 * (pow({shrunk('gl')}, 2) / (hl + 1) + pow({shrunk('gr')}, 2) / (hr + 1) - pow({shrunk('gt')}, 2) / (ht + 1)) - 0.1 AS gain
+  FROM {name}_x WHERE hl >= 3 AND hr >= 3)"""
+
+
+ROOT = f"""{LINE}, k AS (SELECT CAST(count(*) FILTER (outcome = 0) AS DOUBLE) / count(*) FILTER (outcome = 1) AS pw FROM c),
+r AS (SELECT 1 AS node, CAST(qty AS DOUBLE) AS qty, CAST(closed AS DOUBLE) AS closed, CAST(urgent AS DOUBLE) AS urgent, CAST(rflag = 'N' AS DOUBLE) AS rflag_N,
+  CAST(rflag = 'R' AS DOUBLE) AS rflag_R, CASE WHEN outcome = 1 THEN -0.5 * pw ELSE CAST(0.5 AS DOUBLE) END AS g,
+  CASE WHEN outcome = 1 THEN 0.25 * pw ELSE CAST(0.25 AS DOUBLE) END AS h FROM c CROSS JOIN k), {splits('r', 'a')}"""
+ORACLES["first_split"] = f"""{ROOT}, d(direction, way) AS (VALUES ('free', 0), ('rising', 1), ('falling', -1)),
+o AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY gain DESC, place, cut) AS n FROM a CROSS JOIN d
+      WHERE feature <> 'qty' OR way * (wr - wl) >= 0)
+SELECT direction, feature, cut, {rounded('gain', 5)}, round(wl, 5) AS left_value, round(wr, 5) AS right_value, round(hl, 5) AS left_cover,
+       round(hr, 5) AS right_cover FROM o WHERE n = 1 AND gain > 0"""
+ORACLES["tree_importance"] = f"""{ROOT}, o AS (SELECT *, row_number() OVER (ORDER BY gain DESC, place, cut) AS n FROM a), b AS (SELECT * FROM o WHERE n = 1 AND gain > 0),
+q AS (SELECT CASE WHEN CASE b.feature WHEN 'qty' THEN qty WHEN 'closed' THEN closed WHEN 'urgent' THEN urgent WHEN 'rflag_N' THEN rflag_N ELSE rflag_R END < b.cut
+      THEN 2 ELSE 3 END AS node, r.* EXCLUDE (node) FROM r CROSS JOIN b), {splits('q', 'y')},
+p AS (SELECT feature, gain FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, place, cut) AS n FROM y) WHERE n = 1 AND gain > 0
+      UNION ALL SELECT feature, gain FROM b),
+m AS (SELECT f.feature, coalesce(avg(gain), 0) AS g FROM (VALUES ('qty'), ('closed'), ('urgent'), ('rflag_N'), ('rflag_R')) f(feature) LEFT JOIN p ON p.feature = f.feature GROUP BY f.feature)
+SELECT feature, round(g / sum(g) OVER (), 6) AS importance FROM m"""

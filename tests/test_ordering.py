@@ -1,5 +1,6 @@
 """Running totals, ranks and quantiles agree with plain windows when the table is cut into many ranges."""
 
+import statistics
 from pathlib import Path
 
 import numpy as np
@@ -134,3 +135,32 @@ def test_staged_tables_are_released(spark, tmp_path):
     assert df.count() == 10 and session.release(spark) == 1
     assert not Path(path.replace("file:", "")).exists()
     session._staged[:] = kept
+
+
+
+def test_score_sums_of_crowded_values(spark):
+    """Sums over equal values in closed form equal the sums rank by rank."""
+    rng = np.random.default_rng(1)
+    values = np.concatenate([np.full(2500, 3.0), np.full(70, -1.0), np.full(400, 9.0), rng.normal(size=300).round(1)])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    sizes = normality._sizes(df, ["x"])
+    got = normality.score_sums(df, ["x"], sizes, 0.375, 0.25).groupBy("value").agg(F.sum("copies").alias("n"), F.sum("m").alias("m"), F.sum("mm").alias("mm"))
+    quantile = statistics.NormalDist().inv_cdf
+    m = np.array([quantile((i - 0.375) / (len(values) + 0.25)) for i in range(1, len(values) + 1)])
+    ordered = np.sort(values)
+    for r in got.collect():
+        own = m[ordered == r["value"]]
+        assert r["n"] == len(own) and r["m"] == pytest.approx(own.sum(), abs=1e-9) and r["mm"] == pytest.approx((own ** 2).sum(), rel=1e-11)
+
+
+def test_one_value_in_a_thousand_million_rows(spark, monkeypatch):
+    """Counts stand for rows: a value is one row, whatever the number of its copies."""
+    counts = spark.createDataFrame([("x", 1.0, 10 ** 9), ("x", 2.0, 10 ** 8), ("x", 3.0, 7)], "feature string, value double, n long")
+    monkeypatch.setattr(normality, "value_counts", lambda *_: counts)
+    total = 10 ** 9 + 10 ** 8 + 7
+    mean = (10 ** 9 + 2 * 10 ** 8 + 21) / total
+    monkeypatch.setattr(normality, "_sizes", lambda *_: {"x": {"n": total, "mean": mean}})
+    w = normality.w_test(counts, ["x"]).first()
+    fit = normality.normal_fit(counts, ["x"]).first()
+    assert w["n"] == fit["n"] == total and 0 < w["statistic"] < 1 and 0 < fit["r"] < 1
+    assert fit["r"] ** 2 == pytest.approx(w["statistic"], rel=1e-3) and fit["intercept"] == pytest.approx(mean, abs=1e-6)
