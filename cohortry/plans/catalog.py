@@ -99,13 +99,13 @@ def chi_square_p_values(c):
 @query("doc")
 def chi_square_missing(c):
     t = missingness.missing_by_category(c, "quality", ["lang", "source"])
-    return rounded(t.select("variable", "chi2", F.col("dof").cast("long").alias("dof"), "n"))
+    return rounded(t.select("variable", "chi2", F.col("dof").cast("long").alias("dof"), "n", "p_value"))
 
 
 @query()
 def pairwise_chi_square(c):
     t = contingency.pairwise_chi_square(c, "segment", "outcome", "BUILDING")
-    return rounded(t.select("base_level", "other_level", "chi2", "base_rate", "other_rate"))
+    return rounded(t.select("base_level", "other_level", "chi2", "base_rate", "other_rate", "p_value", "significant"))
 
 
 @query()
@@ -190,13 +190,13 @@ def group_means(c):
 @query()
 def point_biserial(c):
     t = missingness.point_biserial(c, "rate", ["qty", "price", "closed", "urgent", "outcome"])
-    return rounded(t.select("feature", "r", "n", "t"))
+    return rounded(t.select("feature", "r", "n", "t", "p_value", "significant"))
 
 
 @query()
 def t_test_missing(c):
     t = missingness.mean_difference(c, "rate", ["qty", "price", "closed", "urgent", "outcome"])
-    return rounded(t.select("feature", "n_missing", "n_present", "mean_when_missing", "mean_when_present", "t", "dof"))
+    return rounded(t.select("feature", "n_missing", "n_present", "mean_when_missing", "mean_when_present", "t", "dof", "p_value", "significant"))
 
 
 @query()
@@ -219,6 +219,20 @@ def missing_logit(c):
     return rounded(missingness.missing_odds(c, "rate", ["qty", "price", "closed", "urgent"]))
 
 
+@query()
+def missing_logit_certificate(c):
+    """At the largest likelihood the residuals have no part along any input; their mean products with the scaled inputs."""
+    columns = ["qty", "price", "closed", "urgent"]
+    fitted = missingness.missing_odds(c, "rate", columns)
+    weights = {r["feature"]: r["coefficient"] for r in fitted.collect()}
+    spread = {"intercept": F.lit(1.0), "qty": F.col("qty") / 50, "price": F.col("price") / 1e5, "closed": F.col("closed"), "urgent": F.col("urgent")}
+    margin = sum((F.col(x) * weights[x] for x in columns), F.lit(weights["intercept"]))
+    gap = X.missing_flag("rate").cast("double") - 1 / (1 + F.exp(-margin))
+    sums = c.agg(*[F.avg(gap * x).alias(name) for name, x in spread.items()], F.count("*").alias("n"))
+    rows = F.array(*[F.struct(F.lit(name).alias("feature"), (F.round(F.abs(name), 4)).alias("score")) for name in spread])
+    return sums.select(F.inline(rows), "n").join(fitted.select("feature", "n_used", "n_lacking"), "feature")
+
+
 @query()
 def mean_impute_contrast(c):
     return rounded(missingness.mean_fill_contrast(c, "rate", "qty"))
@@ -266,7 +280,7 @@ def qq_fit(c):
 @query()
 def pearson_ci(c):
     t = normality.correlation_interval(c, ["qty", "price", "rate", "closed", "urgent"], "outcome")
-    return rounded(t.select("feature", "n", "r", "lower", "upper", "t"))
+    return rounded(t.select("feature", "n", "r", "lower", "upper", "t", "p_value", "remove"))
 
 
 @query()

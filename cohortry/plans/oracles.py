@@ -23,6 +23,29 @@ def rounded(columns: str, digits: int = 6) -> str:
     return ", ".join(f"round({x.strip()}, {digits}) AS {x.strip()}" for x in columns.split(","))
 
 
+def chi_square_p(x: str, dof: str) -> str:
+    """Upper tail by the series of the incomplete gamma function; zero where it is below 1e-12."""
+    a, h = f"({dof}) / 2.0", f"({x}) / 2.0"
+    series = f"(SELECT sum(exp(({a} + i) * ln({h}) - {h} - lgamma({a} + i + 1))) FROM range(3000) r(i))"
+    return f"CASE WHEN ({x}) <= 0 THEN 1.0 WHEN {h} > {a} + 40 * sqrt({a}) + 60 THEN 0.0 ELSE greatest(1 - {series}, 0.0) END"
+
+
+def student_p(t: str, dof: str) -> str:
+    """Both tails by the series of the incomplete beta function; zero where it is below 1e-12."""
+    b, y = f"({dof}) / 2.0", f"(({t}) * ({t}) / (({dof}) + ({t}) * ({t})))"
+    series = f"(SELECT 1 + sum(exp(lgamma(1.5) + lgamma(1.5 + {b} + i) - lgamma(2.5 + i) - lgamma(0.5 + {b}) + (i + 1) * ln({y}))) FROM range(1500) r(i))"
+    front = f"2 * exp(0.5 * ln({y}) + {b} * ln(1 - {y}) + lgamma(0.5 + {b}) - lgamma(0.5) - lgamma({b}))"
+    return f"CASE WHEN ({t}) = 0 THEN 1.0 WHEN abs({t}) > 15 AND ({dof}) > 30 THEN 0.0 ELSE greatest(1 - {front} * {series}, 0.0) END"
+
+
+def eliminated(source: str, name: str) -> str:
+    """Gauss and Jordan's elimination of ``source`` (id, m: rows with further columns on the right), a step a row of the recursion."""
+    row = "list_transform(row, lambda x, q: CASE WHEN i = k THEN x / m[k][k] ELSE x - row[k] * m[k][q] / m[k][k] END)"
+    return f"""{name}_steps AS (SELECT id, 1 AS k, m FROM {source} UNION ALL
+  SELECT id, k + 1, list_transform(m, lambda row, i: {row}) FROM {name}_steps WHERE k <= len(m)),
+{name} AS (SELECT id, m FROM {name}_steps WHERE k = len(m) + 1)"""
+
+
 ORACLES["prevalence_by_group"] = f"""{LINE}
 SELECT segment, count(*) AS total, CAST(sum(outcome) AS BIGINT) AS positives, count(*) FILTER (outcome = 0) AS negatives,
        round(100.0 * sum(outcome) / count(*), 6) AS rate_pct
@@ -61,21 +84,25 @@ SELECT variable, r AS row_level, k AS col_level, n, round(expected, 6) AS expect
 ORACLES["chi_square"] = LINE_PAIRS + """
 SELECT s.variable, round(chi2, 6) AS chi2, (nr - 1) * (nk - 1) AS dof, n, round(min_expected, 6) AS min_expected
 FROM s JOIN x ON s.variable = x.variable"""
+ORACLES["chi_square_p_values"] = LINE_PAIRS + f""", y AS (SELECT s.variable, {chi_square_p('chi2', '(nr - 1) * (nk - 1)')} AS p FROM s JOIN x ON s.variable = x.variable)
+SELECT variable, round(p, 9) AS p_value, p < 0.05 AS significant FROM y"""
 ORACLES["cramers_v"] = LINE_PAIRS + """
 SELECT s.variable, round(sqrt(chi2 / (n * (least(nr, nk) - 1))), 6) AS cramers_v FROM s JOIN x ON s.variable = x.variable"""
 ORACLES["chi_square_missing"] = cells(
     DOC.replace("l.quality, l.toxic", "l.quality, l.toxic, CASE WHEN l.quality IS NULL THEN 1 ELSE 0 END AS miss"),
     ["lang", "source"], "miss") + """
-SELECT s.variable, round(chi2, 6) AS chi2, (nr - 1) * (nk - 1) AS dof, n FROM s JOIN x ON s.variable = x.variable"""
+SELECT s.variable, round(chi2, 6) AS chi2, (nr - 1) * (nk - 1) AS dof, n, round(""" + chi_square_p("chi2", "(nr - 1) * (nk - 1)") + """, 6) AS p_value
+FROM s JOIN x ON s.variable = x.variable"""
 
 ORACLES["pairwise_chi_square"] = f"""{LINE},
 t AS (SELECT b.segment AS o, count(*) FILTER (c.segment = 'BUILDING' AND outcome = 1) AS a, count(*) FILTER (c.segment = 'BUILDING' AND outcome = 0) AS b,
       count(*) FILTER (c.segment <> 'BUILDING' AND outcome = 1) AS c, count(*) FILTER (c.segment <> 'BUILDING' AND outcome = 0) AS d
       FROM c JOIN (SELECT DISTINCT segment FROM c WHERE segment <> 'BUILDING') b ON c.segment IN ('BUILDING', b.segment) GROUP BY b.segment),
-e AS (SELECT *, CAST(a + b + c + d AS DOUBLE) AS n FROM t)
-SELECT 'BUILDING' AS base_level, o AS other_level,
-       round(n * pow(greatest(abs(a * d - b * c) - n / 2, 0), 2) / (CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d)), 6) AS chi2,
-       round(100.0 * a / (a + b), 6) AS base_rate, round(100.0 * c / (c + d), 6) AS other_rate FROM e"""
+e AS (SELECT *, CAST(a + b + c + d AS DOUBLE) AS n FROM t),
+x AS (SELECT *, n * pow(greatest(abs(a * d - b * c) - n / 2, 0), 2) / (CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d)) AS chi2 FROM e),
+y AS (SELECT *, {chi_square_p('chi2', '1')} AS p FROM x)
+SELECT 'BUILDING' AS base_level, o AS other_level, round(chi2, 6) AS chi2, round(100.0 * a / (a + b), 6) AS base_rate,
+       round(100.0 * c / (c + d), 6) AS other_rate, round(p, 6) AS p_value, p < 0.05 AS significant FROM y"""
 
 ORACLES["mutual_information"] = cells(LINE, ["segment", "ptype", "rflag", "closed"], "outcome") + """
 SELECT e.variable, round(sum(CASE WHEN e.n > 0 THEN e.n / s.n * log2(e.n / expected) ELSE 0 END), 9) AS mutual_information
@@ -159,14 +186,45 @@ round(avg(price), 6) AS mean_price, round(avg(outcome), 6) AS mean_outcome FROM
 
 _tested = ["qty", "price", "closed", "urgent", "outcome"]
 ORACLES["point_biserial"] = f"""{LINE}, m AS ({union(
-    f"SELECT '{x}' AS feature, corr(CASE WHEN rate IS NULL THEN 1.0 ELSE 0.0 END, {x}) AS r, count({x}) AS n FROM c" for x in _tested)})
-SELECT feature, round(r, 6) AS r, n, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t FROM m"""
+    f"SELECT '{x}' AS feature, corr(CASE WHEN rate IS NULL THEN 1.0 ELSE 0.0 END, {x}) AS r, count({x}) AS n FROM c" for x in _tested)}),
+x AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM m), y AS (SELECT *, {student_p('t', 'n - 2')} AS p FROM x)
+SELECT feature, round(r, 6) AS r, n, round(t, 6) AS t, round(p, 6) AS p_value, p < 0.05 AS significant FROM y"""
 ORACLES["t_test_missing"] = f"""{LINE}, m AS ({union(
     f"SELECT '{x}' AS feature, count({x}) FILTER (rate IS NULL) AS na, count({x}) FILTER (rate IS NOT NULL) AS nb, "
     f"avg({x}) FILTER (rate IS NULL) AS ma, avg({x}) FILTER (rate IS NOT NULL) AS mb, "
-    f"var_samp({x}) FILTER (rate IS NULL) AS va, var_samp({x}) FILTER (rate IS NOT NULL) AS vb FROM c" for x in _tested)})
+    f"var_samp({x}) FILTER (rate IS NULL) AS va, var_samp({x}) FILTER (rate IS NOT NULL) AS vb FROM c" for x in _tested)}),
+x AS (SELECT *, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)) AS t FROM m),
+y AS (SELECT *, {student_p('t', 'na + nb - 2')} AS p FROM x)
 SELECT feature, na AS n_missing, nb AS n_present, round(ma, 6) AS mean_when_missing, round(mb, 6) AS mean_when_present,
-       round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)), 6) AS t, na + nb - 2 AS dof FROM m"""
+       round(t, 6) AS t, na + nb - 2 AS dof, round(p, 6) AS p_value, p < 0.05 AS significant FROM y"""
+
+_spd = ["qty", "price", "rate", "closed", "urgent"]
+_pairs = ", ".join(f"corr({a}, {b}) AS r{i}{j}" for i, a in enumerate(_spd) for j, b in enumerate(_spd) if i < j)
+_rows = ", ".join("[" + ", ".join([*(f"r{min(i, j)}{max(i, j)}" if i != j else "1.0" for j in range(5)), *("1.0" if i == j else "0.0" for j in range(5))]) + "]" for i in range(5))
+ORACLES["vif"] = f"""{LINE.replace('WITH', 'WITH RECURSIVE', 1)}, r AS (SELECT {_pairs} FROM c), a AS (SELECT 0 AS id, [{_rows}] AS m FROM r), {eliminated('a', 'z')}
+{union(f"SELECT '{x}' AS feature, round(m[{i + 1}][{i + 6}], 6) AS vif FROM z" for i, x in enumerate(_spd))}"""
+
+
+def pattern_test(cte: str, columns) -> str:
+    """Each pattern's gap to the overall means, weighed by the inverse of the covariances of the columns it has."""
+    k = len(columns)
+    cov = ", ".join("[" + ", ".join(f"covar_samp({a}, {b})" for b in columns) + "]" for a in columns)
+    pattern = " || ".join(f"CASE WHEN {a} IS NULL THEN '1' ELSE '0' END" for a in columns)
+    seen = "list_filter(range(1, %d), lambda i: substr(pattern, CAST(i AS INTEGER), 1) = '0')" % (k + 1)
+    rows = "list_transform(seen, lambda i: list_concat(list_transform(seen, lambda j: cov[i][j] + CASE WHEN i = j THEN 1e-6 ELSE 0 END), [own[i] - mean[i]]))"
+    return f"""{cte.replace('WITH', 'WITH RECURSIVE', 1)}, o AS (SELECT [{', '.join(f'avg({a})' for a in columns)}] AS mean, [{cov}] AS cov FROM c),
+g AS (SELECT {pattern} AS pattern, count(*) AS n, [{', '.join(f'CAST(avg({a}) AS DOUBLE)' for a in columns)}] AS own FROM c GROUP BY ALL),
+h AS (SELECT *, {seen} AS seen FROM g CROSS JOIN o), a AS (SELECT pattern AS id, {rows} AS m FROM h WHERE n >= 2 AND len(seen) BETWEEN 1 AND {k - 1}),
+{eliminated('a', 'z')},
+d AS (SELECT h.n * list_sum(list_transform(seen, lambda i, q: (own[i] - mean[i]) * z.m[q][len(seen) + 1])) AS distance, len(seen) AS used FROM h JOIN z ON h.pattern = z.id),
+w AS (SELECT coalesce(sum(distance), 0.0) AS chi2, CAST(coalesce(sum(used), 0) AS BIGINT) AS dof FROM d),
+v AS (SELECT *, {chi_square_p('chi2', 'dof')} AS p FROM w)
+SELECT round(chi2, 6) AS chi2, dof, (SELECT count(*) FROM g) AS n_patterns, round(p, 6) AS p_value, p > 0.05 AS is_mcar FROM v"""
+
+
+ORACLES["mcar_test"] = pattern_test(LINE, ["qty", "price", "rate", "closed", "urgent", "outcome"])
+ORACLES["mcar_test_documents"] = pattern_test(DOC.replace("l.quality, l.toxic", "l.quality, CASE WHEN d.lang <> 'en' THEN l.toxic END AS toxic"),
+                                              ["quality", "toxic", "rid", "n_chars", "n_words"])
 ORACLES["missing_share"] = f"{LINE} SELECT count(*) - count(rate) AS missing_count, round(100.0 * (count(*) - count(rate)) / count(*), 6) AS missing_pct FROM c"
 
 ORACLES["mean_impute_contrast"] = f"""{LINE}, f AS (SELECT rate, coalesce(rate, avg(rate) OVER ()) AS filled, qty FROM c)
@@ -247,9 +305,11 @@ SELECT g.feature, point, round(x, 6) AS x, round(sum(exp(-pow((x - value) / h, 2
 FROM g JOIN t ON g.feature = t.feature GROUP BY g.feature, point, x, n, h"""
 
 ORACLES["pearson_ci"] = f"""{LINE}, m AS ({union(
-    f"SELECT '{x}' AS feature, count({x}) AS n, corr({x}, outcome) AS r FROM c" for x in ['qty', 'price', 'rate', 'closed', 'urgent'])})
+    f"SELECT '{x}' AS feature, count({x}) AS n, corr({x}, outcome) AS r FROM c" for x in ['qty', 'price', 'rate', 'closed', 'urgent'])}),
+x AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM m), y AS (SELECT *, {student_p('t', 'n - 2')} AS p FROM x)
 SELECT feature, n, round(r, 6) AS r, round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 6) AS lower,
-       round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 6) AS upper, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t FROM m"""
+       round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 6) AS upper, round(t, 6) AS t, round(p, 6) AS p_value,
+       abs(r) < 0.05 AND p > 0.05 AS remove FROM y"""
 ORACLES["iqr_outliers"] = f"""{LINE}, t AS ({tall(LINE_NUMERIC)}),
 m AS (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM t GROUP BY feature)
 SELECT t.feature, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 + 1.5 * (q3 - q1), 6) AS fence,
@@ -514,3 +574,7 @@ p AS (SELECT feature, gain FROM (SELECT *, row_number() OVER (PARTITION BY node
       UNION ALL SELECT feature, gain FROM b),
 m AS (SELECT f.feature, coalesce(avg(gain), 0) AS g FROM (VALUES ('qty'), ('closed'), ('urgent'), ('rflag_N'), ('rflag_R')) f(feature) LEFT JOIN p ON p.feature = f.feature GROUP BY f.feature)
 SELECT feature, round(g / sum(g) OVER (), 6) AS importance FROM m"""
+ORACLES["missing_logit_certificate"] = f"""{LINE} SELECT f.feature, CAST(0 AS DOUBLE) AS score, count(*) AS n,
+       count(*) FILTER (qty IS NOT NULL AND price IS NOT NULL AND closed IS NOT NULL AND urgent IS NOT NULL) AS n_used,
+       count(*) FILTER (qty IS NULL OR price IS NULL OR closed IS NULL OR urgent IS NULL) AS n_lacking
+FROM c CROSS JOIN (VALUES ('intercept'), ('qty'), ('price'), ('closed'), ('urgent')) f(feature) GROUP BY f.feature"""
