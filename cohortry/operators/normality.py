@@ -125,7 +125,12 @@ def distribution_table(df: DataFrame, columns: Sequence[str], alpha: float = 0.0
     """Moments, the test recommended for the size, verdict and scaler advice."""
     shape = moments(df, columns)
     sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    small = w_test(df, [c for c in columns if sizes[c] < limit]).select("feature", F.col("p_value").alias("w_p"))
+    return distribution_advice(shape, w_test(df, [c for c in columns if sizes[c] < limit]), alpha, limit)
+
+
+def distribution_advice(shape: DataFrame, small: DataFrame, alpha: float = 0.05, limit: int = SHAPIRO_LIMIT) -> DataFrame:
+    """T10-T12 for moments of columns and the W test of those below ``limit`` values."""
+    small = small.select("feature", F.col("p_value").alias("w_p"))
     table = X.with_k_squared(shape.join(small, "feature", "left"), "k2")
     big = F.col("n") >= limit
     normal = F.col("p_value") > alpha

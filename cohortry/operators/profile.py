@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from cohortry.functions import expressions as X
 from cohortry.functions import texts
-from cohortry.operators.ordering import ranked
+from cohortry.operators.ordering import ranked, running
 from cohortry.operators.quantiles import quantile_rows, value_counts
 from cohortry.session import stage
 
@@ -59,13 +59,17 @@ def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns that have missing values, with share, type and advice; largest share first."""
     types = {c: df.schema[c].dataType.simpleString() for c in columns}
     counted = df.agg(F.count("*").alias("total"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    rows = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("missing_count"),
-                     F.try_divide(F.col(c) * 100.0, F.col("total")).alias("missing_pct"),
-                     F.lit(types[c]).alias("data_type")) for c in columns]
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("missing_count"), F.col("total"), F.lit(types[c]).alias("data_type")) for c in columns]
+    return missing_advice(unfold(counted, rows))
+
+
+def missing_advice(table: DataFrame) -> DataFrame:
+    """A6 for ``(feature, missing_count, total, data_type)``."""
     pct = F.col("missing_pct")
     words = texts.MISSING_ADVICE
     advice = F.when(pct < 5, words[0]).when(pct < 20, words[1]).otherwise(words[2])
-    return (unfold(counted, rows).filter(F.col("missing_count") > 0)
+    share = F.try_divide(F.col("missing_count") * 100.0, F.col("total"))
+    return (table.filter(F.col("missing_count") > 0).select("feature", "missing_count", share.alias("missing_pct"), "data_type")
             .withColumn("advice", advice).orderBy(F.desc("missing_pct"), "feature"))
 
 
@@ -94,7 +98,11 @@ def cardinality(df: DataFrame, columns: Sequence[str], low_ratio: float = 0.01)
                       F.col("total").alias("total_samples")) for c in columns]
     distinct = all_value_counts(df, columns).groupBy("feature").agg(F.count("*").alias("n"))
     n = F.coalesce(F.col("n"), F.lit(0))
-    table = unfold(totals, names).join(distinct, "feature", "left").withColumn("unique_values", n)
+    return cardinality_advice(unfold(totals, names).join(distinct, "feature", "left").withColumn("unique_values", n), low_ratio)
+
+
+def cardinality_advice(table: DataFrame, low_ratio: float = 0.01) -> DataFrame:
+    """A9, A11 for ``(feature, numeric, total_samples, unique_values)``."""
     u, numeric = F.col("unique_values"), F.col("numeric")
     binary, discrete, continuous = texts.NUMERIC_TYPES
     few, medium, many = texts.TEXT_TYPES
@@ -114,14 +122,23 @@ def cardinality(df: DataFrame, columns: Sequence[str], low_ratio: float = 0.01)
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 3) -> DataFrame:
     """The most frequent values per column; equal counts in value order."""
+    return most_frequent(all_value_counts(df, columns), k)
+
+
+def most_frequent(counts: DataFrame, k: int = 3) -> DataFrame:
+    """A8 for ``(feature, value, n)``."""
     order = Window.partitionBy("feature").orderBy(F.desc("n"), "value")
-    return all_value_counts(df, columns).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+    return counts.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
 def class_balance(df: DataFrame, label: str, bands: tuple[float, float] = (3, 10)) -> DataFrame:
     """A10, M1: class counts, ratio (the positive-class weight), severity and advice; raises on an absent class."""
-    counted = df.agg(F.count_if(F.col(label) == 0).alias("n_negative"), F.count_if(F.col(label) == 1).alias("n_positive"),
-                     F.count("*").alias("n"))
+    return balance_advice(df.agg(F.count_if(F.col(label) == 0).alias("n_negative"), F.count_if(F.col(label) == 1).alias("n_positive"),
+                                 F.count("*").alias("n")), label, bands)
+
+
+def balance_advice(counted: DataFrame, label: str, bands: tuple[float, float] = (3, 10)) -> DataFrame:
+    """A10 for one row ``(n_negative, n_positive, n)``."""
     neg, pos = F.col("n_negative"), F.col("n_positive")
     checked = F.when((neg == 0) | (pos == 0), F.raise_error(F.lit(f"{label} has only one class"))).otherwise(neg / pos)
     ratio = F.col("imbalance_ratio")
@@ -144,9 +161,86 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = [F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
                      F.lit(medians[c][0.5]).cast("double").alias("median"), F.col(f"s{i}").alias("std"),
                      F.col(f"g{i}").alias("g1"), F.col(f"k{i}").alias("g2")) for i, c in enumerate(columns)]
+    return with_adjusted(unfold(df.agg(*aggs), rows))
+
+
+def with_adjusted(table: DataFrame) -> DataFrame:
+    """Adds skewness and kurtosis without bias to ``n, g1, g2``."""
     n = F.col("n").cast("double")
-    return (unfold(df.agg(*aggs), rows).withColumn("skewness", X.adjusted_skewness(n, F.col("g1")))
-            .withColumn("kurtosis", X.adjusted_kurtosis(n, F.col("g2"))))
+    return table.withColumn("skewness", X.adjusted_skewness(n, F.col("g1"))).withColumn("kurtosis", X.adjusted_kurtosis(n, F.col("g2")))
+
+
+class Counted:
+    """The values of all columns with their counts, written once; what the profiles need comes from it.
+
+    ``table``: ``feature, value`` as text, ``number`` of a numeric column, ``n``, and ``first_seen``, the least key of a text. One row for each
+    distinct value of each column, counted where the rows are read before anything moves.
+    """
+
+    def __init__(self, df: DataFrame, columns: Sequence[str], key: str):
+        self.columns, self.spark = list(columns), df.sparkSession
+        self.numeric = {c: is_numeric(df, c) for c in columns}
+        self.types = {c: df.schema[c].dataType.simpleString() for c in columns}
+        whole = {c: isinstance(df.schema[c].dataType, T.IntegralType) for c in columns}
+        entries = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("long" if whole[c] else "double" if self.numeric[c] else "string").cast("string").alias("value"),
+                            (F.col(c) if self.numeric[c] else F.lit(None)).cast("double").alias("number"),
+                            F.when(F.lit(not self.numeric[c]), F.col(key)).alias("seen")) for c in columns]
+        rows = df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+        self.table = stage(rows.groupBy("feature", "value", "number").agg(F.count("*").alias("n"), F.min("seen").alias("first_seen")), "counted")
+        found = self.table.groupBy("feature").agg(F.sum("n").alias("known"), F.count("*").alias("distinct"), F.sum(F.col("n") * F.col("number")).alias("sum"))
+        self.sizes = {r["feature"]: r.asDict() for r in found.collect()}
+        self.total = df.count()
+
+    def size(self, column: str, what: str) -> float:
+        return self.sizes.get(column, {}).get(what) or 0
+
+    def _frame(self, rows: list[tuple], schema: str) -> DataFrame:
+        return self.spark.createDataFrame(rows, schema)
+
+    def missing(self, columns: Sequence[str]) -> DataFrame:
+        rows = [(c, self.total - self.size(c, "known"), self.total, self.types[c]) for c in columns]
+        return missing_advice(self._frame(rows, "feature string, missing_count long, total long, data_type string"))
+
+    def cardinality(self, columns: Sequence[str]) -> DataFrame:
+        rows = [(c, self.numeric[c], self.total, self.size(c, "distinct")) for c in columns]
+        return cardinality_advice(self._frame(rows, "feature string, numeric boolean, total_samples long, unique_values long"))
+
+    def top_values(self, columns: Sequence[str], k: int = 3) -> DataFrame:
+        return most_frequent(self.table.filter(F.col("feature").isin(*columns)).select("feature", "value", "n"), k)
+
+    def class_balance(self, label: str) -> DataFrame:
+        of = self.table.filter(F.col("feature") == label)
+        neg, pos = (F.coalesce(F.sum(F.when(F.col("number") == v, F.col("n"))), F.lit(0)) for v in (0, 1))
+        return balance_advice(of.agg(neg.alias("n_negative"), pos.alias("n_positive"), F.lit(self.total).cast("long").alias("n")), label)
+
+    def moments(self, columns: Sequence[str]) -> DataFrame:
+        """A12, from sums of powers around the mean and the middle of running counts."""
+        known = [c for c in columns if self.size(c, "known")]
+        schema = "feature string, n long, mean double, median double, std double, g1 double, g2 double"
+        if not known:
+            return with_adjusted(self._frame([], schema))
+        values = self.table.filter(F.col("feature").isin(*known)).select("feature", F.col("number").alias("value"), "n")
+        mean = F.element_at(F.create_map(*[x for c in known for x in (F.lit(c), F.lit(self.size(c, "sum") / self.size(c, "known")))]), F.col("feature"))
+        size = F.element_at(F.create_map(*[x for c in known for x in (F.lit(c), F.lit(self.size(c, "known")).cast("long"))]), F.col("feature"))
+        upto = running(values, ["value"], {"upto": "n"}, by=["feature"]).withColumn("size", size)
+        gap = F.col("value") - mean
+
+        def at(rank: Column) -> Column:
+            return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (F.col("upto") > rank), F.col("value")))
+
+        low, high = F.floor((F.col("size") - 1) / 2), F.ceil((F.col("size") - 1) / 2)
+        sums = upto.groupBy("feature").agg(F.max("size").alias("n"), F.max(mean).alias("mean"), ((at(low) + at(high)) / 2).alias("median"),
+                                           *[F.sum(F.col("n") * F.pow(gap, F.lit(p))).alias(f"p{p}") for p in (2, 3, 4)])
+        m2, n = F.col("p2") / F.col("n"), F.col("n")
+        out = sums.select("feature", "n", "mean", "median", F.when(n > 1, F.sqrt(F.col("p2") / (n - 1))).alias("std"),
+                          F.try_divide(F.col("p3") / n, F.pow(m2, F.lit(1.5))).alias("g1"), (F.try_divide(F.col("p4") / n, m2 * m2) - 3).alias("g2"))
+        return with_adjusted(out)
+
+    def coded(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """``df`` with text columns as codes by first appearance; NULL is -1."""
+        texts_of = [c for c in columns if not self.numeric[c]]
+        codes = ranked(self.table.filter(F.col("feature").isin(*texts_of)).select("feature", "value", "first_seen"), ["first_seen"], by=["feature"], name="code")
+        return with_codes(df, texts_of, stage(codes.select("feature", F.col("value").alias("level"), (F.col("code") - 1).alias("code")), "codes"))
 
 
 def label_codes(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
@@ -160,7 +254,10 @@ def label_codes(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
 
 def factorize(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     """Replace text columns by their codes; NULL becomes -1."""
-    codes = stage(label_codes(df, columns, order), "codes")
+    return with_codes(df, columns, stage(label_codes(df, columns, order), "codes"))
+
+
+def with_codes(df: DataFrame, columns: Sequence[str], codes: DataFrame) -> DataFrame:
     for c in columns:
         lookup = codes.filter(F.col("feature") == c).select(F.col("level").alias(f"_l_{c}"), F.col("code").alias(f"_c_{c}"))
         df = (df.join(lookup, F.col(c).cast("string") == F.col(f"_l_{c}"), "left")

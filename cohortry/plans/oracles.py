@@ -578,3 +578,38 @@ ORACLES["missing_logit_certificate"] = f"""{LINE} SELECT f.feature, CAST(0 AS DO
        count(*) FILTER (qty IS NOT NULL AND price IS NOT NULL AND closed IS NOT NULL AND urgent IS NOT NULL) AS n_used,
        count(*) FILTER (qty IS NULL OR price IS NULL OR closed IS NULL OR urgent IS NULL) AS n_lacking
 FROM c CROSS JOIN (VALUES ('intercept'), ('qty'), ('price'), ('closed'), ('urgent')) f(feature) GROUP BY f.feature"""
+
+
+def finding(name: str, subject: str, metric: str, value: str, threshold: str, verdict: str, source: str) -> str:
+    return (f"SELECT {name} AS finding, {subject} AS subject, {metric} AS metric, round(CAST({value} AS DOUBLE), 6) AS value, "
+            f"CAST({threshold} AS DOUBLE) AS threshold, {verdict} AS verdict FROM ({source})")
+
+
+_pairs_of = [(a, b) for i, a in enumerate([*LINE_FEATURES, "outcome"]) for b in [*LINE_FEATURES, "outcome"][i + 1:]]
+_collinear = f"""{CODED}, m AS ({union(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM f" for a, b in _pairs_of)}) SELECT * FROM m WHERE abs(r) > 0.8"""
+ORACLES["profile_report"] = union([
+    finding("'missing values'", "feature", "'missing percent'", "missing_pct", "5", "advice", ORACLES["missing_profile"]),
+    finding("'encoding'", "feature", "'distinct values'", "unique_values", "NULL", "encoding", ORACLES["cardinality_profile"]),
+    finding("'class balance'", "'label'", "'negatives per positive'", "imbalance_ratio", "10", "severity || ': ' || recommendation", ORACLES["class_balance"]),
+    finding("'target correlation'", "feature", "'r'", "r", "NULL", "strength || ' ' || direction", ORACLES["target_corr"]),
+    finding("'collinear pair'", "a || ', ' || b", "'r'", "r", "0.8", "'monitor during importance analysis'", _collinear),
+    finding("'scaling'", "feature", "'normality p'", "p_value", "0.05", "recommendation", ORACLES["distribution_table"])
+    + f" WHERE feature IN (SELECT feature FROM ({ORACLES['cardinality_profile']}) WHERE family = 'Continuous')"])
+
+_flagged = f"WITH c AS (SELECT *, CASE WHEN rate IS NULL THEN 1 ELSE 0 END AS miss FROM ({LINE_SQL}))"
+_association = cells(_flagged, ["segment", "rflag", "ptype"], "miss") + f""", y AS (SELECT s.variable, {chi_square_p('chi2', '(nr - 1) * (nk - 1)')} AS p
+FROM s JOIN x ON s.variable = x.variable) SELECT * FROM y"""
+_said = "CASE WHEN {} THEN 'significant' ELSE 'not significant' END"
+_linked = f"(SELECT string_agg(feature, ', ' ORDER BY feature) FROM ({ORACLES['point_biserial']}) WHERE significant)"
+_mechanism = f"""CASE WHEN is_mcar THEN 'standard imputation is safe: missing completely at random'
+  WHEN {_linked} IS NOT NULL THEN 'missing at random; goes with ' || {_linked} || ': model-based or multiple imputation, keep a missing flag'
+  ELSE 'not completely at random, no linked variable: multiple imputation' END"""
+ORACLES["missingness_report"] = union([
+    finding("'segment and outcome'", "variable", "'chi-square p'", "p_value", "0.05", "CASE WHEN significant THEN 'keep BUILDING as a level of its own' "
+            "ELSE 'keep BUILDING as a level or impute it' END", ORACLES["chi_square_p_values"]) + " WHERE variable = 'segment'",
+    finding("'BUILDING against other levels'", "other_level", "'chi-square p'", "p_value", "0.05", _said.format("significant"), ORACLES["pairwise_chi_square"]),
+    finding("'missing rate'", "'rate'", "'pattern test p'", "p_value", "0.05", _mechanism, ORACLES["mcar_test"]),
+    finding("'missing rate'", "'rate'", "'missing percent'", "missing_pct", "NULL", "NULL", ORACLES["missing_share"]),
+    finding("'missing rate and numeric'", "feature", "'correlation p'", "p_value", "0.05", _said.format("significant"), ORACLES["point_biserial"]),
+    finding("'missing rate and numeric'", "feature", "'t-test p'", "p_value", "0.05", _said.format("significant"), ORACLES["t_test_missing"]),
+    finding("'missing rate and category'", "variable", "'chi-square p'", "p", "0.05", _said.format("p < 0.05"), _association)])

@@ -66,26 +66,27 @@ def missingness_findings(t: dict[str, DataFrame], target: str, group: str, base:
 def profile_tables(df: DataFrame, label: str, key: str) -> dict[str, DataFrame]:
     """All profiles of a table. The key takes part in the correlations only, and orders the text codes.
 
-    The table is read about a dozen times; stage it first when it is the result of joins.
+    The rows are read three times: once to count the values of all columns, from which all but the correlations comes, and twice for
+    sums of products. Stage the table first when it is the result of joins.
     """
     columns = [c for c in df.columns if c != key]
     inputs = [c for c in columns if c != label]
-    cards = profile.cardinality(df, inputs)
+    counted = profile.Counted(df, columns, key)
+    cards = stage(counted.cardinality(inputs), "cardinality")
     kinds = {r["feature"]: r["family"] for r in cards.select("feature", "family").collect()}
     continuous = [c for c in inputs if kinds[c] == "Continuous"]
-    texts = [c for c in columns if not profile.is_numeric(df, c)]
-    coded = stage(profile.factorize(df, texts, key), "coded") if texts else df
     numeric_key = [key] if profile.is_numeric(df, key) else []
-    matrix = profile.correlations(coded, [*numeric_key, *columns])
+    matrix = profile.correlations(counted.coded(df, columns), [*numeric_key, *columns])
+    small = [c for c in continuous if counted.size(c, "known") < normality.SHAPIRO_LIMIT]
     return {
-        "missing": profile.missing_profile(df, columns),
+        "missing": counted.missing(columns),
         "cardinality": cards,
-        "top_values": profile.top_values(df, inputs),
-        "target": profile.class_balance(df, label),
+        "top_values": counted.top_values(inputs),
+        "target": counted.class_balance(label),
         "correlation": matrix,
         "target_correlation": profile.target_correlations(matrix, label),
         "high_pairs": profile.high_pairs(matrix),
-        "distribution": normality.distribution_table(df, continuous) if continuous else None,
+        "distribution": normality.distribution_advice(counted.moments(continuous), normality.w_test(df, small)) if continuous else None,
     }
 
 

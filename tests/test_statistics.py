@@ -127,6 +127,24 @@ def test_reports(spark, line):
     assert advice[("missing values", "rate")].startswith("KNN")
 
 
+def test_counted_values_give_the_profiles(spark, line):
+    columns = ["qty", "price", "rate", "closed", "rflag", "ptype", "outcome"]
+    df = line.withColumn("ptype", F.when(F.col("qty") > 3, F.col("ptype"))).select("rid", *columns)
+    counted = profile.Counted(df, columns, "rid")
+
+    def rows(table):
+        return [tuple(r) for r in table.collect()]
+
+    assert rows(counted.missing(columns)) == rows(profile.missing_profile(df, columns))
+    assert rows(counted.cardinality(columns)) == rows(profile.cardinality(df, columns))
+    assert sorted(rows(counted.top_values(columns))) == sorted(rows(profile.top_values(df, columns)))
+    assert rows(counted.class_balance("outcome")) == rows(profile.class_balance(df, "outcome"))
+    for a, b in zip(sorted(rows(counted.moments(["qty", "price", "rate"]))), sorted(rows(profile.moments(df, ["qty", "price", "rate"]))), strict=True):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], rel=1e-9, abs=1e-9)
+    one, other = (sorted(rows(t.select("rid", "rflag", "ptype"))) for t in (counted.coded(df, columns), profile.factorize(df, ["rflag", "ptype"], "rid")))
+    assert one == other
+
+
 def test_text_of_a_scored_record(spark):
     from cohortry.plans import scoring
     df = scoring.with_bands(spark.createDataFrame([(0.452,), (0.9,)], "probability double"))
