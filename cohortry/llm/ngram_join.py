@@ -24,15 +24,16 @@ from cohortry.llm import similar
 from cohortry.llm.tables import fresh, slots_of, spread, stage
 
 
-def roots_of(job: similar.Job) -> DataFrame:
+def roots_of(job: similar.Job, items: DataFrame) -> DataFrame:
     """``(node, root)`` for all nodes with links: the components of all links between different sets."""
+    signs = items.select("node", *job.signed).dropDuplicates(["node"])
     lists = job.lists()
     verified = job.verify(job.near_pairs(lists))
     found = verified.where("similar").select("x", "y")
     near = stage(similar.components(found), "near")
     sizes = lists.select("node", "size").distinct()
     state = lists.select("node").distinct().join(near, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    crossing = _crossing(job, lists, stage(state, "state"))
+    crossing = _crossing(job, lists, stage(state.join(signs, "node"), "state"))
     open_pairs = stage(crossing.join(verified, ["x", "y"], "left_anti"), "open")
     if open_pairs.isEmpty():
         return near
@@ -51,7 +52,7 @@ def roots_of(job: similar.Job) -> DataFrame:
 
 def _crossing(job: similar.Job, lists: DataFrame, state: DataFrame) -> DataFrame:
     """Possible pairs of different components, from the lists in which more than one component stands."""
-    mixed = (lists.select("token", "node").join(state, "node").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = (lists.select("token", "node").join(state.select("node", "root"), "node").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
              .where("low != high").select("token"))
     return job.other_pairs(lists.join(mixed, "token", "left_semi"), state, lambda a, b: F.col(f"{a}root") != F.col(f"{b}root"))
 
@@ -60,7 +61,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
     """Per row: id, n_shingles, component_id, node (rows with equal sets have equal nodes)."""
     job = similar.Job(docs, similar.documents, shingle, num, den, id_col, text_col)
     items, _ = job.survey()
-    roots = roots_of(job)
+    roots = roots_of(job, items)
+    items = items.select("id", "item", "node", "size")
     full = items.where("size > 0").withColumn("slot", slots_of(F.col("id")))
     # rows with equal sets are combined by place first, so that a crowd of copies stays dealt out
     place = full.groupBy("node", "slot").agg(F.min("id").alias("low"))

@@ -12,7 +12,9 @@ An item is a document or one of its lines, its set the distinct hashes of its wo
    So a crowd of similar sets costs a few pairs per entry, and its answers (a component, or that an earlier match is known)
    hold for all that remain.
 4. ``other_pairs`` looks at all pairs of a list whose answer is still open. Lists are split into blocks by size, entries whose positions
-   lie too far apart are skipped, and pairs must meet in as many lists as the prefixes of similar sets share tokens. ``derive`` then
+   lie too far apart are skipped, and so are, in the join itself, entries whose signatures differ too much: a set's signature has the parity of its
+   tokens at each of some bits, so two sets differ in at least as many tokens as their signatures in bits. Pairs must meet in as many
+   lists as the prefixes of similar sets share tokens. ``derive`` then
    decides pairs from the overlap of a similar set where bounds are enough, and only the rest is verified.
 
 Sets for verification are read again from the texts, for the nodes that pairs name: a bitmap of fixed size (``BITMAP`` bits) says
@@ -55,6 +57,24 @@ def lines(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield row[at], at - first[at], chunk.words(lower=True), chunk.first
 
 
+#: Words of 64 bits in a signature, by kind of item: long sets need more bits to be told apart.
+SIGNED = {documents: 4, lines: 1}
+
+
+def signatures(values: np.ndarray, row: np.ndarray, n: int, words: int) -> list[np.ndarray]:
+    """The parity of each item's hashes at each bit, ``words`` columns of 64."""
+    bounds = np.searchsorted(row, np.arange(n + 1))
+    full = np.flatnonzero(np.diff(bounds))
+    place, bit = W.mix(values, 17), np.uint64(1) << (values & np.uint64(63))
+    out = []
+    for k in range(words):
+        own = np.zeros(n, np.uint64)
+        if len(full):
+            own[full] = np.bitwise_xor.reduceat(np.where(place % np.uint64(words) == k, bit, np.uint64(0)), bounds[full])
+        out.append(own.view(np.int64))
+    return out
+
+
 def digests(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Digest of each item's set, whatever its order, and its size."""
     bounds = np.searchsorted(row, np.arange(n + 1))
@@ -69,6 +89,7 @@ class Job:
     def __init__(self, docs: DataFrame, items: Items, shingle: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text"):
         self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         self.items, self.shingle, self.num, self.den = items, shingle, num, den
+        self.signed = [f"sign{k}" for k in range(SIGNED[items])]
 
     @property
     def spark(self) -> SparkSession:
@@ -77,12 +98,12 @@ class Job:
     # -- first reading ----------------------------------------------------------------------------------------------------------
 
     def survey(self) -> tuple[DataFrame, np.ndarray]:
-        """Items ``(id, item, node, size)``, and the rank of each range of hashes."""
-        items, shingle = self.items, self.shingle
+        """Items ``(id, item, node, size, sign0, ...)``, and the rank of each range of hashes."""
+        items, shingle, signed = self.items, self.shingle, self.signed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(RANGES, np.int64)
-            names = ["counts", "id", "item", "node", "size"]
+            names = ["counts", "id", "item", "node", "size", *signed]
             for batch in batches:
                 ids = batch.column(0)
                 for rows, item, hashes, first in items(batch.column(1)):
@@ -90,12 +111,12 @@ class Job:
                     counts += np.bincount((values >> np.uint64(48)).astype(np.int64), minlength=RANGES)
                     node, size = digests(values, row, len(rows))
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), bool)), ids.take(pa.array(rows)), pa.array(item),
-                                                      pa.array(node), pa.array(size)], names)
+                                                      pa.array(node), pa.array(size), *map(pa.array, signatures(values, row, len(rows), len(signed)))], names)
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), bool)), pa.array(used, pa.int64()), pa.array(np.zeros(len(used), np.int64)),
-                                              pa.array(np.zeros(len(used), np.int64)), pa.array(counts[used])], names)
+                                              pa.array(np.zeros(len(used), np.int64)), pa.array(counts[used]), *[pa.array(np.zeros(len(used), np.int64))] * len(signed)], names)
 
-        both = stage(self.rows.mapInArrow(run, "counts boolean, id long, item long, node long, size long"), "survey")
+        both = stage(self.rows.mapInArrow(run, "counts boolean, id long, item long, node long, size long" + "".join(f", {c} long" for c in signed)), "survey")
         # at most one row for each range reaches the driver
         sums = both.where("counts").groupBy("id").agg(F.sum("size").alias("n")).toPandas()
         counts = np.zeros(RANGES, np.int64)
@@ -189,7 +210,7 @@ class Job:
     def other_pairs(self, lists: DataFrame, state: DataFrame, is_open: Callable[[str, str], Column]) -> DataFrame:
         """Pairs that meet in as many lists as similar sets do, and for which ``is_open`` holds.
 
-        ``state`` has columns by ``node``; ``is_open`` gets the prefixes under which those of either entry stand."""
+        ``state`` has columns by ``node``, its signature among them; ``is_open`` gets the prefixes under which those of either entry stand."""
         more = [c for c in state.columns if c != "node"]
         entries = lists.select("token", "node", "size", "pos").join(state, "node")
         ratio = math.log(self.den / self.num)
@@ -199,7 +220,7 @@ class Job:
         large = entries.select("token", F.explode(F.sequence(band - 2, band)).alias("band"), *[F.col(c).alias(f"l_{c}") for c in ("node", "size", "pos", *more)])
         ordered = (F.col("s_size") < F.col("l_size")) | (F.col("s_size") == F.col("l_size")) & (F.col("s_node") < F.col("l_node"))
         alike = F.col("s_size") * self.den >= F.col("l_size") * self.num
-        met = large.join(small, ["token", "band"]).where(ordered & alike & self.apart() & is_open("s_", "l_"))
+        met = large.join(small, ["token", "band"]).where(ordered & alike & self.apart() & is_open("s_", "l_") & self.near_signatures())
         return self._pairs(met, "s_", "l_", 1)
 
     def apart(self) -> Column:
@@ -208,6 +229,15 @@ class Job:
         common = F.ceil((F.col("s_size") + F.col("l_size")) * self.num / (self.num + self.den))
         return (F.col("l_pos") - F.col("s_pos") <= F.col("l_size") - common) & (F.col("s_pos") - F.col("l_pos") <= F.col("s_size") - common)
 
+    def near_signatures(self) -> Column:
+        """Whether two sets may be similar by their signatures. Each bit in which these differ is a token that only one of the sets has, so
+        the sets share at most half of what their sizes exceed the number of such bits by."""
+        differ = F.lit(0)
+        for c in self.signed:
+            differ = differ + F.bit_count(F.col(f"s_{c}").bitwiseXOR(F.col(f"l_{c}")))
+        total = F.col("s_size") + F.col("l_size")
+        return (total - differ) * (self.num + self.den) >= 2 * self.num * total
+
     # -- verification ---------------------------------------------------------------------------------------------------------------
 
     def sets(self, nodes: DataFrame) -> DataFrame:
