@@ -2,11 +2,12 @@
 
 Each page is parsed once for its containers: elements that hold text, named by the generalised tag-class path from the body down
 (ids, and digits and case of classes left out). Lists, tables, quotes and figures belong to the container around them. What stands in
-an article or main element is one text, whatever containers it is in; without such an element, what stands in a child of the body is. That
-frame's score is the text of the blocks in it, less text in links, and weighed by its names. The page gives its best path a vote in
-proportion to the score's share. Spark adds the votes by host and path; a second pass takes the whole text of the frames on the
-host's winning path, or of the page's own best one if it has none on it. Of several children of the body with different paths the votes
-choose one.
+an article or main element is one text, a frame, whatever containers it is in; so is what stands in a child of the body, and what stands in
+the body itself. A frame's score is the text of the blocks in it, less text in links, and weighed by its names. A page gives each of its
+frames' paths a vote in proportion to its share of the score. Spark adds the votes by host and path. The path with most votes wins; of
+the others, those are voted out that have the same text on most of the host's pages that have them (three different pages at least), as
+strips around articles do. A second pass takes the text of all frames on paths that are not voted out: where there is an article or
+main, of these, of frames on the winning path, and of a first heading before them if they have none; else of all with some text outside links.
 
 The text of a page is a line per block (paragraph, heading, list item, cell, ...): character references decoded, white space made
 one space, trimmed, empty blocks left out. Menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles
@@ -14,11 +15,13 @@ and reader comments are left out wherever they stand, by element, role or a clas
 with-sidebar don't count, nor does a name on what holds a first heading, article or main and most of the page's text. Scripts, styles and
 text areas without an end tag go on to the end of the page, as in browsers; the tags of other embedded elements without one are passed
 over, and their text stays. Null html is empty and gives an empty text; a null url belongs to the host
-without name. Rows that repeat an id are pages of their own. An empty table gives no rows. Other columns play no part.
+without name. Rows that repeat an id are pages of their own. An empty table gives no rows. Other columns play no part. Pages of any
+size are read in one pass, or in two if a wrapper is named like what is left out; time and memory follow their length and tags.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter
@@ -55,13 +58,19 @@ sponsored subscribe subscription syndication toc toolbar tooltip topbar widget w
 MODIFIERS = frozenset("with without no not non has have hide hides hidden show shows is enable enabled disable disabled".split())
 #: Words of what readers write, which may be longer than the article.
 READERS = frozenset("captcha comment comments disqus reply replies respond".split())
+#: Attributes that tell something about an element.
+TELLING = frozenset("class id role hidden".split())
 #: Names that speak for a container.
 ARTICLE = frozenset("article main content body post entry story text blog page hentry".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>", re.S)
+#: A tag ends before the next one begins, but for what is quoted in it.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)([^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>|<[!?][^<>]*>", re.S)
 _CUT = re.compile(r"</?[a-zA-Z!?][^<]*\Z")
 _ENDS = {tag: re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I) for tag in RAW}
-_NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Every attribute in turn, so that nothing in a value passes for one.
+_ATTRIBUTE = re.compile(r"([^\s/][^\s/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+#: Different pages of a host that must have a path before it can be voted out.
+REPEATED = 3
 _WORD = re.compile(r"[a-z]+")
 _SKIPPED = re.compile(rf"<(?:{'|'.join(sorted(SKIPPED))})[\s/>]", re.I)
 #: Elements whose end closes what is open in them.
@@ -75,13 +84,13 @@ _HOLDS = {"li": {"ul", "ol", "menu"}, "p": {"div", "article", "section", "main",
 
 
 class Element:
-    """An open or closed element. ``holder``: the container its text counts for; ``frame``: the element whose text is one with it;
-    ``words``: of its class and id; ``inside``: in an article or main, by element or name; ``begin``, ``end``: numbers of its blocks."""
+    """An open or closed element. ``path``: its number in the page's paths; ``holder``: the container its text counts for; ``frame``: the
+    element whose text is one with it; ``words``: of its class and id; ``inside``: in an article or main, by element or name."""
 
-    __slots__ = ("tag", "path", "words", "inside", "out", "named", "linked", "holder", "frame", "own", "begin", "end")
+    __slots__ = ("tag", "path", "words", "inside", "out", "named", "linked", "holder", "frame", "own")
 
-    def __init__(self, tag: str, path: str, words: list[str], parent: Element | None, out: bool, linked: bool, holder: Element | None, begin: int):
-        self.tag, self.path, self.words, self.out, self.linked, self.begin, self.end = tag, path, words, out, linked, begin, -1
+    def __init__(self, tag: str, path: int, words: list[str], parent: Element | None, out: bool, linked: bool, holder: Element | None):
+        self.tag, self.path, self.words, self.out, self.linked = tag, path, words, out, linked
         #: number of the element around that is left out for its name alone
         self.named = parent.named if parent else None
         self.inside = bool(parent and parent.inside) or any(w in name for w in WHOLE for name in (tag, *words))
@@ -93,13 +102,49 @@ class Element:
         self.own = 0.0
 
 
+class Paths:
+    """The paths of a page by number: each is another one with a name after it, so that deep pages stay small."""
+
+    def __init__(self):
+        self.parent, self.name = [-1], [""]
+        self.known: dict[tuple[int, str], int] = {}
+
+    def under(self, parent: int, name: str) -> int:
+        number = self.known.get((parent, name))
+        if number is None:
+            number = self.known[parent, name] = len(self.name)
+            self.parent.append(parent)
+            self.name.append(name)
+        return number
+
+    def text(self, number: int) -> str:
+        names = []
+        while number > 0:
+            names.append(self.name[number])
+            number = self.parent[number]
+        return "/".join(reversed(names))
+
+
 @dataclass
 class Page:
-    """``named``: for elements left out for their names alone, by number: length of text in them, and whether an article stands there."""
+    """``frames``: of each block; ``titles``: whether it is in a first heading. ``named``: for elements left out for their names alone, by
+    number: length of text in them alone, whether an article begins there, and the number of the one around."""
 
     blocks: list[str]
+    frames: list[Element]
+    titles: list[bool]
     containers: list[Element]
     named: dict[int, list]
+    paths: Paths
+
+    def scores(self) -> dict[Element, float]:
+        """Every frame with text outside links, in page order, and its score."""
+        out: dict[Element, float] = {}
+        for e in self.containers:
+            if e.own > 0:
+                named = e.frame.tag in ARTICLE or not ARTICLE.isdisjoint(e.frame.words)
+                out[e.frame] = out.get(e.frame, 0.0) + e.own * (2.0 if named else 1.0)
+        return out
 
 
 def boilerplate(name: list[str]) -> bool:
@@ -107,15 +152,18 @@ def boilerplate(name: list[str]) -> bool:
     return not BOILERPLATE.isdisjoint(name) and MODIFIERS.isdisjoint(name)
 
 
-def describe(tag: str, attributes: str, parent: Element) -> tuple[str, list[str], bool, bool]:
+def describe(tag: str, attributes: str, parent: Element, paths: Paths) -> tuple[int, list[str], bool, bool]:
     """The path of an element, the words of its class and id, whether it is left out, and whether it is for its names alone."""
     words: list[str] = []
     classes: set[str] = set()
     named = False
     role = ""
     if attributes and not attributes.isspace():
-        for name, *values in _NAMES.findall(attributes):
-            value, name = "".join(values).lower(), name.lower()
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            name = name.lower()
+            if name not in TELLING:
+                continue
+            value = "".join(values).lower()
             if name == "role":
                 role = value
             elif name == "hidden":
@@ -130,7 +178,7 @@ def describe(tag: str, attributes: str, parent: Element) -> tuple[str, list[str]
     if tag in ("body", "article", "main"):  # what holds the page isn't left out for a word like page-header
         out, named = tag == "article" and "comment" in words, False
     name = ".".join([tag, *sorted(classes)])
-    return (f"{parent.path}/{name}" if parent.path else name), words, out or named, named and not out
+    return paths.under(parent.path, name), words, out or named, named and not out
 
 
 def skips(page: str) -> dict[int, int]:
@@ -173,23 +221,27 @@ def raw_end(page: str, tag: str, at: int) -> int:
 def parse(page: str) -> Page:
     """Blocks of a page in their order and its containers; what is left out is in neither.
 
-    An element that is left out for its names alone but holds the article and most of the page's text is kept."""
+    Elements that are left out for their names alone but hold an article and most of the page's text are kept."""
     ends = skips(page)
-    spared: set[int] = set()
-    while True:
-        got = _parse(page, ends, spared)
-        most = max(got.named, key=lambda n: got.named[n][0], default=None)
-        if most is None:
-            return got
-        length, holds = got.named[most]
-        if not holds or 2 * length <= sum(map(len, got.blocks)) + sum(n for n, _ in got.named.values()):
-            return got
-        spared.add(most)
+    got = _parse(page, ends, set())
+    if not got.named:
+        return got
+    # what stands in one of them stands in those around it, too; they begin earlier
+    total = {n: [length, holds] for n, (length, holds, _) in got.named.items()}
+    for n in sorted(total, reverse=True):
+        around = got.named[n][2]
+        if around is not None:
+            total[around][0] += total[n][0]
+            total[around][1] |= total[n][1]
+    whole = sum(map(len, got.blocks)) + sum(total[n][0] for n, (_, _, around) in got.named.items() if around is None)
+    spared = {n for n, (length, holds) in total.items() if holds and 2 * length > whole}
+    return _parse(page, ends, spared) if spared else got
 
 
 def _parse(page: str, ends: dict[int, int], spared: set[int]) -> Page:
-    root = Element("", "", [], None, False, False, None, 0)
-    stack, found, blocks = [root], [root], []
+    paths = Paths()
+    root = Element("", 0, [], None, False, False, None)
+    stack, found, blocks, frames, titles = [root], [root], [], [], []
     opened: Counter[str] = Counter()
     named: dict[int, list] = {}
     parts: list[str] = []
@@ -204,6 +256,8 @@ def _parse(page: str, ends: dict[int, int], spared: set[int]) -> Page:
             if text and not top.out:
                 top.holder.own += max(0, len(text) - 2 * links)
                 blocks.append(text)
+                frames.append(top.holder.frame)
+                titles.append(opened["h1"] > 0)
             elif text and top.named is not None:
                 named[top.named][0] += max(0, len(text) - 2 * links)
             parts.clear()
@@ -211,7 +265,6 @@ def _parse(page: str, ends: dict[int, int], spared: set[int]) -> Page:
 
     def close(upto: int) -> None:
         for e in stack[upto:]:
-            e.end = len(blocks)
             opened[e.tag] -= 1
         del stack[upto:]
 
@@ -254,7 +307,7 @@ def _parse(page: str, ends: dict[int, int], spared: set[int]) -> Page:
         parent = stack[-1]
         if inline:
             path, words = parent.path, []
-            out, by_name = describe(tag, m[3], parent)[2:] if m[3] else (False, False)
+            out, by_name = describe(tag, m[3], parent, paths)[2:] if m[3] else (False, False)
             if start in spared:
                 out = False
             if out and not parent.out:
@@ -271,14 +324,14 @@ def _parse(page: str, ends: dict[int, int], spared: set[int]) -> Page:
                     if stack[i].tag in holds:
                         break
                 parent = stack[-1]
-            path, words, out, by_name = describe(tag, m[3], parent)
+            path, words, out, by_name = describe(tag, m[3], parent, paths)
             if start in spared:
                 out = False
         container = not (inline or tag in _HOLDS or tag in HEADINGS or tag in PARTS)
-        element = Element(tag, path, words, parent, parent.out or out, parent.linked or tag == "a", None if container else parent.holder, len(blocks))
-        if out and not parent.out and by_name and READERS.isdisjoint(words):
-            element.named, named[start] = start, [0, False]
-        elif out and not by_name:
+        element = Element(tag, path, words, parent, parent.out or out, parent.linked or tag == "a", None if container else parent.holder)
+        if out and by_name and (not parent.out or parent.named is not None) and READERS.isdisjoint(words):
+            element.named, named[start] = start, [0, False, parent.named]
+        elif out:
             element.named = None
         if tag in ("h1", *WHOLE) and element.named is not None:
             named[element.named][1] = True
@@ -290,38 +343,49 @@ def _parse(page: str, ends: dict[int, int], spared: set[int]) -> Page:
     cut = _CUT.search(rest)
     parts.append(rest[: cut.start()] if cut else rest)
     flush()
-    close(0)
-    return Page(blocks, found, named)
+    return Page(blocks, frames, titles, found, named, paths)
 
 
 def best(page: Page) -> tuple[str, float]:
-    """Path of the best frame, and its share of all scores; of equal ones the first by path."""
-    total: dict[str, float] = {}
-    for e in page.containers:
-        if e.own > 0:
-            frame = e.frame
-            named = frame.tag in ARTICLE or not ARTICLE.isdisjoint(frame.words)
-            total[frame.path] = total.get(frame.path, 0.0) + e.own * (2.0 if named else 1.0)
-    if not total:
-        return "", 0.0
-    path = min(total, key=lambda p: (-total[p], p))
-    return path, total[path] / sum(total.values())
-
-
-def text_on(page: Page, path: str) -> str:
-    """Text of the frames of containers on ``path``, each block once, in page order."""
-    out, after = [], 0
-    for frame in dict.fromkeys(e.frame for e in page.containers if e.path == path):
-        if frame.end > after:
-            out += page.blocks[max(after, frame.begin): frame.end]
-            after = frame.end
-    return "\n".join(out)
-
-
-def extract_page(html: str, path: str | None = None) -> str:
-    page = parse(html)
-    text = text_on(page, path) if path is not None else ""
-    return text or text_on(page, best(page)[0])
+    """Path of the frames with the best score, and its share of all; of equal ones the first by path."""
+    total = shares(page)
+    path = min(total, key=lambda p: (-total[p][0], p), default="")
+    return path, total[path][0] if total else 0.0
+
+
+def shares(page: Page) -> dict[str, tuple[float, str]]:
+    """For the path of every frame with a score: its share of all scores, and its text."""
+    scores = page.scores()
+    whole = sum(scores.values())
+    paths = {frame: page.paths.text(frame.path) for frame in scores}
+    texts: dict[str, list[str]] = {}
+    for block, frame in zip(page.blocks, page.frames, strict=True):
+        if frame in paths:
+            texts.setdefault(paths[frame], []).append(block)
+    share: dict[str, float] = {}
+    for frame, score in scores.items():
+        share[paths[frame]] = share.get(paths[frame], 0.0) + score / whole
+    return {p: (x, "\n".join(texts.get(p, []))) for p, x in share.items()}
+
+
+def main_text(page: Page, winner: str | None = None, out: frozenset[str] = frozenset()) -> str:
+    """The blocks of the frames that belong to the article, in page order."""
+    paths = {frame: page.paths.text(frame.path) for frame in page.scores()}
+    kept = {frame for frame, path in paths.items() if path not in out or path == winner} or set(paths)
+    if not kept:
+        return "\n".join(page.blocks)
+    whole = {frame for frame in kept if frame.tag in WHOLE}
+    if whole:
+        kept = whole | {frame for frame in kept if paths[frame] == winner}
+    at = [i for i, frame in enumerate(page.frames) if frame in kept]
+    if whole and not any(page.titles[i] for i in at):
+        at = [i for i in range(at[0] if at else 0) if page.titles[i]] + at
+    return "\n".join(page.blocks[i] for i in at)
+
+
+def extract_page(html: str, path: str | None = None, out: frozenset[str] = frozenset()) -> str:
+    """Main text of a page; ``path`` and ``out`` are what its host's pages voted for and voted out."""
+    return main_text(parse(html), path, out)
 
 
 def with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -332,21 +396,35 @@ def with_host(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
 
 
 def host_paths(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The winning path of each host: ``(host, path, votes, pages, slots)``; ``slots`` has a bit for each place with pages of it."""
+    """What the pages of each host agree on: ``(host, path, votes, pages, out, slots)``. ``path`` has won, those of ``out`` are voted out;
+    ``slots`` has a bit for each place with pages of the host. Pages of equal html vote once for what is voted out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [best(parse(p or "")) for p in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v[0] for v in votes], pa.string()),
-                                              pa.array([v[1] for v in votes], pa.float64())], ["host", "slot", "path", "vote"])
-
-    votes = with_host(pages, id_col, url_col, html_col).select("host", "slot", "html").mapInArrow(run, "host string, slot int, path string, vote double")
-    # whole numbers, so that the order of adding does not matter
-    by_path = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("vote") * 1e6).cast("long")).alias("votes"), F.count("*").alias("pages"),
-                                                F.expr("bit_or(shiftleft(1L, slot))").alias("slots"))
-    top = F.max(F.struct("votes", "path")).alias("top")
-    won = by_path.groupBy("host").agg(top, F.sum("pages").alias("pages"), F.bit_or("slots").alias("slots"))
-    return won.select("host", "top.path", "top.votes", "pages", "slots")
+            rows = []
+            for host, slot, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page = hash64(html or "")
+                found = shares(parse(html or "")) or {"": (0.0, "")}
+                rows += [(host, slot, page, path, hash64(text), round(share * 1e6)) for path, (share, text) in found.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)],
+                                             ["host", "slot", "page", "path", "text", "vote"])
+
+    schema = "host string, slot int, page long, path string, text long, vote long"
+    votes = with_host(pages, id_col, url_col, html_col).select("host", "slot", "html").mapInArrow(run, schema)
+    slots = F.expr("bit_or(shiftleft(1L, slot))").alias("slots")
+    by_page = votes.groupBy("host", "path", "text", "page").agg(F.sum("vote").alias("votes"), F.count("*").alias("n"), slots)
+    by_text = by_page.groupBy("host", "path", "text").agg(F.sum("votes").alias("votes"), F.sum("n").alias("n"), F.count("*").alias("pages"), F.bit_or("slots").alias("slots"))
+    by_path = by_text.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("n").alias("n"), F.sum("pages").alias("pages"), F.max("pages").alias("alike"),
+                                                  F.bit_or("slots").alias("slots"))
+    repeated = (F.col("pages") >= REPEATED) & (2 * F.col("alike") > F.col("pages"))
+    won = by_path.groupBy("host").agg(F.max(F.struct("votes", "path", "n")).alias("top"), F.collect_list(F.when(repeated, F.col("path"))).alias("out"),
+                                      F.bit_or("slots").alias("slots"))
+    return won.select("host", "top.path", "top.votes", F.col("top.n").alias("pages"), F.array_sort(F.array_except("out", F.array("top.path"))).alias("out"), "slots")
+
+
+def hash64(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -354,12 +432,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract_page(p or "", path) for p, path in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            texts = [extract_page(p or "", path, frozenset(out)) for p, path, out in zip(*(batch.column(c).to_pylist() for c in (2, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()),
                                               batch.column(3), batch.column(4)], ["page_id", "url", "text", "n_chars", "host", "path"])
 
     winners = stage(host_paths(pages, id_col, url_col, html_col), "paths")
     rows = with_host(pages, id_col, url_col, html_col).join(spread(winners.drop("votes", "pages"), "slots", "slot"), ["host", "slot"])
-    out = rows.select("page_id", "url", "html", "host", "path").mapInArrow(
+    found = rows.select("page_id", "url", "html", "host", "path", "out").mapInArrow(
         run, "page_id long, url string, text string, n_chars long, host string, path string")
-    return out.withColumnRenamed("page_id", id_col).withColumnRenamed("url", url_col)
+    return found.withColumnRenamed("page_id", id_col).withColumnRenamed("url", url_col)

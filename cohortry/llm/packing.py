@@ -5,9 +5,9 @@ punctuation; else everything between white space), and each task encodes a unit
 length, only those.
 
 Packing: pieces are dealt to shards of about ``SHARD`` pieces by a hash of their place in the table. In a shard, pieces go by
-decreasing length into the fullest sequence that has room, found with a segment tree over the remaining capacities. Sequences that
-stay loose are then packed again together with those of other shards, until one shard is left, so the number of sequences does not
-depend on the number of shards by more than a few.
+decreasing length into the fullest sequence that has room, found with a segment tree over the remaining capacities. The pieces of all
+sequences that are not full are then dealt anew and packed with those of other shards, round after round, until they fit one shard or a
+round leaves as many as before. So the number of sequences does not depend on the number of shards by more than a few.
 
 Null text counts as empty: a document of its end token only. Rows that repeat an id are packed as rows of their own. An empty table
 gives no rows. Columns other than id and text play no part.
@@ -30,10 +30,10 @@ from cohortry.llm.tables import stage
 
 #: Pieces packed by one task.
 SHARD = 100_000
-#: Shards whose loose sequences are packed together, the share of a sequence that counts as full, and the most that one shard gives.
-MERGED, FULL, LOOSE = 16, 0.98, 512
-#: Units that a task remembers; beyond that it begins anew.
-REMEMBERED = 3_000_000
+#: The share of a sequence that counts as full, and the share of pieces in others beyond which another round has not helped.
+FULL, STUCK = 0.98, 0.75
+#: Units, and ids of units, that a task remembers; beyond that it begins anew.
+REMEMBERED, REMEMBERED_IDS = 3_000_000, 24_000_000
 #: Bits of a place in the table of units.
 PLACES = 22
 
@@ -117,7 +117,7 @@ class Units:
             hashes[apart] = W.mix(chunk.span(chunk.prefix(), starts[apart], ends[apart]), 1)
         units = self.places.find(hashes)
         if len(missing := np.flatnonzero(units < 0)):
-            if self.count + len(missing) > REMEMBERED:
+            if self.count + len(missing) > REMEMBERED or self.ids.size > REMEMBERED_IDS:
                 self.forget()
                 units = self.places.find(hashes)
                 missing = np.arange(len(hashes))
@@ -222,12 +222,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def loose(sequence: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Whether each piece is in one of the emptiest sequences, which are worth another round."""
-    fill = np.bincount(sequence, weights=lengths)
-    order = np.argsort(fill, kind="stable")[:LOOSE]
-    marked = np.zeros(len(fill), bool)
-    marked[order[fill[order] < FULL * capacity]] = True
-    return marked[sequence]
+    """Whether each piece is in a sequence that is not full."""
+    return (np.bincount(sequence, weights=lengths) < FULL * capacity)[sequence]
 
 
 def packer(capacity: int, number: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -245,20 +241,21 @@ def packer(capacity: int, number: int, last: bool) -> Callable[[pd.DataFrame], p
 
 def assign(made: DataFrame, capacity: int) -> DataFrame:
     """``made`` (with ``uid`` and ``length``) with ``sequence_id`` and ``offset``."""
-    open_ones = made.where(F.col("length") < capacity)
-    shards = max(1, -(-open_ones.count() // SHARD))
-    rows = open_ones.select("uid", "length").withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
+    rows = made.where(F.col("length") < capacity).select("uid", "length")
+    left, before = rows.count(), None
     schema = "uid long, length long, shard int, round int, sequence long, offset long, again boolean"
     finished, number = [], 0
     while True:
-        last = shards == 1
-
-        packed = stage(rows.groupBy("shard").applyInPandas(packer(capacity, number, last), schema), "packed")
+        shards = max(1, -(-left // SHARD))
+        # the number of a round has 4 bits
+        last = shards == 1 or number == 15 or before is not None and left > STUCK * before
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(shards)).cast("int"))
+        packed = stage(dealt.groupBy("shard").applyInPandas(packer(capacity, number, last), schema), "packed")
         finished.append(packed.where("not again"))
-        if last:
+        rows = packed.where("again").select("uid", "length")
+        left, before, number = (0 if last else rows.count()), left, number + 1
+        if not left:
             break
-        shards, number = -(-shards // MERGED), number + 1
-        rows = packed.where("again").select("uid", "length", (F.col("shard") % shards).alias("shard"))
     placed = finished[0]
     for more in finished[1:]:
         placed = placed.unionByName(more)

@@ -29,9 +29,7 @@ from cohortry.llm import words as W
 
 OFFSET = 10.0
 #: Edges of lattices that a task remembers, and bits of a place in its table of words.
-REMEMBERED, PLACES = 12_000_000, 21
-#: Edges with a lesser share of their end's weight are left out of the draws.
-LEAST = 1e-6
+REMEMBERED, PLACES = 8_000_000, 21
 SPACE = "▁".encode()
 
 
@@ -90,7 +88,7 @@ class Lattices:
     def forget(self) -> None:
         self.words = W.Places(PLACES)
         self.ends = 1
-        self.edge_at, self.share, self.step, self.piece = (W.Growing(t) for t in (np.int32, np.float32, np.uint8, np.int32))
+        self.edge_at, self.share, self.step, self.piece = (W.Growing(t) for t in (np.int32, np.float64, np.uint8, np.int32))
         self.edge_at.append(np.zeros(1, np.int32))
 
     def learn(self, keys: np.ndarray, texts: list[bytes]) -> np.ndarray:
@@ -153,20 +151,16 @@ class Lattices:
             w = word[e[lo:hi] - 1]
             mass[lo:hi] = total[s[lo:hi] + w] * weights[lo:hi]
             np.add.at(total, e[lo:hi] + w, mass[lo:hi])
-            if d % 16 == 15:  # all that later places draw on, scaled by the same number
-                recent = e[lo:hi] + w
-                scale = np.ones(len(texts))
-                scale[w] = np.where(total[recent] > 0, 1 / np.maximum(total[recent], 1e-300), 1.0)
-                for back in range(p.longest + 1):
-                    here = begin + d + 1 - back
-                    fit = (here >= begin) & (here <= begin + sizes)
-                    total[here[fit] + np.flatnonzero(fit)] *= scale[fit]
+            if d % 16 == 15:  # all that later places of longer words draw on, scaled by the same number
+                longer = np.flatnonzero(sizes > d + 1)
+                now = total[begin[longer] + d + 1 + longer]
+                longer, now = longer[now > 0], now[now > 0]
+                for back in range(min(p.longest, d + 1) + 1):
+                    total[begin[longer] + d + 1 - back + longer] /= now
         # edges in order of their end, words after another, the heaviest first
         order = np.lexsort((s, -mass, e))
         s, e, ids, mass = s[order], e[order], ids[order], mass[order]
         end = e + word[e - 1]
-        heavy = mass >= LEAST * np.bincount(end, weights=mass, minlength=len(total))[end]
-        s, e, ids, mass, end = s[heavy], e[heavy], ids[heavy], mass[heavy], end[heavy]
         first_of = np.searchsorted(end, np.arange(len(total) + 1))
         share = _within(mass, first_of, end)
         self.edge_at.append(first_of[:-1] + self.share.size)

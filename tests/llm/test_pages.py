@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import time
 
 import pytest
 
@@ -127,6 +128,50 @@ def test_whole_article(html, text):
     assert extraction.extract_page(html, extraction.best(extraction.parse(html))[0]) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<body><h1>Title</h1><p>lead</p><div class=content><p>the text of it</p></div></body>", "Title\nlead\nthe text of it"),
+    ("<body><div class=lead><p>lead</p></div><div class=rest><p>the rest of it</p></div></body>", "lead\nthe rest of it"),
+    ("<body><section class=a><p>one</p></section><section class=b><p>two and more</p></section></body>", "one\ntwo and more"),
+    ("<body><article class=a><p>one</p></article><div><p>between</p></div><article class=b><p>two and more</p></article></body>", "one\ntwo and more"),
+    ("<body><div><div class=hero><h1>T</h1></div><article><p>the text</p></article></div></body>", "T\nthe text"),
+    ("<body><div class=hero><h1>Site</h1></div><article><h1>T</h1><p>the text</p></article></body>", "T\nthe text"),
+    ("<body><div><a href=x>only a link</a></div><div class=rest><p>the text</p></div></body>", "the text")])
+def test_all_parts_of_the_article(html, text):
+    assert extraction.extract_page(html) == text
+
+
+@pytest.mark.parametrize("attributes", ['title="the hidden gem"', 'data-note="a hidden b"', "hidden-x=1", 'aria-label="id hidden"', 'data-k="x class=ad"', "title='class=\"ad\"'",
+                                        'alt="a > b" lang=en', "data-hidden", 'x = "1" y', "/", '="hidden"'])
+def test_values_are_no_attributes(attributes):
+    assert extraction.extract_page(f"<body><article><p>before</p><p {attributes}>in</p><p>after</p></article></body>") == "before\nin\nafter"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "class=ad", "id='sidebar'", 'title="x" class="box ad"', "role=navigation", 'x="1"hidden', "HIDDEN=''", 'class = "ad"'])
+def test_attributes_that_leave_out(attributes):
+    assert extraction.extract_page(f"<body><article><p>before</p><div {attributes}>in</div><p>after</p></article></body>") == "before\nafter"
+
+
+@pytest.mark.parametrize("html", ["<a " * 300_000, '<a "' * 250_000, "<a title='" * 100_000, '<p x="">' * 100_000, "<div class=sidebar>" * 50_000 + "<h1>T</h1>text", "<div>" * 200_000 + "deep",
+                                  "<div class='a b'>" * 60_000 + "deep", "<!--" * 200_000, "<!-- -->" * 100_000, "</p>" * 250_000, "<p>x" * 200_000, "&amp" * 200_000, "<script>" * 100_000,
+                                  "<ul><li>" * 100_000, "<svg>" * 200_000, "<table><tr><td>" * 60_000])
+def test_a_million_hostile_characters(html):
+    begin = time.process_time()
+    extraction.extract_page(html)
+    assert time.process_time() - begin < 10
+
+
+def test_strips_around_articles_are_voted_out(spark):
+    """What most pages of a host repeat isn't the article; copies of one page vote once."""
+    def page(k, lead):
+        return f"<body><div class=strip><p>The daily paper of the town</p></div><div class=lead><p>{lead}</p></div><div class=rest><p>{f'story {k} goes on ' * 9}</p></div></body>"
+
+    rows = [(i, "http://h/", page(i, f"lead {i}")) for i in range(8)] + [(i, "http://copies/", page(0, "the lead")) for i in range(20, 30)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in extraction.extract(table).collect()}
+    assert all(got[i] == f"lead {i}\n" + (f"story {i} goes on " * 9).strip() for i in range(8))
+    assert all(got[i].split("\n")[1] == "the lead" for i in range(20, 30))
+
+
 @pytest.mark.parametrize("open_tag", ["<svg class=i />", "<svg/>", "<math/>", "<object data=x />", "<button>", "<select>", "<canvas id=c>", "<iframe src=x />", "<video>",
                                       "<div><button></div>", "<div><select><option></div>", "<!-- </svg> --><svg>"])
 @pytest.mark.parametrize("later", ["", "<svg><text>no</text></svg>", "<button><b>no</b></button>", "<select><option>no</select><canvas>no</canvas>"])
@@ -159,10 +204,11 @@ def test_host_decides(spark):
     def page(article, side):
         return f"<body><div class='text-{len(article)}'><p>{article}</p></div><div class='extra'><p>{side}</p></div></body>"
 
-    rows = [(i, "http://h.example/a", page("the article goes on " * 20, "short")) for i in range(6)]
+    rows = [(i, "http://h.example/a", page(f"the article goes on {i} " * 20, "short")) for i in range(6)]
     rows += [(6, "http://H.example:80/b", page("brief", "a long sidebar " * 30)), (7, "http://other.example/", page("brief", "a long sidebar " * 30)), (8, None, None)]
     table = spark.createDataFrame([(*r, "h", "p") for r in rows], "page_id long, url string, html string, host string, path string")
     got = {r.page_id: r.text for r in extraction.extract(table).collect()}
-    assert got[6] == "brief" and got[7].startswith("a long sidebar") and got[8] == "" and got[0].startswith("the article")
+    assert got[6] == "brief" and got[7].startswith("brief\na long sidebar") and got[8] == "" and got[0].startswith("the article")
     won = {r.host: (r.path, r.pages) for r in extraction.host_paths(table).collect()}
     assert won["h.example"] == ("body/div.text", 7)
+    assert {r.host: r.out for r in extraction.host_paths(table).collect()} == {"h.example": ["body/div.extra"], "other.example": [], "": []}
