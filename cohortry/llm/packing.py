@@ -6,8 +6,8 @@ length, only those.
 
 Packing: pieces are dealt to shards of about ``SHARD`` pieces by a hash of their place in the table. In a shard, pieces go by
 decreasing length into the fullest sequence that has room, found with a segment tree over the remaining capacities. The pieces of all
-sequences that are not full are then dealt anew and packed with those of other shards, round after round, in larger shards where a round
-has hardly helped, until they fit one shard or shards are ``LARGER`` times as large. So the number of sequences does not depend on the number of shards by more than a few.
+sequences that are not full are then dealt anew and packed with those of other shards, in shards ``LARGER`` times as large, round after
+round until they fit one shard or a round has hardly helped. So the number of sequences does not depend on the number of shards by more than a few.
 
 Null text counts as empty: a document of its end token only. Rows that repeat an id are packed as rows of their own. An empty table
 gives no rows. Columns other than id and text play no part.
@@ -31,8 +31,8 @@ from cohortry.llm.tables import stage
 #: Pieces packed by one task.
 SHARD = 100_000
 #: The share of a sequence that counts as full, the share of pieces in others beyond which a round has hardly helped, and how many times
-#: larger shards may get in rounds after such.
-FULL, STUCK, LARGER = 0.98, 0.75, 16
+#: larger the shards of later rounds are.
+FULL, STUCK, LARGER = 0.98, 0.9, 16
 #: Units, and ids of units, that a task remembers; beyond that it begins anew.
 REMEMBERED, REMEMBERED_IDS = 3_000_000, 24_000_000
 #: Bits of a place in the table of units.
@@ -245,13 +245,11 @@ def assign(made: DataFrame, capacity: int) -> DataFrame:
     rows = made.where(F.col("length") < capacity).select("uid", "length")
     left, before = rows.count(), None
     schema = "uid long, length long, shard int, round int, sequence long, offset long, again boolean"
-    finished, number, size = [], 0, SHARD
+    finished, number = [], 0
     while True:
-        if before is not None and left > STUCK * before:
-            size *= 2
-        shards = max(1, -(-left // size))
+        shards = max(1, -(-left // (LARGER * SHARD if number else SHARD)))
         # the number of a round has 4 bits
-        last = shards == 1 or number == 15 or size >= LARGER * SHARD
+        last = shards == 1 or number == 15 or number > 1 and left > STUCK * before
         dealt = rows.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(shards)).cast("int"))
         packed = stage(dealt.groupBy("shard").applyInPandas(packer(capacity, number, last), schema), "packed")
         finished.append(packed.where("not again"))
