@@ -250,7 +250,7 @@ def assign(made: DataFrame, capacity: int) -> DataFrame:
         shards = max(1, -(-left // (LARGER * SHARD if number else SHARD)))
         # the number of a round has 4 bits
         last = shards == 1 or number == 15 or number > 1 and left > STUCK * before
-        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(shards)).cast("int"))
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("uid", *[F.lit(number)] * (number > 0)), F.lit(shards)).cast("int"))
         packed = stage(dealt.groupBy("shard").applyInPandas(packer(capacity, number, last), schema), "packed")
         finished.append(packed.where("not again"))
         rows = packed.where("again").select("uid", "length")
