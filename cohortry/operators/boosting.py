@@ -3,7 +3,7 @@
 The training table is binned once and staged as a short byte string per row, a byte per numeric feature and one per category. A fit whose
 rows fit one block grows its trees in one task; many of them, as in a search, are as many tasks. Beyond that every tree level is one job for
 all fits: tasks add up gradients per (fit, node, byte) over their blocks, Spark sums those and chooses the split of each node where the
-sums are, and one row per node comes to the driver. Margins stay beside the rows in blocks that Spark holds, and are written to the
+sums are, and one row per node comes to the driver; while the sums of all tasks are a few megabytes, the driver adds them itself. Margins stay beside the rows in blocks that Spark holds, and are written to the
 shared folder every ``WRITE_EVERY`` trees, so that a lost executor costs a few trees of work. Both ways give the same trees.
 
 Blocks are kept as an RDD: they are numpy arrays that change from tree to tree, which no column expression can hold.
@@ -33,6 +33,8 @@ __all__ = ["BoostParams", "BoostedModel", "BinnedTable", "Node", "bin_table", "f
 TREE_COLUMNS = "tree int, node int, feature string, cut double, bin int, value double, gain double, cover double"
 #: Rows and bytes of a block. A table of one block is what a single task may hold.
 BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 1 << 25
+#: Sums of all tasks of a level that may come to the driver.
+DRIVER_BYTES = 1 << 24
 #: Trees after which margins are written.
 WRITE_EVERY = 25
 
@@ -283,6 +285,18 @@ def _with(kernel, name: str, what):
     return run
 
 
+def _best_splits(state: RDD, kernel, tasks: Tasks, t: int, now: dict, parts: int, keys: int) -> Iterator[tuple]:
+    """``(fit, node, split)`` of every open node. The sums of all tasks are added on the driver if they take ``DRIVER_BYTES`` at most, which
+    saves an exchange a level, else where Spark brings them together."""
+    partial = state.mapPartitions(_with(kernel, "partial", (t, now)))
+    if parts * keys * tasks.layout.total * 16 > DRIVER_BYTES:
+        return iter(partial.reduceByKey(_add, min(parts, keys)).mapPartitions(_with(kernel, "best", now)).collect())
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for key, sums in partial.collect():
+        total[key] = total[key] + sums if key in total else sums
+    return tasks.best(now, iter(total.items()))
+
+
 def _in_jobs(spark: SparkSession, table: BinnedTable, rows: DataFrame, count: int, fits: Sequence[BoostParams]) -> list[list[dict[int, Node]]]:
     """The trees of several fits on the same rows, a job for each level of all of them."""
     layout = table.layout
@@ -291,6 +305,7 @@ def _in_jobs(spark: SparkSession, table: BinnedTable, rows: DataFrame, count: in
 
     # the arithmetic goes to the tasks once, not with every job
     kernel = spark.sparkContext.broadcast(cloudpickle.dumps((Tasks, layout, list(fits))))
+    tasks = Tasks(layout, list(fits))
 
     state: RDD = packed.rdd.map(_with(kernel, "begin", None)).persist()
     draws = [Draws(layout, p) for p in fits]
@@ -309,9 +324,8 @@ def _in_jobs(spark: SparkSession, table: BinnedTable, rows: DataFrame, count: in
         growing = {i: Tree(layout, p, draws[i].next()) for i, p in enumerate(fits) if t < p.n_trees}
         while now := {i: tree.state() for i, tree in growing.items() if len(tree.open)}:
             keys = sum(len(one["open"]) for one in now.values())
-            summed = state.mapPartitions(_with(kernel, "partial", (t, now))).reduceByKey(_add, min(parts, keys))
             found: dict[int, list] = {i: [] for i in now}
-            for i, node, split in summed.mapPartitions(_with(kernel, "best", now)).collect():
+            for i, node, split in _best_splits(state, kernel, tasks, t, now, parts, keys):
                 found[i].append((node, split))
             for i, own in found.items():
                 own.sort(key=lambda x: x[0])

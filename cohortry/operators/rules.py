@@ -206,6 +206,15 @@ def drop_key(df: DataFrame, key: str, drop: bool = True) -> DataFrame:
     return out
 
 
+def verify_shape(before: DataFrame, after: DataFrame, dropped: Sequence[str] = ()) -> DataFrame:
+    """``after`` has the rows of ``before``, and its columns but for the dropped ones; counts both."""
+    want = [c for c in before.columns if c not in dropped]
+    assert after.columns == want, f"columns changed: {sorted(set(want) ^ set(after.columns))}"
+    n, m = before.count(), after.count()
+    assert n == m, f"{n} rows became {m}"
+    return after
+
+
 def merge_rare(df: DataFrame, column: str = "gender", level: str = "Other", target: str = "Female",
                max_count: int = 2) -> DataFrame:
     """Move ``level`` into ``target`` when it occurs at most ``max_count`` times."""

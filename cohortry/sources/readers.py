@@ -52,9 +52,13 @@ def read_csv(spark: SparkSession, path: str, tokens: Sequence[str] = MISSING_TOK
 
 
 def load_patients(spark: SparkSession, path: str, validate: bool = True, drop_id: bool = True,
-                  fields: Sequence[Field] = rules.PATIENT_FIELDS, key: str = "id") -> DataFrame:
-    """Read, merge the rare gender level, validate and coerce; ``drop_id`` leaves the key out."""
-    df = rules.merge_rare(read_csv(spark, path)) if any(f.name == "gender" for f in fields) else read_csv(spark, path)
+                  fields: Sequence[Field] = rules.PATIENT_FIELDS, key: str = "id", check_shape: bool = False) -> DataFrame:
+    """Read, merge the rare gender level, validate and coerce; ``drop_id`` leaves the key out. ``check_shape`` counts the rows read and
+    given back, which must be the same."""
+    raw = read_csv(spark, path)
+    if check_shape:
+        return rules.verify_shape(raw, load_patients(spark, path, validate, drop_id, fields, key), [key] if drop_id else [])
+    df = rules.merge_rare(raw) if any(f.name == "gender" for f in fields) else raw
     if key in df.columns:
         df = df.withColumn(key, F.col(key).try_cast("long"))
     df = rules.drop_key(df, key, drop_id)

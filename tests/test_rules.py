@@ -149,3 +149,14 @@ def test_verify_complete(spark):
 def test_one_class_raises(spark):
     with pytest.raises(Exception, match="only one class"):
         profile.class_balance(spark.createDataFrame([(0,), (0,)], "y int"), "y").collect()
+
+
+def test_shape_after_loading(spark, tmp_path):
+    df = readers.load_patients(spark, write(tmp_path, GOOD), check_shape=True)
+    assert (df.count(), len(df.columns)) == (5, 11)
+    raw = readers.read_csv(spark, write(tmp_path, GOOD))
+    assert rules.verify_shape(raw, raw.drop("id"), ["id"]).count() == 5
+    with pytest.raises(AssertionError, match="5 rows became 2"):
+        rules.verify_shape(raw, raw.limit(2))
+    with pytest.raises(AssertionError, match="columns changed"):
+        rules.verify_shape(raw, raw.drop("age"))
