@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.session import shared_dir, stage
+from cohortry.session import stage
 
-__all__ = ["read", "stage", "shared_dir", "slots_of", "SLOTS", "spread", "fresh"]
+__all__ = ["read", "stage", "slots_of", "SLOTS", "spread", "fresh"]
 
 #: A group's rows are dealt to so many places at most before they are combined.
 SLOTS = 16

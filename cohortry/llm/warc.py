@@ -22,10 +22,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.tables import SLOTS, shared_dir, slots_of, spread, stage
+from cohortry.llm.tables import SLOTS, slots_of, spread, stage
+from cohortry.session import folder as staged_folder
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,11 +38,18 @@ def base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and host that Spark takes it to have, so that tasks write where Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", uri)
+
+
 def file_system(uri: str) -> tuple:
-    """File system and path of a folder or file; a name without scheme is local."""
+    """File system and path of a qualified folder or file."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
 
 
 def head(fields: dict[str, str]) -> bytes:
@@ -86,8 +94,9 @@ def plan(pages: DataFrame, least: int, id_col: str, url_col: str, html_col: str)
 
 def write(pages: DataFrame, folder: str | None = None, least: int = 0, date: str = "2000-01-01T00:00:00Z", id_col: str = "page_id",
           url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write archives into ``folder`` (the shared one by default); the manifest ``(path, records, bytes)``."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    """Write archives into ``folder``; the manifest ``(path, records, bytes)``. By default a folder of the shared one is used, and deleted
+    with the staged tables. It must lie on a file system that pyarrow knows: local, hdfs, s3, gs or abfs."""
+    folder = qualified(pages.sparkSession, folder or staged_folder(pages.sparkSession, "warc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = file_system(folder)

@@ -75,6 +75,23 @@ def test_damage_shows(pages):
     assert len(records) == 2 and wrong.sha1 != wrong.fields["warc-payload-digest"].removeprefix("sha1:")
 
 
+def test_archives_lie_where_spark_reads(spark, pages):
+    from cohortry import session
+
+    assert warc.qualified(spark, "/shared/x") == "file:///shared/x" and warc.qualified(spark, "file:/shared/x") == "file:///shared/x"
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.defaultFS", "viewfs://store/")
+    try:
+        spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./shared", "file:///tmp")
+        assert warc.qualified(spark, "/shared/x") == "viewfs://store/shared/x"
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().set("fs.defaultFS", "file:///")
+    with session.scratch(spark):
+        path = warc.write(pages).first().path
+        files, name = file_system(path)
+        assert path.startswith("file:///") and files.get_file_info(name).is_file
+    assert not files.get_file_info(name).is_file
+
+
 def test_no_pages(pages):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
     assert extraction.extract(pages.limit(0)).count() == 0
