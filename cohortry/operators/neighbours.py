@@ -1,8 +1,9 @@
 """Exact k nearest donors and distance-weighted imputation (F5, D5, F10) from an index of boxes, without pairing all rows.
 
 The index: donors with equal coordinates are cut to the first ``k`` by key (no other can be among the k nearest), and the rest is sorted
-along a curve that keeps near places together. Runs of ``BLOCK_DONORS`` donors are blocks with the box they lie in; successive blocks make
-``top`` ranges, each a folder of the written index, never more than ``MOST_TOPS``. The boxes of the tops go to the driver, those of the
+along a curve that keeps near places together. Runs of ``CUT`` blocks' donors are cut at medians of their widest coordinate, again and
+again, to blocks of at most ``BLOCK_DONORS`` with the box they lie in; successive blocks make ``top`` ranges, each a folder of the written
+index, never more than ``MOST_TOPS``. The boxes of the tops go to the driver, those of the
 blocks stay in a table with a row per top.
 
 A search, for receivers of different coordinates:
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cohortry.session import discard, released, stage
 
-BLOCK_DONORS = 2048
+BLOCK_DONORS, CUT = 2048, 64
 #: Donors of a top, and the most tops there are; beyond ``MOST_TOPS`` times that many donors tops have more blocks.
 TOP_DONORS, MOST_TOPS = 1 << 18, 4096
 #: Receivers compared with a block at once, and how many may come together before they are dealt to copies of the block.
@@ -63,6 +64,22 @@ def box_distances(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> tupl
     return near, far
 
 
+def median_cuts(points: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers in groups of at most ``size``, cut at the median of the widest coordinate until they are small enough."""
+    out, todo = [], [np.arange(len(points))]
+    while todo:
+        rows = todo.pop()
+        blocks = -(-len(rows) // size)
+        if blocks <= 1:
+            out.append(rows)
+            continue
+        widest = int(np.ptp(points[rows], axis=0).argmax())
+        rows = rows[np.argsort(points[rows, widest], kind="stable")]
+        at = blocks // 2 * size
+        todo += [rows[at:], rows[:at]]
+    return out
+
+
 def count_bound(far: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     """For each point the least farthest distance within which boxes hold k donors; infinite if all hold fewer."""
     order = np.argsort(far, axis=1)
@@ -129,19 +146,18 @@ def build(donors: DataFrame, dims: Sequence[str], key: str, value: str, k: int =
         held, sub = None, 0
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            whole = len(held) - len(held) % size
-            if whole:
-                yield blocks_of(held.iloc[:whole], sub)
-                sub, held = sub + whole // size, held.iloc[whole:]
+            while len(held) >= CUT * size:
+                yield blocks_of(held.iloc[: CUT * size], sub)
+                sub, held = sub + CUT, held.iloc[CUT * size:]
         if held is not None and len(held):
             yield blocks_of(held, sub)
 
     def blocks_of(rows: pd.DataFrame, sub: int) -> pd.DataFrame:
         out = []
-        for start in range(0, len(rows), size):
-            part = rows.iloc[start: start + size].sort_values(key)
+        for n, of in enumerate(median_cuts(rows[dims].to_numpy(float), size)):
+            part = rows.iloc[of].sort_values(key)
             x = [part[c].to_numpy(float) for c in dims]
-            out.append((int(part["top"].iloc[0]), sub + start // size, len(part), [float(v.min()) for v in x], [float(v.max()) for v in x],
+            out.append((int(part["top"].iloc[0]), sub + n, len(part), [float(v.min()) for v in x], [float(v.max()) for v in x],
                         part[key].tolist(), part[value].to_numpy(float), *x))
         return pd.DataFrame(out, columns=["top", "sub", "n", "low", "high", "dk", "dv", *[f"d{i}" for i in range(d)]])
 
