@@ -157,15 +157,17 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of Platt scaling by bounded Newton steps, with smoothed targets and the slope drawn to 1."""
-    up, down = y.sum(), len(y) - y.sum()
+def calibrate(z: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and shift of Platt scaling by bounded Newton steps, with smoothed targets and the slope drawn to 1; ``n``: how many rows each
+    entry stands for."""
+    n = np.ones(len(y)) if n is None else n
+    up, down = (y * n).sum(), ((1 - y) * n).sum()
     target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
     a, b = 1.0, 0.0
     for _ in range(200):
         p = logistic(a * z + b)
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - target) * z).sum() + (a - 1), (p - target).sum()])
+        w, off = n * np.maximum(p * (1 - p), 1e-9), n * (p - target)
+        g = np.array([(off * z).sum() + (a - 1), off.sum()])
         h = np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
         step = np.clip(np.linalg.solve(h, g), -0.5, 0.5)
         a, b = a - step[0], b - step[1]

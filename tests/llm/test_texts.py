@@ -110,6 +110,30 @@ def test_filters_carry_the_toxicity_score(spark):
     assert quality(6) <= quality(0) + 1e-6
 
 
+def test_toxicity_is_learned_from_every_labelled_row(spark, monkeypatch):
+    """A word that only stands in the rows with the highest hashes of 1,800 is learned, in one shard or in several."""
+    ids = spark.range(12_000).where(~toxicity.held_out(F.col("id"))).orderBy(F.xxhash64("id")).limit(5_200)
+    ids = [r.id for r in ids.collect()]
+    toxic = ids[:: 3][:1800]
+    late, marked = set(toxic[1550:]), set(toxic)
+    texts = {i: f"some plain words {'vilest' if i in late else 'nasty' if i in marked else 'kindly'} said {'abcdefg'[i % 7] * 5}" for i in ids}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()] + [(-1, "some plain words vilest said", "en"), (-2, "some plain words said", "en")],
+                                 "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i in marked)) for i in ids], "doc_id long, toxic int")
+    for size in (toxicity.SHARD * 2, 1000):
+        monkeypatch.setattr(toxicity, "SHARD", size)
+        model = toxicity.fit(docs, labels, epochs=3)
+        score = {r.doc_id: r.score for r in toxicity.assess(docs.where("doc_id < 0"), model).collect()}
+        assert score[-1] > 0.9
+
+
+def test_threshold_and_calibration_of_counted_rows():
+    rng = np.random.default_rng(3)
+    z, y, n = rng.normal(size=200).round(1), rng.integers(0, 2, 200), rng.integers(1, 9, 200)
+    assert toxicity.best_threshold(z, y, n) == pytest.approx(toxicity.best_threshold(np.repeat(z, n), np.repeat(y, n)))
+    assert quality.calibrate(z, y, n) == pytest.approx(quality.calibrate(np.repeat(z, n), np.repeat(y, n)))
+
+
 def test_drop_toxic_keeps_columns(spark):
     table = odd_table(spark, "score string, toxic string")
     model = toxicity.fit(table, spark.createDataFrame([], "doc_id long, toxic int"))
