@@ -38,13 +38,13 @@ def removals(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, i
     first = stage(worded.groupBy("node").agg(F.min(F.struct("id", "item")).alias("first"), *[F.min(c).alias(c) for c in job.signed]), "first")
     lists = job.lists()
     # sets of lines are short: those of all that stand in lists are read once for both rounds
-    sets = job.sets(lists.select("node"))
+    listed = stage(lists.select("node").distinct().join(first, "node"), "listed")
+    sets = job.sets(listed.select("first.id", "first.item"), ("id", "item"))
     verified = job.verify(job.near_pairs(lists), sets)
     late = stage(matched(verified, first), "late")
     # what is still open: entries without an earlier match so far, against all earlier entries of their lists
     waiting = lists.join(late, "node", "left_anti").select("token").distinct()
-    state = (lists.select("node").distinct().join(first, "node").join(late.withColumn("late", F.lit(True)), "node", "left")
-             .select("node", "first", *job.signed, F.coalesce("late", F.lit(False)).alias("late")))
+    state = listed.join(late.withColumn("late", F.lit(True)), "node", "left").select("node", "first", *job.signed, F.coalesce("late", F.lit(False)).alias("late"))
 
     def is_open(a: str, b: str):
         return F.when(F.col(f"{a}first") < F.col(f"{b}first"), ~F.col(f"{b}late")).otherwise(~F.col(f"{a}late"))

@@ -13,9 +13,9 @@ An item is a document or one of its lines, its set the distinct hashes of its wo
    hold for all that remain.
 4. ``other_pairs`` looks at all pairs of a list whose answer is still open. Lists are split into blocks by size, entries whose positions
    lie too far apart are skipped, and so are, in the join itself, entries whose signatures differ too much: a set's signature has the parity of its
-   tokens at each of some bits, so two sets differ in at least as many tokens as their signatures in bits. Pairs must meet in as many
-   lists as the prefixes of similar sets share tokens. ``derive`` then
-   decides pairs from the overlap of a similar set where bounds are enough, and only the rest is verified.
+   tokens at each of some bits, so two sets differ in at least as many tokens as their signatures in bits. The first token that similar
+   sets share stands early enough in both to leave room for the others, so a pair that meets only further back is no row. For documents,
+   ``next_pairs`` first joins components by a few more pairs per entry. ``derive`` then decides pairs from the overlap of a similar set where bounds are enough, and only the rest is verified.
 
 Sets for verification are read again from the texts, for the nodes that pairs name: a bitmap of fixed size (``BITMAP`` bits) says
 which; more nodes than it can tell apart make more sets travel, and change no result.
@@ -36,25 +36,37 @@ from cohortry.llm.tables import stage
 
 #: Ranges of hashes that are counted, the expected entries of a list above which it is dealt to places, and bits of the bitmap.
 RANGES, CROWDED, BITMAP = 1 << 16, 20_000, 1 << 26
+#: What the low bits of an item's id and number are multiplied by for its bit in the bitmap.
+_LOW, _PLACE = (1 << 31) - 1, (1_000_003, 40_503_001)
 
+#: Which of some items are looked at, by their row and number.
+Wanted = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: From a text column to, for some rows at a time: their numbers, item numbers, words' hashes, and where each item's words begin.
-Items = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+Items = Callable[[pa.Array, Wanted | None], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 
 
-def documents(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def documents(column: pa.Array, wanted: Wanted | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Each text is an item, number 0."""
+    at = np.arange(len(column))
+    if wanted:
+        at = at[wanted(at, np.zeros(len(at), np.int64))]
+        column = column.take(pa.array(at))
     for chunk in W.chunks(column):
-        rows = np.arange(chunk.rows.start, chunk.rows.stop)
-        yield rows, np.zeros(len(rows), np.int64), chunk.words(lower=True), chunk.first
+        yield at[chunk.rows.start: chunk.rows.stop], np.zeros(len(chunk.rows), np.int64), chunk.words(lower=True), chunk.first
 
 
-def lines(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Each line of each text is an item, numbered in its text from 0."""
-    texts, row = W.lines(column)
-    first = np.searchsorted(row, row)
-    for chunk in W.chunks(texts):
-        at = np.arange(chunk.rows.start, chunk.rows.stop)
-        yield row[at], at - first[at], chunk.words(lower=True), chunk.first
+def lines(column: pa.Array, wanted: Wanted | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each line of each text is an item, numbered in its text from 0. Texts are split some at a time, as a batch may be large."""
+    for begin, end in W.stretches(column):
+        texts, row = W.lines(column[begin:end])
+        number = np.arange(len(row)) - np.searchsorted(row, row)
+        row = row + begin
+        if wanted:
+            at = np.flatnonzero(wanted(row, number))
+            texts, row, number = texts.take(pa.array(at)), row[at], number[at]
+        for chunk in W.chunks(texts):
+            at = slice(chunk.rows.start, chunk.rows.stop)
+            yield row[at], number[at], chunk.words(lower=True), chunk.first
 
 
 #: Words of 64 bits in a signature, by kind of item: long sets need more bits to be told apart.
@@ -169,8 +181,11 @@ class Job:
                                                      ["token", "place", "node", "size", "pos", "ord"])
 
         sent = self.rows.mapInArrow(run, "token long, place int, node long, size int, pos int, ord long")
-        # dealt by list first; tasks that sent the same node are merged there without another exchange
-        entries = sent.repartition("token", "place").groupBy("token", "place", "node", "size", "pos").agg(F.min("ord").alias("ord"))
+        # most lists have one entry, and go before anything else is done; tasks that sent the same node are merged without another exchange
+        alone = Window.partitionBy("token", "place").orderBy("node")
+        sent = sent.repartition("token", "place").select("*", F.lag("node").over(alone).alias("before"), F.lead("node").over(alone).alias("after"))
+        sent = sent.where("before is not null or after is not null or place >= 0").drop("before", "after")
+        entries = sent.groupBy("token", "place", "node", "size", "pos").agg(F.min("ord").alias("ord"))
         # a set with few tokens of its own has a shared token early: the original of a crowd of near copies stands at the head
         order = Window.partitionBy("token", "place").orderBy("pos", "ord", "node")
         entry = F.struct("node", "size", "pos")
@@ -201,6 +216,18 @@ class Job:
         met = met.select("node", "size", "pos", F.col("o.node").alias("o_node"), F.col("o.size").alias("o_size"), F.col("o.pos").alias("o_pos"))
         return self._pairs(met.where(self.possible("", "o_")), "", "o_", 2)
 
+    def next_pairs(self, lists: DataFrame, state: DataFrame, is_open: Callable[[str, str], Column], reach: int = 3) -> DataFrame:
+        """Possible pairs ``(x, y)`` of an entry with those up to ``reach`` before it, in an order of its own for each list, so that the lists of
+        a set bring it together with different ones. ``state`` and ``is_open`` are as in ``other_pairs``."""
+        entries = lists.select("token", "place", "node", "size", "pos").join(state, "node")
+        columns = [c for c in entries.columns if c not in ("token", "place")]
+        order = Window.partitionBy("token", "place").orderBy(F.floor(F.log(F.col("size").cast("double")) / math.log(self.den / self.num)), F.xxhash64("token", "node"), "node")
+        entry = F.struct(*columns)
+        earlier = entries.select(*[F.col(c).alias(f"s_{c}") for c in columns], F.array(*[F.lag(entry, k).over(order) for k in range(1, reach + 1)]).alias("earlier"))
+        met = earlier.select("*", F.explode(F.filter("earlier", lambda e: e.isNotNull())).alias("l")).select("*", *[F.col(f"l.{c}").alias(f"l_{c}") for c in columns])
+        met = met.where(self.possible("s_", "l_") & self.apart() & is_open("s_", "l_") & self.near_signatures())
+        return met.select(F.least("s_node", "l_node").alias("x"), F.greatest("s_node", "l_node").alias("y")).distinct()
+
     def _pairs(self, met: DataFrame, a: str, b: str, part: int) -> DataFrame:
         """Pairs that meet in a ``part``-th of the needed lists or more."""
         pairs = met.select(F.least(f"{a}node", f"{b}node").alias("x"), F.greatest(f"{a}node", f"{b}node").alias("y"), self.needed(a, b).alias("needed"))
@@ -208,20 +235,27 @@ class Job:
         return counted.where(F.col("met") * part >= F.col("needed")).select("x", "y")
 
     def other_pairs(self, lists: DataFrame, state: DataFrame, is_open: Callable[[str, str], Column]) -> DataFrame:
-        """Pairs that meet in as many lists as similar sets do, and for which ``is_open`` holds.
+        """Pairs that meet in a list early enough to be similar, and for which ``is_open`` holds.
 
         ``state`` has columns by ``node``, its signature among them; ``is_open`` gets the prefixes under which those of either entry stand."""
         more = [c for c in state.columns if c != "node"]
         entries = lists.select("token", "node", "size", "pos").join(state, "node")
         ratio = math.log(self.den / self.num)
         band = F.floor(F.log(F.col("size").cast("double")) / ratio).cast("int")
-        small = entries.select("token", band.alias("band"), *[F.col(c).alias(f"s_{c}") for c in ("node", "size", "pos", *more)])
+        # the first token of all that similar sets share leaves both of them room for the others: entries too far back for any partner
+        # of their side go before the join
+        room = (F.col("size") - F.col("pos")) * (self.num + self.den)
+        first = room >= 2 * self.num * F.col("size")
+        small = entries.where(first).select("token", band.alias("band"), *[F.col(c).alias(f"s_{c}") for c in ("node", "size", "pos", *more)])
         # a set's partners of no greater size are in its own band of sizes or in the two below (rounding may cost one)
-        large = entries.select("token", F.explode(F.sequence(band - 2, band)).alias("band"), *[F.col(c).alias(f"l_{c}") for c in ("node", "size", "pos", *more)])
+        most = F.greatest(F.floor(room / self.num) - F.col("size"), F.lit(1))
+        top = F.least(band, F.floor(F.log(most.cast("double")) / ratio).cast("int") + 1)
+        large = (entries.where(top >= band - 2).select("token", F.explode(F.sequence(band - 2, top)).alias("band"),
+                                                       *[F.col(c).alias(f"l_{c}") for c in ("node", "size", "pos", *more)]))
         ordered = (F.col("s_size") < F.col("l_size")) | (F.col("s_size") == F.col("l_size")) & (F.col("s_node") < F.col("l_node"))
         alike = F.col("s_size") * self.den >= F.col("l_size") * self.num
-        met = large.join(small, ["token", "band"]).where(ordered & alike & self.apart() & is_open("s_", "l_") & self.near_signatures())
-        return self._pairs(met, "s_", "l_", 1)
+        met = large.join(small, ["token", "band"]).where(ordered & alike & self.possible("s_", "l_") & self.apart() & is_open("s_", "l_") & self.near_signatures())
+        return met.select(F.least("s_node", "l_node").alias("x"), F.greatest("s_node", "l_node").alias("y")).distinct()
 
     def apart(self) -> Column:
         """Whether the places of one token in two sets are as near as those in similar sets must be: what stands before it in one
@@ -240,29 +274,43 @@ class Job:
 
     # -- verification ---------------------------------------------------------------------------------------------------------------
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """The sets ``(node, tokens)`` of at least the given nodes."""
+    def sets(self, nodes: DataFrame, at: tuple[str, str] | None = None) -> DataFrame:
+        """The sets ``(node, tokens)`` of at least the given nodes; ``at`` names columns with the id and number of an item that has the set, if
+        known, so that the words of other items are not looked at."""
         bits = BITMAP.bit_length() - 1
-        spot = F.shiftrightunsigned("node", 64 - bits)
-        marks = nodes.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(node, {64 - bits}) & 63 as int)))").alias("mark"))
+        if at:
+            low = (F.coalesce(c, F.lit(0)).bitwiseAND(F.lit(_LOW)) * F.lit(m) for c, m in zip(at, _PLACE, strict=True))
+            spot = sum(low, F.lit(0)).bitwiseAND(F.lit(BITMAP - 1))
+        else:
+            spot = F.shiftrightunsigned("node", 64 - bits)
+        marks = nodes.select(spot.cast("long").alias("spot")).groupBy(F.shiftright("spot", 6).alias("at")).agg(
+            F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("mark"))
         got = marks.toPandas()  # at most BITMAP / 64 rows
         bitmap = np.zeros(BITMAP // 64, np.uint64)
         bitmap[got["at"].to_numpy(np.int64)] = got["mark"].to_numpy(np.int64).view(np.uint64)
         shared = self.spark.sparkContext.broadcast(bitmap)
         job = _Light(self)
 
+        def marked(spot: np.ndarray) -> np.ndarray:
+            return (shared.value[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
-            marked = shared.value
             for batch in batches:
-                for rows, _, hashes, first in job.items(batch.column(1)):
+                ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+
+                def wanted(rows: np.ndarray, items: np.ndarray, ids: np.ndarray = ids) -> np.ndarray:
+                    return marked((ids[rows] & _LOW) * _PLACE[0] + (items & _LOW) * _PLACE[1] & BITMAP - 1)
+
+                for rows, _, hashes, first in job.items(batch.column(1), wanted if at else None):
                     tokens, row = job.tokens(hashes, first)
                     node, size = job._node_of(tokens, row, len(rows))
-                    spot = node.view(np.uint64) >> np.uint64(64 - bits)
-                    wanted = (marked[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool) & (size > 0)
+                    wanted_now = size > 0
+                    if not at:
+                        wanted_now &= marked((node.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64))
                     bounds = np.searchsorted(row, np.arange(len(rows) + 1))
                     names, sets = [], []
-                    for k in np.flatnonzero(wanted).tolist():
+                    for k in np.flatnonzero(wanted_now).tolist():
                         if (name := int(node[k])) not in seen:
                             seen.add(name)
                             names.append(name)

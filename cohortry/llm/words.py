@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text looked at together, so that the arrays of a chunk stay in cache. A longer text is a chunk of its own.
 CHUNK = 1 << 20
@@ -112,6 +113,16 @@ def chunks(column: pa.Array, size: int = CHUNK, separator: np.ndarray = _SEPARAT
         begin = end
 
 
+def stretches(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive rows that have ``size`` bytes together at most, one row at least."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, side="right")))
+        yield begin, end
+        begin = end
+
+
 def lines(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Every line (between line feeds) of every row as a string column of its own, and the row of each."""
     data, offsets = string_buffer(column)
@@ -162,7 +173,8 @@ def distinct(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(values):
         return values, row
     order = np.argsort(values)
-    order = order[np.argsort(row[order].astype(np.int32), kind="stable")]
+    # numbers of two bytes are sorted in linear time
+    order = order[np.argsort(row[order].astype(np.uint16 if row.max() < 1 << 16 else np.int32), kind="stable")]
     values, row = values[order], row[order]
     new = np.empty(len(values), bool)
     new[0] = True

@@ -3,6 +3,7 @@
 import hashlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,36 @@ def test_repeated_rows_and_null_ids(spark):
     assert ngram_join.near_duplicates(table).count() == 5
     kept = line_dedup.drop_lines(table)
     assert kept.count() == 5
+
+
+def test_pairs_that_meet_too_late_are_no_rows(spark):
+    """Two sets of 100 that may differ in 8 tokens each at most: what they share begins at place 8 at the latest."""
+    job = similar.Job(spark.createDataFrame([], "doc_id long, text string"), similar.documents, 4, 85, 100)
+    state = spark.createDataFrame([(n, n, 0, 0, 0, 0) for n in (1, 2)], "node long, root long, sign0 long, sign1 long, sign2 long, sign3 long")
+
+    def pairs(places, method):
+        lists = spark.createDataFrame([(p, -1, n, 100, p) for p in places for n in (1, 2)], "token long, place int, node long, size int, pos int")
+        return [tuple(r) for r in method(lists, state, lambda a, b: F.col(f"{a}root") != F.col(f"{b}root")).collect()]
+
+    for method in (job.other_pairs, job.next_pairs):
+        assert pairs(range(9, 16), method) == []
+        assert pairs([8], method) == [(1, 2)]
+
+
+def test_lines_of_a_large_batch_are_split_some_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    column = pa.array(["some words of a line that is as long as lines are\n" * 60] * 16_000 + [None, "", "a\n\nb"])
+    tracemalloc.start()
+    sums = np.zeros(2, np.int64)
+    for rows, number, words, first in similar.lines(column):
+        sums += (len(rows), len(words))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sums.tolist() == [61 * 16_000 + 5, 60 * 12 * 16_000 + 2]
+    # the batch has 49 MB
+    assert peak < 90 << 20
+    some = list(similar.lines(column, lambda rows, number: (rows == 16_002) & (number != 1)))
+    assert [(r, k) for rows, number, *_ in some for r, k in zip(rows.tolist(), number.tolist())] == [(16_002, 0), (16_002, 2)]
