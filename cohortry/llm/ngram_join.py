@@ -4,9 +4,9 @@ A document's set is its distinct windows of ``shingle`` lower-cased (A-Z) words;
 link when ``den * |intersection| >= num * |union|``; components of links are found exactly. The two kinds of skipping:
 
 * *Index lists are skipped in blocks by position*: a list holds only the rarest tokens of each set, is cut into blocks by size, entries
-  whose positions are too far apart for similar sets are skipped, and a pair must meet in as many lists as similar sets do.
+  whose positions are too far apart for similar sets are skipped, and a pair must meet early enough to share as many tokens as similar sets do.
 * *A set's answers come from those of a set much like it*: a first round links each set to the head of its lists and its
-  predecessor there. Sets that are then in one component share their answers: pairs within it are never looked at, lists
+  predecessor there, a second to a few more in an order of each list's own. Sets that are then in one component share their answers: pairs within it are never looked at, lists
   with a single component are passed over, and pairs across components are first decided from the verified overlap of the
   similar set, up to what the two sets differ in.
 
@@ -17,7 +17,7 @@ rows. Columns other than id and text play no part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm import similar
@@ -29,32 +29,51 @@ def roots_of(job: similar.Job, items: DataFrame) -> DataFrame:
     signs = items.select("node", *job.signed).dropDuplicates(["node"])
     lists = job.lists()
     verified = job.verify(job.near_pairs(lists))
-    found = verified.where("similar").select("x", "y")
-    near = stage(similar.components(found), "near")
+    near = stage(similar.components(verified.where("similar").select("x", "y")), "near")
     sizes = lists.select("node", "size").distinct()
-    state = lists.select("node").distinct().join(near, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    crossing = _crossing(job, lists, stage(state.join(signs, "node"), "state"))
+    listed = stage(lists.select("node").distinct().join(signs, "node"), "listed")
+    # a few more pairs per entry join most of what the heads of lists have left apart in a crowd of near copies
+    state = _state(listed, near)
+    more = stage(job.next_pairs(_mixed(lists, state), state, _differ).join(verified, ["x", "y"], "left_anti"), "next")
+    if not more.isEmpty():
+        again = job.verify(more)
+        near = stage(_joined(near, again.where("similar")), "near")
+        verified = verified.unionByName(again)
+        state = _state(listed, near)
+    crossing = job.other_pairs(_mixed(lists, state), state, _differ)
     open_pairs = stage(crossing.join(verified, ["x", "y"], "left_anti"), "open")
     if open_pairs.isEmpty():
         return near
     derived = stage(job.derive(open_pairs, verified, sizes), "derived")
     rest = derived.where("similar is null").select("x", "y")
-    more = derived.where("similar").select("x", "y")
+    links = derived.where("similar").select("x", "y")
     if not rest.isEmpty():
-        more = more.unionByName(job.verify(rest).where("similar").select("x", "y"))
-    # links across components join whole components: only their roots are gone over again
+        links = links.unionByName(job.verify(rest).where("similar").select("x", "y"))
+    return _joined(near, links)
+
+
+def _joined(near: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``near`` after some more links: these join whole components, so only their roots are gone over again."""
     x, y = (near.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in ("x", "y"))
-    joined = more.join(x, "x", "left").join(y, "y", "left").select(F.coalesce("x_root", "x").alias("x"), F.coalesce("y_root", "y").alias("y"))
+    joined = links.select("x", "y").join(x, "x", "left").join(y, "y", "left").select(F.coalesce("x_root", "x").alias("x"), F.coalesce("y_root", "y").alias("y"))
     far = stage(similar.components(joined.where("x != y")), "far").select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = near.join(far, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return moved.unionByName(far.select(F.col("root").alias("node"), F.col("top").alias("root")).join(near, "node", "left_anti"))
 
 
-def _crossing(job: similar.Job, lists: DataFrame, state: DataFrame) -> DataFrame:
-    """Possible pairs of different components, from the lists in which more than one component stands."""
+def _state(listed: DataFrame, near: DataFrame) -> DataFrame:
+    return stage(listed.join(near, "node", "left").withColumn("root", F.coalesce("root", "node")), "state")
+
+
+def _differ(a: str, b: str) -> Column:
+    return F.col(f"{a}root") != F.col(f"{b}root")
+
+
+def _mixed(lists: DataFrame, state: DataFrame) -> DataFrame:
+    """The lists in which more than one component stands."""
     mixed = (lists.select("token", "node").join(state.select("node", "root"), "node").groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
              .where("low != high").select("token"))
-    return job.other_pairs(lists.join(mixed, "token", "left_semi"), state, lambda a, b: F.col(f"{a}root") != F.col(f"{b}root"))
+    return lists.join(mixed, "token", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
