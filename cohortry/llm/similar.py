@@ -130,7 +130,7 @@ class Job:
 
         both = stage(self.rows.mapInArrow(run, "counts boolean, id long, item long, node long, size long" + "".join(f", {c} long" for c in signed)), "survey")
         # at most one row for each range reaches the driver
-        sums = both.where("counts").groupBy("id").agg(F.sum("size").alias("n")).toPandas()
+        sums = both.where("counts").groupBy("id").agg(F.sum("size").alias("n")).toArrow()
         counts = np.zeros(RANGES, np.int64)
         counts[sums["id"].to_numpy()] = sums["n"].to_numpy()
         self.counts = counts
@@ -285,9 +285,10 @@ class Job:
             spot = F.shiftrightunsigned("node", 64 - bits)
         marks = nodes.select(spot.cast("long").alias("spot")).groupBy(F.shiftright("spot", 6).alias("at")).agg(
             F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("mark"))
-        got = marks.toPandas()  # at most BITMAP / 64 rows
+        # at most BITMAP / 64 rows reach the driver, 16 bytes each as columns (as rows of objects they would be 16 times that)
+        got = marks.toArrow()
         bitmap = np.zeros(BITMAP // 64, np.uint64)
-        bitmap[got["at"].to_numpy(np.int64)] = got["mark"].to_numpy(np.int64).view(np.uint64)
+        bitmap[got["at"].to_numpy()] = got["mark"].to_numpy().view(np.uint64)
         shared = self.spark.sparkContext.broadcast(bitmap)
         job = _Light(self)
 

@@ -145,3 +145,17 @@ def test_lines_of_a_large_batch_are_split_some_at_a_time():
     assert peak < 90 << 20
     some = list(similar.lines(column, lambda rows, number: (rows == 16_002) & (number != 1)))
     assert [(r, k) for rows, number, *_ in some for r, k in zip(rows.tolist(), number.tolist())] == [(16_002, 0), (16_002, 2)]
+
+
+def test_marks_of_sets_are_no_objects_on_the_driver(spark):
+    import tracemalloc
+
+    job = similar.Job(spark.createDataFrame([], "doc_id long, text string"), similar.documents, 4, 85, 100)
+    job.survey()
+    nodes = spark.range(150_000).select(F.xxhash64("id").alias("node"))
+    tracemalloc.start()
+    assert job.sets(nodes).count() == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the bitmap has 8 MB, and 140,000 marks come as two columns
+    assert peak < 32 << 20
