@@ -33,8 +33,7 @@ def matched(pairs: DataFrame, first: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, item)`` of every line to remove."""
     job = similar.Job(docs, similar.lines, shingle, num, den, id_col, text_col)
-    items, _ = job.survey()
-    worded = items.where("size > 0")
+    worded, _ = job.survey(blank=False)
     first = stage(worded.groupBy("node").agg(F.min(F.struct("id", "item")).alias("first"), *[F.min(c).alias(c) for c in job.signed]), "first")
     lists = job.lists()
     # sets of lines are short: those of all that stand in lists are read once for both rounds

@@ -36,6 +36,8 @@ from cohortry.llm.tables import stage
 
 #: Ranges of hashes that are counted, the expected entries of a list above which it is dealt to places, and bits of the bitmap.
 RANGES, CROWDED, BITMAP = 1 << 16, 20_000, 1 << 26
+#: Where the place of a list is in its key, in bits.
+PLACE_AT = 24
 #: What the low bits of an item's id and number are multiplied by for its bit in the bitmap.
 _LOW, _PLACE = (1 << 31) - 1, (1_000_003, 40_503_001)
 
@@ -109,8 +111,8 @@ class Job:
 
     # -- first reading ----------------------------------------------------------------------------------------------------------
 
-    def survey(self) -> tuple[DataFrame, np.ndarray]:
-        """Items ``(id, item, node, size, sign0, ...)``, and the rank of each range of hashes."""
+    def survey(self, blank: bool = True) -> tuple[DataFrame, np.ndarray]:
+        """Items ``(id, item, node, size, sign0, ...)``, without those that have no words if not ``blank``, and the rank of each range of hashes."""
         items, shingle, signed = self.items, self.shingle, self.signed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +124,10 @@ class Job:
                     values, row = W.distinct(*W.grams(hashes, first, shingle))
                     counts += np.bincount((values >> np.uint64(48)).astype(np.int64), minlength=RANGES)
                     node, size = digests(values, row, len(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), bool)), ids.take(pa.array(rows)), pa.array(item),
-                                                      pa.array(node), pa.array(size), *map(pa.array, signatures(values, row, len(rows), len(signed)))], names)
+                    at = np.arange(len(rows)) if blank else np.flatnonzero(size)
+                    signs = (pa.array(s[at]) for s in signatures(values, row, len(rows), len(signed)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), bool)), ids.take(pa.array(rows[at])), pa.array(item[at]),
+                                                      pa.array(node[at]), pa.array(size[at]), *signs], names)
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), bool)), pa.array(used, pa.int64()), pa.array(np.zeros(len(used), np.int64)),
                                               pa.array(np.zeros(len(used), np.int64)), pa.array(counts[used]), *[pa.array(np.zeros(len(used), np.int64))] * len(signed)], names)
@@ -176,21 +180,25 @@ class Job:
                     tokens, row, pos = tokens[keep], row[keep], pos[keep]
                     spread = places[(tokens >> np.uint64(48)).astype(np.int64)]
                     place = np.where(spread > 1, (node[row].view(np.uint64) % spread.astype(np.uint64)).astype(np.int32), -1).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(place), pa.array(node[row]), pa.array(size[row].astype(np.int32)),
+                    # a list's key is its token with the place in the middle bits, which say nothing of rarity
+                    key = tokens ^ np.maximum(place, 0).astype(np.uint64) << np.uint64(PLACE_AT)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place), pa.array(node[row]), pa.array(size[row].astype(np.int32)),
                                                       pa.array(pos.astype(np.int32)), pa.array(ids[rows[row]])],
-                                                     ["token", "place", "node", "size", "pos", "ord"])
-
-        sent = self.rows.mapInArrow(run, "token long, place int, node long, size int, pos int, ord long")
-        # most lists have one entry, and go before anything else is done; tasks that sent the same node are merged without another exchange
-        alone = Window.partitionBy("token", "place").orderBy("node")
-        sent = sent.repartition("token", "place").select("*", F.lag("node").over(alone).alias("before"), F.lead("node").over(alone).alias("after"))
-        sent = sent.where("before is not null or after is not null or place >= 0").drop("before", "after")
-        entries = sent.groupBy("token", "place", "node", "size", "pos").agg(F.min("ord").alias("ord"))
+                                                     ["key", "place", "node", "size", "pos", "ord"])
+
+        sent = self.rows.mapInArrow(run, "key long, place int, node long, size int, pos int, ord long")
+        # most lists have one entry, and go before anything else is done, sorted by one number only; tasks that sent the same node are
+        # merged without another exchange
+        alone = Window.partitionBy("key")
+        sent = sent.repartition("key").select("*", F.min("node").over(alone).alias("low"), F.max("node").over(alone).alias("high"))
+        sent = sent.where("low < high or place >= 0").drop("low", "high")
+        entries = sent.groupBy("key", "place", "node", "size", "pos").agg(F.min("ord").alias("ord"))
         # a set with few tokens of its own has a shared token early: the original of a crowd of near copies stands at the head
-        order = Window.partitionBy("token", "place").orderBy("pos", "ord", "node")
+        order = Window.partitionBy("key").orderBy("pos", "ord", "node")
         entry = F.struct("node", "size", "pos")
-        entries = entries.select("*", F.lag(entry).over(order).alias("before"), F.first(entry).over(order).alias("head"), F.lead("node").over(order).alias("after"))
-        return stage(entries.where("before is not null or after is not null or place >= 0").drop("after"), "lists")
+        entries = entries.select("*", F.lag(entry).over(order).alias("before"), F.first(entry).over(order).alias("head"))
+        token = F.col("key").bitwiseXOR(F.shiftleft(F.greatest("place", F.lit(0)).cast("long"), PLACE_AT)).alias("token")
+        return stage(entries.select(token, "place", "node", "size", "pos", "ord", "before", "head"), "lists")
 
     def possible(self, a: str, b: str) -> Column:
         """Whether two entries of a list may be similar, by their sizes and positions."""
@@ -239,18 +247,20 @@ class Job:
 
         ``state`` has columns by ``node``, its signature among them; ``is_open`` gets the prefixes under which those of either entry stand."""
         more = [c for c in state.columns if c != "node"]
-        entries = lists.select("token", "node", "size", "pos").join(state, "node")
-        ratio = math.log(self.den / self.num)
+        # both sides of the join are made of the same entries
+        entries = stage(lists.select("token", "node", "size", "pos").join(state, "node"), "entries")
+        # a little more than the sizes of similar sets may differ by, whatever rounding does
+        ratio = math.log(self.den / self.num) * (1 + 1e-6)
         band = F.floor(F.log(F.col("size").cast("double")) / ratio).cast("int")
         # the first token of all that similar sets share leaves both of them room for the others: entries too far back for any partner
         # of their side go before the join
         room = (F.col("size") - F.col("pos")) * (self.num + self.den)
         first = room >= 2 * self.num * F.col("size")
         small = entries.where(first).select("token", band.alias("band"), *[F.col(c).alias(f"s_{c}") for c in ("node", "size", "pos", *more)])
-        # a set's partners of no greater size are in its own band of sizes or in the two below (rounding may cost one)
+        # a set's partners of no greater size are in its own band of sizes or in the one below
         most = F.greatest(F.floor(room / self.num) - F.col("size"), F.lit(1))
         top = F.least(band, F.floor(F.log(most.cast("double")) / ratio).cast("int") + 1)
-        large = (entries.where(top >= band - 2).select("token", F.explode(F.sequence(band - 2, top)).alias("band"),
+        large = (entries.where(top >= band - 1).select("token", F.explode(F.sequence(band - 1, top)).alias("band"),
                                                        *[F.col(c).alias(f"l_{c}") for c in ("node", "size", "pos", *more)]))
         ordered = (F.col("s_size") < F.col("l_size")) | (F.col("s_size") == F.col("l_size")) & (F.col("s_node") < F.col("l_node"))
         alike = F.col("s_size") * self.den >= F.col("l_size") * self.num
@@ -318,7 +328,7 @@ class Job:
                             sets.append(tokens[bounds[k]: bounds[k + 1]].tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
-        return stage(self.rows.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+        return stage(self.rows.mapInArrow(run, "node long, tokens binary").repartition("node").dropDuplicates(["node"]), "sets")
 
     def verify(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """``pairs`` with ``x_size, y_size, common, similar``; ``sets`` are read from the texts if not given."""

@@ -13,12 +13,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text looked at together, so that the arrays of a chunk stay in cache. A longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: What a byte counts for in the running hash, as it is and in lower case.
+_VALUES = {False: np.arange(1, 257, dtype=np.uint64), True: _LOWER.astype(np.uint64) + np.uint64(1)}
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
 #: Everything but ASCII letters and bytes of other characters, for words without marks and digits.
@@ -89,9 +91,11 @@ class Chunk:
 
     def prefix(self, lower: bool = False) -> np.ndarray:
         """Running hash before each byte, for ``span``."""
-        data = _LOWER[self.data] if lower else self.data
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+        out = np.zeros(len(self.data) + 1, np.uint64)
+        sums = out[1:]
+        np.take(_VALUES[lower], self.data, out=sums, mode="clip")
+        sums *= powers(len(out))[0][: len(sums)]
+        np.cumsum(sums, out=sums)
         return out
 
     def span(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -172,6 +176,16 @@ def distinct(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Each row's distinct values, rows in order, values of a row in order."""
     if not len(values):
         return values, row
+    if row.max() < 1 << 16:
+        # one sort by the row and most of the value; values that differ in the rest alone are next to unknown
+        key = row.astype(np.uint64) << np.uint64(48) | values >> np.uint64(16)
+        order = np.argsort(key)
+        key, sorted_values = key[order], values[order]
+        equal = key[1:] == key[:-1]
+        if not (equal & (sorted_values[1:] != sorted_values[:-1])).any():
+            new = np.ones(len(values), bool)
+            new[1:] = ~equal
+            return sorted_values[new], (key[new] >> np.uint64(48)).astype(row.dtype)
     order = np.argsort(values)
     # numbers of two bytes are sorted in linear time
     order = order[np.argsort(row[order].astype(np.uint16 if row.max() < 1 << 16 else np.int32), kind="stable")]

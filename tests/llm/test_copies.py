@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.llm import exact_dedup, line_dedup, ngram_join, similar
+from cohortry.llm import exact_dedup, line_dedup, ngram_join, similar, words
 from tests.llm import brute
 
 
@@ -159,3 +159,32 @@ def test_marks_of_sets_are_no_objects_on_the_driver(spark):
     tracemalloc.stop()
     # the bitmap has 8 MB, and 140,000 marks come as two columns
     assert peak < 32 << 20
+
+
+def test_survey_leaves_out_blank_lines(spark):
+    job = similar.Job(spark.createDataFrame([(1, "a b\n\n \nc"), (2, None)], "doc_id long, text string"), similar.lines, 5, 80, 100)
+    worded, _ = job.survey(blank=False)
+    assert sorted((r.id, r.item, r.size) for r in worded.collect()) == [(1, 0, 1), (1, 3, 1)]
+
+
+def test_lists_are_the_same_with_places(docs, monkeypatch):
+    """Crowded lists are dealt to places, and each entry still has its token."""
+
+    def entries():
+        job = similar.Job(docs, similar.lines, 5, 80, 100)
+        job.survey(blank=False)
+        return [tuple(r) for r in job.lists().select("token", "node", "size", "pos", "place").collect()]
+
+    plain = {e[:4] for e in entries()}
+    monkeypatch.setattr(similar, "CROWDED", 4)
+    dealt = entries()
+    assert max(e[4] for e in dealt) > 0
+    assert plain <= {e[:4] for e in dealt}
+
+
+def test_distinct_values_that_differ_in_their_last_bits():
+    rng = np.random.default_rng(1)
+    values, row = rng.integers(0, 1 << 64, 2000, np.uint64), np.sort(rng.integers(0, 50, 2000))
+    for some in (values, values[:20].repeat(100), (values[:40].repeat(50) & ~np.uint64(7)) + rng.integers(0, 3, 2000).astype(np.uint64)):
+        v, r = words.distinct(some, row)
+        assert list(zip(r.tolist(), v.tolist())) == sorted(set(zip(row.tolist(), some.tolist())))
