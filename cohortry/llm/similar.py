@@ -72,7 +72,7 @@ def lines(column: pa.Array, wanted: Wanted | None = None) -> Iterator[tuple[np.n
 
 
 #: Words of 64 bits in a signature, by kind of item: long sets need more bits to be told apart.
-SIGNED = {documents: 4, lines: 1}
+SIGNED = {documents: 4, lines: 2}
 
 
 def signatures(values: np.ndarray, row: np.ndarray, n: int, words: int) -> list[np.ndarray]:

@@ -188,3 +188,16 @@ def test_distinct_values_that_differ_in_their_last_bits():
     for some in (values, values[:20].repeat(100), (values[:40].repeat(50) & ~np.uint64(7)) + rng.integers(0, 3, 2000).astype(np.uint64)):
         v, r = words.distinct(some, row)
         assert list(zip(r.tolist(), v.tolist())) == sorted(set(zip(row.tolist(), some.tolist())))
+
+
+def test_signatures_of_lines_tell_sets_apart():
+    """Sets of 100 that share 80 are not similar at 0.8 (they would share 89), and few of them look as if they were."""
+    rng = np.random.default_rng(2)
+    alike = 0
+    for _ in range(200):
+        common = rng.integers(0, 1 << 64, 80, np.uint64)
+        sets = [np.sort(np.concatenate([common, rng.integers(0, 1 << 64, 20, np.uint64)])) for _ in range(2)]
+        signs = similar.signatures(np.concatenate(sets), np.repeat([0, 1], 100), 2, similar.SIGNED[similar.lines])
+        differ = sum(int(s[0] ^ s[1]).bit_count() if s[0] ^ s[1] >= 0 else (int(s[0] ^ s[1]) & (1 << 64) - 1).bit_count() for s in signs)
+        alike += (200 - differ) * 180 >= 160 * 200
+    assert alike < 20
