@@ -26,22 +26,23 @@ from cohortry.llm.tables import fresh, slots_of, spread, stage
 
 def roots_of(job: similar.Job, items: DataFrame) -> DataFrame:
     """``(node, root)`` for all nodes with links: the components of all links between different sets."""
-    signs = items.select("node", *job.signed).dropDuplicates(["node"])
+    signs = items.where("size > 0").select("node", "size", "marks", *job.signed).dropDuplicates(["node"])
     lists = job.lists()
-    verified = job.verify(job.near_pairs(lists))
+    nodes = stage(lists.select("node").distinct().join(signs, "node"), "nodes")
+    # whole sets are read and sent about for pairs only that may be similar by bits as many as the sets are large
+    verified = job.verify(stage(job.likely(job.near_pairs(lists), nodes), "likely"))
     near = stage(similar.components(verified.where("similar").select("x", "y")), "near")
-    sizes = lists.select("node", "size").distinct()
-    listed = stage(lists.select("node").distinct().join(signs, "node"), "listed")
+    sizes, listed = nodes.select("node", "size"), nodes.select("node", *job.signed)
     # a few more pairs per entry join most of what the heads of lists have left apart in a crowd of near copies
     state = _state(listed, near)
-    more = stage(job.next_pairs(_mixed(lists, state), state, _differ).join(verified, ["x", "y"], "left_anti"), "next")
+    more = stage(job.likely(job.next_pairs(_mixed(lists, state), state, _differ).join(verified, ["x", "y"], "left_anti"), nodes), "next")
     if not more.isEmpty():
         again = job.verify(more)
         near = stage(_joined(near, again.where("similar")), "near")
         verified = verified.unionByName(again)
         state = _state(listed, near)
     crossing = job.other_pairs(_mixed(lists, state), state, _differ)
-    open_pairs = stage(crossing.join(verified, ["x", "y"], "left_anti"), "open")
+    open_pairs = stage(job.likely(crossing.join(verified, ["x", "y"], "left_anti"), nodes), "open")
     if open_pairs.isEmpty():
         return near
     derived = stage(job.derive(open_pairs, verified, sizes), "derived")
@@ -79,7 +80,7 @@ def _mixed(lists: DataFrame, state: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, node (rows with equal sets have equal nodes)."""
     job = similar.Job(docs, similar.documents, shingle, num, den, id_col, text_col)
-    items, _ = job.survey()
+    items, _ = job.survey(marked=True)
     roots = roots_of(job, items)
     items = items.select("id", "item", "node", "size")
     full = items.where("size > 0").withColumn("slot", slots_of(F.col("id")))

@@ -89,6 +89,16 @@ def signatures(values: np.ndarray, row: np.ndarray, n: int, words: int) -> list[
     return out
 
 
+def marks(values: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
+    """Of each item the parity of its hashes at each of some bits, a power of two of at least its size and 64, in words of 64 bits."""
+    size = np.bincount(row, minlength=n)
+    words = 1 << np.ceil(np.log2(np.maximum(size, 64) / 64)).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(words)])
+    bit = (W.mix(values, 18) & (64 * words - 1).astype(np.uint64)[row]).astype(np.int64)
+    odd = (np.bincount(at[row] * 64 + bit, minlength=64 * at[-1]) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+
+
 def digests(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Digest of each item's set, whatever its order, and its size."""
     bounds = np.searchsorted(row, np.arange(n + 1))
@@ -111,13 +121,14 @@ class Job:
 
     # -- first reading ----------------------------------------------------------------------------------------------------------
 
-    def survey(self, blank: bool = True) -> tuple[DataFrame, np.ndarray]:
-        """Items ``(id, item, node, size, sign0, ...)``, without those that have no words if not ``blank``, and the rank of each range of hashes."""
+    def survey(self, blank: bool = True, marked: bool = False) -> tuple[DataFrame, np.ndarray]:
+        """Items ``(id, item, node, size, sign0, ...)``, without those that have no words if not ``blank``, and the rank of each range of hashes.
+        ``marked`` adds ``marks``, for ``likely``."""
         items, shingle, signed = self.items, self.shingle, self.signed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(RANGES, np.int64)
-            names = ["counts", "id", "item", "node", "size", *signed]
+            names = ["counts", "id", "item", "node", "size", *signed, *["marks"] * marked]
             for batch in batches:
                 ids = batch.column(0)
                 for rows, item, hashes, first in items(batch.column(1)):
@@ -126,13 +137,15 @@ class Job:
                     node, size = digests(values, row, len(rows))
                     at = np.arange(len(rows)) if blank else np.flatnonzero(size)
                     signs = (pa.array(s[at]) for s in signatures(values, row, len(rows), len(signed)))
+                    more = [marks(values, row, len(rows)).take(pa.array(at))] if marked else []
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), bool)), ids.take(pa.array(rows[at])), pa.array(item[at]),
-                                                      pa.array(node[at]), pa.array(size[at]), *signs], names)
+                                                      pa.array(node[at]), pa.array(size[at]), *signs, *more], names)
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), bool)), pa.array(used, pa.int64()), pa.array(np.zeros(len(used), np.int64)),
-                                              pa.array(np.zeros(len(used), np.int64)), pa.array(counts[used]), *[pa.array(np.zeros(len(used), np.int64))] * len(signed)], names)
+                                              pa.array(np.zeros(len(used), np.int64)), pa.array(counts[used]), *[pa.array(np.zeros(len(used), np.int64))] * len(signed),
+                                              *[pa.nulls(len(used), pa.list_(pa.int64()))] * marked], names)
 
-        both = stage(self.rows.mapInArrow(run, "counts boolean, id long, item long, node long, size long" + "".join(f", {c} long" for c in signed)), "survey")
+        both = stage(self.rows.mapInArrow(run, "counts boolean, id long, item long, node long, size long" + "".join(f", {c} long" for c in signed) + ", marks array<long>" * marked), "survey")
         # at most one row for each range reaches the driver
         sums = both.where("counts").groupBy("id").agg(F.sum("size").alias("n")).toArrow()
         counts = np.zeros(RANGES, np.int64)
@@ -282,6 +295,17 @@ class Job:
         total = F.col("s_size") + F.col("l_size")
         return (total - differ) * (self.num + self.den) >= 2 * self.num * total
 
+    def likely(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """``pairs`` without those that cannot be similar by the ``marks`` of ``nodes``: bits in the order of a set's size, where those of
+        ``near_signatures`` are few. The marks of the set with more of them are folded; where that takes more than once, a pair stays."""
+        x, y = (nodes.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("marks").alias(f"{n}_marks")) for n in ("x", "y"))
+        both = pairs.join(x, "x").join(y, "y")
+        both = both.withColumns({"low": F.least(F.size("x_marks"), F.size("y_marks")), "high": F.greatest(F.size("x_marks"), F.size("y_marks"))})
+        differ = F.expr("aggregate(sequence(0, low - 1), 0, (n, i) -> n + bit_count(x_marks[i] ^ y_marks[i]"
+                        " ^ coalesce(get(x_marks, i + low), 0L) ^ coalesce(get(y_marks, i + low), 0L)))")
+        total = F.col("x_size") + F.col("y_size")
+        return both.where((F.col("high") > 2 * F.col("low")) | ((total - differ) * (self.num + self.den) >= 2 * self.num * total)).select("x", "y")
+
     # -- verification ---------------------------------------------------------------------------------------------------------------
 
     def sets(self, nodes: DataFrame, at: tuple[str, str] | None = None) -> DataFrame:

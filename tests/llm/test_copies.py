@@ -201,3 +201,21 @@ def test_signatures_of_lines_tell_sets_apart():
         differ = sum(int(s[0] ^ s[1]).bit_count() if s[0] ^ s[1] >= 0 else (int(s[0] ^ s[1]) & (1 << 64) - 1).bit_count() for s in signs)
         alike += (200 - differ) * 180 >= 160 * 200
     assert alike < 20
+
+
+def test_long_signatures_drop_only_pairs_that_differ(spark):
+    """Sets of some hundreds, far more than the bits of the short signatures, with all similarities and two widths."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 1040, np.uint64)
+    sets = [np.sort(np.concatenate([base[:n], rng.integers(0, 1 << 64, k, np.uint64)])) for n, k in ((1040, 0), (1000, 20), (950, 60), (1000, 100), (600, 400), (100, 900), (40, 0))]
+    made = similar.marks(np.concatenate(sets), np.repeat(np.arange(7), [len(s) for s in sets]), 7).to_pylist()
+    assert [len(m) for m in made] == [32, 16, 16, 32, 16, 16, 1]
+    nodes = spark.createDataFrame([(i, len(s), m) for i, (s, m) in enumerate(zip(sets, made))], "node long, size long, marks array<long>")
+    pairs = spark.createDataFrame([(i, j) for i in range(7) for j in range(i + 1, 7)], "x long, y long")
+    job = similar.Job(spark.createDataFrame([], "doc_id long, text string"), similar.documents, 4, 85, 100)
+    kept = {tuple(r) for r in job.likely(pairs, nodes).collect()}
+    for i in range(6):
+        for j in range(i + 1, 6):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            share = both / (len(sets[i]) + len(sets[j]) - both)
+            assert (i, j) in kept if share >= 0.85 else share > 0.7 or (i, j) not in kept
