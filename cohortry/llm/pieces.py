@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from cohortry.llm import words as W
 
 OFFSET = 10.0
-#: Edges of lattices that a task remembers, and bits of a place in its table of words.
-REMEMBERED, PLACES = 8_000_000, 21
+#: Edges of lattices that a task remembers, and bits of a place in its tables of words and of beginnings of pieces.
+REMEMBERED, PLACES, BUCKETS = 8_000_000, 21, 18
 SPACE = "▁".encode()
 
 
@@ -60,19 +60,34 @@ class Pieces:
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         weight = (np.arange(n) + OFFSET) ** -alpha
         self.byte_weight = weight[self.byte_id]
+        # every beginning of a piece, whole pieces among them, so that a text is followed no further than some piece goes
         ids = np.array(usable, np.int64)
+        size = self.at[ids + 1] - self.at[ids]
+        self.longest = int(size.max())
+        owner = np.repeat(np.arange(len(ids)), size)
+        length = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + 1
         chunk = W.Chunk(range(0), self.bytes, np.zeros(1, np.int64))
-        hashes = chunk.span(chunk.prefix(), self.at[ids], self.at[ids + 1])
-        order = np.argsort(hashes)
-        self.hashes, self.ids, self.weights = hashes[order], ids[order].astype(np.int32), weight[ids][order]
-        self.longest = int((self.at[ids + 1] - self.at[ids]).max())
-        if (np.diff(self.hashes) == 0).any():
+        begin = self.at[ids[owner]]
+        hashes, of = np.unique(chunk.span(chunk.prefix(), begin, begin + length), return_inverse=True)
+        whole = length == size[owner]
+        if len(np.unique(of[whole])) < len(ids):
             raise ValueError("two pieces share a hash")
+        self.hashes = np.append(hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.bucket = np.searchsorted(hashes, np.arange(1 << BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKETS)).astype(np.int32)
+        self.ids = np.full(len(hashes), -1, np.int32)
+        self.ids[of[whole]] = ids[owner[whole]]
+        self.weights = np.where(self.ids >= 0, weight[self.ids], 0.0)
+        self.longer = np.zeros(len(hashes), bool)
+        self.longer[of[~whole]] = True
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of pieces among the sorted hashes, -1 for others."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        """Numbers of beginnings of pieces, -1 for other bytes."""
+        at = self.bucket[(hashes >> np.uint64(64 - BUCKETS)).astype(np.int64)]
+        before = np.flatnonzero(self.hashes[at] < hashes)
+        while len(before):
+            at[before] += 1
+            before = before[self.hashes[at[before]] < hashes[before]]
+        return np.where((self.hashes[at] == hashes) & (at < len(self.ids)), at, -1)
 
 
 class Lattices:
@@ -91,36 +106,37 @@ class Lattices:
         self.edge_at, self.share, self.step, self.piece = (W.Growing(t) for t in (np.int32, np.float64, np.uint8, np.int32))
         self.edge_at.append(np.zeros(1, np.int32))
 
-    def learn(self, keys: np.ndarray, texts: list[bytes]) -> np.ndarray:
-        """Filter the lattices of new words, all words together, one place after another; the numbers of their first ends."""
+    def learn(self, keys: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Filter the lattices of new words, all words together, one place after another; the numbers of their first ends. ``data`` has the
+        words' bytes one after another."""
         p = self.pieces
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        sizes = np.array([len(t) for t in texts])
-        begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        word = np.repeat(np.arange(len(texts)), sizes)
-        inside = np.arange(len(data)) - begin[word]
+        begin = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        last = (begin + sizes)[word]
         chunk = W.Chunk(range(0), data, np.zeros(1, np.int64))
         prefix = chunk.prefix()
         heads = np.append((data & 0xC0) != 0x80, True)
+        first = np.flatnonzero(heads[:-1])
         starts, ends, found = [], [], []
-        at = np.arange(len(data))
-        for n in range(1, p.longest + 1):
-            s = at[(inside + n <= sizes[word]) & heads[:-1]]
-            s = s[heads[s + n] | (s + n == begin[word[s]] + sizes[word[s]])]
-            if len(s):
-                k = p.find(chunk.span(prefix, s, s + n))
-                hit = k >= 0
-                starts.append(s[hit])
-                ends.append(s[hit] + n)
-                found.append(k[hit])
+        s, room, n = first, last[first] - first, 0
+        while len(s):
+            n += 1
+            k = p.find(chunk.span(prefix, s, s + n))
+            known = np.flatnonzero(k >= 0)
+            s, room, k = s[known], room[known], k[known]
+            hit = (p.ids[k] >= 0) & (heads[s + n] | (room == n))
+            starts.append(s[hit])
+            ends.append(s[hit] + n)
+            found.append(k[hit])
+            on = p.longer[k] & (room > n)
+            s, room = s[on], room[on]
         s, e, k = (np.concatenate(x) for x in (starts, ends, found))
         ids, weights = p.ids[k], p.weights[k]
         # a character in no piece of its own is bytes, and so is a sign that stands for a space
-        length = np.diff(np.append(np.flatnonzero(heads[:-1]), len(data)))
-        first = np.flatnonzero(heads[:-1])
+        length = np.zeros(len(data), np.int64)
+        length[first] = np.diff(np.append(first, len(data)))
         single = np.zeros(len(data), bool)
-        whole = e - s == length[np.searchsorted(first, s)]
-        single[s[whole]] = True
+        single[s[e - s == length[s]]] = True
         sign = np.zeros(len(data), bool)
         three = np.flatnonzero((data[:-2] == SPACE[0]) & (data[1:-1] == SPACE[1]) & (data[2:] == SPACE[2])) if len(data) > 2 else np.zeros(0, np.int64)
         sign[three] = True
@@ -132,42 +148,52 @@ class Lattices:
             total = np.concatenate([[0], np.cumsum(touch[:-1])])
             ok = total[e] == total[s]
             s, e, ids, weights = s[ok], e[ok], ids[ok], weights[ok]
-        extra = np.concatenate([np.arange(b, b + length[np.searchsorted(first, b)]) for b in bad]) if len(bad) else np.zeros(0, np.int64)
-        s, e = np.concatenate([s, extra]), np.concatenate([e, extra + 1])
-        ids = np.concatenate([ids, p.byte_id[data[extra]]])
-        weights = np.concatenate([weights, p.byte_weight[data[extra]]])
+        if len(bad):
+            extra = np.concatenate([np.arange(b, b + length[b]) for b in bad])
+            s, e = np.concatenate([s, extra]), np.concatenate([e, extra + 1])
+            ids = np.concatenate([ids, p.byte_id[data[extra]]])
+            weights = np.concatenate([weights, p.byte_weight[data[extra]]])
         # forward filter: sums of weights, scaled per word where they get small
-        order = np.lexsort((s, e, e - begin[word[e - 1]]))
+        # edges by end, longest first, in one number
+        order = np.argsort(e * (p.longest + 1) + p.longest - (e - s))
         s, e, ids, weights = s[order], e[order], ids[order], weights[order]
-        depth = e - begin[word[e - 1]]
-        total = np.zeros(len(data) + len(texts), np.float64)  # of the place before each byte, and at the end of each word
-        total[begin + np.arange(len(texts))] = 1.0
+        of = word[s]
+        # ``total`` has a place before each byte and one at the end of each word
+        total = np.zeros(len(data) + len(sizes), np.float64)
+        total[begin + np.arange(len(sizes))] = 1.0
+        tail, end = s + of, e + of
+        # edges by the place of their end in the word; numbers of two bytes are sorted in linear time
+        depth = e - begin[of]
+        deep = int(sizes.max())
+        turn = np.argsort(depth.astype(np.uint16 if deep < 1 << 16 else np.int64), kind="stable")
+        cuts = np.searchsorted(depth[turn], np.arange(1, deep + 2))
         mass = np.zeros(len(s))
-        cuts = np.searchsorted(depth, np.arange(1, int(sizes.max()) + 2))
-        for d in range(len(cuts) - 1):
-            lo, hi = cuts[d], cuts[d + 1]
-            if lo == hi:
+        for d in range(deep):
+            now = turn[cuts[d]: cuts[d + 1]]
+            if not len(now):
                 continue
-            w = word[e[lo:hi] - 1]
-            mass[lo:hi] = total[s[lo:hi] + w] * weights[lo:hi]
-            np.add.at(total, e[lo:hi] + w, mass[lo:hi])
+            mass[now] = total[tail[now]] * weights[now]
+            np.add.at(total, end[now], mass[now])
             if d % 16 == 15:  # all that later places of longer words draw on, scaled by the same number
                 longer = np.flatnonzero(sizes > d + 1)
                 now = total[begin[longer] + d + 1 + longer]
                 longer, now = longer[now > 0], now[now > 0]
                 for back in range(min(p.longest, d + 1) + 1):
                     total[begin[longer] + d + 1 - back + longer] /= now
-        # edges in order of their end, words after another, the heaviest first
-        order = np.lexsort((s, -mass, e))
-        s, e, ids, mass = s[order], e[order], ids[order], mass[order]
-        end = e + word[e - 1]
-        first_of = np.searchsorted(end, np.arange(len(total) + 1))
+        # edges in order of their end, words after another, the heaviest first: that is mostly the longest, so few ends are sorted once more
+        amiss = np.zeros(len(total), bool)
+        amiss[end[1:][(end[1:] == end[:-1]) & (mass[1:] > mass[:-1])]] = True
+        some = np.flatnonzero(amiss[end])
+        order = np.arange(len(s))
+        order[some] = some[np.lexsort((-mass[some], end[some]))]
+        ids, mass, step = ids[order], mass[order], (e - s)[order]
+        first_of = np.concatenate([[0], np.cumsum(np.bincount(end, minlength=len(total)))])
         share = _within(mass, first_of, end)
         self.edge_at.append(first_of[:-1] + self.share.size)
         self.share.append(share)
-        self.step.append(e - s)
+        self.step.append(step)
         self.piece.append(ids)
-        numbers = begin + np.arange(len(texts)) + self.ends
+        numbers = begin + np.arange(len(sizes)) + self.ends
         self.words.put(keys, numbers)
         self.ends += len(total)
         return numbers
@@ -217,14 +243,16 @@ class Sampler:
                 missing = np.arange(len(hashes))
             new, first, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
             of = missing[first]
-            top[missing] = self.lattices.learn(new, [data[s:e].tobytes() for s, e in zip(starts[of], ends[of], strict=True)])[inverse]
+            sizes = ends[of] - starts[of]
+            bytes_of = np.arange(sizes.sum()) + np.repeat(starts[of] - (np.cumsum(sizes) - sizes), sizes)
+            top[missing] = self.lattices.learn(new, data[bytes_of], sizes)[inverse]
         lattices = self.lattices
         edge_at, share, step, piece = (x.used for x in (lattices.edge_at, lattices.share, lattices.step, lattices.piece))
         # backward sampling of all words together, from their ends
         key = W.mix(keys.astype(np.uint64) ^ self.seed, 33)[row]
         left = ends - starts
         alive = np.arange(len(starts))
-        out_place, out_piece = [], []
+        drawn = np.full(len(data) + 1, -1, np.int32)  # by the place where a piece ends
         while len(alive):
             end = top[alive] + left[alive]
             here = starts[alive] + left[alive]
@@ -234,13 +262,11 @@ class Sampler:
             while len(beyond):
                 edge[beyond] += 1
                 beyond = beyond[u[beyond] >= share[edge[beyond]]]
-            out_place.append(here)
-            out_piece.append(piece[edge])
+            drawn[here] = piece[edge]
             left[alive] -= step[edge]
             alive = alive[left[alive] > 0]
-        place = np.concatenate(out_place)
-        order = np.argsort(place)
-        return np.concatenate(out_piece)[order], np.searchsorted(place[order], at, side="right")
+        place = np.flatnonzero(drawn >= 0)
+        return drawn[place], np.searchsorted(place, at, side="right")
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the texts of all rows, and where each begins, with the end."""

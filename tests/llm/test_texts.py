@@ -187,6 +187,29 @@ def test_pieces_are_drawn_by_weight():
         assert abs(got[path] / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-4
 
 
+def test_texts_are_followed_no_further_than_some_piece_goes(monkeypatch):
+    """All pieces that end at each place are found, with a few hashes looked up for each byte, not one for every length of a piece."""
+    rng = np.random.default_rng(3)
+    words = [" " + w for t in ODD if t for w in t.split(" ")] + [" " + "".join(chr(c) for c in rng.integers(97, 123, n)) for n in (1, 2, 30, 500, 2000)]
+    words = [w.encode() for w in dict.fromkeys(words) if w != " "]
+    sampler, asked = pieces.Sampler(PIECES, 1.0, 1), []
+    find = pieces.Pieces.find
+    monkeypatch.setattr(pieces.Pieces, "find", lambda self, hashes: asked.append(len(hashes)) or find(self, hashes))
+    for chunk in W.chunks(pa.array([w[1:].decode() for w in words])):
+        sampler.encode(chunk, np.arange(len(chunk.rows), dtype=np.uint64))
+    assert sum(asked) < 8 * sum(map(len, words))
+
+    p, lattices = sampler.pieces, sampler.lattices
+    usable = {p.bytes[p.at[i]: p.at[i + 1]].tobytes(): i for i in p.ids[p.ids >= 0].tolist()}
+    first, piece = [*lattices.edge_at.used.tolist(), lattices.share.size], lattices.piece.used.tolist()
+    for w in (w for w in words if pieces.SPACE not in w and len(w) < 600):
+        chunk = W.Chunk(range(0), np.frombuffer(w, np.uint8), np.zeros(1, np.int64))
+        top = int(lattices.words.find(chunk.span(chunk.prefix(), np.array([0]), np.array([len(w)])))[0])
+        for end in range(1, len(w) + 1):
+            got = {i for i in piece[first[top + end]: first[top + end + 1]] if i not in set(p.byte_id.tolist())}
+            assert got == {usable[w[s:end]] for s in range(end) if w[s:end] in usable}
+
+
 # -- packing ----------------------------------------------------------------------------------------------------------------------
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
