@@ -8,6 +8,8 @@ An item is a document or one of its lines, its set the distinct hashes of its wo
    tokens compare by rarity and still tell all shingles apart. What many items share stands out in its range at every corpus size.
 2. ``lists`` sends the tokens in the prefix of each set (which two similar sets must share a token of) to their index lists, with the
    size of the set and the position of the token. A task sends each node once, and tokens of crowded ranges are dealt to several places.
+   Nearly all lists have one entry, so entries travel in blocks by part (a hash of the list), and each part, of a size that does not grow with the
+   corpus, drops those.
 3. ``near_pairs`` compares each entry with the head of its list and the entry before it only; ``verify`` counts the overlap on whole sets.
    So a crowd of similar sets costs a few pairs per entry, and its answers (a component, or that an earlier match is known)
    hold for all that remain.
@@ -36,6 +38,8 @@ from cohortry.llm.tables import stage
 
 #: Ranges of hashes that are counted, the expected entries of a list above which it is dealt to places, and bits of the bitmap.
 RANGES, CROWDED, BITMAP = 1 << 16, 20_000, 1 << 26
+#: Entries of lists in a part, about, and those that a task gathers before it sends them.
+PART, SENT = 1 << 18, 1 << 19
 #: Where the place of a list is in its key, in bits.
 PLACE_AT = 24
 #: What the low bits of an item's id and number are multiplied by for its bit in the bitmap.
@@ -107,6 +111,46 @@ def digests(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np
     return W.mix((total[bounds[1:]] - total[bounds[:-1]]) ^ W.mix(size.astype(np.uint64), 12), 13).view(np.int64), size
 
 
+def _place_of(tokens: np.ndarray, node: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Where an entry of a list that is dealt to places stands, -1 in others; ``places`` has their number by rank of the token's range."""
+    spread = places[(tokens >> np.uint64(48)).astype(np.int64)]
+    return np.where(spread > 1, (node.view(np.uint64) % spread.astype(np.uint64)).astype(np.int32), -1).astype(np.int32)
+
+
+def _entries(key: np.ndarray, node: np.ndarray, stands: np.ndarray, ord: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """Whole lists, sorted by key: each node once, with the entry before it and the head of the list. Those with one node go, unless dealt to
+    places. A set with few tokens of its own has a shared token early: the original of a crowd of near copies stands at the head."""
+
+    def starts(*columns: np.ndarray) -> np.ndarray:
+        return np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)) if len(columns[0]) else np.zeros(0, bool)
+
+    def dealt(key: np.ndarray) -> np.ndarray:
+        return places[(key.view(np.uint64) >> np.uint64(48)).astype(np.int64)] > 1
+
+    def several(key: np.ndarray) -> np.ndarray:
+        new = starts(key)
+        return np.flatnonzero(~(new & np.append(new[1:], True)) | dealt(key)) if len(key) else np.zeros(0, np.int64)
+
+    some = several(key)
+    # tasks that sent the same node are merged
+    some = some[np.lexsort((ord[some], node[some], key[some]))]
+    some = some[starts(key[some], node[some])]
+    some = some[several(key[some])]
+    some = some[np.lexsort((node[some], ord[some], stands[some] & 0xFFFFFFFF, key[some]))]
+    key, node, stands, ord = key[some], node[some], stands[some], ord[some]
+    place = _place_of(key.view(np.uint64), node, places)
+    size, pos = (stands >> 32).astype(np.int32), (stands & 0xFFFFFFFF).astype(np.int32)
+    new, at = starts(key), np.arange(len(key))
+    head = np.maximum.accumulate(np.where(new, at, 0)) if len(key) else at
+
+    def entry(of: np.ndarray, mask: np.ndarray | None = None) -> pa.StructArray:
+        return pa.StructArray.from_arrays([pa.array(node[of]), pa.array(size[of]), pa.array(pos[of])], ["node", "size", "pos"], mask=None if mask is None else pa.array(mask))
+
+    token = key ^ np.maximum(place, 0).astype(np.int64) << PLACE_AT
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(place), pa.array(node), pa.array(size), pa.array(pos), pa.array(ord), entry(np.maximum(at - 1, 0), new), entry(head)],
+                                      ["token", "place", "node", "size", "pos", "ord", "before", "head"])
+
+
 class Job:
     """One join: the table, its columns, what an item is, words per shingle, and the similarity ``num / den``."""
 
@@ -174,8 +218,23 @@ class Job:
         job, num, den = _Light(self), self.num, self.den
         places = np.maximum(1, -(-self.counts // CROWDED))[np.argsort(self.rank)]  # by rank
 
+        parts = int(-(-self.counts.sum() * (den - num) // (den * PART))) or 1
+
+        def blocks(held: list[np.ndarray]) -> pa.RecordBatch:
+            """Entries, columns of four numbers, as a row for each part."""
+            entries = np.concatenate(held, axis=1)
+            # numbers of two bytes are sorted in linear time
+            part = (W.mix(entries[0].view(np.uint64), 19) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            entries = entries[:, order]
+            full = np.flatnonzero(np.diff(cuts))
+            made = [entries[:, cuts[k]: cuts[k + 1]].tobytes() for k in full.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(made, pa.binary())], ["part", "entries"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
+            held, n = [], 0
             for batch in batches:
                 ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
                 for rows, _, hashes, first in job.items(batch.column(1)):
@@ -189,29 +248,27 @@ class Job:
                     bounds = np.searchsorted(row, np.arange(len(rows)))
                     pos = np.arange(len(row)) - bounds[row]
                     prefix = size - -(-size * num // den) + 1
-                    keep = new[row] & (pos < prefix[row])
+                    keep = np.flatnonzero(new[row] & (pos < prefix[row]))
                     tokens, row, pos = tokens[keep], row[keep], pos[keep]
-                    spread = places[(tokens >> np.uint64(48)).astype(np.int64)]
-                    place = np.where(spread > 1, (node[row].view(np.uint64) % spread.astype(np.uint64)).astype(np.int32), -1).astype(np.int32)
                     # a list's key is its token with the place in the middle bits, which say nothing of rarity
-                    key = tokens ^ np.maximum(place, 0).astype(np.uint64) << np.uint64(PLACE_AT)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place), pa.array(node[row]), pa.array(size[row].astype(np.int32)),
-                                                      pa.array(pos.astype(np.int32)), pa.array(ids[rows[row]])],
-                                                     ["key", "place", "node", "size", "pos", "ord"])
-
-        sent = self.rows.mapInArrow(run, "key long, place int, node long, size int, pos int, ord long")
-        # most lists have one entry, and go before anything else is done, sorted by one number only; tasks that sent the same node are
-        # merged without another exchange
-        alone = Window.partitionBy("key")
-        sent = sent.repartition("key").select("*", F.min("node").over(alone).alias("low"), F.max("node").over(alone).alias("high"))
-        sent = sent.where("low < high or place >= 0").drop("low", "high")
-        entries = sent.groupBy("key", "place", "node", "size", "pos").agg(F.min("ord").alias("ord"))
-        # a set with few tokens of its own has a shared token early: the original of a crowd of near copies stands at the head
-        order = Window.partitionBy("key").orderBy("pos", "ord", "node")
-        entry = F.struct("node", "size", "pos")
-        entries = entries.select("*", F.lag(entry).over(order).alias("before"), F.first(entry).over(order).alias("head"))
-        token = F.col("key").bitwiseXOR(F.shiftleft(F.greatest("place", F.lit(0)).cast("long"), PLACE_AT)).alias("token")
-        return stage(entries.select(token, "place", "node", "size", "pos", "ord", "before", "head"), "lists")
+                    key = tokens ^ np.maximum(_place_of(tokens, node[row], places), 0).astype(np.uint64) << np.uint64(PLACE_AT)
+                    held.append(np.stack([key.view(np.int64), node[row], size[row] << 32 | pos, ids[rows[row]]]))
+                    n += len(key)
+                    if n >= SENT:
+                        yield blocks(held)
+                        held, n = [], 0
+            if n:
+                yield blocks(held)
+
+        def compare(part: pa.Table) -> pa.Table:
+            entries = np.concatenate([np.frombuffer(b.as_buffer(), np.int64).reshape(4, -1) for b in part.column("entries")], axis=1)
+            return pa.Table.from_batches([_entries(*entries[:, np.argsort(entries[0])], places)])
+
+        # entries travel some hundreds to a row; a part holds whole lists, and there are as many parts as keep them small
+        sent = self.rows.mapInArrow(run, "part int, entries binary")
+        entry = "struct<node: long, size: int, pos: int>"
+        made = sent.groupBy("part").applyInArrow(compare, f"token long, place int, node long, size int, pos int, ord long, before {entry}, head {entry}")
+        return stage(made, "lists")
 
     def possible(self, a: str, b: str) -> Column:
         """Whether two entries of a list may be similar, by their sizes and positions."""
@@ -269,12 +326,12 @@ class Job:
         # of their side go before the join
         room = (F.col("size") - F.col("pos")) * (self.num + self.den)
         first = room >= 2 * self.num * F.col("size")
-        small = entries.where(first).select("token", band.alias("band"), *[F.col(c).alias(f"s_{c}") for c in ("node", "size", "pos", *more)])
-        # a set's partners of no greater size are in its own band of sizes or in the one below
+        # a set's partners of no smaller size are in its own band of sizes or in the one above
+        small = (entries.where(first).select("token", F.explode(F.array(band, band + 1)).alias("band"),
+                                             *[F.col(c).alias(f"s_{c}") for c in ("node", "size", "pos", *more)]))
         most = F.greatest(F.floor(room / self.num) - F.col("size"), F.lit(1))
         top = F.least(band, F.floor(F.log(most.cast("double")) / ratio).cast("int") + 1)
-        large = (entries.where(top >= band - 1).select("token", F.explode(F.sequence(band - 1, top)).alias("band"),
-                                                       *[F.col(c).alias(f"l_{c}") for c in ("node", "size", "pos", *more)]))
+        large = entries.where(top >= band - 1).select("token", band.alias("band"), *[F.col(c).alias(f"l_{c}") for c in ("node", "size", "pos", *more)])
         ordered = (F.col("s_size") < F.col("l_size")) | (F.col("s_size") == F.col("l_size")) & (F.col("s_node") < F.col("l_node"))
         alike = F.col("s_size") * self.den >= F.col("l_size") * self.num
         met = large.join(small, ["token", "band"]).where(ordered & alike & self.possible("s_", "l_") & self.apart() & is_open("s_", "l_") & self.near_signatures())

@@ -17,10 +17,6 @@ CHUNK = 1 << 19
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-#: What a byte counts for in the running hash, as it is and in lower case.
-_VALUES = {False: np.arange(1, 257, dtype=np.uint64), True: _LOWER.astype(np.uint64) + np.uint64(1)}
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
 #: Everything but ASCII letters and bytes of other characters, for words without marks and digits.
@@ -90,10 +86,13 @@ class Chunk:
         self.row = np.repeat(np.arange(len(rows)), np.diff(self.first))
 
     def prefix(self, lower: bool = False) -> np.ndarray:
-        """Running hash before each byte, for ``span``."""
+        """Running hash before each byte, for ``span``; ``lower`` takes A-Z for a-z. A byte counts for its value and one."""
         out = np.zeros(len(self.data) + 1, np.uint64)
         sums = out[1:]
-        np.take(_VALUES[lower], self.data, out=sums, mode="clip")
+        data = self.data
+        if lower:  # bytes below A are large numbers after the subtraction
+            data = data + ((data - np.uint8(65) < 26).view(np.uint8) << 5)
+        np.add(data, np.uint64(1), out=sums)
         sums *= powers(len(out))[0][: len(sums)]
         np.cumsum(sums, out=sums)
         return out

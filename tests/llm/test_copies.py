@@ -182,6 +182,47 @@ def test_lists_are_the_same_with_places(docs, monkeypatch):
     assert plain <= {e[:4] for e in dealt}
 
 
+@pytest.mark.parametrize("crowded", [20_000, 4])
+def test_lists_travel_in_blocks(spark, docs, monkeypatch, crowded):
+    """Lists are those that a plain count gives, entries and neighbours, without an exchange or a window of single entries."""
+    made = []
+    monkeypatch.setattr(similar, "CROWDED", crowded)
+    monkeypatch.setattr(similar, "PART", 500)
+    monkeypatch.setattr(similar, "SENT", 300)
+    job = similar.Job(docs, similar.lines, 5, 80, 100)
+    job.survey(blank=False)
+    stage = similar.stage
+    monkeypatch.setattr(similar, "stage", lambda df, label: made.append(df) or stage(df, label))
+    got = job.lists().collect()
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "part#" in plan
+
+    # a task names the first item that it sees of those with a set
+    want, owners, least = {}, defaultdict(set), {r.node: r.ord for r in got}
+    table = docs.select("doc_id", "text").toArrow().combine_chunks()
+    ids, texts = table.column(0).combine_chunks().fill_null(0).to_numpy(), table.column(1).combine_chunks()
+    for rows, _, hashes, first in similar.lines(texts):
+        tokens, row = job.tokens(hashes, first)
+        node, size = job._node_of(tokens, row, len(rows))
+        for k in range(len(rows)):
+            own = tokens[row == k].view(np.int64).tolist()
+            owners[int(node[k])].add(int(ids[rows[k]]))
+            for pos, token in enumerate(own[: len(own) - -(-len(own) * 80 // 100) + 1]):
+                want.setdefault(token, {})[int(node[k])] = (len(own), pos)
+    places = np.maximum(1, -(-job.counts // crowded))[np.argsort(job.rank)]
+    spread = {token: int(places[(token & (1 << 64) - 1) >> 48]) for token in want}
+    lists = {}
+    for token, entries in want.items():
+        for node, (size, pos) in entries.items():
+            place = (node & (1 << 64) - 1) % spread[token] if spread[token] > 1 else -1
+            lists.setdefault((token, place), []).append((pos, least.get(node, 0), node, size))
+    lists = {at: sorted(held) for at, held in lists.items() if len(held) > 1 or at[1] >= 0}
+    assert all(r.ord in owners[r.node] for r in got)
+    entry = lambda e: e and (e[2], e[3], e[0])
+    plain = {(token, place, *entry(e), e[1], held[i - 1][2:] + held[i - 1][:1] if i else None, entry(held[0])) for (token, place), held in lists.items() for i, e in enumerate(held)}
+    assert len(got) == len(plain) and {(*r[:6], r.before and tuple(r.before), tuple(r.head)) for r in got} == plain
+
+
 def test_distinct_values_that_differ_in_their_last_bits():
     rng = np.random.default_rng(1)
     values, row = rng.integers(0, 1 << 64, 2000, np.uint64), np.sort(rng.integers(0, 50, 2000))
