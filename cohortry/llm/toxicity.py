@@ -38,6 +38,8 @@ PARTS = 1 + len(PREFIXES)
 SLICE = 1 << 16
 #: Labelled rows of a shard in learning, steps of the score before calibration for one unit, and the largest such score told apart.
 SHARD, STEPS, FAR = 4096, 1024, 32
+#: Bits of the marks of labelled ids.
+MARKS = 1 << 26
 
 
 @dataclass
@@ -97,6 +99,17 @@ def forward(model: Model, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([pooled(values[w], first) for w in WIDTHS], axis=1) @ model.output + model.bias
 
 
+def among(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The ``rows`` whose id has its mark set by an id of ``known``: all that are in both, and a few others, the more the more ids there are.
+
+    So nearly all texts without a label go where they are read. The marks are at most ``MARKS`` / 64 rows of two numbers, at any scale."""
+    spot = F.xxhash64("id").bitwiseAND(F.lit(MARKS - 1))
+    at, bit = F.shiftright(spot, 6), spot.bitwiseAND(F.lit(63)).cast("int")
+    marks = known.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mark"))
+    met = rows.withColumns({"at": at, "bit": bit}).join(F.broadcast(marks), "at")
+    return met.where(F.expr("shiftrightunsigned(mark, bit) & 1L = 1L")).select(*rows.columns)
+
+
 def gather(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None, id_col: str, text_col: str, lang_col: str | None, label: str) -> DataFrame:
     """``(id, label, lang, text, aside, shard)`` of what is learned from, written in the order of hashes in each shard."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label"))
@@ -109,12 +122,17 @@ def gather(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None, id_c
         known = chosen
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
+    known = stage(known, "known")
     shards = max(1, -(-known.count() // SHARD))
-    rows = rows.where(F.col("text").isNotNull() & ~held_out(F.col("id"))).repartition(shards, "id").join(known, "id")
-    # rows that repeat an id count once
-    rows = rows.groupBy("id", "label").agg(F.min(F.struct("text", "lang")).alias("row")).repartition(shards, "id").sortWithinPartitions(F.xxhash64("id"), "id")
-    return stage(rows.select("id", "label", "row.lang", "row.text", (F.pmod(F.xxhash64("id", F.lit(21)), F.lit(4)) == 0).alias("aside"),
-                             F.spark_partition_id().alias("shard")), "labelled")
+    rows = among(rows.where(F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))), known)
+    # labels and texts meet in their shard, so texts travel once; rows that repeat an id count once
+    both = rows.unionByName(known, allowMissingColumns=True).repartition(shards, "id")
+    rows = both.groupBy("id").agg(F.max("label").alias("label"), F.min(F.when(F.col("text").isNotNull(), F.struct("text", "lang"))).alias("row"))
+    rows = rows.where("label is not null and row is not null").sortWithinPartitions(F.xxhash64("id"), "id")
+    out = stage(rows.select("id", "label", "row.lang", "row.text", (F.pmod(F.xxhash64("id", F.lit(21)), F.lit(4)) == 0).alias("aside"),
+                            F.spark_partition_id().alias("shard")), "labelled")
+    discard(known.sparkSession, known)
+    return out
 
 
 def learned(rows: DataFrame) -> DataFrame:

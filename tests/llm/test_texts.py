@@ -127,6 +127,27 @@ def test_toxicity_is_learned_from_every_labelled_row(spark, monkeypatch):
         assert score[-1] > 0.9
 
 
+@pytest.mark.parametrize("marks", [1 << 26, 64])
+def test_toxicity_moves_texts_of_labelled_rows_once(spark, monkeypatch, marks):
+    """Unlabelled texts go where they are read, as far as marks tell them apart; what is learned from is the same with few marks."""
+    docs = spark.createDataFrame([(i, t, "en") for i in range(3000) for t in [f"text {i}", *["again", None][: i % 3]]] + [(None, "no id", "en")],
+                                 "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 4000, 40)] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "MARKS", marks)
+    monkeypatch.setattr(toxicity, "SHARD", 16)
+    plans, stage = [], toxicity.stage
+    monkeypatch.setattr(toxicity, "stage", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, label))
+    rows = toxicity.gather(docs, labels, None, "doc_id", "text", "lang", "toxic")
+    known = {i: zlib.crc32(str(i).encode()) % 5 for i in range(0, 4000, 40)}
+    want = {i: (i % 2, "again" if i % 3 else f"text {i}") for i, k in known.items() if k and i < 3000}
+    got = rows.collect()
+    assert {r.id: (r.label, r.text) for r in got} == want and len(got) == len(want) and {r.shard for r in got} <= set(range(6))
+    assert plans[-1].count("Exchange hashpartitioning(id") == 1 and "SortMergeJoin" not in plans[-1]
+    ids = spark.range(3000)
+    kept = {r.id for r in toxicity.among(ids, spark.createDataFrame([(i,) for i in want], "id long")).collect()}
+    assert set(want) <= kept and (marks == 64 or len(kept) < len(want) + 20)
+
+
 def test_threshold_and_calibration_of_counted_rows():
     rng = np.random.default_rng(3)
     z, y, n = rng.normal(size=200).round(1), rng.integers(0, 2, 200), rng.integers(1, 9, 200)
