@@ -58,7 +58,7 @@ def documents(column: pa.Array, wanted: Wanted | None = None) -> Iterator[tuple[
         at = at[wanted(at, np.zeros(len(at), np.int64))]
         column = column.take(pa.array(at))
     for chunk in W.chunks(column):
-        yield at[chunk.rows.start: chunk.rows.stop], np.zeros(len(chunk.rows), np.int64), chunk.words(lower=True), chunk.first
+        yield at[chunk.rows.start: chunk.rows.stop], np.zeros(len(chunk.rows), np.int64), chunk.names(), chunk.first
 
 
 def lines(column: pa.Array, wanted: Wanted | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -72,7 +72,7 @@ def lines(column: pa.Array, wanted: Wanted | None = None) -> Iterator[tuple[np.n
             texts, row, number = texts.take(pa.array(at)), row[at], number[at]
         for chunk in W.chunks(texts):
             at = slice(chunk.rows.start, chunk.rows.stop)
-            yield row[at], number[at], chunk.words(lower=True), chunk.first
+            yield row[at], number[at], chunk.names(), chunk.first
 
 
 #: Words of 64 bits in a signature, by kind of item: long sets need more bits to be told apart.
@@ -80,15 +80,16 @@ SIGNED = {documents: 4, lines: 2}
 
 
 def signatures(values: np.ndarray, row: np.ndarray, n: int, words: int) -> list[np.ndarray]:
-    """The parity of each item's hashes at each bit, ``words`` columns of 64."""
+    """The parity of each item's hashes at each bit, ``words`` columns of 64, a power of two."""
     bounds = np.searchsorted(row, np.arange(n + 1))
     full = np.flatnonzero(np.diff(bounds))
-    place, bit = W.mix(values, 17), np.uint64(1) << (values & np.uint64(63))
+    # hashes are spread evenly, so their low bits say which bit of which word
+    place, bit = values >> np.uint64(6) & np.uint64(words - 1), np.uint64(1) << (values & np.uint64(63))
     out = []
     for k in range(words):
         own = np.zeros(n, np.uint64)
         if len(full):
-            own[full] = np.bitwise_xor.reduceat(np.where(place % np.uint64(words) == k, bit, np.uint64(0)), bounds[full])
+            own[full] = np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), bounds[full])
         out.append(own.view(np.int64))
     return out
 
@@ -117,30 +118,31 @@ def _place_of(tokens: np.ndarray, node: np.ndarray, places: np.ndarray) -> np.nd
     return np.where(spread > 1, (node.view(np.uint64) % spread.astype(np.uint64)).astype(np.int32), -1).astype(np.int32)
 
 
-def _entries(key: np.ndarray, node: np.ndarray, stands: np.ndarray, ord: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """Whole lists, sorted by key: each node once, with the entry before it and the head of the list. Those with one node go, unless dealt to
-    places. A set with few tokens of its own has a shared token early: the original of a crowd of near copies stands at the head."""
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    return np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)) if len(columns[0]) else np.zeros(0, bool)
+
 
-    def starts(*columns: np.ndarray) -> np.ndarray:
-        return np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)) if len(columns[0]) else np.zeros(0, bool)
+def _several(key: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which entries, sorted by key, are of a list with two or more, or of one that is dealt to places."""
+    new = _starts(key)
+    dealt = places[(key.view(np.uint64) >> np.uint64(48)).astype(np.int64)] > 1
+    return np.flatnonzero(~(new & np.append(new[1:], True)) | dealt) if len(key) else np.zeros(0, np.int64)
 
-    def dealt(key: np.ndarray) -> np.ndarray:
-        return places[(key.view(np.uint64) >> np.uint64(48)).astype(np.int64)] > 1
 
-    def several(key: np.ndarray) -> np.ndarray:
-        new = starts(key)
-        return np.flatnonzero(~(new & np.append(new[1:], True)) | dealt(key)) if len(key) else np.zeros(0, np.int64)
+def _entries(key: np.ndarray, node: np.ndarray, stands: np.ndarray, ord: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """Whole lists, sorted by key: each node once, with the entry before it and the head of the list. Those with one node go, unless dealt to
+    places. A set with few tokens of its own has a shared token early: the original of a crowd of near copies stands at the head."""
 
-    some = several(key)
+    some = _several(key, places)
     # tasks that sent the same node are merged
     some = some[np.lexsort((ord[some], node[some], key[some]))]
-    some = some[starts(key[some], node[some])]
-    some = some[several(key[some])]
+    some = some[_starts(key[some], node[some])]
+    some = some[_several(key[some], places)]
     some = some[np.lexsort((node[some], ord[some], stands[some] & 0xFFFFFFFF, key[some]))]
     key, node, stands, ord = key[some], node[some], stands[some], ord[some]
     place = _place_of(key.view(np.uint64), node, places)
     size, pos = (stands >> 32).astype(np.int32), (stands & 0xFFFFFFFF).astype(np.int32)
-    new, at = starts(key), np.arange(len(key))
+    new, at = _starts(key), np.arange(len(key))
     head = np.maximum.accumulate(np.where(new, at, 0)) if len(key) else at
 
     def entry(of: np.ndarray, mask: np.ndarray | None = None) -> pa.StructArray:
@@ -176,7 +178,7 @@ class Job:
             for batch in batches:
                 ids = batch.column(0)
                 for rows, item, hashes, first in items(batch.column(1)):
-                    values, row = W.distinct(*W.grams(hashes, first, shingle))
+                    values, row = W.distinct(*W.shingles(hashes, first, shingle))
                     counts += np.bincount((values >> np.uint64(48)).astype(np.int64), minlength=RANGES)
                     node, size = digests(values, row, len(rows))
                     at = np.arange(len(rows)) if blank else np.flatnonzero(size)
@@ -197,18 +199,16 @@ class Job:
         self.counts = counts
         rank = np.empty(RANGES, np.uint64)
         rank[np.argsort(counts, kind="stable")] = np.arange(RANGES, dtype=np.uint64)
-        self.rank = rank
+        self.rank, self.back = rank, np.argsort(rank).astype(np.uint64)
         return both.where("not counts").drop("counts"), rank
 
     def tokens(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct tokens of each item, rarest first."""
-        values, row = W.grams(hashes, first, self.shingle)
+        values, row = W.shingles(hashes, first, self.shingle)
         return W.distinct(self.rank[(values >> np.uint64(48)).astype(np.int64)] << np.uint64(48) | values & np.uint64((1 << 48) - 1), row)
 
     def _node_of(self, tokens: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        back = np.empty(RANGES, np.uint64)
-        back[self.rank.astype(np.int64)] = np.arange(RANGES, dtype=np.uint64)
-        values = back[(tokens >> np.uint64(48)).astype(np.int64)] << np.uint64(48) | tokens & np.uint64((1 << 48) - 1)
+        values = self.back[(tokens >> np.uint64(48)).astype(np.int64)] << np.uint64(48) | tokens & np.uint64((1 << 48) - 1)
         return digests(values, row, n)
 
     # -- index lists --------------------------------------------------------------------------------------------------------------
@@ -240,11 +240,11 @@ class Job:
                 for rows, _, hashes, first in job.items(batch.column(1)):
                     tokens, row = job.tokens(hashes, first)
                     node, size = job._node_of(tokens, row, len(rows))
+                    names, at = np.unique(node, return_index=True)
+                    names = names.tolist()
                     new = np.zeros(len(rows), bool)
-                    for k, name in enumerate(node.tolist()):
-                        if size[k] and name not in seen:
-                            seen.add(name)
-                            new[k] = True
+                    new[at[[name not in seen for name in names]]] = True
+                    seen.update(names)
                     bounds = np.searchsorted(row, np.arange(len(rows)))
                     pos = np.arange(len(row)) - bounds[row]
                     prefix = size - -(-size * num // den) + 1
@@ -262,7 +262,10 @@ class Job:
 
         def compare(part: pa.Table) -> pa.Table:
             entries = np.concatenate([np.frombuffer(b.as_buffer(), np.int64).reshape(4, -1) for b in part.column("entries")], axis=1)
-            return pa.Table.from_batches([_entries(*entries[:, np.argsort(entries[0])], places)])
+            order = np.argsort(entries[0])
+            key = entries[0][order]
+            # nearly all lists have one entry: of the others alone the rest of the numbers is looked at
+            return pa.Table.from_batches([_entries(*entries[:, order[_several(key, places)]], places)])
 
         # entries travel some hundreds to a row; a part holds whole lists, and there are as many parts as keep them small
         sent = self.rows.mapInArrow(run, "part int, entries binary")
@@ -459,7 +462,7 @@ class _Light:
     """What tasks need of a job."""
 
     def __init__(self, job: Job):
-        self.items, self.shingle, self.rank = job.items, job.shingle, job.rank
+        self.items, self.shingle, self.rank, self.back = job.items, job.shingle, job.rank, job.back
 
     tokens = Job.tokens
     _node_of = Job._node_of

@@ -19,6 +19,9 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
+#: Words of more bytes take their name from the running hash; masks of the first 0 to 8 bytes of a number.
+LONG = 64
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Everything but ASCII letters and bytes of other characters, for words without marks and digits.
 NOT_LETTERS = np.ones(256, bool)
 NOT_LETTERS[65:91] = NOT_LETTERS[97:123] = NOT_LETTERS[128:] = False
@@ -28,9 +31,18 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit values that spreads them evenly."""
     with np.errstate(over="ignore"):
         x = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        if not isinstance(x, np.ndarray):
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return x ^ (x >> np.uint64(31))
+        # arrays in place, with one more beside them
+        y = x >> np.uint64(30)
+        x ^= y
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= np.right_shift(x, np.uint64(27), out=y)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= np.right_shift(x, np.uint64(31), out=y)
+        return x
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +83,8 @@ class Chunk:
     def __init__(self, rows: range, data: np.ndarray, at: np.ndarray, separator: np.ndarray = _SEPARATOR):
         self.rows, self.data, self.at = rows, data, at
         n = len(data)
-        word = ~separator[data]
+        # the separators of words by comparisons, which need no table
+        word = (data != 32) & (data - np.uint8(9) > 4) if separator is _SEPARATOR else ~separator[data]
         edge = np.zeros(n + 1, bool)
         edge[at] = True
         before = np.empty(n, bool)
@@ -85,13 +98,15 @@ class Chunk:
         self.first = np.searchsorted(self.starts, at)
         self.row = np.repeat(np.arange(len(rows)), np.diff(self.first))
 
+    def lowered(self) -> np.ndarray:
+        """The bytes with a-z for A-Z; those below A are large numbers after the subtraction."""
+        return self.data + ((self.data - np.uint8(65) < 26).view(np.uint8) << 5)
+
     def prefix(self, lower: bool = False) -> np.ndarray:
         """Running hash before each byte, for ``span``; ``lower`` takes A-Z for a-z. A byte counts for its value and one."""
         out = np.zeros(len(self.data) + 1, np.uint64)
         sums = out[1:]
-        data = self.data
-        if lower:  # bytes below A are large numbers after the subtraction
-            data = data + ((data - np.uint8(65) < 26).view(np.uint8) << 5)
+        data = self.lowered() if lower else self.data
         np.add(data, np.uint64(1), out=sums)
         sums *= powers(len(out))[0][: len(sums)]
         np.cumsum(sums, out=sums)
@@ -105,6 +120,27 @@ class Chunk:
     def words(self, lower: bool = False) -> np.ndarray:
         return self.span(self.prefix(lower), self.starts, self.ends)
 
+    def names(self) -> np.ndarray:
+        """Hash of each word with a-z for A-Z, other than those of ``words`` and from eight bytes at a time; words of more than ``LONG``
+        bytes take theirs from ``span``."""
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[:-8] = self.lowered()
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        size = self.ends - self.starts
+        out = eight[self.starts] & _FIRST[np.minimum(size, 8)]
+        more = np.flatnonzero(size > 8)
+        for k in range(8, LONG, 8):
+            more = more[size[more] > k]
+            if not len(more):
+                break
+            out[more] = mix(out[more], 21) + (eight[self.starts[more] + k] & _FIRST[np.minimum(size[more] - k, 8)])
+        out += size.astype(np.uint64) * np.uint64(_BASE)
+        out = mix(out, 22)
+        far = more[size[more] > LONG]
+        if len(far):
+            out[far] = self.span(self.prefix(True), self.starts[far], self.ends[far])
+        return out
+
 
 def chunks(column: pa.Array, size: int = CHUNK, separator: np.ndarray = _SEPARATOR) -> Iterator[Chunk]:
     data, offsets = string_buffer(column)
@@ -171,6 +207,30 @@ def grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return out, of
 
 
+def shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``grams``, by hashes of another kind that cost less: weighted sums of the words' hashes, which must be spread evenly. In the order of
+    the words."""
+    counts = np.diff(first)
+    # a weight for each place, odd and without a pattern, so that other arrangements of the same words have other sums
+    weights = mix(np.arange(n, dtype=np.uint64), 23) | np.uint64(1)
+    sums = words * weights[0]
+    for k in range(1, n):
+        sums[: max(0, len(words) - k)] += words[k:] * weights[k]
+    row = np.repeat(np.arange(len(counts)), counts)
+    # a window stands where it begins, and a row with fewer words at its first
+    stands = np.zeros(len(words), bool)
+    stands[: max(0, len(words) - n + 1)] = row[: max(0, len(words) - n + 1)] == row[n - 1:]
+    short = np.flatnonzero((counts > 0) & (counts < n))
+    if len(short):
+        at = first[short]
+        h = words[at]
+        for k in range(1, n):
+            longer = np.flatnonzero(counts[short] > k)
+            h[longer] = mix(h[longer], k) ^ words[at[longer] + k]
+        sums[at], stands[at] = mix(h, n), True
+    return mix(sums[stands], n), row[stands]
+
+
 def distinct(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct values, rows in order, values of a row in order."""
     if not len(values):

@@ -1,9 +1,12 @@
 """Exact copies, near copies and repeated lines against plain forms."""
 
 import hashlib
+import random
+import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,3 +263,56 @@ def test_long_signatures_drop_only_pairs_that_differ(spark):
             both = len(np.intersect1d(sets[i], sets[j]))
             share = both / (len(sets[i]) + len(sets[j]) - both)
             assert (i, j) in kept if share >= 0.85 else share > 0.7 or (i, j) not in kept
+
+
+def test_names_of_words_tell_words_apart():
+    """Equal but for A-Z means an equal name, wherever the word stands; words of one to 200 bytes, with common beginnings, ends and zeros."""
+    rng = random.Random(6)
+    made = [bytes(rng.choice(b"aAbB\0") for _ in range(n)) for n in range(1, 200) for _ in range(4)] + [b"x" * n for n in range(1, 200)]
+    made += ["\u00e9t\u00e9".encode(), "\u00c9t\u00e9".encode(), b"z" * 63 + b"y", b"z" * 64, b"z" * 65, b"a\0", b"a", b"@[`{", b"`[@{"]
+    texts = [w.decode() for w in made] + [w.decode() + " tail" for w in made] + ["head " + w.decode() for w in made]
+    named = {}
+    for size in (40, 1 << 20):
+        for chunk in words.chunks(pa.array(texts, pa.string()), size):
+            data = chunk.data.tobytes()
+            for start, end, name in zip(chunk.starts.tolist(), chunk.ends.tolist(), chunk.names().tolist(), strict=True):
+                named.setdefault(data[start:end].lower(), set()).add(name)
+    assert {w.lower() for w in made} <= set(named) and {len(names) for names in named.values()} == {1}
+    assert len({name for names in named.values() for name in names}) == len(named)
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 7])
+def test_shingles_tell_windows_apart(n):
+    """Windows of few words, so that many are permutations of others; short rows are windows of their own, empty ones have none."""
+    rng = np.random.default_rng(8)
+    counts = np.append(rng.integers(0, 2 * n + 3, 300), [0, 0, 1, n, n - 1, 0])
+    first = np.append(0, np.cumsum(counts))
+    some = rng.integers(0, 3, first[-1])
+    values, row = words.shingles(words.mix(some.astype(np.uint64), 5), first, n)
+    assert (np.diff(row) >= 0).all()
+    want = [(k, tuple(own[i: i + n])) for k, own in enumerate(np.split(some.tolist(), first[1:-1])) for i in range(max(len(own) - n + 1, min(1, len(own))))]
+    assert row.tolist() == [k for k, _ in want]
+    names = {}
+    for (_, window), value in zip(want, values.tolist(), strict=True):
+        names.setdefault(window, set()).add(value)
+    assert {len(x) for x in names.values()} == {1} and len({v for x in names.values() for v in x}) == len(names)
+    # no words at all, and fewer than a window has
+    assert len(words.shingles(np.zeros(0, np.uint64), np.zeros(3, np.int64), n)[0]) == 0
+    assert len(words.shingles(np.ones(1, np.uint64), np.array([0, 1]), n)[0]) == 1
+
+
+def test_sets_cost_less_than_with_a_running_hash():
+    rng = random.Random(9)
+    column = pa.array([" ".join("x" * rng.randrange(1, 12) + str(rng.randrange(99)) for _ in range(12)) for _ in range(12_000)])
+
+    def cost(make):
+        spent = []
+        for _ in range(5):
+            begin = time.process_time()
+            for chunk in words.chunks(column):
+                make(chunk)
+            spent.append(time.process_time() - begin)
+        return min(spent)
+
+    old = cost(lambda c: words.grams(c.words(lower=True), c.first, 5))
+    assert cost(lambda c: words.shingles(c.names(), c.first, 5)) < 0.9 * old
