@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.cohorts import LINE_CATEGORICAL, LINE_NUMERIC
-from cohortry.operators import boosting, explain, fairness, metrics, rules
+from cohortry.operators import boosting, explain, fairness, metrics, rules, trees
 from cohortry.operators.boosting import BoostParams
 from cohortry.plans import evaluation, scoring, training
 from cohortry.session import shared_dir, stage
@@ -88,6 +88,49 @@ def test_one_task_and_one_job_a_level_give_the_same_trees(spark, toy, monkeypatc
             same_trees(one.trees, other.trees)
 
 
+def test_equal_rows_are_one():
+    """Rows that are equal in their bytes and label are one group, drawn by the hashes of all its rows, and give the trees of the single rows."""
+    rng = np.random.default_rng(4)
+    layout = trees.Layout(["a", "b", "l1", "l2"], [np.arange(1.0, 5), np.arange(1.0, 4), np.ones(1), np.ones(1)], [0, 1, 2, 2], [-1, -1, 1, 2], [5, 4, 3])
+    bins = np.stack([rng.integers(0, k, 3000) for k in layout.sizes], axis=1).astype(np.uint8)
+    y, inside = (rng.random(3000) < 0.1 + 0.15 * bins[:, 0]).astype(np.uint8), rng.random(3000) < 0.7
+    h = rng.integers(-(2**63), 2**63 - 1, 3000)
+    rows = trees.Merged.of(bins, y, h, inside)
+    assert len(rows.y) <= 120 and rows.inside.sum() == inside.sum() and rows.outside.sum() == (~inside).sum()
+    params = BoostParams(n_trees=30, max_depth=4, row_share=0.5, pos_weight=2.0, min_child_weight=1.0)
+    for share in (0.5, 1.0):
+        drawn, singly = rows.drawn(9, share), inside & trees.drawn_rows(h, 9, share)
+        for b, label, n in zip(rows.bins, rows.y, drawn, strict=True):
+            assert n == (singly & (bins == b).all(axis=1) & (y == label)).sum()
+    grown, margin = trees.grow_here(layout, rows, params)
+    own, draws = np.zeros(3000), trees.Draws(layout, params)  # the same trees from the sums of single rows
+    for t in range(30):
+        tree = trees.Tree(layout, params, draws.next())
+        used, at = inside & trees.drawn_rows(h, params.seed + t, 0.5), np.ones(3000, np.int64)
+        g, hess = trees.gradients(own, y, 2.0)
+        while len(tree.open):
+            tree.absorb(tree.open, trees.choose(tree, tree.open, trees.sums(tree, bins + layout.offset, at, used, g, hess)))
+            at = tree.step(bins, at)
+        own += tree.value[at] * params.learning_rate
+        same_trees([tree.nodes()], [grown[t]])
+    of = {(*b, label): m for b, label, m in zip(rows.bins.tolist(), rows.y.tolist(), margin)}
+    assert [of[*b, label] for b, label in zip(bins.tolist(), y.tolist())] == pytest.approx(own.tolist(), rel=1e-9)
+
+
+def test_more_rows_in_one_task(spark):
+    """A table of some hundred thousand rows is a few jobs, not one a level of every tree."""
+    df = spark.range(100_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(40)) / 4).alias("a"), F.pmod("id", F.lit(3)).cast("double").alias("b"))
+    df = df.withColumn("y", (F.pmod(F.xxhash64("id", "b"), F.lit(12)) < F.col("a")).cast("int"))
+    table = boosting.bin_table(df, ["a", "b"], "y", "id")
+    spark.sparkContext.setJobGroup("one task", "")
+    try:
+        model = boosting.fit(table, BoostParams(n_trees=20, max_depth=3))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one task")) < 10
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(model.trees) == 20 and model.trees[0][1].cover == pytest.approx(20_000, rel=0.02)
+
+
 def test_bundles_change_nothing(spark, toy):
     df, _, _ = toy
     levels = df.withColumns({f"l{k}": (F.pmod("id", F.lit(7)) == k).cast("double") for k in range(1, 7)})
@@ -192,6 +235,32 @@ def test_attributions_by_definition(spark, toy):
     assert explain.base_value(model) == pytest.approx(sum(b for _, b in want))
 
 
+def test_looked_up_like_walked(toy):
+    """Margins and attributions of many rows come from tables of cells, for trees of any size and for values that are no numbers."""
+    rng = np.random.default_rng(2)
+
+    def grow(i, depth, features):
+        if not depth:
+            return {i: boosting.Node(float(rng.normal()), float(rng.random() + 0.1))}
+        left, right = grow(2 * i, depth - 1, features), grow(2 * i + 1, depth - 1, features)
+        cover = left[2 * i].cover + right[2 * i + 1].cover
+        return {i: boosting.Node(0.0, cover, int(rng.integers(features)), 0, float(rng.integers(-3, 4)), 1.0), **left, **right}
+
+    forest = [grow(1, depth, features) for depth, features in ((3, 4), (4, 3), (0, 1), (6, 40), (2, 40))]
+    model = boosting.BoostedModel([f"f{i}" for i in range(40)], forest, 0.25)
+    assert [boosting.Cells(t, boosting.cuts_of(model)).count > 0 for t in forest] == [True, True, True, False, True]
+    x = rng.integers(-4, 5, (3000, 40)).astype(float)
+    x[::100, 0] = np.nan
+    want = np.full(3000, 0.25)
+    for tree in forest:
+        want += boosting.walk_values(tree, x)
+    assert boosting.margins(model, x).tolist() == want.tolist()
+    direct = explain.attributions([leaf for tree in forest for leaf in explain.leaves(tree)], x)
+    found = explain.Explainer(model)
+    assert np.abs(found(x) - direct).max() < 1e-12 and np.abs(found(x[:3]) - direct[:3]).max() < 1e-12
+    assert found.made is not None
+
+
 def test_attributions_add_up(spark, trained):
     rows = trained.scored.limit(50)
     tables = evaluation.explain_tables(trained.model, rows, "rid", None, family="categorical__segment_",
