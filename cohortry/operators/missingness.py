@@ -13,6 +13,10 @@ from cohortry.functions import expressions as X
 from cohortry.functions.special import chi_square_p, student_p
 from cohortry.operators.contingency import cell_counts, chi_square
 from cohortry.operators.profile import is_numeric, unfold
+from cohortry.session import discard, stage
+
+#: Tasks for each core in a step of a fit.
+FIT_TASKS = 4
 
 
 def pattern_columns(df: DataFrame, others: int = 5) -> list[str]:
@@ -120,7 +124,8 @@ def missing_share(df: DataFrame, target: str) -> DataFrame:
 def missing_odds(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """Logistic regression of the missing flag: coefficients, odds ratios, and how many rows had all inputs or lacked one.
 
-    Rows that lack an input cannot enter the model; they are counted, not dropped in silence.
+    Rows that lack an input cannot enter the model; they are counted, not dropped in silence. Equal rows are one with their number as
+    weight, written once; the steps of the fit then are jobs of a few tasks a core, so what the driver keeps of them doesn't grow with the table.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -129,9 +134,13 @@ def missing_odds(df: DataFrame, target: str, columns: Sequence[str]) -> DataFram
     whole = F.lit(True)
     for c in columns:
         whole = whole & F.col(c).isNotNull() & ~F.isnan(c)
-    sizes = known.agg(F.count_if(whole).alias("used"), F.count_if(~whole).alias("lacking")).first()
-    ready = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error").transform(known.filter(whole))
-    model = LogisticRegression(maxIter=50, regParam=0.0).fit(ready.select("label", "features"))
+    counted = stage(known.groupBy("label", *columns).agg(F.count("*").cast("double").alias("_n")), "rows")
+    sizes = counted.agg(F.coalesce(F.sum(F.when(whole, F.col("_n"))), F.lit(0)).alias("used"),
+                        F.coalesce(F.sum(F.when(~whole, F.col("_n"))), F.lit(0)).alias("lacking")).first()
+    few = counted.filter(whole).coalesce(FIT_TASKS * max(1, df.sparkSession.sparkContext.defaultParallelism))
+    ready = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error").transform(few)
+    model = LogisticRegression(maxIter=50, regParam=0.0, weightCol="_n").fit(ready.select("label", "features", "_n"))
+    discard(df.sparkSession, counted)
     rows = [(c, float(w)) for c, w in zip(["intercept", *columns], [model.intercept, *model.coefficients])]
     out = df.sparkSession.createDataFrame(rows, "feature string, coefficient double")
     return (out.withColumn("odds_ratio", F.exp("coefficient"))

@@ -150,3 +150,23 @@ def test_text_of_a_scored_record(spark):
     df = scoring.with_bands(spark.createDataFrame([(0.452,), (0.9,)], "probability double"))
     texts = [r["t"] for r in df.select(scoring.text_of(F.col("risk_level"), F.col("risk_percentage"), F.col("alert")).alias("t")).collect()]
     assert texts[0] == "Stroke Risk: 45.2% (MODERATE)" and texts[1].startswith("Stroke Risk: 90.0% (CRITICAL)\nCRITICAL ALERT")
+
+
+def test_missing_odds_in_few_tasks(spark):
+    """Equal rows are one with a weight, so the steps of the fit don't have the partitions of the table; rows lacking an input are counted."""
+    one = spark.range(600).select((F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 50 == 3, None).otherwise(F.col("id") % 3).alias("b"),
+                                  F.when(F.pmod(F.xxhash64("id"), F.lit(10)) < F.col("id") % 7, None).otherwise(1.0).alias("t"))
+    tables, tasks = [], []
+    for df in (one, one.crossJoin(spark.range(4)).drop("id").repartition(150)):
+        spark.sparkContext.setJobGroup(f"odds{len(tables)}", "")
+        try:
+            tables.append({r["feature"]: r.asDict() for r in missingness.missing_odds(df, "t", ["a", "b"]).collect()})
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(f"odds{len(tables) - 1}") for s in tracker.getJobInfo(j).stageIds}
+        tasks.append(sum(info.numTasks for s in stages if (info := tracker.getStageInfo(s))))
+    for name, row in tables[0].items():
+        assert tables[1][name]["coefficient"] == pytest.approx(row["coefficient"], rel=1e-5, abs=1e-7)
+        assert (row["n_used"], row["n_lacking"]) == (588, 12) and (tables[1][name]["n_used"], tables[1][name]["n_lacking"]) == (2352, 48)
+    assert tables[0]["a"]["coefficient"] > 0.1 and tasks[1] < 5 * 150
