@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.operators import neighbours, rules
-from cohortry.plans import features
+from cohortry.plans import catalog, features
 from cohortry.session import stage
 
 NUMERIC, CATEGORICAL = ["age", "avg_glucose_level", "bmi"], ["gender", "hypertension", "work_type", "smoking_status"]
@@ -205,3 +205,19 @@ def test_receivers_and_donors_that_lack_coordinates(spark):
             near = np.argsort(d2, kind="stable")[:5]
             assert out[i] == pytest.approx(np.average(donors[near, 2], weights=1 / np.sqrt(d2[near])), rel=1e-9)
         assert out[i] is not None
+
+
+def test_large_imputation_makes_its_rows_once(spark):
+    """The cohort, a join of four tables, is computed once and not for every pass over it."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        made.add(1)
+        return float(v % 50)
+
+    rows = spark.range(400).select(F.col("id").cast("string").alias("rid"), counted("id").alias("qty"), (F.col("id") % 90).cast("double").alias("price"),
+                                   F.when(F.col("id") % 8 > 0, (F.col("id") % 9).cast("double")).alias("rate"))
+    out = catalog.knn_impute_large(rows).collect()
+    assert len(out) == 400 and all(r["rate"] is not None for r in out)
+    assert made.value == 400
