@@ -131,6 +131,20 @@ def test_more_rows_in_one_task(spark):
     assert len(model.trees) == 20 and model.trees[0][1].cover == pytest.approx(20_000, rel=0.02)
 
 
+def test_search_over_more_rows_in_one_task_a_fit(spark):
+    """The fits of a search over some ten thousand rows a fold are one job together."""
+    df = spark.range(70_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(40)) / 4).alias("a"), F.pmod("id", F.lit(2)).cast("int").alias("fold"))
+    df = df.withColumn("y", (F.pmod(F.xxhash64("id", "a"), F.lit(12)) < F.col("a")).cast("int"))
+    tables = [boosting.bin_table(df, ["a"], "y", "id", keep=["fold"], fit_on=F.col("fold") != k) for k in range(2)]
+    spark.sparkContext.setJobGroup("search", "")
+    try:
+        found = boosting.validate(tables, [BoostParams(n_trees=n, max_depth=2) for n in (15, 5)])
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("search")) < 20
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r[:2] for r in found] == [(0, 0), (0, 1), (1, 0), (1, 1)] and all(0.8 < x < 1 for r in found for x in r[2:])
+
+
 def test_bundles_change_nothing(spark, toy):
     df, _, _ = toy
     levels = df.withColumns({f"l{k}": (F.pmod("id", F.lit(7)) == k).cast("double") for k in range(1, 7)})
